@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plansift.llm import bpe, html, licenses, packing, warc
+from plansift.llm import bpe, fingerprints, html, licenses, packing, warc
 from plansift.llm.common import table
 
 
@@ -15,6 +15,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edit(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -37,7 +41,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_tokens", F.sha2(F.col("ids_text").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op5_best_fit_packing, op8_html_extraction, op9_warc_index, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_license_scan, op5_best_fit_packing, op8_html_extraction, op9_warc_index, op10_bpe)}
 
 ORACLE_SQL = {
     "op9_warc_index": """
