@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plansift.llm import bpe, fingerprints, html, licenses, packing, toxicity, warc
+from plansift.llm import bpe, fingerprints, html, jaccard, licenses, packing, toxicity, warc
 from plansift.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"), keep=("url",))
 
@@ -45,7 +49,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_tokens", F.sha2(F.col("ids_text").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_license_scan, op5_best_fit_packing, op6_toxicity, op8_html_extraction, op9_warc_index, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_license_scan, op5_best_fit_packing, op6_toxicity, op7_ngram_jaccard_join, op8_html_extraction, op9_warc_index, op10_bpe)}
 
 ORACLE_SQL = {
     "op9_warc_index": """
