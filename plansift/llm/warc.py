@@ -2,7 +2,7 @@
 
 write() turns pages into WARC 1.1 records and has Spark's text sink write them: a record's header and
 payload are one row, and the line separator CR LF CR LF is what ends a WARC record; so the archives lie
-wherever Spark can write. Equal payloads of REVISIT bytes or more are kept once, in the record of the
+wherever Spark can write; each is one gzip stream, and offsets count in what it holds. Equal payloads of REVISIT bytes or more are kept once, in the record of the
 largest page_id; the others are revisit records that refer to it. read() takes the archives back by
 their Content-Length headers; an archive holds at most RECORDS records, which bounds what a task holds.
 
@@ -73,7 +73,7 @@ def write(pages: DataFrame, path: str, per_archive: int = RECORDS, **columns) ->
     """Archives of the pages under path; each page's capture is dated EPOCH plus its page_id in seconds."""
     captured = F.lit(EPOCH) + F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(1_000_000_000))
     rows = records(pages, **columns).select(record_text(captured).alias("value"))
-    rows.write.option("lineSep", END).option("maxRecordsPerFile", per_archive).text(path)
+    rows.write.option("lineSep", END).option("maxRecordsPerFile", per_archive).option("compression", "gzip").text(path)
 
 
 HEADER = re.compile(rb"([A-Za-z-]+): ?([^\r]*)\r\n")
@@ -117,13 +117,14 @@ CAPTURE = "url_key string, captured string, page_id long, archive string, offset
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One capture a record, each archive's in order of URL key, time and page: a sorted run. Payload digests are computed anew and held against the header."""
+    import gzip
     import hashlib
 
     def run(batches):
         for rows in batches:
             for name, data in rows:
                 out = []
-                for offset, length, has, block in parse(data):
+                for offset, length, has, block in parse(gzip.decompress(data) if name.endswith(".gz") else data):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     n = int(re.search(rb"X-Payload-Length: (\d+)", http)[1])
                     digest = has["warc-payload-digest"].removeprefix("sha1:")
