@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plansift.llm import bpe, fingerprints, html, jaccard, licenses, neighbours, packing, toxicity, warc
+from plansift.llm import bpe, fingerprints, html, jaccard, licenses, neighbours, packing, pii, toxicity, warc
 from plansift.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
@@ -53,7 +57,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_tokens", F.sha2(F.col("ids_text").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_license_scan, op4_nearest_neighbours, op5_best_fit_packing, op6_toxicity, op7_ngram_jaccard_join, op8_html_extraction, op9_warc_index, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_license_scan, op3_personal_data, op4_nearest_neighbours, op5_best_fit_packing, op6_toxicity, op7_ngram_jaccard_join, op8_html_extraction, op9_warc_index, op10_bpe)}
 
 ORACLE_SQL = {
     "op9_warc_index": """
