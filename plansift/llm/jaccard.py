@@ -400,3 +400,10 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
         least = least.withColumnRenamed("least", "component")
     joined = members.join(least, "class", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with one document of each component: that of the least id. Rows of one id stay or go together; rows without an id stay."""
+    found = join(df, id_col, text_col)
+    gone = found.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    return df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")

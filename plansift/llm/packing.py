@@ -55,7 +55,7 @@ def best_fit(items: list[tuple[int, int | None, int | None]], capacity: int, per
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard: int = SHARD) -> DataFrame:
-    """One row a piece: doc_id, piece, start, length (code points), n_tokens, shard, bin, slot, bin_tokens.
+    """One row a piece: doc_id, row_hash (of id and text), piece, start, length (code points), n_tokens, shard, bin, slot, bin_tokens.
 
     cluster: the documents' duplicate cluster, any long column; by default equal texts are duplicates.
     """
@@ -68,7 +68,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
         # 0 stands for none, as a null would turn the column into doubles
         F.when(F.col(source_col).isNotNull(), F.xxhash64(F.col(source_col).cast("string"))).otherwise(0).alias("source"),
         F.coalesce(F.xxhash64(text) if cluster is None else cluster.cast("long"), F.lit(0)).alias("cluster"),
-        F.xxhash64(F.col(id_col), text, F.lit("shard")).alias("h"),
+        F.xxhash64(F.col(id_col).cast("long"), text).alias("h"),
     )
     total = df.select(F.count(F.lit(1))).first()[0]
     shards = max(1, -(-total // shard))
@@ -82,31 +82,32 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
         several = set(count[count > 1].index)
         alike: dict = {}
         pieces = []
-        for k, none, n, s, c in zip(pdf.doc_id.tolist(), pdf.no_id.tolist(), pdf.n.tolist(), pdf.source.tolist(), pdf.cluster.tolist()):
+        for k, none, n, s, c, h in zip(pdf.doc_id.tolist(), pdf.no_id.tolist(), pdf.n.tolist(), pdf.source.tolist(), pdf.cluster.tolist(), pdf.h.tolist()):
             # only what has several pieces can conflict, and so needs a bit
             c = alike.setdefault(c or (none, k), len(alike)) if c in several and c or n > chars else None
             for p, start in enumerate(range(0, max(n, 1), chars)):
                 length = min(chars, n - start)
-                pieces.append((-(-length // CHARS), None if none else k, p, start, length, number.get(s), c))
+                pieces.append((-(-length // CHARS), None if none else k, h, p, start, length, number.get(s), c))
         pieces.sort(key=lambda x: -x[0])
-        bins = best_fit([(w, s, c) for w, _, _, _, _, s, c in pieces], capacity, per_source)
+        bins = best_fit([(x[0], x[6], x[7]) for x in pieces], capacity, per_source)
         filled, slots, out = {}, {}, []
         for b, x in zip(bins, pieces):
             filled[b] = filled.get(b, 0) + x[0]
             slots[b] = slots.get(b, -1) + 1
-            out.append((x[1], x[2], x[3], x[4], x[0], b, slots[b]))
-        got = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "n_tokens", "bin", "slot"])
+            out.append((*x[1:6], x[0], b, slots[b]))
+        got = pd.DataFrame(out, columns=["doc_id", "row_hash", "piece", "start", "length", "n_tokens", "bin", "slot"])
         got["doc_id"] = got.doc_id.astype("Int64")
         got["shard"] = int(pdf.shard.iloc[0])
         got["bin_tokens"] = got.bin.map(filled)
-        return got[["doc_id", "piece", "start", "length", "n_tokens", "shard", "bin", "slot", "bin_tokens"]]
+        return got[["doc_id", "row_hash", "piece", "start", "length", "n_tokens", "shard", "bin", "slot", "bin_tokens"]]
 
     dealt = rows.withColumn("shard", F.pmod("h", F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(run, "doc_id long, piece long, start long, length long, n_tokens long, shard long, bin long, slot long, bin_tokens long")
+    return dealt.groupBy("shard").applyInPandas(run, "doc_id long, row_hash long, piece long, start long, length long, n_tokens long, shard long, bin long, slot long, bin_tokens long")
 
 
 def sequences(df: DataFrame, packed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """pack()'s rows with the text of each piece. Ids must be unique and not null."""
-    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    joined = packed.join(texts, "doc_id")
+    """pack()'s rows with the text of each piece in place of row_hash."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = df.select(F.xxhash64(F.col(id_col).cast("long"), text).alias("row_hash"), F.col(id_col).cast("long").alias("_id"), text.alias("text")).dropDuplicates(["row_hash", "_id"])
+    joined = packed.join(texts, (packed["row_hash"] == texts["row_hash"]) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("row_hash", "_id")
     return joined.withColumn("text", F.when(F.col("length") == F.length("text"), F.col("text")).otherwise(F.substring("text", F.col("start").cast("int") + 1, F.col("length").cast("int"))))

@@ -32,7 +32,7 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text", "source")).drop("row_hash")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

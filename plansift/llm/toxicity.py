@@ -147,6 +147,28 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
     return map_rows(rows, run, "doc_id long, score double")
 
 
+def keep_clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", cut: float = CUT, bits: int = BITS) -> DataFrame:
+    """The rows of docs, with all their columns, that score below cut."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    kept: dict = {}
+
+    @F.pandas_udf("double")
+    def scored(texts):
+        if not kept:
+            at, w, bias = held.value
+            kept["w"] = np.zeros(1 << bits)
+            kept["w"][at] = w
+            kept["bias"], kept["f"] = bias, Features(bits)
+        w, out = kept["w"], []
+        for t in texts:
+            x = kept["f"].all(t)
+            x = np.unique(x[w[x] != 0])
+            out.append(1 / (1 + math.exp(-max(-35.0, min(35.0, kept["bias"] + float(w[x].sum()))))))
+        return texts.__class__(out, dtype=float)
+
+    return docs.filter(scored(text_or_empty(text_col)) < cut)
+
+
 def held_out(id_col: Column) -> Column:
     """Rows that a model must not learn from: crc32 of the id as text leaves 1 by 3."""
     return F.crc32(id_col.cast("string").cast("binary")) % 3 == 1
