@@ -1,5 +1,6 @@
 """Registered queries with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from plansift.plans import costing, registry  # noqa: F401
+from plansift.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
+
 FLAGSHIP = "budget_totals"
