@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from plansift.llm.common import cut, map_rows, text_or_empty
 
-WIDTH, RATIO, COMMON, GROUP, PIVOTS = 5, 1.25, 0.2, 1_000_000, 5
+WIDTH, RATIO, COMMON, GROUP, PIVOTS = 5, 1.6, 0.2, 1_000_000, 12
 
 _U = np.uint64
 _MULTIPLIERS = [_U(int.from_bytes(xxhash.xxh64_digest(f"place {k}".encode()), "big") | 1) for k in range(64)]
@@ -345,25 +345,27 @@ def _linked(df: DataFrame, members: DataFrame, tokens: int, id_col: str, text_co
         return shared.join(known, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
 
     for turn in range(PIVOTS + 1):
-        rows = labelled()
-        live = rows.groupBy("bucket").agg(
-            F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("k"),
-            F.max_by(F.struct("class", "comp"), F.xxhash64("class", F.lit(turn))).alias("pivot"),
-        ).filter("low <> high")
-        live = cut(live.select("bucket", "k", "pivot"))
+        rows = cut(labelled())
+        # in the first turn a class is likely to be the pivot of all its buckets, so that a group of near copies takes one test a member;
+        # later on each bucket has a pivot of its own, so that who is left is tested against many
+        chance = F.xxhash64("class", F.lit(turn)) if turn == 0 else F.xxhash64("class", "bucket", F.lit(turn))
+        live = rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("k"), F.max_by(F.struct("class", "comp"), chance).alias("pivot")).filter("low <> high")
+        # what lies in one component, or was tested whole as it holds two classes, is done with
+        live = cut((live if turn == 0 else live.filter("k > 2")).select("bucket", "k", "pivot"))
         left, most = live.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2), F.sum("k")).first()
         if left is None:
             break
-        last = turn == PIVOTS or left <= 4 * most
+        mine = cut(rows.join(live, "bucket"))
+        shared = mine.select("bucket", "class", "n", "below", "asks")
+        last = turn == PIVOTS or left <= 2 * most
         if last:
-            mine = rows.join(live.select("bucket"), "bucket")
+            mine = mine.drop("pivot", "k")
             x = mine.select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("class", "n", "below", "asks", "comp")])
             larger = (F.col("n") < F.col("x_n")) | ((F.col("n") == F.col("x_n")) & (F.col("class") < F.col("x_class")))
             pairs = x.filter("x_asks").join(mine, "bucket").filter(larger & (F.col("comp") != F.col("x_comp")) & ~(F.col("below") & F.col("x_below")) & (5 * F.col("n") >= 4 * F.col("x_n")))
             pairs = pairs.select(F.least("class", "x_class").alias("a"), F.greatest("class", "x_class").alias("b"))
         else:
-            pairs = rows.join(live.select("bucket", "pivot"), "bucket").filter(F.col("comp") != F.col("pivot.comp"))
-            pairs = pairs.select(F.least("class", "pivot.class").alias("a"), F.greatest("class", "pivot.class").alias("b"))
+            pairs = mine.filter(F.col("comp") != F.col("pivot.comp")).select(F.least("class", "pivot.class").alias("a"), F.greatest("class", "pivot.class").alias("b"))
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
