@@ -18,8 +18,8 @@ into the next lower bands that can hold partners.
 Signatures meet in Spark groups of bounded size, as packed arrays. Those that several classes hold are kept. Within
 such a bucket only pairs of different components matter, as the result is components: a few rounds test each member
 against a random pivot of its bucket, which joins groups of near copies in linear work; what
-then still lies in one bucket and in several components is tested pair by pair. Every test is the exact
-intersection of the two sets.
+then still lies in one bucket and in several components is tested pair by pair, in large buckets within
+blocks of bounded size, so that the pairs are never rows. Every test is the exact intersection of the two sets.
 
 Nulls and blank texts have an empty set and link with nothing. Rows of one id count as documents of
 their own. A component's id is its least doc_id (null if it has none but null ids).
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from plansift.llm.common import cut, map_rows, text_or_empty
 
-WIDTH, RATIO, COMMON, GROUP, PIVOTS = 5, 1.6, 0.2, 1_000_000, 12
+WIDTH, RATIO, COMMON, GROUP, PIVOTS, SMALL, BLOCK = 5, 1.6, 0.2, 1_000_000, 3, 8, 256
 
 _U = np.uint64
 _MULTIPLIERS = [_U(int.from_bytes(xxhash.xxh64_digest(f"place {k}".encode()), "big") | 1) for k in range(64)]
@@ -304,6 +304,61 @@ def _tested(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return map_rows(joined.select("a", "b", "x", "y"), run, "a long, b long, linked boolean")
 
 
+def _counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    token, at, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(many > 1) - 1  # tokens of one set alone play no part
+    use = (many > 1)[at]
+    owner, at = owner[use], shared[at[use]]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, 8192):
+        a, b = np.searchsorted(at, (low, low + 8192))
+        part = np.zeros((len(sets), 8192), np.float32)
+        part[owner[a:b], at[a:b] - low] = 1
+        total += part @ part.T
+    return total.astype(np.int64)
+
+
+def _blocked(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """Links (a, b) that join all that link within each bucket, of rows (bucket, class, k, comp).
+
+    A bucket is dealt to blocks of about BLOCK classes; two blocks meet in one task, which tests all their pairs of
+    different components at once and returns no more links than are needed to connect what is connected.
+    """
+
+    def links(pdf):
+        import pandas as pd
+
+        pdf = pdf.drop_duplicates("class").sort_values("class")
+        sets = [np.frombuffer(x, _U) for x in pdf["set"]]
+        size = np.array([len(s) for s in sets])
+        comp = pdf["comp"].to_numpy()
+        both = _counts(sets)
+        good = np.triu((9 * both >= 4 * (size[:, None] + size[None, :])) & (comp[:, None] != comp[None, :]), 1)
+        name, up, out = pdf["class"].to_numpy(), {}, []
+
+        def find(x):
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        for i, j in zip(*np.nonzero(good)):
+            a, b = find(comp[i]), find(comp[j])
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                out.append((name[i], name[j]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    n = F.ceil(F.col("k") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("class", F.lit("block")), n).cast("int")
+    dealt = rows.select("bucket", "class", "comp", mine.alias("i"), F.explode(F.sequence(F.lit(0), n - 1)).alias("j"))
+    dealt = dealt.withColumns({"i": F.least("i", "j"), "j": F.greatest("i", "j")})
+    return dealt.join(held, "class").groupBy("bucket", "i", "j").applyInPandas(links, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): the least node reachable by links (a, b). Labels spread to neighbours and then to the label's own label, until none changes."""
     both = links.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("to"))).distinct()
@@ -359,7 +414,8 @@ def _linked(df: DataFrame, members: DataFrame, tokens: int, id_col: str, text_co
         shared = mine.select("bucket", "class", "n", "below", "asks")
         last = turn == PIVOTS or left <= 2 * most
         if last:
-            mine = mine.drop("pivot", "k")
+            blocks = _blocked(mine.filter(F.col("k") > SMALL), held)
+            mine = mine.filter(F.col("k") <= SMALL).drop("pivot", "k")
             x = mine.select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("class", "n", "below", "asks", "comp")])
             larger = (F.col("n") < F.col("x_n")) | ((F.col("n") == F.col("x_n")) & (F.col("class") < F.col("x_class")))
             pairs = x.filter("x_asks").join(mine, "bucket").filter(larger & (F.col("comp") != F.col("x_comp")) & ~(F.col("below") & F.col("x_below")) & (5 * F.col("n") >= 4 * F.col("x_n")))
@@ -372,6 +428,8 @@ def _linked(df: DataFrame, members: DataFrame, tokens: int, id_col: str, text_co
         result = cut(_tested(pairs, held))
         tested = result.select("a", "b") if tested is None else tested.unionByName(result.select("a", "b"))
         links = result.filter("linked").select("a", "b")
+        if last:
+            links = cut(links.unionByName(blocks))
         if not links.isEmpty():
             if comp is None:
                 comp = components(links)
