@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 FUZZY, RELATED, PLACE = 0.88, 0.82, 0.90
 
@@ -12,7 +13,7 @@ FUZZY, RELATED, PLACE = 0.88, 0.82, 0.90
 RELATED_TYPES = {"festival": ("festival", "event"), "event": ("festival", "event"), "person": ("person", "associated_person", "founder"), "topic": ("topic", "faq_topic")}
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Likeness of the standard library's matcher, mention first; it isn't symmetric."""
     from difflib import SequenceMatcher

@@ -1,0 +1,133 @@
+"""Operators on small tables."""
+
+from difflib import SequenceMatcher
+
+import pandas as pd
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from plansift.operators import documents, geo_joins, grounding, registry, resolve, state
+from plansift.sources import json_layouts
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_layouts(spark):
+    docs = ['{"restaurantName":{"value":"A"},"location":{"address":{"value":"x"}},"cuisine":{"types":["p","q"]}}', '{"restaurantName":{"value":null}}', '{"restaurantName":"B","travelInformation":{"distanceFromTempleKm":{"value":1.234}},"businessStatus":"CLOSED"}', "{bad", None, "[1]"]
+    df = json_layouts.restaurants(spark.createDataFrame([(d,) for d in docs], "value string"))
+    assert [(r.name, r.address, r.distance_km, r.cuisines, r.open) for r in df.orderBy("name").collect()] == [("A", "x", None, ["p", "q"], True), ("B", None, 1.23, [], False)]
+    checked = json_layouts.quarantine(spark.createDataFrame([(d,) for d in docs], "value string"), "value", ("restaurantName",))
+    assert {r.status for r in checked.collect()} == {"ok", "invalid_json", "invalid_record"}
+
+
+def test_hotel_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"temple_id": "T1", "associated_temple": " X ",\n "hotels": [{"hotel_name": "H", "booking_links": {"a": "https://b", "c": null}, "amenities": ["x", " "]}, {"hotel_name": ""}]}')
+    (r,) = json_layouts.read_hotel_files(spark, str(tmp_path)).collect()
+    assert (r.name, r.temple_id, r.temple_name, r.booking_links, r.amenities) == ("H", "T1", "X", {"a": "https://b"}, ["x"])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab. \n", max_size=400))
+def test_chunks_fit_and_cover(text):
+    got = documents.split_text(text, 40, 10)
+    assert all(len(c) <= 40 for c in got)
+    assert set("".join(got)) - set(" \n") == set(text) - set(" \n")
+
+
+def test_chunks_of_a_table(spark):
+    df = spark.createDataFrame([(1, "word " * 500), (2, None), (3, "")], "id long, t string")
+    got = documents.chunks(df, "id", "t").toPandas()
+    assert set(got.id) == {1} and (got.chunk.str.len() <= 800).all() and list(got.chunk_index) == list(range(len(got)))
+    assert documents.append_new(documents.chunks(df, "id", "t"), documents.chunks(df, "id", "t"), "id").count() == 0
+
+
+def test_fuzzy_pairs_lose_nothing(spark):
+    names = ["golden temple", "golden temples", "silver lake", "goldn tempel", "lake silver", "x"]
+    asked = ["golden temple", "goldentemple", "silver lak", "y"]
+    m = spark.createDataFrame(list(enumerate(asked)), "m_id long, mention string")
+    n = spark.createDataFrame([(x,) for x in names], "alias string")
+    for limit in (0.72, 0.88):
+        got = {(r.mention, r.alias) for r in resolve.fuzzy_pairs(m, n, limit).collect()}
+        want = {(a, b) for a in asked for b in names if SequenceMatcher(None, a, b).ratio() >= limit}
+        assert want <= got
+
+
+def test_resolution_by_context(spark):
+    scored = spark.createDataFrame([(1, "a", 0), (1, "b", 0), (2, "a", 40), (2, "b", 0), (3, "c", 0)], "m_id long, k string, context int")
+    got = {r.m_id: (r.status, r.k, r.match_type) for r in resolve.decide_exact(scored, "k").collect()}
+    assert got == {1: ("AMBIGUOUS", None, "exact_ambiguous"), 2: ("RESOLVED", "a", "exact_context"), 3: ("RESOLVED", "c", "exact")}
+    near = spark.createDataFrame([(1, "a", 0, 0.95), (1, "b", 0, 0.9), (2, "a", 0, 0.9), (2, "b", 0, 0.9), (3, "a", 40, 0.9), (3, "b", 0, 0.99)], "m_id long, k string, context int, score double")
+    got = {r.m_id: (r.status, r.k, r.match_type) for r in resolve.decide_fuzzy(near, "k").collect()}
+    assert got == {1: ("RESOLVED", "a", "fuzzy"), 2: ("AMBIGUOUS", None, "fuzzy_ambiguous"), 3: ("RESOLVED", "a", "fuzzy_context")}
+
+
+def test_names(spark):
+    df = spark.createDataFrame([("Kancharla Gopanna (Bhakta Ramadasu).", True), ("Komuravelli Mallanna Jathara", False), ("", False)], "n string, p boolean")
+    got = [[(v.variant, v.rule) for v in r.v] for r in df.select(registry.name_variants(F.col("n"), F.col("p")).alias("v")).collect()]
+    assert ("Ramadasu", "last_word") in got[0] and ("Kancharla Gopanna", "main") in got[0]
+    assert ("Komuravelli Jathara", "event") in got[1] and got[2] == []
+
+
+def test_radius_join_is_exact(spark):
+    import random
+
+    random.seed(3)
+    pts = [(i, 10 + random.random(), 70 + random.random()) for i in range(80)]
+    a = spark.createDataFrame(pts[:10], "anchor_id long, lat double, lng double")
+    p = spark.createDataFrame(pts, "point_id long, lat double, lng double")
+    from plansift.functions.geo import haversine
+
+    near = a.toDF("anchor_id", "x", "y").crossJoin(p).withColumn("d", haversine(F.col("x"), F.col("y"), F.col("lat"), F.col("lng"))).filter("d <= 20")
+    assert rows(geo_joins.radius_join(a, p, 20.0, 99).select("anchor_id", "point_id")) == rows(near.select("anchor_id", "point_id"))
+
+
+def test_near_names_go(spark):
+    items = spark.createDataFrame([(1, "Hotel Sun", 1), (1, "Lake Palace", 2), (1, "Lake Palaces", 3), (2, "Hotel Sun", 1)], "k long, name string, rank int")
+    known = spark.createDataFrame([(1, "hotel sun")], "k long, name string")
+    assert rows(geo_joins.drop_near_names(items, known, "k", "name", "rank").select("k", "name")) == [(1, "Lake Palace"), (2, "Hotel Sun")]
+
+
+def test_grounding(spark):
+    d = spark.createDataFrame([(1, "₹1,066 and 9999")], "k long, draft string")
+    e = spark.createDataFrame([(1, "total 1066.0")], "k long, evidence string")
+    assert rows(grounding.ungrounded(d, e, "k")) == [(1, ["9999"], 1)]
+
+
+def test_gate(spark):
+    df = spark.createDataFrame([("Someone is unconscious and not breathing.",), ("strokes endangered",), (None,), ("గుండెపోటు వచ్చింది",)], "t string")
+    assert [r.x for r in df.select(state.is_urgent(F.col("t")).alias("x")).collect()] == [True, False, False, True]
+
+
+def test_stream_equals_batch(spark):
+    from plansift.plans import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    key = lambda df: {r.user_id: list(r.history) for r in df.collect()}
+    assert key(QUERIES["session_state_stream"](spark, d)) == key(QUERIES["session_last10"](spark, d))
+
+
+def test_focus_and_priority(spark):
+    df = spark.createDataFrame([("temple timings", "The temple timings: open at six.", "faq"), ("hello there", "x", None), ("", "y", "audio")], "q string, c string, k string")
+    got = df.select(documents.focus(F.col("q"), F.col("c"), F.col("k")).alias("f"), documents.lexical(F.col("q"), F.col("c"), F.coalesce("k", F.lit(""))).alias("l"), documents.priority(F.col("k")).alias("p")).collect()
+    assert got[0].f > 1 and got[1].f == 0 and got[2].l == 0 and [r.p for r in got] == [0.96, 0.70, 0.85]
+
+
+def test_stringify(spark):
+    df = spark.createDataFrame([('{"a_b": {"c": [1, "x"], "d": null, "e": true}}',), ("{",), (None,)], "t string")
+    assert [r.x for r in df.select(json_layouts.stringify(F.col("t")).alias("x")).collect()] == ["A B: C: 1\nx\nE: Yes", None, None]
+
+
+def test_places(spark):
+    places = spark.createDataFrame([("p", "Old Town", "t", ["o"], 1.0)], "place_id string, name string, place_type string, aliases array<string>, latitude double")
+    e = spark.createDataFrame([("1", "t", "old town, X", ["a"], 2.0), ("2", "t", "New, Y", list("abcde"), 2.0), ("3", "t", "Far", [], None)], "entity_id string, entity_type string, canonical_name string, aliases array<string>, latitude double")
+    assert [(r.place_id, len(r.aliases)) for r in json_layouts.append_places(places, e).collect()] == [("p", 1), ("2", 4)]
+
+
+def test_as_of(spark):
+    w = pd.DataFrame({"k": [1, 1, 1], "ts": pd.to_datetime([0, 100, 200], unit="s"), "payload": ["a", "b", "c"], "negative": [False, True, False], "ttl_s": [50, 30, 50]})
+    r = pd.DataFrame({"k": [1] * 5, "ts": pd.to_datetime([-1, 50, 51, 101, 200], unit="s"), "read_id": range(5)})
+    got = state.as_of(spark.createDataFrame(r), spark.createDataFrame(w), "k", "ts")
+    assert rows(got.select("read_id", "hit", "payload")) == [(0, False, None), (1, True, "a"), (2, False, None), (3, False, None), (4, True, "c")]
