@@ -10,9 +10,9 @@ part of a segment, as a whole, is a signature. A segment is allotted either cove
 must be equal) or 2 (it may differ by one token: the part and its one-deletion neighbours are
 signatures); which, is a matter of cost: the number of signatures and the chance that a few common
 tokens fill a part. Were a linking pair to agree in no segment, its difference would reach the sum of the coverage: so a
-pair whose larger set has enough coverage agrees somewhere. Empty parts give no signature and no
-coverage; a set that is left with too little adds its empty parts too. What coverage a set has to
-spare lets it skip its most frequent signatures. A set larger than its band's partners also looks
+pair of which one set has enough coverage agrees somewhere. Empty parts give no signature and no
+coverage; a set that is left with too little for some partner adds its empty parts too. What coverage a set has to
+spare for all partners that aren't larger lets it skip its most frequent signatures. A set larger than its band's partners also looks
 into the next lower bands that can hold partners.
 
 Signatures meet in Spark groups of bounded size, as packed arrays. Those that several classes hold are kept. Within
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from plansift.llm.common import cut, map_rows, text_or_empty
 
-WIDTH, RATIO, COMMON, GROUP, PIVOTS, SMALL, BLOCK = 5, 1.6, 0.2, 1_000_000, 3, 8, 256
+WIDTH, RATIO, COMMON, GROUP, PIVOTS, SMALL, BLOCK, WHOLE, SENT = 5, 1.6, 0.2, 1_000_000, 3, 8, 512, 8192, 500_000
 
 _U = np.uint64
 _MULTIPLIERS = [_U(int.from_bytes(xxhash.xxh64_digest(f"place {k}".encode()), "big") | 1) for k in range(64)]
@@ -154,7 +154,8 @@ class Bands:
                 out.append(_mix(less * name[of] + name[of]))
                 free.append(np.zeros(len(less), bool))
             spare = coverage - self.need(len(s), band)
-            if spare < 0:
+            # in its own band it also meets larger sets, up to 5 / 4 of its size
+            if coverage < (self.need(len(s), band) if self.of(len(s)) != band else (len(s) + len(s) * 5 // 4) // 9 + 1):
                 empty = np.setdiff1d(np.arange(m), held)
                 single = held[(held < two) & (count == 1)]
                 bare = np.concatenate([empty, single])
@@ -305,29 +306,49 @@ def _tested(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def _counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    token, at, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = np.cumsum(many > 1) - 1  # tokens of one set alone play no part
-    use = (many > 1)[at]
-    owner, at = owner[use], shared[at[use]]
-    total = np.zeros((len(sets), len(sets)), np.float32)
-    order = np.argsort(at, kind="stable")
-    owner, at = owner[order], at[order]
-    for low in range(0, int(at[-1]) + 1 if len(at) else 0, 8192):
-        a, b = np.searchsorted(at, (low, low + 8192))
-        part = np.zeros((len(sets), 8192), np.float32)
-        part[owner[a:b], at[a:b] - low] = 1
+    """Sizes of all intersections. Tokens of many sets are multiplied out, those of a few listed by pairs of their owners."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, at, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    total = np.zeros((n, n), np.float32)
+    often = many > 32
+    number = np.cumsum(often) - 1
+    use = often[at]
+    who, col = owner[use], number[at[use]]
+    order = np.argsort(col, kind="stable")
+    who, col = who[order], col[order]
+    for low in range(0, int(often.sum()), 8192):
+        a, b = np.searchsorted(col, (low, low + 8192))
+        part = np.zeros((n, 8192), np.float32)
+        part[who[a:b], col[a:b] - low] = 1
         total += part @ part.T
-    return total.astype(np.int64)
+    use = (many[at] > 1) & ~use
+    who, col = owner[use], at[use]
+    order = np.argsort(col, kind="stable")
+    who, col = who[order], col[order]
+    flat = np.zeros(n * n, np.int64)
+    for step in range(1, 32):  # owners stand in order within a token, so each pair is met once
+        same = col[step:] == col[:-step]
+        if not same.any():
+            break
+        flat += np.bincount(who[:-step][same] * n + who[step:][same], minlength=n * n)
+    few = flat.reshape(n, n)
+    return total.astype(np.int64) + few + few.T
 
 
 def _blocked(rows: DataFrame, held: DataFrame) -> DataFrame:
     """Links (a, b) that join all that link within each bucket, of rows (bucket, class, k, comp).
 
-    A bucket is dealt to blocks of about BLOCK classes; two blocks meet in one task, which tests all their pairs of
+    Buckets that share classes are taken together, while that makes no group of over WHOLE classes, so that each set
+    is sent once. A group is dealt to blocks of about BLOCK classes; two blocks meet in one task, which tests all their pairs of
     different components at once and returns no more links than are needed to connect what is connected.
     """
+    first = rows.groupBy("bucket").agg(F.min("class").alias("a"))
+    near = components(rows.join(first, "bucket").filter("class <> a").select("a", F.col("class").alias("b")).distinct())
+    large = near.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("comp", "group")
+    rows = rows.join(near.select(F.col("node").alias("class"), F.col("comp").alias("group")), "class").join(large, "group")
+    whole = F.col("size") <= WHOLE
+    rows = rows.select(F.when(whole, F.col("group")).otherwise(F.col("bucket")).alias("bucket"), whole.alias("whole"), F.when(whole, F.col("size")).otherwise(F.col("k")).alias("k"), "class", "comp").distinct()
 
     def links(pdf):
         import pandas as pd
@@ -354,9 +375,9 @@ def _blocked(rows: DataFrame, held: DataFrame) -> DataFrame:
 
     n = F.ceil(F.col("k") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("class", F.lit("block")), n).cast("int")
-    dealt = rows.select("bucket", "class", "comp", mine.alias("i"), F.explode(F.sequence(F.lit(0), n - 1)).alias("j"))
+    dealt = rows.select("bucket", "whole", "class", "comp", mine.alias("i"), F.explode(F.sequence(F.lit(0), n - 1)).alias("j"))
     dealt = dealt.withColumns({"i": F.least("i", "j"), "j": F.greatest("i", "j")})
-    return dealt.join(held, "class").groupBy("bucket", "i", "j").applyInPandas(links, "a long, b long")
+    return dealt.join(held, "class").groupBy("bucket", "whole", "i", "j").applyInPandas(links, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -388,6 +409,9 @@ def _linked(df: DataFrame, members: DataFrame, tokens: int, id_col: str, text_co
             yield [(k, s.tobytes()) for k, text in rows if class_of(s := shingler.set_of(text)) == k]
 
     texts = df.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("text"))
+    # of two longs a row at most SENT are sent to all tasks; more of them are shuffled with the texts
+    one = cut(one)
+    one = F.broadcast(one) if one.count() <= SENT else one
     held = map_rows(texts.join(one, "_id").select("class", "text"), run, "class long, set binary").dropDuplicates(["class"])
     held = cut(held)
     comp: DataFrame | None = None
