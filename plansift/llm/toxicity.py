@@ -3,8 +3,8 @@
 A text's features are its distinct words, word pairs and word pairs with one word between them, hashed
 to 2**BITS. train() takes at most ROWS labelled rows, those whose ids have the least hashes. Their
 features are made on the executors; one task, of size bounded by ROWS, runs FTRL-proximal over them
-(per-coordinate rates, L1 and L2) for EPOCHS passes. Features in over COMMON of the rows are left out,
-as function words say nothing and cost most. L1 leaves few weights, which are broadcast: a few
+(per-coordinate rates, L1 and L2) for EPOCHS passes. Features in over COMMON of the rows of label 0 are
+left out, as function words say nothing and cost most. L1 leaves few weights, which are broadcast: a few
 thousand, and never more than 2**BITS.
 
 The score is the logistic function of bias plus weights over the features' counts capped at one each.
@@ -107,10 +107,10 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, id_col
         pdf = pdf.assign(h=[zlib.crc32(f"order {k}".encode()) for k in pdf.id]).sort_values(["h", "id", "x"])
         pdf = pdf.drop_duplicates("id")
         x = [np.frombuffer(b, np.int32) for b in pdf.x]
-        count = np.zeros(1 << bits, np.int32)
-        for f in x:
-            count[f] += 1
-        use = count <= max(1.0, common * len(x))
+        count, clean = np.zeros(1 << bits, np.int32), int((pdf.y == 0).sum())
+        for f, y in zip(x, pdf.y):
+            count[f] += 1 - y
+        use = count <= max(1.0, common * clean)
         x = [f[use[f]].astype(np.int64) for f in x]
         w = np.zeros((1 << bits) + 1)
         w[-1] = odds
