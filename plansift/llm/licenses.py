@@ -64,7 +64,7 @@ def words(text: str) -> list[bytes]:
 class Index:
     """Templates with their postings; idf: word -> inverse document frequency in the corpus."""
 
-    def __init__(self, idf: dict[bytes, float], rare: int = 16, accept: float = 0.6, slack: int = 3):
+    def __init__(self, idf: dict[bytes, float], rare: int = 16, accept: float = 0.5, slack: int = 3):
         self.idf, self.rare, self.accept, self.slack = idf, rare, accept, slack
         self.base = []
         for phrase, label in BASE.items():
