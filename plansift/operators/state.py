@@ -48,7 +48,7 @@ def as_of(reads: DataFrame, writes: DataFrame, key: str, ts: str) -> DataFrame:
     span = Window.partitionBy(key).orderBy(ts, "_o", F.col("w.payload")).rowsBetween(Window.unboundedPreceding, 0)
     rows = r.unionByName(w).withColumn("w", F.last("w", ignorenulls=True).over(span)).filter("_o = 1")
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    lives = micros(ts) - micros(f"w.{ts}") <= F.col("w.ttl_s") * 1_000_000
+    lives = micros(ts) - micros(f"w.{ts}") <= F.col("w.ttl_s").cast("long") * 1_000_000
     hit = F.coalesce(lives & ~F.col("w.negative"), F.lit(False))
     return rows.select(key, "read_id", hit.alias("hit"), F.when(hit, F.col("w.payload")).alias("payload"))
 
