@@ -74,7 +74,7 @@ def safety_stream(spark, d):
     WITH w AS (SELECT user_id, ts, event_id, value, event_type = 'error' AS negative, CASE WHEN event_type = 'error' THEN 30 ELSE 86400 END AS ttl FROM events WHERE event_type IN ('error', 'purchase')),
     r AS (SELECT * FROM events WHERE event_type = 'view'),
     j AS (SELECT r.user_id, r.event_id AS read_id, r.ts, w.ts AS wts, w.value, w.negative, w.ttl, row_number() OVER (PARTITION BY r.event_id ORDER BY w.ts DESC, w.event_id DESC) AS n FROM r LEFT JOIN w ON w.user_id = r.user_id AND w.ts <= r.ts)
-    SELECT user_id, read_id, coalesce(NOT negative AND epoch_us(ts) - epoch_us(wts) <= ttl * 1000000, false) AS hit, CASE WHEN NOT negative AND epoch_us(ts) - epoch_us(wts) <= ttl * 1000000 THEN 'f' || lpad(CAST(value * 0 AS INT)::VARCHAR, 1, '0') END AS payload FROM j WHERE n = 1""")
+    SELECT user_id, read_id, coalesce(NOT negative AND epoch_us(ts) - epoch_us(wts) <= CAST(ttl AS BIGINT) * 1000000, false) AS hit, CASE WHEN NOT negative AND epoch_us(ts) - epoch_us(wts) <= CAST(ttl AS BIGINT) * 1000000 THEN 'f0' END AS payload FROM j WHERE n = 1""")
 def ttl_cache_asof(spark, d):
     e = table(spark, d, "events")
     reads = e.filter("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("read_id"))
