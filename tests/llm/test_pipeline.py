@@ -6,16 +6,16 @@ import pytest
 
 from plansift.llm import queries
 
-SF = "/root/testdata/sf0.001"
+SF, BIG = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
-def test_stages(spark):
+def test_stages(spark):  # the smallest tables have too few toxic documents to learn from
     from plansift.llm.common import cut, table
 
-    docs = table(spark, SF, "documents")
+    docs = table(spark, BIG, "documents")
     columns, left = docs.columns, [docs.count()]
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        docs = cut(stage(spark, docs, SF))
+        docs = cut(stage(spark, docs, BIG))
         left.append(docs.count())
         if k < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns
