@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -22,3 +23,8 @@ def query(sql: str | None = None):
         return fn
 
     return add
+
+
+def joined(c: str) -> Column:
+    """An array column as comma-joined text, which any engine's rows show alike."""
+    return F.array_join(F.col(c).cast("array<string>"), ",").alias(c)

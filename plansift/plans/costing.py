@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plansift.functions import geo, money, text
 from plansift.operators import geo_joins, grounding
-from plansift.plans.base import query, table
+from plansift.plans.base import joined, query, table
 
 _NORM = r"""trim(regexp_replace(translate(lower({0}), '-_,./\():;''"', '          '), '\s+', ' ', 'g'))"""
 
@@ -85,7 +85,7 @@ def price_range_parse(spark, d):
 
 @query(f"""
     SELECT p_brand, min(low) AS low, max(high) AS high, bool_or(p_partkey % 8 = 3) AS has_free, count(low) AS n_priced,
-           list_slice(list_sort(list(p_name)), 1, 6) AS samples
+           array_to_string(list_slice(list_sort(list(p_name)), 1, 6), ',') AS samples
     FROM {_PRICE} GROUP BY p_brand""")
 def seva_range(spark, d):
     part = table(spark, d, "part").select("p_brand", "p_name", money.price_range(_price_text()).alias("r"))
@@ -93,7 +93,7 @@ def seva_range(spark, d):
     w = Window.partitionBy("p_brand").orderBy("p_name")
     names = part.select("p_brand", "p_name", F.row_number().over(w).alias("k")).filter("k <= 6").groupBy("p_brand").agg(F.sort_array(F.collect_list("p_name")).alias("samples"))
     band = part.groupBy("p_brand").agg(F.min("r.low").alias("low"), F.max("r.high").alias("high"), F.bool_or(F.col("r").isNull()).alias("has_free"), F.count("r").alias("n_priced"))
-    return band.join(names, "p_brand")
+    return band.join(names, "p_brand").select(*band.columns, joined("samples"))
 
 
 _TRIP = """(SELECT o_orderkey, o_orderkey % 5 AS nights, o_orderkey % 7 AS days, 1 + o_orderkey % 6 AS people, o_orderkey % 3 AS rooms, o_orderkey % 4 AS way, o_orderkey % 9 = 0 AS nostay FROM orders)"""
@@ -199,8 +199,8 @@ _TRIPS = """
 
 
 @query(f"""{_TRIPS}
-    SELECT t.o_orderkey, sum(c.low) AS low, sum(c.high) AS high, coalesce(list_sort(list(component) FILTER (WHERE component IS NOT NULL)), []) AS included,
-           list_filter(['food', 'stay', 'transport'], lambda x: NOT list_contains(coalesce(list(component) FILTER (WHERE component IS NOT NULL), []), x)) AS absent,
+    SELECT t.o_orderkey, sum(c.low) AS low, sum(c.high) AS high, array_to_string(coalesce(list_sort(list(component) FILTER (WHERE component IS NOT NULL)), []), ',') AS included,
+           array_to_string(list_filter(['food', 'stay', 'transport'], lambda x: NOT list_contains(coalesce(list(component) FILTER (WHERE component IS NOT NULL), []), x)), ',') AS absent,
            count(component) < 3 AS partial,
            array_to_string(list_filter([CASE WHEN any_value(mode) = 1 THEN 'transit fare' WHEN any_value(mode) = 0 AND any_value(km) IS NULL THEN 'distance' END, CASE WHEN any_value(nights) = 0 THEN 'nights' END, CASE WHEN any_value(days) = 0 THEN 'days' END], lambda x: x IS NOT NULL), ', ') AS missing,
            CASE WHEN any_value(mode) = 0 THEN 1 ELSE 0 END + CASE WHEN any_value(nights) > 0 THEN 1 ELSE 0 END AS n_assumptions
@@ -211,11 +211,11 @@ def budget_totals(spark, d):
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min(p).alias("low"), F.max(p).alias("high"), F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("km"))
     k = F.col("o_orderkey")
     trips = table(spark, d, "orders").select("o_orderkey", (k % 4).alias("nights"), (k % 5).alias("days"), (1 + k % 3).alias("persons"), (k % 3).alias("mode"), (k % 2 == 0).alias("two_way")).join(lines, k == F.col("l_orderkey"), "left")
-    return grounding.trip_totals(trips)
+    return grounding.trip_totals(trips).withColumns({"included": joined("included"), "absent": joined("absent")})
 
 
 @query("""
-    SELECT o_orderkey, list_sort(list(v) FILTER (WHERE NOT ok)) AS missing, CAST(count(*) FILTER (WHERE NOT ok) AS BIGINT) AS n_missing FROM (
+    SELECT o_orderkey, array_to_string(list_sort(list(v) FILTER (WHERE NOT ok)), ',') AS missing, CAST(count(*) FILTER (WHERE NOT ok) AS BIGINT) AS n_missing FROM (
       SELECT o_orderkey, CAST(n AS VARCHAR) AS v, true AS ok FROM (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
       UNION ALL SELECT o_orderkey, CAST(1000000 + o_orderkey AS VARCHAR), o_orderkey % 3 <> 0 FROM orders SEMI JOIN lineitem ON l_orderkey = o_orderkey)
     GROUP BY 1 HAVING count(*) FILTER (WHERE NOT ok) > 0""")
@@ -226,7 +226,7 @@ def number_grounding(spark, d):
     k = F.col("o_orderkey")
     drafts = orders.select("o_orderkey", F.concat(F.col("n").cast("string"), F.lit(" items, total ₹"), F.format_number(1000000 + k, 0), F.lit(" in 5km")).alias("draft"))
     evidence = orders.select("o_orderkey", F.concat(F.lit("count "), F.format_string("%d.0", "n"), F.when(k % 3 != 0, F.concat(F.lit(" sum "), (1000000 + k).cast("string"))).otherwise("")).alias("evidence"))
-    return grounding.ungrounded(drafts, evidence, "o_orderkey")
+    return grounding.ungrounded(drafts, evidence, "o_orderkey").withColumn("missing", joined("missing"))
 
 
 @query("""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plansift.functions.text import normalize
 from plansift.operators import registry, resolve
-from plansift.plans.base import query, table
+from plansift.plans.base import joined, query, table
 from plansift.plans.costing import _NORM
 
 
@@ -15,9 +15,9 @@ def _part_aliases(spark, d):
     return registry.aliases(table(spark, d, "part").select("p_partkey", "p_name", F.lit(0).alias("pos")), "p_partkey", "p_name", "pos")
 
 
-@query(f"SELECT {_NORM.format('p_name')} AS alias, list_sort(list(DISTINCT p_partkey)) AS ids, CAST(count(DISTINCT p_partkey) AS INT) AS n FROM part GROUP BY 1")
+@query(f"SELECT {_NORM.format('p_name')} AS alias, array_to_string(list_sort(list(DISTINCT p_partkey)), ',') AS ids, CAST(count(DISTINCT p_partkey) AS INT) AS n FROM part GROUP BY 1")
 def alias_index(spark, d):
-    return registry.alias_index(_part_aliases(spark, d), "p_partkey")
+    return registry.alias_index(_part_aliases(spark, d), "p_partkey").withColumn("ids", joined("ids"))
 
 
 @query(f"SELECT {_NORM.format('p_name')} AS alias, count(DISTINCT p_partkey) AS n FROM part GROUP BY 1 HAVING count(DISTINCT p_partkey) > 1")
@@ -62,12 +62,12 @@ def _parents(spark, d):
 
 
 @query(f"""
-    SELECT parent_id, coalesce(list_sort(list(entity_id) FILTER (WHERE entity_type = 'food')), []) AS food, coalesce(list_sort(list(entity_id) FILTER (WHERE entity_type = 'stay')), []) AS stay
+    SELECT parent_id, coalesce(array_to_string(list_sort(list(entity_id) FILTER (WHERE entity_type = 'food')), ','), '') AS food, coalesce(array_to_string(list_sort(list(entity_id) FILTER (WHERE entity_type = 'stay')), ','), '') AS stay
     FROM {_ENTITIES} WHERE parent_id IN (SELECT id FROM {_HELD}) GROUP BY parent_id""")
 def relationship_lists(spark, d):
     linked = registry.with_parent(_entities(spark, d).filter("parent_id is not null"), _parents(spark, d), "parent_id", "id").filter("linked")
     lists = linked.groupBy("parent_id").pivot("entity_type", ["food", "stay"]).agg(F.sort_array(F.collect_list("entity_id")))
-    return lists.select("parent_id", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("food", "stay")])
+    return lists.select("parent_id", *[F.coalesce(joined(c), F.lit("")).alias(c) for c in ("food", "stay")])
 
 
 @query(f"SELECT entity_id, parent_id FROM {_ENTITIES} WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM {_HELD})")
@@ -172,13 +172,13 @@ def resolve_related(spark, d):
     WITH w AS (SELECT conv_id, turn, unnest(list_distinct(string_split(lower(text), ' '))) AS m FROM conversations),
     n AS (SELECT lower(p_name) AS alias, min(p_partkey) AS id FROM part GROUP BY 1),
     r AS (SELECT conv_id, turn, m, p_partkey FROM (SELECT *, CAST(length(m) AS BIGINT) AS p_partkey FROM w WHERE length(m) >= 4 AND length(m) % 2 = 0))
-    SELECT conv_id, turn, list_sort(list(DISTINCT p_partkey)) AS ids FROM r JOIN part USING (p_partkey) GROUP BY 1, 2""")
+    SELECT conv_id, turn, array_to_string(list_sort(list(DISTINCT p_partkey)), ',') AS ids FROM r JOIN part USING (p_partkey) GROUP BY 1, 2""")
 def mention_ids(spark, d):
     turns = table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("m"))
     # a word stands for the entity whose number is its length; even lengths of 4 or more are resolvable
     found = turns.filter((F.length("m") >= 4) & (F.length("m") % 2 == 0)).withColumn("p_partkey", F.length("m").cast("long"))
     known = found.join(table(spark, d, "part").select("p_partkey"), "p_partkey")
-    return known.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_set("p_partkey")).alias("ids"))
+    return known.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_set("p_partkey")).alias("ids")).withColumn("ids", joined("ids"))
 
 
 @query("""
@@ -196,14 +196,14 @@ def request_clean(spark, d):
 
 @query("""
     WITH c AS (SELECT p_name, p_partkey, p_retailprice, row_number() OVER (PARTITION BY p_name ORDER BY p_retailprice DESC, p_partkey) AS r, lead(p_retailprice) OVER (PARTITION BY p_name ORDER BY p_retailprice DESC, p_partkey) AS nx FROM part)
-    SELECT p_name, p_partkey, coalesce(p_retailprice - nx < 0.05, false) AS ambiguous, (SELECT list(x.p_partkey ORDER BY x.r) FROM c x WHERE x.p_name = c.p_name AND x.r <= 3) AS shortlist FROM c WHERE r = 1""")
+    SELECT p_name, p_partkey, coalesce(p_retailprice - nx < 0.05, false) AS ambiguous, (SELECT array_to_string(list(x.p_partkey ORDER BY x.r), ',') FROM c x WHERE x.p_name = c.p_name AND x.r <= 3) AS shortlist FROM c WHERE r = 1""")
 def candidate_gap(spark, d):
     """The best candidate of a name; ambiguous if the next is within 0.05 of it; the first five with names, three of them shown."""
     w = Window.partitionBy("p_name").orderBy(F.desc("p_retailprice"), "p_partkey")
     rows = table(spark, d, "part").select("p_name", "p_partkey", "p_retailprice", F.row_number().over(w).alias("r"), F.lead("p_retailprice").over(w).alias("next")).filter("r <= 5")
     best = rows.filter("r = 1").select("p_name", "p_partkey", F.coalesce(F.col("p_retailprice") - F.col("next") < 0.05, F.lit(False)).alias("ambiguous"))
     few = rows.filter("p_name <> ''").groupBy("p_name").agg(F.sort_array(F.collect_list(F.struct("r", "p_partkey"))).alias("x"))
-    return best.join(few, "p_name").select("p_name", "p_partkey", "ambiguous", F.slice(F.transform("x", lambda c: c["p_partkey"]), 1, 3).alias("shortlist"))
+    return best.join(few, "p_name").select("p_name", "p_partkey", "ambiguous", F.slice(F.transform("x", lambda c: c["p_partkey"]), 1, 3).alias("shortlist")).withColumn("shortlist", joined("shortlist"))
 
 
 @query("""

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plansift.operators import state
-from plansift.plans.base import query, table
+from plansift.plans.base import joined, query, table
 from plansift.streaming import sessions
 
 
@@ -23,9 +23,9 @@ def _folder(spark) -> str:
     WITH g AS (SELECT *, CASE WHEN epoch(date_trunc('second', ts)) - epoch(date_trunc('second', lag(ts) OVER w)) > 86400 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     p AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS part FROM g),
     r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, max(part) OVER (PARTITION BY user_id) AS top FROM p)
-    SELECT user_id, list(event_id ORDER BY ts, event_id) AS history, max(ts) AS last FROM r WHERE r <= 10 AND part = top GROUP BY user_id""")
+    SELECT user_id, array_to_string(list(event_id ORDER BY ts, event_id), ',') AS history, max(ts) AS last FROM r WHERE r <= 10 AND part = top GROUP BY user_id""")
 def session_last10(spark, d):
-    return state.last_turns(table(spark, d, "events"), "user_id", "ts", "event_id", ttl=state.SESSION_TTL)
+    return state.last_turns(table(spark, d, "events"), "user_id", "ts", "event_id", ttl=state.SESSION_TTL).withColumn("history", joined("history"))
 
 
 @query()
@@ -40,7 +40,7 @@ def session_state_stream(spark, d):
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     newest = Window.partitionBy("key").orderBy(F.desc("batch"))
-    return rows.withColumn("r", F.row_number().over(newest)).filter("r = 1").select(F.col("key").alias("user_id"), "history", "last")
+    return rows.withColumn("r", F.row_number().over(newest)).filter("r = 1").select(F.col("key").alias("user_id"), joined("history"), "last")
 
 
 def _stream_path(d: str, name: str) -> str:

@@ -105,7 +105,7 @@ def test_stream_equals_batch(spark):
     from plansift.plans import QUERIES
 
     d = "/root/testdata/sf0.001"
-    key = lambda df: {r.user_id: list(r.history) for r in df.collect()}
+    key = lambda df: {r.user_id: r.history for r in df.collect()}
     assert key(QUERIES["session_state_stream"](spark, d)) == key(QUERIES["session_last10"](spark, d))
 
 
