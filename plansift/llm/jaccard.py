@@ -381,18 +381,21 @@ def _blocked(rows: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp): the least node reachable by links (a, b). Labels spread to neighbours and then to the label's own label, until none changes."""
-    both = links.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("to"))).distinct()
-    both = cut(both)
-    label = cut(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("comp")))
+    """(node, comp): the least node reachable by links (a, b). Each turn every node goes to its least neighbour and on to where that goes; links are then drawn anew between the places, so that they soon get few."""
+    edges = cut(links.select("a", "b").filter("a <> b").distinct())
+    names: DataFrame | None = None
     while True:
-        near = both.join(label.select(F.col("node").alias("to"), F.col("comp").alias("c")), "to").groupBy("node").agg(F.min("c").alias("c"))
-        step = label.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "c").alias("comp"))
-        jump = step.join(label.select(F.col("node").alias("comp"), F.col("comp").alias("up")), "comp", "left")
-        new = cut(jump.select("node", F.least("comp", "up").alias("comp"), (F.least("comp", "up") < F.col("old")).alias("moved")))
-        label = new.select("node", "comp")
-        if new.filter("moved").isEmpty():
-            return label
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("to")))
+        up = cut(both.groupBy("node").agg(F.least("node", F.min("to")).alias("comp")))
+        step = cut(up.join(up.toDF("comp", "far"), "comp").select("node", F.col("far").alias("comp")))
+        if names is None:
+            names = step
+        else:
+            names = cut(names.join(step.toDF("comp", "far"), "comp", "left").select("node", F.coalesce("far", "comp").alias("comp")))
+        drawn = edges.join(step.toDF("a", "x"), "a").join(step.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        edges = cut(drawn.filter("a <> b").distinct())
+        if edges.isEmpty():
+            return names
 
 
 def _linked(df: DataFrame, members: DataFrame, tokens: int, id_col: str, text_col: str) -> DataFrame | None:

@@ -238,6 +238,24 @@ def brute_components(rows):
     return sorted(((k, len(s), k if not s else least.get(find(i))) for i, ((k, _), s) in enumerate(zip(rows, sets))), key=repr)
 
 
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(k, k + 1) for k in range(500, 560)] + [(7, 7)]
+    up = {}
+
+    def find(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    got = {r.node: r.comp for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    assert jaccard.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_jaccard_join(docs, none):
     got = sorted((tuple(r) for r in jaccard.join(docs).collect()), key=repr)
     assert got == brute_components(pairs(docs))
