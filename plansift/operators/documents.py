@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plansift.functions.text import words
 
 CHUNK, OVERLAP, SEPARATORS = 800, 120, ("\n\n", "\n", ". ", " ", "")
-CANDIDATES, KEPT = 20, 5
+CANDIDATES, KEPT, BLOCK, BLOCKS = 20, 5, 256, 16
 
 # What a content type is worth by itself.
 PRIORITY = {
@@ -100,14 +100,18 @@ def _norm(v: Column) -> Column:
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """query_id, vec_id, score, rank: exact cosine search of a few queries over all vectors (id, v), in one pass over them.
+    """query_id, vec_id, score, rank: exact cosine search of a set of queries (query_id, q) over all vectors (vec_id, v).
 
-    queries (query_id, q) go to every task, so they must be few. allowed: (query_id, vec_id) pairs to search in.
+    Queries meet the vectors in blocks of BLOCK: up to BLOCKS blocks go to every task, in one pass over the vectors; more are
+    joined by block number. allowed: (query_id, vec_id) pairs to search in.
     """
     v = vectors.withColumn("v", F.col("v").cast("array<double>")).filter(F.size("v") > 0).withColumn("n", _norm(F.col("v"))).filter("n > 0")
     q = queries.withColumn("q", F.col("q").cast("array<double>")).withColumn("m", _norm(F.col("q"))).filter("m > 0")
-    held = q.agg(F.collect_list(F.struct("query_id", "q", "m")).alias("qs"))
-    rows = v.join(F.broadcast(held)).select("vec_id", "v", "n", F.explode("qs").alias("x"))
+    blocks = max(1, -(-q.count() // BLOCK))
+    held = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "q", "m")).alias("qs"))
+    held = F.broadcast(held) if blocks <= BLOCKS else held
+    v = v.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    rows = v.join(held, "block").select("vec_id", "v", "n", F.explode("qs").alias("x"))
     dot = F.aggregate(F.zip_with("v", "x.q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     scored = rows.select(F.col("x.query_id").alias("query_id"), "vec_id", (dot / (F.col("n") * F.col("x.m"))).alias("score"))
     if allowed is not None:

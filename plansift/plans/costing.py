@@ -134,10 +134,11 @@ def _at(key):
       SELECT c_custkey, s_suppkey, round(6371.0088 * 2 * atan2(sqrt(h), sqrt(1 - h)), 2) AS km, round(2 * 6371.0 * asin(sqrt(h)), 2) AS km_poi FROM (
         SELECT c_custkey, s_suppkey, {_H.format(a="x", b="y", c="u", d="v")} AS h FROM (
           SELECT c_custkey, s_suppkey, {_LAT.format("c_custkey")} AS x, {_LNG.format("c_custkey")} AS y, {_LAT.format("s_suppkey")} AS u, {_LNG.format("s_suppkey")} AS v
-          FROM customer JOIN supplier ON c_nationkey = s_nationkey)))""")
+          FROM (SELECT DISTINCT o_custkey AS c_custkey, l_suppkey AS s_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey))))""")
 def haversine_route(spark, d):
-    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
-    pairs = c.join(s, F.col("c_nationkey") == F.col("s_nationkey"))
+    """The way between each customer and each supplier that has delivered to them."""
+    sold = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    pairs = sold.select(F.col("o_custkey").alias("c_custkey"), F.col("l_suppkey").alias("s_suppkey")).distinct()
     ends = (*_at("c_custkey"), *_at("s_suppkey"))
     km = geo.route_km(*ends)
     return pairs.select("c_custkey", "s_suppkey", km.alias("km"), geo.haversine(*ends).alias("km_poi"), geo.route_minutes(km).alias("minutes"))

@@ -38,26 +38,26 @@ def malformed_quarantine(spark, d):
 
 
 @query("""
-    SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, 'H' || event_id AS name, CASE WHEN event_id % 2 = 0 THEN 'T' || event_id ELSE 'F' || user_id END AS temple_id, 'Temple ' || user_id AS temple_name,
+    SELECT file, row_number() OVER (PARTITION BY file ORDER BY event_id) - 1 AS pos, 'H' || event_id AS name, CASE WHEN event_id % 2 = 0 THEN 'T' || event_id ELSE 'F' || file END AS temple_id, 'Temple ' || file AS temple_name,
            CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS n_links
-    FROM events WHERE event_id % 10 = 0 OR event_id % 10 = 1""")
+    FROM (SELECT event_id, event_id // 10 AS file FROM events)""")
 def json_explode_inherit(spark, d):
-    """Files of a user's events as hotels; written as JSON text and read back with the fixed schema."""
-    e = table(spark, d, "events").filter("event_id % 10 < 2")
+    """Files of ten events each as hotels; written as JSON text and read back with the fixed schema."""
+    e = table(spark, d, "events").withColumn("file", F.floor(F.col("event_id") / 10))
     hotel = F.struct(
         F.concat(F.lit("H"), F.col("event_id").cast("string")).alias("hotel_name"),
         F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("T"), F.col("event_id").cast("string"))).alias("temple_id"),
         F.create_map(F.lit("a"), F.when(F.col("event_id") % 2 == 0, F.lit("https://x")).otherwise(F.lit("none"))).alias("booking_links"),
     )
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    ranked = e.select("user_id", hotel.alias("h"), F.row_number().over(w).alias("r"))
+    w = Window.partitionBy("file").orderBy("event_id")
+    ranked = e.select("file", hotel.alias("h"), F.row_number().over(w).alias("r"))
     # a map can't be ordered, so the order goes by the rank alone
-    files = ranked.groupBy("user_id").agg(F.collect_list(F.struct("r", "h")).alias("x"))
-    files = files.select("user_id", F.transform(F.array_sort("x", lambda a, b: a["r"] - b["r"]), lambda x: x["h"]).alias("hotels"))
-    text = files.select("user_id", F.to_json(F.struct(F.concat(F.lit("F"), F.col("user_id").cast("string")).alias("temple_id"), F.concat(F.lit("Temple "), F.col("user_id").cast("string")).alias("associated_temple"), "hotels")).alias("value"))
+    files = ranked.groupBy("file").agg(F.collect_list(F.struct("r", "h")).alias("x"))
+    files = files.select("file", F.transform(F.array_sort("x", lambda a, b: a["r"] - b["r"]), lambda x: x["h"]).alias("hotels"))
+    text = files.select("file", F.to_json(F.struct(F.concat(F.lit("F"), F.col("file").cast("string")).alias("temple_id"), F.concat(F.lit("Temple "), F.col("file").cast("string")).alias("associated_temple"), "hotels")).alias("value"))
     schema = f"struct<temple_id: string, associated_temple: string, hotels: array<struct<{_ddl(json_layouts.HOTEL)}>>>"
-    parsed = text.select("user_id", F.from_json("value", schema).alias("f")).select(F.col("user_id").cast("string").alias("source_file"), "f.*")
-    return json_layouts.hotels(parsed).select(F.col("source_file").cast("long").alias("user_id"), F.col("pos").cast("long").alias("pos"), "name", "temple_id", "temple_name", F.size("booking_links").alias("n_links"))
+    parsed = text.select("file", F.from_json("value", schema).alias("f")).select(F.col("file").cast("string").alias("source_file"), "f.*")
+    return json_layouts.hotels(parsed).select(F.col("source_file").cast("long").alias("file"), F.col("pos").cast("long").alias("pos"), "name", "temple_id", "temple_name", F.size("booking_links").alias("n_links"))
 
 
 def _ddl(flat: str) -> str:
@@ -123,12 +123,12 @@ _DOT = "list_sum(list_transform(list_zip(a.v, b.v), lambda x: x[1] * x[2]))"
 
 @query("""
     WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-    s AS (SELECT b.vec_id AS query_id, a.vec_id, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS score FROM e a JOIN e b ON b.vec_id < 10 AND a.vec_id <> b.vec_id),
+    s AS (SELECT b.vec_id AS query_id, a.vec_id, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS score FROM e a JOIN e b ON b.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
     SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 20""")
 def vector_topk(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
-    q = e.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     # a query's own vector is its first, so one more is taken and it is left out
     found = documents.vector_topk(e, q, documents.CANDIDATES + 1).filter("query_id <> vec_id")
     w = Window.partitionBy("query_id").orderBy("rank")
@@ -174,29 +174,29 @@ def focus_score(spark, d):
 
 @query(f"""
     WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-    s AS (SELECT b.vec_id AS query_id, a.vec_id, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS score FROM e a JOIN e b ON b.vec_id < 10),
+    s AS (SELECT b.vec_id AS query_id, a.vec_id, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS score FROM e a JOIN e b ON b.vec_id % 100 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s),
     t AS (SELECT query_id, vec_id, score, question, {_W.format('question')} AS q, content, {_W.format('content')} AS c, {_W.format('meta')} AS m, kind
-          FROM (SELECT query_id, vec_id, score, {_QUESTION.format('query_id')} AS question, {_CONTENT} AS content, concat_ws(' ', source, {_KIND}, lang) AS meta, {_KIND} AS kind FROM r JOIN documents ON doc_id = vec_id WHERE rank <= 20)),
+          FROM (SELECT query_id, vec_id, score, {_QUESTION.format('(query_id // 100)')} AS question, {_CONTENT} AS content, concat_ws(' ', source, {_KIND}, lang) AS meta, {_KIND} AS kind FROM r JOIN documents ON doc_id = vec_id WHERE rank <= 20)),
     f AS (SELECT query_id, vec_id, round(score * 0.55::DOUBLE + ({_LEX}) * 0.2::DOUBLE + ({_FOCUS}) * 0.2::DOUBLE + CASE kind WHEN 'faq' THEN 0.96 WHEN 'history' THEN 0.98 WHEN 'travel' THEN 0.75 ELSE 0.70 END::DOUBLE * 0.05::DOUBLE, 6) AS final FROM t)
     SELECT query_id, vec_id, final, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, vec_id) AS place FROM f) WHERE place <= 5""")
 def hybrid_rerank(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
-    q = e.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    found = documents.vector_topk(e, q, documents.CANDIDATES).join(_asked(spark, d).drop("question"), F.col("vec_id") == F.col("doc_id")).withColumn("question", F.expr(_QUESTION.format("query_id")))
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    found = documents.vector_topk(e, q, documents.CANDIDATES).join(_asked(spark, d).drop("question"), F.col("vec_id") == F.col("doc_id")).withColumn("question", F.expr(_QUESTION.format("(query_id div 100)")))
     return documents.rerank(found).select("query_id", "vec_id", "final", "place")
 
 
 @query("""
     SELECT s_suppkey, p_partkey, tier FROM (
       SELECT *, min(tier) OVER (PARTITION BY s_suppkey) AS low FROM (
-        SELECT s_suppkey, p_partkey, CAST(CASE WHEN p_partkey = s_suppkey AND s_suppkey % 2 = 0 THEN 1 ELSE 2 END AS INT) AS tier, p_size % 2 = 0 AS veg, max(CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY s_suppkey) AS any_veg
-        FROM supplier JOIN part ON p_partkey % 50 = s_suppkey % 50 WHERE (p_partkey = s_suppkey AND s_suppkey % 2 = 0) OR p_size > 10) x
+        SELECT s_suppkey, p_partkey, CAST(CASE WHEN p_partkey = 20 * s_suppkey AND s_suppkey % 2 = 0 THEN 1 ELSE 2 END AS INT) AS tier, p_size % 2 = 0 AS veg, max(CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY s_suppkey) AS any_veg
+        FROM supplier JOIN part ON p_partkey // 20 = s_suppkey WHERE (p_partkey = 20 * s_suppkey AND s_suppkey % 2 = 0) OR p_size > 10) x
       WHERE s_suppkey % 3 <> 0 OR any_veg = 0 OR veg) WHERE tier = low""")
 def select_cascade(spark, d):
     """By id, else by place; vegetarian ones alone if asked for and if there are any."""
-    pairs = table(spark, d, "supplier").join(table(spark, d, "part"), F.col("p_partkey") % 50 == F.col("s_suppkey") % 50)
-    by_id = (F.col("p_partkey") == F.col("s_suppkey")) & (F.col("s_suppkey") % 2 == 0)
+    pairs = table(spark, d, "supplier").join(table(spark, d, "part"), F.floor(F.col("p_partkey") / 20) == F.col("s_suppkey"))
+    by_id = (F.col("p_partkey") == 20 * F.col("s_suppkey")) & (F.col("s_suppkey") % 2 == 0)
     rows = pairs.filter(by_id | (F.col("p_size") > 10)).select("s_suppkey", "p_partkey", F.when(by_id, 1).otherwise(2).alias("tier"), (F.col("p_size") % 2 == 0).alias("veg"))
     some = F.max("veg").over(Window.partitionBy("s_suppkey"))
     kept = rows.withColumn("some", some).filter((F.col("s_suppkey") % 3 != 0) | ~F.col("some") | F.col("veg"))

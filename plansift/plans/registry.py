@@ -112,26 +112,26 @@ def faq_topics(spark, d):
 
 @query(f"""
     WITH a AS (SELECT {_NORM.format('p_name')} AS alias, p_partkey, p_brand, p_size FROM part),
-    s AS (SELECT m.p_partkey AS m_id, e.p_partkey, CASE WHEN e.p_brand = m.p_brand THEN 40 ELSE 0 END + CASE WHEN e.p_size = m.p_size THEN 25 ELSE 0 END + CASE WHEN m.p_partkey % 10 = 0 AND m.p_partkey = e.p_partkey THEN 100 ELSE 0 END AS context
-          FROM a m JOIN a e USING (alias) WHERE m.p_partkey % 5 = 0),
+    s AS (SELECT m.p_partkey AS m_id, e.p_partkey, CASE WHEN e.p_brand = m.p_brand THEN 40 ELSE 0 END + CASE WHEN e.p_size = m.p_size THEN 25 ELSE 0 END + CASE WHEN m.p_partkey % 200 = 0 AND m.p_partkey = e.p_partkey THEN 100 ELSE 0 END AS context
+          FROM a m JOIN a e USING (alias) WHERE m.p_partkey % 100 = 0),
     t AS (SELECT *, max(context) OVER (PARTITION BY m_id) AS top, count(*) OVER (PARTITION BY m_id) AS n FROM s)
     SELECT m_id, CASE WHEN count(*) = 1 THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS status, CASE WHEN count(*) = 1 THEN min(p_partkey) END AS p_partkey,
            CASE WHEN count(*) > 1 THEN 'exact_ambiguous' WHEN max(top) > 0 THEN 'exact_context' ELSE 'exact' END AS match_type, CAST(max(top) AS INT) AS context, max(n) AS n
     FROM t WHERE context = top GROUP BY m_id""")
 def resolve_exact(spark, d):
     part = table(spark, d, "part").withColumn("alias", normalize(F.col("p_name")))
-    mentions = part.filter("p_partkey % 5 = 0").select(F.col("p_partkey").alias("m_id"), "alias", F.col("p_brand").alias("m_brand"), F.col("p_size").alias("m_size"))
+    mentions = part.filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("m_id"), "alias", F.col("p_brand").alias("m_brand"), F.col("p_size").alias("m_size"))
     same = mentions.join(part, "alias")
-    score = resolve.context_score((F.col("m_id") % 10 == 0) & (F.col("m_id") == F.col("p_partkey")), F.lit(False), F.col("p_brand") == F.col("m_brand"), F.col("p_size") == F.col("m_size"))
+    score = resolve.context_score((F.col("m_id") % 200 == 0) & (F.col("m_id") == F.col("p_partkey")), F.lit(False), F.col("p_brand") == F.col("m_brand"), F.col("p_size") == F.col("m_size"))
     return resolve.decide_exact(same.select("m_id", "p_partkey", score.alias("context")), "p_partkey")
 
 
 def _damaged(spark, d):
-    """Mentions with a letter lost or two letters added, as every fifth part's name."""
+    """Mentions with a letter lost or two letters added, as the names of the searches: parts whose number is divisible by 100."""
     name = normalize(F.col("p_name"))
     k = (F.col("p_partkey") % 3).cast("int")
     hurt = F.when(k == 0, F.concat(F.substring(name, 1, 3), F.expr("substring(n, 5)"))).when(k == 1, F.concat(F.col("n"), F.lit("x"))).otherwise(F.col("n"))
-    return table(spark, d, "part").withColumn("n", name).filter("p_partkey % 5 = 0").select(F.col("p_partkey").alias("m_id"), hurt.alias("mention"))
+    return table(spark, d, "part").withColumn("n", name).filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("m_id"), hurt.alias("mention"))
 
 
 def _names(spark, d):
@@ -140,7 +140,7 @@ def _names(spark, d):
 
 @query(f"""
     WITH n AS (SELECT DISTINCT {_NORM.format('p_name')} AS alias FROM part),
-    m AS (SELECT p_partkey AS m_id, CASE p_partkey % 3 WHEN 0 THEN substring(x, 1, 3) || substring(x, 5) WHEN 1 THEN x || 'x' ELSE x END AS mention FROM (SELECT p_partkey, {_NORM.format('p_name')} AS x FROM part WHERE p_partkey % 5 = 0))
+    m AS (SELECT p_partkey AS m_id, CASE p_partkey % 3 WHEN 0 THEN substring(x, 1, 3) || substring(x, 5) WHEN 1 THEN x || 'x' ELSE x END AS mention FROM (SELECT p_partkey, {_NORM.format('p_name')} AS x FROM part WHERE p_partkey % 100 = 0))
     SELECT m_id, mention, alias FROM m, n
     WHERE 2 * least(length(mention), length(alias)) >= 0.88::DOUBLE * (length(mention) + length(alias)) AND levenshtein(mention, alias) <= (1 - 0.88::DOUBLE) * (length(mention) + length(alias))""")
 def fuzzy_prefilter(spark, d):
@@ -162,9 +162,9 @@ def resolve_related(spark, d):
     kinds = F.element_at(F.array(*map(F.lit, ("festival", "person", "topic"))), (F.col("p_partkey") % 3 + 1).cast("int"))
     records = part.select(normalize(F.concat_ws(" ", "p_name", "p_brand")).alias("alias"), kinds.alias("mention_type"), kinds.alias("relation"), F.col("p_partkey").alias("target"))
     entities = part.filter("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("target"), F.lit("place").alias("entity_type"))
-    mention = normalize(F.concat_ws(" ", "p_name", "p_brand", F.when(F.col("p_partkey") % 2 == 0, F.lit("a"))))
-    asked = F.when(F.col("p_partkey") % 4 == 0, F.lit("event")).when(F.col("p_partkey") % 4 == 1, F.lit("place"))
-    mentions = part.filter("p_partkey % 10 < 3").select(F.col("p_partkey").alias("m_id"), mention.alias("mention"), asked.alias("asked"))
+    mention = normalize(F.concat_ws(" ", "p_name", "p_brand", F.when(F.col("p_partkey") % 200 == 0, F.lit("a"))))
+    asked = F.when(F.col("p_partkey") % 400 == 0, F.lit("event")).when(F.col("p_partkey") % 400 == 100, F.lit("place"))
+    mentions = part.filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("m_id"), mention.alias("mention"), asked.alias("asked"))
     return resolve.related(mentions, records, entities)
 
 
