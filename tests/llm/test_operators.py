@@ -178,6 +178,35 @@ def test_recall_on_the_embeddings(spark):
     assert hit >= 0.9 * total
 
 
+@pytest.mark.parametrize("deep", [None, 10])
+def test_recall_of_both_depths(spark, deep):
+    rng = np.random.RandomState(2)
+    x = rng.randn(2000, 64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    hit = 0
+    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0, **({"deep": deep} if deep else {})).collect():
+        s = unit @ unit[r.query_id]
+        hit += s[r.vec_id] >= np.sort(s)[-6] - 1e-12
+    assert hit >= 0.9 * 200
+
+
+def test_no_switch_by_size():
+    import inspect
+
+    assert inspect.signature(neighbours.nearest).parameters["deep"].default is None
+    rng = np.random.RandomState(5)
+    x, z = rng.randn(1000, 64), rng.randn(1000, 64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = 0.4 * x + math.sqrt(1 - 0.16) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    for probes, depth in ((neighbours.PROBES, 1), (neighbours.PAIRS, 2)):
+        met = np.zeros(len(x), bool)
+        for t in range(neighbours.TABLES):
+            met |= (neighbours.axes(x, t, probes, depth) == neighbours.axes(y, t, 1, depth)).any(1)
+        assert met.mean() >= 0.9
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 100), st.one_of(st.none(), st.integers(0, 3)), st.one_of(st.none(), st.integers(0, 5))), max_size=60))
 def test_best_fit(items):
