@@ -21,7 +21,7 @@ against a random pivot of its bucket, which joins groups of near copies in linea
 then still lies in one bucket and in several components is tested pair by pair, in large buckets within
 blocks of bounded size, so that the pairs are never rows. Every test is the exact intersection of the two sets.
 
-Nulls and blank texts have an empty set and link with nothing. Rows of one id count as documents of
+Nulls and blank texts have an empty set and link with nothing. Rows of one id, and of none, count as documents of
 their own. A component's id is its least doc_id (null if it has none but null ids).
 """
 
@@ -165,19 +165,20 @@ class Bands:
 
 
 def sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (size of its set), class (null for an empty set)."""
+    """doc_id, text_hash, n (size of its set), class (null for an empty set)."""
 
     def run(batches):
         shingler = Shingler()
         for rows in batches:
             out = []
-            for k, text in rows:
+            for k, h, text in rows:
                 s = shingler.set_of(text)
-                out.append((k, len(s), class_of(s) if len(s) else None))
+                out.append((k, h, len(s), class_of(s) if len(s) else None))
             yield out
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return map_rows(rows, run, "doc_id long, n long, class long")
+    text = text_or_empty(text_col)
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return map_rows(rows, run, "doc_id long, text_hash long, n long, class long")
 
 
 _HEAD = np.dtype([("class", "<i8"), ("n", "<i4"), ("spare", "<u2", 2), ("count", "<u4")])
@@ -403,19 +404,29 @@ def _linked(df: DataFrame, members: DataFrame, tokens: int, id_col: str, text_co
     spark = df.sparkSession
     shared = _shared(df, text_col, tokens)
     wanted = shared.select("class").distinct()
-    first = members.filter("class is not null").groupBy("class").agg(F.min_by(F.struct("doc_id"), "doc_id").alias("r"), F.count_if(F.col("doc_id").isNotNull()).alias("k"))
-    one = first.join(wanted, "class").filter("k > 0").select("class", F.col("r.doc_id").alias("_id"))
+    # a class's set comes from a row of it, found by id (0 for null) and text, so that null ids and several texts of one id do too
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_hash").alias("_text"))
+    first = members.filter("class is not null").groupBy("class").agg(F.min(key).alias("r"))
+    one = first.join(wanted, "class").select("class", "r.none", "r._id", "r._text")
 
     def run(batches):
-        shingler = Shingler()
+        shingler, sent = Shingler(), set()
         for rows in batches:
-            yield [(k, s.tobytes()) for k, text in rows if class_of(s := shingler.set_of(text)) == k]
+            out = []
+            for k, text in rows:
+                if k not in sent and class_of(s := shingler.set_of(text)) == k:
+                    if len(sent) > 1_000_000:
+                        sent.clear()
+                    sent.add(k)
+                    out.append((k, s.tobytes()))
+            yield out
 
-    texts = df.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("text"))
-    # of two longs a row at most SENT are sent to all tasks; more of them are shuffled with the texts
+    id, text = F.col(id_col).cast("long"), text_or_empty(text_col)
+    texts = df.select(id.isNull().alias("none"), F.coalesce(id, F.lit(0)).alias("_id"), F.xxhash64(text).alias("_text"), text.alias("text"))
+    # of four values a row at most SENT are sent to all tasks; more of them are shuffled with the texts
     one = cut(one)
     one = F.broadcast(one) if one.count() <= SENT else one
-    held = map_rows(texts.join(one, "_id").select("class", "text"), run, "class long, set binary").dropDuplicates(["class"])
+    held = map_rows(texts.join(one, ["none", "_id", "_text"]).select("class", "text"), run, "class long, set binary").dropDuplicates(["class"])
     held = cut(held)
     comp: DataFrame | None = None
     tested: DataFrame | None = None
@@ -473,24 +484,45 @@ def _linked(df: DataFrame, members: DataFrame, tokens: int, id_col: str, text_co
     return comp
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def _placed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_hash, n, class, comp, component of every row: comp names its component by a class (null for an empty set), component by the least doc_id there."""
     members = cut(sets(df, id_col, text_col))
     tokens = members.agg(F.sum("n")).first()[0] or 0
     comp = _linked(df, members, tokens, id_col, text_col)
     least = members.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     if comp is not None:
         least = least.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-        whole = least.filter("comp is not null").groupBy("comp").agg(F.min("least").alias("component"))
-        least = least.join(whole, "comp").select("class", "component")
+        whole = least.groupBy("comp").agg(F.min("least").alias("component"))
+        least = least.join(whole, "comp").select("class", "comp", "component")
     else:
-        least = least.withColumnRenamed("least", "component")
-    joined = members.join(least, "class", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+        least = least.select("class", F.col("class").alias("comp"), F.col("least").alias("component"))
+    return members.join(least, "class", "left")
+
+
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    placed = _placed(df, id_col, text_col)
+    return placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one document of each component: that of the least id. Rows of one id stay or go together; rows without an id stay."""
-    found = join(df, id_col, text_col)
-    gone = found.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    """df with one row of each component: that of the least id (null ids last), then of the least text hash; of equal ones, any. Rows with an empty set stay."""
+    placed = _placed(df, id_col, text_col).filter("class is not null")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("text"))
+    found = placed.select("comp", row.alias("row")).groupBy("comp", "row").agg(F.count(F.lit(1)).alias("times"))
+    best = found.groupBy("comp").agg(F.min("row").alias("best"))
+    found = found.join(best, "comp").filter((F.col("row") != F.col("best")) | (F.col("times") > 1))
+    marked = cut(found.select(F.col("row.none").alias("_none"), F.col("row.id").alias("_id"), F.col("row.text").alias("_text"), (F.col("row") == F.col("best")).alias("_best")))
+    at = ["_none", "_id", "_text"]
+    id, text = F.col(id_col).cast("long"), text_or_empty(text_col)
+    rows = df.withColumns({"_none": id.isNull(), "_id": F.coalesce(id, F.lit(0)), "_text": F.xxhash64(text)})
+    kept = rows.join(marked.drop("_best"), at, "left_anti").select(*df.columns)
+    repeated = marked.filter("_best").drop("_best")
+    if repeated.isEmpty():
+        return kept
+    from pyspark.sql import Window
+
+    # of rows equal in id and text the one whose other columns hash least
+    order = Window.partitionBy(*at).orderBy(F.xxhash64(*[c for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()]))
+    firsts = rows.join(repeated, at, "left_semi").withColumn("_r", F.row_number().over(order)).filter("_r = 1")
+    return kept.unionByName(firsts.select(*df.columns))

@@ -291,6 +291,31 @@ def test_jaccard_join(docs, none):
     assert jaccard.join(none).count() == 0
 
 
+def test_jaccard_join_of_null_ids_repeated_rows_and_ids_with_two_texts(spark):
+    def near(text, k):
+        words = text.split()
+        words[k] = "odd"
+        return " ".join(words)
+
+    a, b, c, d = (prose(k, 200) for k in range(70, 74))
+    rows = [(5, a), (None, near(a, 50)), (5, a), (7, b), (None, near(b, 10)), (8, near(near(b, 10), 190)), (9, c), (9, d), (3, near(d, 60)), (None, prose(75, 50)), (None, prose(75, 50)), (None, near(prose(76, 200), 5)), (None, prose(76, 200)), (4, ""), (None, None)]
+    # 7 and 8 are linked through the null-id text or not at all
+    wide = " ".join(f"w{k}" for k in range(100)).split()
+    x, y, z = list(wide), list(wide), list(wide)
+    x[20], z[70] = "x", "z"
+    x[40] = "x"
+    z[90] = "z"
+    rows += [(20, " ".join(x)), (None, " ".join(y)), (21, " ".join(z))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in jaccard.join(df).collect()), key=repr)
+    assert got == brute_components([(k, t or "") for k, t in rows]) and (21, 96, 20) in got
+    kept = collections.Counter((r.doc_id, r.text) for r in jaccard.keep_one(df).collect())
+    must = [(5, a), (7, b), (9, c), (3, near(d, 60)), (None, prose(75, 50)), (4, ""), (None, None), (20, " ".join(x))]
+    assert all(kept[k] == 1 for k in must)
+    # one of the two null-id texts that only each other link
+    assert sum(kept.values()) == len(must) + 1 and kept[None, prose(76, 200)] + kept[None, near(prose(76, 200), 5)] == 1
+
+
 def test_jaccard_join_of_borderline_groups(spark, monkeypatch):
     rng = random.Random(4)
     base = [f"w{i}" for i in range(40)]
