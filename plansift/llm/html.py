@@ -2,10 +2,12 @@
 
 A page is tokenised once; a tree builder keeps the stack of open elements, closes those that a tag
 closes by implication (<li>, <p>, table parts, <option>, ...) and ignores stray end tags. Nothing in
-<head>, <script>, <style>, <template> and the like is visible, nor is an element that is hidden by its
-attributes (hidden, aria-hidden="true", display:none, visibility:hidden, <input>, a closed <dialog>).
+<head>, <script>, <style>, <template>, <title> is visible, nor what browsers show only when they can't do the thing itself
+(<noscript>, <iframe>, <noframes>, <canvas>, <audio>, <video>), what is only data (<datalist>, SVG's <desc> and <metadata>, MathML's
+<annotation>), nor an element that is hidden by its attributes (hidden, aria-hidden="true", display:none, visibility:hidden,
+<input>, a closed <dialog>). Options, labels in SVG, formulas and the fallback of an <object> come out.
 All visible text comes out: blocks stand on lines of their own, paragraphs, headings, lists and tables
-with a blank line around; white space collapses, but not in <pre> and <textarea>; list items have
+with a blank line around; white space collapses, but not in <pre> and <textarea> (whose text is a block); options and SVG labels are lines of their own; list items have
 their bullet or number and are indented by depth; the cells of a table's column are padded to equal
 width (up to PAD code points; wider cells are kept whole).
 
@@ -24,16 +26,16 @@ from plansift.llm.common import map_rows, text_or_empty
 
 PAD = 40
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|([^<]+|<)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+|(?=>)))*+)>|([^<]+|<)", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 
 # Names from the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript title iframe object svg math canvas audio video datalist select noframes".split())
+UNSEEN = frozenset("head script style template noscript title iframe canvas audio video datalist noframes desc metadata annotation annotation-xml".split())
 RAW = frozenset("script style title textarea iframe noframes noscript".split())
-BLOCK = frozenset("address article aside body center details dd div dl dt fieldset figcaption figure footer form header hgroup html legend li main nav ol p pre search section summary table tbody td tfoot th thead tr caption ul blockquote h1 h2 h3 h4 h5 h6 hr".split())
+BLOCK = frozenset("address article aside body center details dd div dl dt fieldset figcaption figure footer form header hgroup html legend li main nav ol p pre search section summary table tbody td tfoot th thead tr caption ul blockquote h1 h2 h3 h4 h5 h6 hr textarea select optgroup option text".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure article section hr".split())
-ENDS_P = BLOCK - frozenset("html body td th tr tbody thead tfoot caption li dd dt legend summary".split())
+ENDS_P = BLOCK - frozenset("html body td th tr tbody thead tfoot caption li dd dt legend summary textarea select optgroup option text".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}, "thead": {"caption", "colgroup"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "rt": {"rt", "rp"}, "rp": {"rt", "rp"}, "body": {"head"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "thead": {"table"}, "option": {"select"}, "optgroup": {"select"}, "rt": {"ruby"}, "rp": {"ruby"}, "body": {"html"}, "p": {"table", "td", "th", "body", "li", "blockquote", "article", "section", "div", "aside", "main", "button"}}
 HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
@@ -112,7 +114,7 @@ def _table(rows: list[list[str]]) -> list[str]:
 
 def _close(stack: list[Box]) -> None:
     box = stack.pop()
-    up = stack[-1]
+    up = _holder(stack)
     name = box.name
     if name not in BLOCK:
         return
@@ -206,7 +208,7 @@ def render(page: str) -> str:
                 elif name == "img" and (alt := {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m[3])}.get("alt")):
                     box.text(entities.unescape(alt))
             continue
-        if m[3].endswith("/") and name in ("svg", "math", "path"):
+        if m[3].endswith("/") and (name in ("svg", "math", "path") or any(b.name in ("svg", "math") for b in stack)):
             continue
         up = stack[-1]
         seen = up.seen and _visible(name, m[3])
@@ -216,6 +218,8 @@ def render(page: str) -> str:
             if owner is not None:
                 owner.rows.append([])
         stack.append(box)
+        if name == "optgroup" and seen and (label := {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m[3])}.get("label")):
+            box.text(entities.unescape(label))
         if name in RAW:
             raw = name
     while len(stack) > 1:

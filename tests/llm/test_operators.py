@@ -372,6 +372,15 @@ def test_linking_sets_share_a_signature_that_the_larger_asks_for(n, seed):
         ("a<br>b &lt;c&gt;</div></p>", "a\nb <c>"),
         ("<title>t</title><h1>H</h1>text<!-- <p>no</p> --><img alt='pic'>", "H\n\ntextpic"),
         ("1 < 2 <b>bold", "1 < 2 bold"),
+        ("<p>a<textarea>one\n  two</textarea>b", "a\none\n  two\nb"),
+        ("<span>x<textarea>y</textarea></span>", "x\ny"),
+        ("<select><optgroup label=G><option>a<option>b</select>", "G\na\nb"),
+        ("<svg><title/><rect/><text>one</text><text>two</text></svg>after", "one\ntwo\nafter"),
+        ("f: <math><mi>x</mi><mo>=</mo><mn>1</mn></math>", "f: x=1"),
+        ("<object data=x>instead</object>", "instead"),
+        ('<p title=a">one</p><p title=b">two</p>', "one\n\ntwo"),
+        ("<p title='a>b' id=\"c>d\">one</p><p a'hidden'>two</p>", "one\n\ntwo"),
+        ("<a href=x><div>in a link</div></a><!-->shown", "in a link\nshown"),
     ],
 )
 def test_html(page, want):
