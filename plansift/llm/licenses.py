@@ -2,8 +2,8 @@
 
 Every template (a licence sentence, or a short phrase) lists its words by position. How rare a licence
 word is comes from the corpus: one pass counts, over all documents, how many hold each word of the
-templates' vocabulary. For a file, its highest-IDF licence words are looked up in the templates'
-postings; each hit votes for the place where the template would begin (position in the file less
+templates' vocabulary. For a file, the words it holds of each template, the highest in IDF first and so many a template (so that one
+licence takes nothing from another), are looked up in the templates' postings; each hit votes for the place where the template would begin (position in the file less
 position in the template). A place whose votes weigh enough is verified: the template's mandatory
 key phrases must stand where the template has them, give or take a few words.
 Phrases of one kind, the base ones, are found at every place: their rarest word is looked up wherever
@@ -111,12 +111,13 @@ class Index:
         return (len(ws), len(starts), min(s for s, _ in starts) if starts else None, max(s for s, _ in starts) if starts else None, ",".join(sorted(base)), ",".join(sorted(found)), score)
 
     def _templates(self, ws: list[bytes], where: dict[bytes, list[int]]) -> tuple[set[str], float]:
-        chosen = sorted(where, key=lambda w: (-self.idf[w], w))[: self.rare]
         votes: dict[tuple[int, int], float] = defaultdict(float)
-        whole = [0.0] * len(self.labels)
-        for w in chosen:
+        left = [self.rare] * len(self.labels)
+        for w in sorted(where, key=lambda w: (-self.idf[w], w)):
             for t, p in self.postings.get(w, ()):
-                whole[t] += self.idf[w]
+                if not left[t]:
+                    continue
+                left[t] -= 1
                 for i in where[w]:
                     votes[t, i - p] += self.idf[w]
         found, best = set(), 0.0

@@ -96,6 +96,13 @@ def test_licenses(docs, none, spark):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(none).count() == 0
 
 
+def test_several_licenses_in_one_file():
+    names = ["mit", "bsd", "isc", "mit-name", "mpl-2.0", "unlicense", "warranty-disclaimer", "gpl-3.0"]
+    text = " filler ".join(licenses.TEMPLATES[n].replace("*", "") for n in names)
+    index = licenses._flat({w: 3.0 + len(w) / 10 for w in licenses._vocabulary()})
+    assert set(names) <= set(index.scan(text)[5].split(",")) and index.scan(text)[6] == 1.0
+
+
 RULES = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
