@@ -4,12 +4,11 @@ A text's tokens are its runs of characters other than white space, lower-cased,
 row have a hash; a run of K tokens is a closed syncmer if the least of its inner hashes is its first
 or its last. Whether a run is chosen thus depends on the run alone, so that equal passages give equal
 anchors wherever they stand. An anchor is the run's hash and the place of its first token. The
-fingerprint holds the SIZE anchors of least hash (each hash once, at its first place), which is a
-uniform sample of the distinct anchors: all of them in a shorter text. The likeness of two
-fingerprints is the share of common hashes among the SIZE least of their union, an unbiased estimate
-of the Jaccard likeness of the anchor sets.
+fingerprint holds all anchors, each hash once, at its first place. The likeness of two
+fingerprints is the Jaccard likeness of their sets of hashes.
 
-A text of fewer than K tokens has its code points as tokens; one of fewer than K code points is one anchor.
+A text of fewer than K tokens has its code points as tokens; one of fewer than K code points is one anchor, and so is
+one of which no run is chosen.
 Nulls count as empty texts; blank texts have no anchors and an empty fingerprint. Two empty
 fingerprints are alike by 1, an empty one and another by 0.
 """
@@ -19,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-K, S, TOKEN, SIZE = 5, 2, 16, 128
+K, S, TOKEN = 5, 2, 16
 
 #: An anchor is one long: HASH bits of hash above PLACE bits of place (later places count as the last).
 HASH, PLACE = 40, 22
@@ -52,7 +51,8 @@ def _anchors(hashes: Column) -> Column:
 
     whole = F.array(F.shiftleft(_hash(F.concat_ws(",", h_text(hashes))), PLACE))
     none = F.array().cast("array<long>")
-    return F.sort_array(F.when(F.size(hashes) >= K, runs(hashes)).when(F.size(hashes) > 0, whole).otherwise(none))
+    found = _let(F.when(F.size(hashes) >= K, runs(hashes)).otherwise(none), lambda r: F.when((F.size(r) > 0) | (F.size(hashes) == 0), r).otherwise(whole))
+    return F.sort_array(found)
 
 
 def h_text(hashes: Column) -> Column:
@@ -60,15 +60,14 @@ def h_text(hashes: Column) -> Column:
 
 
 def sketch(text: Column) -> Column:
-    """array<long>: the anchors of least hash, in order."""
+    """array<long>: the anchors in order of hash."""
     low = F.lower(text)
     tokens = F.regexp_extract_all(low, F.lit(rf"\S{{1,{TOKEN}}}"), F.lit(0))
     letters = F.regexp_extract_all(low, F.lit(r"\S"), F.lit(0))
     hashes = _let(tokens, lambda t: F.transform(F.when(F.size(t) >= K, t).otherwise(letters), lambda w: F.xxhash64(w)))
 
     def once(anchors: Column) -> Column:
-        new = F.filter(anchors, lambda a, i: (i == 0) | (F.shiftright(a, PLACE) != F.shiftright(F.get(anchors, i - 1), PLACE)))
-        return F.slice(new, 1, SIZE)
+        return F.filter(anchors, lambda a, i: (i == 0) | (F.shiftright(a, PLACE) != F.shiftright(F.get(anchors, i - 1), PLACE)))
 
     return _let(_let(hashes, _anchors), once)
 
@@ -83,7 +82,8 @@ def likeness(a: Column, b: Column) -> Column:
     """Of two sketches, 0 to 1."""
     bare = lambda x: F.transform(x, lambda v: F.shiftright(v, PLACE))
     pair = F.struct(bare(a).alias("a"), bare(b).alias("b"))
-    share = _let(pair, lambda p: _let(F.slice(F.sort_array(F.array_union(p["a"], p["b"])), 1, SIZE), lambda u: F.size(F.array_intersect(u, F.array_intersect(p["a"], p["b"]))) / F.size(u)))
+    # each holds a hash once
+    share = _let(pair, lambda p: _let(F.size(F.array_intersect(p["a"], p["b"])), lambda both: both / (F.size(p["a"]) + F.size(p["b"]) - both)))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(share)
 
 

@@ -103,6 +103,21 @@ def test_several_licenses_in_one_file():
     assert set(names) <= set(index.scan(text)[5].split(",")) and index.scan(text)[6] == 1.0
 
 
+def test_fingerprints_of_short_and_long_texts(spark):
+    short = [prose(100 * n + k, n) for n in (5, 6) for k in range(1, 40)] + ["abcde", "ghijkl", "m nopqrs"]
+    long = [f"w{k}" for k in range(20_000)]
+    other = list(long)
+    other[9000:9040] = [f"v{k}" for k in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*short, " ".join(long), " ".join(other)])], "i int, t string")
+    got = {r.i: r.x for r in df.select("i", fingerprints.sketch(F.col("t")).alias("x")).collect()}
+    assert all(got.values())
+    texts = {}
+    for i, t in enumerate(short):
+        assert texts.setdefault(tuple(got[i]), t) == t
+    a, b = ({v >> fingerprints.PLACE for v in got[len(short) + k]} for k in (0, 1))
+    assert len(a) > 5000 and 5 < len(a - b) < 60 and 5 < len(b - a) < 60
+
+
 RULES = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
