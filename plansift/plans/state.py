@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -10,13 +9,13 @@ from pyspark.sql import functions as F
 
 from plansift.operators import state
 from plansift.plans.base import joined, query, table
+from plansift.sources.shared import shared_base
 from plansift.streaming import sessions
 
 
 def _folder(spark) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir where that is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="plansift-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share."""
+    return f"{shared_base(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("""
