@@ -1,8 +1,7 @@
-"""What the corpus operators share: table access, the shared folder, Arrow helpers."""
+"""What the corpus operators share: table access, intermediate tables in the shared folder, Arrow helpers."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plansift.sources.shared import shared_base
+
+SLICE, BYTES, SENT = 512, 4 << 20, 500_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The given columns (all, if none) of a table under sf_dir; sf_dir may be any path Spark reads."""
@@ -18,32 +21,47 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share.
+    """A new folder under spark.checkpoint.dir, which driver and executors share."""
+    return f"{shared_base(spark)}/plansift-{uuid.uuid4().hex}"
 
-    Only where the session names none (as in tests, in one process) a temporary folder is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else None
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="plansift-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/plansift-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, with its lineage cut."""
+
+def cut(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
+    """df, computed once and kept in the shared folder, with its lineage cut. The folder's name is added to scratch, for discard()."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, scratch: list[str]) -> None:
+    """Deletes the folders of cut() that nothing reads any more."""
+    for name in scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    scratch.clear()
+
+
+def small(df: DataFrame, rows: int = SENT) -> DataFrame:
+    """A table that was cut(), marked to be sent to all tasks if it holds at most that many rows (of a few numbers each); else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def slices(batch: pa.RecordBatch | pa.Array) -> Iterator:
+    """Parts of at most SLICE rows and, but for single rows, BYTES bytes, so that few rows at a time stand in memory as Python values."""
+    n = len(batch)
+    if n <= 1 or n <= SLICE and batch.nbytes <= BYTES:
+        yield batch
+    else:
+        yield from slices(batch.slice(0, n // 2))
+        yield from slices(batch.slice(n // 2))
+
+
 def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
-    """Run fn over each partition's rows as tuples, through Arrow batches of bounded size.
+    """Run fn over each partition's rows as tuples, a slice of an Arrow batch at a time.
 
-    fn gets an iterator of lists of tuples (one list a batch) and yields lists of tuples.
+    fn gets an iterator of lists of tuples (one list a slice) and yields lists of tuples.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -53,8 +71,8 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterator[tuple]], sc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in batches:
-                if b.num_rows:
-                    yield list(zip(*(c.to_pylist() for c in b.columns)))
+                for part in slices(b) if b.num_rows else ():
+                    yield list(zip(*(c.to_pylist() for c in part.columns)))
 
         for out in fn(rows()):
             if out:

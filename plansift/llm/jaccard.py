@@ -34,9 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plansift.llm.common import cut, map_rows, text_or_empty
+from plansift.llm.common import cut, discard, map_rows, small, text_or_empty
 
-WIDTH, RATIO, COMMON, GROUP, PIVOTS, SMALL, BLOCK, WHOLE, SENT = 5, 1.6, 0.2, 1_000_000, 3, 8, 512, 8192, 500_000
+WIDTH, RATIO, COMMON, GROUP, FLUSH, PIVOTS, SMALL, BLOCK, WHOLE = 5, 1.6, 0.2, 1_000_000, 750_000, 3, 8, 512, 8192
 
 _U = np.uint64
 _MULTIPLIERS = [_U(int.from_bytes(xxhash.xxh64_digest(f"place {k}".encode()), "big") | 1) for k in range(64)]
@@ -52,7 +52,7 @@ class _Words(dict):
     """word -> its hash; begins anew when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -223,7 +223,7 @@ def _packed(df: DataFrame, text_col: str, groups: int) -> DataFrame:
                 k = class_of(s)
                 if k in seen:
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(k)
                 spares, mine = [0, 65535], []
@@ -238,7 +238,7 @@ def _packed(df: DataFrame, text_col: str, groups: int) -> DataFrame:
                 sigs.append(sig)
                 owner.append(len(sig))
                 held += len(sig)
-                if held >= 1_500_000:
+                if held >= FLUSH:
                     yield flush()
         yield flush()
 
@@ -277,17 +277,17 @@ def _buckets(pdf):
     return out[["bucket", "class", "n", "size", "free", "below", "spare"]]
 
 
-def _shared(df: DataFrame, text_col: str, tokens: int) -> DataFrame:
+def _shared(df: DataFrame, text_col: str, tokens: int, scratch: list[str]) -> DataFrame:
     """The buckets' rows (bucket, class, n, below, asks) that can still hold a link; asks: whether the class must look there."""
     from pyspark.sql import Window
 
     groups = max(1, math.ceil(0.65 * tokens / GROUP))
-    rows = cut(_packed(df, text_col, groups).groupBy("p").applyInPandas(_buckets, _BUCKETS))
+    rows = cut(_packed(df, text_col, groups).groupBy("p").applyInPandas(_buckets, _BUCKETS), scratch)
     costly = Window.partitionBy("class", "below", "free").orderBy(F.desc("size"), "bucket")
     asks = ~F.col("free") | (F.row_number().over(costly) > F.col("spare"))
     rows = rows.withColumn("asks", asks).drop("free", "spare", "size")
-    live = rows.groupBy("bucket").agg(F.max("asks").alias("any")).filter("any").select("bucket")
-    return cut(rows.join(live, "bucket"))
+    live = cut(rows.groupBy("bucket").agg(F.max("asks").alias("any")).filter("any").select("bucket"), scratch)
+    return cut(rows.join(small(live), "bucket"), scratch)
 
 
 def _tested(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -383,26 +383,33 @@ def _blocked(rows: DataFrame, held: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): the least node reachable by links (a, b). Each turn every node goes to its least neighbour and on to where that goes; links are then drawn anew between the places, so that they soon get few."""
-    edges = cut(links.select("a", "b").filter("a <> b").distinct())
+    spark, scratch = links.sparkSession, []
+    edges = cut(links.select("a", "b").filter("a <> b").distinct(), scratch)
     names: DataFrame | None = None
     while True:
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("to")))
-        up = cut(both.groupBy("node").agg(F.least("node", F.min("to")).alias("comp")))
-        step = cut(up.join(up.toDF("comp", "far"), "comp").select("node", F.col("far").alias("comp")))
+        up = cut(both.groupBy("node").agg(F.least("node", F.min("to")).alias("comp")), scratch)
+        step = cut(up.join(up.toDF("comp", "far"), "comp").select("node", F.col("far").alias("comp")), scratch)
         if names is None:
             names = step
         else:
-            names = cut(names.join(step.toDF("comp", "far"), "comp", "left").select("node", F.coalesce("far", "comp").alias("comp")))
+            names = cut(names.join(step.toDF("comp", "far"), "comp", "left").select("node", F.coalesce("far", "comp").alias("comp")), scratch)
+        kept = scratch.pop()  # of names
         drawn = edges.join(step.toDF("a", "x"), "a").join(step.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        edges = cut(drawn.filter("a <> b").distinct())
+        edges = cut(drawn.filter("a <> b").distinct(), scratch)
+        last = scratch.pop()  # of edges
+        discard(spark, scratch)
+        scratch += [last, kept]
         if edges.isEmpty():
+            scratch.remove(kept)
+            discard(spark, scratch)
             return names
 
 
 def _linked(df: DataFrame, members: DataFrame, tokens: int, id_col: str, text_col: str) -> DataFrame | None:
     """(node, comp) of the classes that link with another."""
-    spark = df.sparkSession
-    shared = _shared(df, text_col, tokens)
+    spark, scratch = df.sparkSession, []
+    shared = _shared(df, text_col, tokens, scratch)
     wanted = shared.select("class").distinct()
     # a class's set comes from a row of it, found by id (0 for null) and text, so that null ids and several texts of one id do too
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_hash").alias("_text"))
@@ -415,7 +422,7 @@ def _linked(df: DataFrame, members: DataFrame, tokens: int, id_col: str, text_co
             out = []
             for k, text in rows:
                 if k not in sent and class_of(s := shingler.set_of(text)) == k:
-                    if len(sent) > 1_000_000:
+                    if len(sent) > 200_000:
                         sent.clear()
                     sent.add(k)
                     out.append((k, s.tobytes()))
@@ -423,11 +430,9 @@ def _linked(df: DataFrame, members: DataFrame, tokens: int, id_col: str, text_co
 
     id, text = F.col(id_col).cast("long"), text_or_empty(text_col)
     texts = df.select(id.isNull().alias("none"), F.coalesce(id, F.lit(0)).alias("_id"), F.xxhash64(text).alias("_text"), text.alias("text"))
-    # of four values a row at most SENT are sent to all tasks; more of them are shuffled with the texts
-    one = cut(one)
-    one = F.broadcast(one) if one.count() <= SENT else one
+    one = small(cut(one, scratch))
     held = map_rows(texts.join(one, ["none", "_id", "_text"]).select("class", "text"), run, "class long, set binary").dropDuplicates(["class"])
-    held = cut(held)
+    held = cut(held, scratch)
     comp: DataFrame | None = None
     tested: DataFrame | None = None
 
@@ -438,17 +443,17 @@ def _linked(df: DataFrame, members: DataFrame, tokens: int, id_col: str, text_co
         return shared.join(known, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
 
     for turn in range(PIVOTS + 1):
-        rows = cut(labelled())
+        rows = cut(labelled(), scratch)
         # in the first turn a class is likely to be the pivot of all its buckets, so that a group of near copies takes one test a member;
         # later on each bucket has a pivot of its own, so that who is left is tested against many
         chance = F.xxhash64("class", F.lit(turn)) if turn == 0 else F.xxhash64("class", "bucket", F.lit(turn))
         live = rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("k"), F.max_by(F.struct("class", "comp"), chance).alias("pivot")).filter("low <> high")
         # what lies in one component, or was tested whole as it holds two classes, is done with
-        live = cut((live if turn == 0 else live.filter("k > 2")).select("bucket", "k", "pivot"))
+        live = cut((live if turn == 0 else live.filter("k > 2")).select("bucket", "k", "pivot"), scratch)
         left, most = live.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2), F.sum("k")).first()
         if left is None:
             break
-        mine = cut(rows.join(live, "bucket"))
+        mine = cut(rows.join(small(live), "bucket"), scratch)
         shared = mine.select("bucket", "class", "n", "below", "asks")
         last = turn == PIVOTS or left <= 2 * most
         if last:
@@ -463,11 +468,11 @@ def _linked(df: DataFrame, members: DataFrame, tokens: int, id_col: str, text_co
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        result = cut(_tested(pairs, held))
+        result = cut(_tested(pairs, held), scratch)
         tested = result.select("a", "b") if tested is None else tested.unionByName(result.select("a", "b"))
         links = result.filter("linked").select("a", "b")
         if last:
-            links = cut(links.unionByName(blocks))
+            links = cut(links.unionByName(blocks), scratch)
         if not links.isEmpty():
             if comp is None:
                 comp = components(links)
@@ -481,6 +486,8 @@ def _linked(df: DataFrame, members: DataFrame, tokens: int, id_col: str, text_co
                 comp = cut(old.unionByName(alone))
         if last:
             break
+    # comp's own folder, and those of comps before it, which plans may still read, stay
+    discard(spark, scratch)
     return comp
 
 

@@ -21,12 +21,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plansift.llm.common import map_rows, text_or_empty
+from plansift.llm.common import map_rows, slices, text_or_empty
 
 SAMPLE, ATOMS, SURE, EPOCHS, RATE, REACH = 1200, 24, 0.9, 6, 0.3, 64
 KINDS = ("email", "ip", "card", "phone")
@@ -283,16 +285,18 @@ def train(df: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> dict[s
     """Weights from a bounded sample of the regions of all documents; the regions are short."""
 
     def run(batches):
+        least: list[tuple] = []
         for rows in batches:
-            out = []
+            out = set(least)
             for (text,) in rows:
                 for a, b in regions(text):
                     if b - a <= 200:
                         lo = max(0, a - 24)
                         piece = text[lo : b + 1]
-                        out.append((xxhash.xxh64_intdigest(piece.encode("utf-8", "surrogatepass")) >> 1, piece, a - lo, b - lo))
-            # of one batch no more than the sample can be chosen
-            yield sorted(set(out))[:sample]
+                        out.add((xxhash.xxh64_intdigest(piece.encode("utf-8", "surrogatepass")) >> 1, piece, a - lo, b - lo))
+            # of one partition no more than the sample can be chosen
+            least = sorted(out)[:sample]
+        yield least
 
     found = map_rows(df.select(text_or_empty(text_col).alias("text")), run, "h long, piece string, a int, b int")
     chosen = found.distinct().orderBy("h", "piece").limit(sample).collect()
@@ -324,21 +328,21 @@ def redact(df: DataFrame, weights: dict[str, float] | None = None, text_col: str
     """df with every span of its text replaced by its kind in brackets, as [EMAIL]; a null text stays null."""
     w = train(df, text_col) if weights is None else weights
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        def one(text):
-            if text is None:
-                return None
-            parts, at = [], 0
-            for a, b, k in sorted((a, b, k) for k, a, b in spans(text, w)[1]):
-                if b <= at:
-                    continue
-                if a >= at:
-                    parts += [text[at:a], f"[{KINDS[k].upper()}]"]
-                at = b
-            return "".join(parts) + text[at:] if parts else text
+    def one(text):
+        if text is None:
+            return None
+        parts, at = [], 0
+        for a, b, k in sorted((a, b, k) for k, a, b in spans(text, w)[1]):
+            if b <= at:
+                continue
+            if a >= at:
+                parts += [text[at:a], f"[{KINDS[k].upper()}]"]
+            at = b
+        return "".join(parts) + text[at:] if parts else text
 
-        return texts.map(one)
+    @F.arrow_udf("string")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for t in texts:
+            yield pa.concat_arrays([pa.array([one(x) for x in part.to_pylist()], pa.string()) for part in slices(t)])
 
-    clean.func.__annotations__ = {}
     return df.withColumn(text_col, clean(F.col(text_col).cast("string")))

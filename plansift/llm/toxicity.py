@@ -16,12 +16,14 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plansift.llm.common import map_rows, text_or_empty
+from plansift.llm.common import map_rows, slices, text_or_empty
 
 BITS, ROWS, EPOCHS, COMMON = 20, 20_000, 5, 0.1
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2.0, 1.0
@@ -34,7 +36,7 @@ class _Hashes(dict):
     """word -> its hash; begins anew when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = zlib.crc32(word)
         return h
@@ -59,25 +61,28 @@ class Features:
         return np.unique(self.all(text))
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], prior: np.ndarray, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> np.ndarray:
-    """Weights after one pass over (features, label) rows; the last weight is the bias. prior: the weights to start from."""
-    z = np.zeros(len(prior))
-    n = np.full(len(prior), 1e-12)
-    held = prior != 0
-    z[held] = -prior[held] * (beta / alpha + l2) - np.sign(prior[held]) * l1
-    bias = len(prior) - 1
-    for x, y in rows:
-        x = np.append(x, bias)
-        zx, nx = z[x], n[x]
-        w = np.where(np.abs(zx) <= l1, 0.0, -(zx - np.sign(zx) * l1) / ((beta + np.sqrt(nx)) / alpha + l2))
-        w[-1] = -zx[-1] / ((beta + math.sqrt(nx[-1])) / alpha)
-        p = 1 / (1 + math.exp(-max(-35.0, min(35.0, w.sum()))))
-        g = p - y
-        z[x] = zx + g - (np.sqrt(nx + g * g) - np.sqrt(nx)) / alpha * w
-        n[x] = nx + g * g
-    w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
-    w[bias] = -z[bias] / ((beta + math.sqrt(n[bias])) / alpha)
-    return w
+class Ftrl:
+    """FTRL-proximal logistic regression: z and n of each coordinate, the last of which is the bias; they live as long as the learner does."""
+
+    def __init__(self, size: int, odds: float = 0.0, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2):
+        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+        self.z, self.n = np.zeros(size + 1), np.zeros(size + 1)
+        self.z[size] = -odds * beta / alpha  # so that the bias begins at these log odds
+
+    def weights(self, at: np.ndarray) -> np.ndarray:
+        """The weights of coordinates; the bias, which has no penalty, must come last."""
+        z, rate = self.z[at], (self.beta + np.sqrt(self.n[at])) / self.alpha
+        w = np.where(np.abs(z) <= self.l1, 0.0, -(z - np.sign(z) * self.l1) / (rate + self.l2))
+        w[-1] = -z[-1] / rate[-1]
+        return w
+
+    def learn(self, x: np.ndarray, y: int) -> None:
+        """One row: its distinct features and its label."""
+        x = np.append(x, len(self.z) - 1)
+        w, n = self.weights(x), self.n[x]
+        g = 1 / (1 + math.exp(-max(-35.0, min(35.0, w.sum())))) - y
+        self.z[x] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
+        self.n[x] = n + g * g
 
 
 def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = ROWS, epochs: int = EPOCHS, bits: int = BITS, common: float = COMMON) -> tuple[np.ndarray, np.ndarray, float]:
@@ -101,47 +106,63 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, id_col
         for got in batches:
             yield [(k, held.value[k], features.distinct(t).astype(np.int32).tobytes()) for k, t in got if k in held.value and t is not None]
 
-    def learn(pdf):
-        import pandas as pd
-
-        pdf = pdf.assign(h=[zlib.crc32(f"order {k}".encode()) for k in pdf.id]).sort_values(["h", "id", "x"])
-        pdf = pdf.drop_duplicates("id")
-        x = [np.frombuffer(b, np.int32) for b in pdf.x]
-        count, clean = np.zeros(1 << bits, np.int32), int((pdf.y == 0).sum())
-        for f, y in zip(x, pdf.y):
-            count[f] += 1 - y
+    def learn(batches):
+        # flat: the rows' features one after another, so that what a task holds is their 4 bytes each
+        found: list[tuple[int, int, int, int, bytes]] = []
+        for b in batches:
+            for k, y, x in zip(*(c.to_pylist() for c in b.columns)):
+                found.append((zlib.crc32(f"order {k}".encode()), k, y, x))
+        found.sort()
+        found = [r for r, before in zip(found, [None, *found]) if before is None or r[1] != before[1]]
+        size = 1 << bits
+        count, clean = np.zeros(size, np.int32), sum(y == 0 for _, _, y, _ in found)
+        for _, _, y, x in found:
+            if y == 0:
+                count[np.frombuffer(x, np.int32)] += 1
         use = count <= max(1.0, common * clean)
-        x = [f[use[f]].astype(np.int64) for f in x]
-        w = np.zeros((1 << bits) + 1)
-        w[-1] = odds
+        rows = []
+        while found:  # the features left take the place of all
+            _, _, y, x = found.pop()
+            x = np.frombuffer(x, np.int32)
+            rows.append((x[use[x]], y))
+        rows.reverse()
+        model = Ftrl(size, odds)
         for _ in range(epochs):
-            w = ftrl(list(zip(x, pdf.y)), w)
+            for x, y in rows:
+                model.learn(x, y)
+        w = model.weights(np.arange(size + 1))
         at = np.flatnonzero(w)
-        return pd.DataFrame({"feature": at, "weight": w[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at], pa.float64())], ["feature", "weight"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_t"))
     sample = map_rows(texts, select, "id long, y int, x binary")
-    got = sample.groupBy(F.lit(0).alias("one")).applyInPandas(learn, "feature long, weight double").toPandas()
+    got = sample.repartition(1).mapInArrow(learn, "feature long, weight double").toPandas()  # at most `rows` rows meet in this task
     bias = got.feature == 1 << bits
     return got.feature[~bias].to_numpy(np.int64), got.weight[~bias].to_numpy(float), float(got.weight[bias].sum()) if len(got) else odds
 
 
+class _Scorer:
+    """Scores of texts by a model."""
+
+    def __init__(self, model: tuple[np.ndarray, np.ndarray, float], bits: int):
+        at, w, self.bias = model
+        self.weights, self.features = np.zeros(1 << bits, np.float32), Features(bits)
+        self.weights[at] = w
+
+    def __call__(self, text: str) -> float:
+        x = self.features.all(text)
+        x = np.unique(x[self.weights[x] != 0])
+        return 1 / (1 + math.exp(-max(-35.0, min(35.0, self.bias + float(self.weights[x].sum(dtype=float))))))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """doc_id, score of every whole text."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        at, w, bias = held.value
-        weights = np.zeros(1 << bits)
-        weights[at] = w
-        features = Features(bits)
+        scorer = _Scorer(held.value, bits)
         for rows in batches:
-            out = []
-            for k, t in rows:
-                x = features.all(t)
-                x = np.unique(x[weights[x] != 0])
-                out.append((k, 1 / (1 + math.exp(-max(-35.0, min(35.0, bias + float(weights[x].sum())))))))
-            yield out
+            yield [(k, scorer(t)) for k, t in rows]
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return map_rows(rows, run, "doc_id long, score double")
@@ -150,21 +171,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
 def keep_clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", cut: float = CUT, bits: int = BITS) -> DataFrame:
     """The rows of docs, with all their columns, that score below cut."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    kept: dict = {}
-
-    @F.pandas_udf("double")
-    def scored(texts):
-        if not kept:
-            at, w, bias = held.value
-            kept["w"] = np.zeros(1 << bits)
-            kept["w"][at] = w
-            kept["bias"], kept["f"] = bias, Features(bits)
-        w, out = kept["w"], []
+
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = _Scorer(held.value, bits)
         for t in texts:
-            x = kept["f"].all(t)
-            x = np.unique(x[w[x] != 0])
-            out.append(1 / (1 + math.exp(-max(-35.0, min(35.0, kept["bias"] + float(w[x].sum()))))))
-        return texts.__class__(out, dtype=float)
+            yield pa.array([scorer(x) for part in slices(t) for x in part.to_pylist()], pa.float64())
 
     return docs.filter(scored(text_or_empty(text_col)) < cut)
 
