@@ -1,20 +1,21 @@
 """BPE encoding and decoding by tree concatenation.
 
-A text is first cut at ASCII white space, which no token of a white-space-dropping vocabulary spans.
-A piece that is still long ("unsplit") is halved again and again; all leaves are encoded in one
-batch call, which runs them in parallel; each pair of neighbours is then joined: a window around the
-join is encoded anew and grows until its tokens agree with the left side's and with the right side's
-over GUARD tokens in a row. A sequence of BPE tokens is the encoding of its text if every adjacent
-pair is, and agreement on common tokens makes every adjacent pair one that a single encoding made.
-Short pieces recur, so each worker keeps their encodings in a table of bounded size.
-
-Nulls count as empty texts; an empty or blank text has no tokens; repeated rows give repeated rows.
+A text is halved by code points again and again, wherever the middle falls, until no part is longer than
+LEAF bytes; the words of all leaves are encoded together, and going up the tree the encodings of
+neighbours are joined. No token of a vocabulary that drops white space spans ASCII white space, so where some
+stands at a join both sides agree as they are. Where a join cuts a word, the window around it grows to the white space on both
+sides and is encoded anew. If no white space comes within LEAF bytes (unsplit text), the window grows in steps until its
+tokens agree with the left side's and with the right side's over GUARD tokens in a row: a sequence of BPE tokens is the
+encoding of its text if every adjacent pair is, and agreement on common tokens makes every adjacent pair
+one that a single encoding made. Words recur, so each worker keeps their encodings in a table of bounded size.
+
+Decoding goes from ids alone. Nulls count as empty texts; an empty or blank text has no tokens; repeated rows give repeated
+rows; a text is held whole, with its words, in the task that encodes it. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from plansift.llm.common import map_rows, text_or_empty
 
-LEAF, WINDOW, GUARD, KEPT = 2048, 64, 4, 350_000
+LEAF, WINDOW, GUARD, KEPT = 512, 64, 4, 150_000
 
 #: Plain letters (ASCII and Latin-1), then full stops or commas.
 SIMPLE = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,]{0,8})")
@@ -32,6 +33,15 @@ _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: b for b in _VISIBLE} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
 
 
+class _Run:
+    """A long run without white space whose tokens are known with their places: (id, first, end)."""
+
+    __slots__ = ("text", "tokens")
+
+    def __init__(self, text: str, tokens: list[tuple[int, int, int]]):
+        self.text, self.tokens = text, tokens
+
+
 class TreeEncoder:
     """Encodes texts exactly as the library would encode them whole."""
 
@@ -41,17 +51,13 @@ class TreeEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.leaf, self.window, self.guard, self.kept = leaf, window, guard, kept
-        self.names: dict[int, str] = {}
-        # encodings of short pieces: the newest, and those before them
-        self.pieces: dict[bytes, tuple[str, str]] = {}
-        self.older: dict[bytes, tuple[str, str]] = {}
-        self.marks: dict[bytes, tuple[str, str]] = {}
-
-    def name(self, i: int) -> str:
-        if i not in self.names:
-            self.names[i] = self.tokenizer.id_to_token(i)
-        return self.names[i]
+        self.leaf, self.window, self.guard, self.kept = max(16, leaf), window, guard, kept  # so that no leaf is empty
+        # decimal ids of words, joined by spaces: the newest, and those before them
+        self.words: dict[bytes, str] = {}
+        self.older: dict[bytes, str] = {}
+        self.marks: dict[bytes, str] = {}
+        #: How often neighbours were joined: with white space between them, within a word, within unsplit text.
+        self.joins = [0, 0, 0]
 
     def _spans(self, texts: list[str], starts: list[int]) -> list[list[tuple[int, int, int]]]:
         """(id, first, end) of each text's tokens, in code points of the whole piece."""
@@ -72,21 +78,59 @@ class TreeEncoder:
             found[k].append(i)
         return found
 
-    def tree(self, text: str) -> list[int]:
-        """Ids of a long unsplit text."""
-        cuts = [0]
-        while len(text) - cuts[-1] > self.leaf:
-            c = cuts[-1] + self.leaf
-            while c < len(text) and unicodedata.category(text[c])[0] == "M":
+    def tree(self, data: bytes) -> list[bytes | _Run]:
+        """The words and long runs of a text, in order; those words' encodings are known then."""
+        depth = max(0, (len(data) - 1).bit_length() - (self.leaf - 1).bit_length())
+        while len(data) > self.leaf << depth:
+            depth += 1
+        cuts = []
+        for k in range((1 << depth) + 1):
+            c = len(data) * k >> depth
+            while c < len(data) and data[c] & 0xC0 == 0x80:  # within a code point
                 c += 1
             cuts.append(c)
-        cuts = [c for c in cuts if c < len(text)] + [len(text)]
-        parts = self._spans([text[a:b] for a, b in zip(cuts, cuts[1:])], cuts[:-1])
-        nodes = [(a, b, p) for a, b, p in zip(cuts, cuts[1:], parts)]
+        # leaves: words, and whether the first and the last touch the leaf's edge
+        nodes = [((p := data[a:b]).split(), p[:1].strip() != b"", p[-1:].strip() != b"") for a, b in zip(cuts, cuts[1:])]
+        self._learn({w for n in nodes for w in n[0]})
         while len(nodes) > 1:
-            joined = [self._join(text, nodes[i], nodes[i + 1]) for i in range(0, len(nodes) - 1, 2)]
-            nodes = joined + nodes[len(joined) * 2 :]
-        return [i for i, _, _ in nodes[0][2]]
+            cut = []
+            for left, right in zip(nodes[::2], nodes[1::2]):
+                if not (left[2] and right[1]):
+                    self.joins[0] += 1
+                elif isinstance(left[0][-1], bytes) and isinstance(right[0][0], bytes) and len(left[0][-1]) + len(right[0][0]) <= self.leaf:
+                    self.joins[1] += 1
+                    cut.append(left[0][-1] + right[0][0])
+                else:
+                    self.joins[2] += 1
+            self._learn(set(cut))
+            nodes = [self._concatenated(left, right) for left, right in zip(nodes[::2], nodes[1::2])]
+        return nodes[0][0]
+
+    def _concatenated(self, left, right):
+        (words, first, end), (more, begin, last) = left, right
+        if not words or not more:
+            return (words or more), bool(words) and first, bool(more) and last  # a side without words is white space
+        if not (end and begin):
+            return words + more, first, last
+        a, b = words.pop(), more[0]
+        if isinstance(a, bytes) and isinstance(b, bytes) and len(a) + len(b) <= self.leaf:
+            whole = a + b
+        else:
+            whole = self._joined(*map(self._run, (a, b)))
+        words.append(whole)
+        words += more[1:]
+        return words, first, last
+
+    def _run(self, word: bytes | _Run) -> _Run:
+        if isinstance(word, _Run):
+            return word
+        text = word.decode()
+        return _Run(text, self._spans([text], [0])[0])
+
+    def _joined(self, left: _Run, right: _Run) -> _Run:
+        mid, text = len(left.text), left.text + right.text
+        after = [(i, a + mid, b + mid) for i, a, b in right.tokens]
+        return _Run(text, self._join(text, (0, mid, left.tokens), (mid, len(text), after))[2])
 
     def _join(self, text: str, left, right):
         (a, mid, before), (_, b, after) = left, right
@@ -126,71 +170,89 @@ class TreeEncoder:
                 return k + 1, j + 1
         return None
 
-    def _piece(self, piece: bytes) -> tuple[str, str] | None:
-        """The encoding of a piece, if it is plain letters with full stops or commas after them; else None.
+    def _plain(self, word: bytes) -> str | None:
+        """The encoding of a word, if it is plain letters with full stops or commas after them; else None.
 
         Such letters are NFC already and their lower case doesn't depend on neighbours, so the model alone can be asked.
         """
-        if not (m := SIMPLE.fullmatch(piece)):
+        if not (m := SIMPLE.fullmatch(word)):
             return None
-        word, marks = m[1].decode().lower().encode(), m[2]
-        got = self.pieces.get(word) or self.older.get(word)
+        letters, marks = m[1].decode().lower().encode(), m[2]
+        got = self.words.get(letters) or self.older.get(letters)
         if not got:
-            tokens = self.tokenizer.model.tokenize(word.decode("latin-1").translate(BYTE_LETTERS))
-            got = " ".join([str(t.id) for t in tokens]), " ".join([t.value for t in tokens])
-            self.pieces[word] = got
+            got = " ".join([str(t.id) for t in self.tokenizer.model.tokenize(letters.decode("latin-1").translate(BYTE_LETTERS))])
+            self.words[letters] = got
         if marks:
             if marks not in self.marks:
-                ids = self.tokenizer.encode(marks.decode(), add_special_tokens=False).ids
-                self.marks[marks] = (" ".join(map(str, ids)), " ".join(map(self.name, ids)))
-            end = self.marks[marks]
-            got = f"{got[0]} {end[0]}", f"{got[1]} {end[1]}"
+                self.marks[marks] = " ".join(map(str, self.tokenizer.encode(marks.decode(), add_special_tokens=False).ids))
+            got = f"{got} {self.marks[marks]}"
         return got
 
-    def encode(self, text: str) -> tuple[str, str]:
-        """(decimal ids joined by a space, the decoded text)."""
-        words = text.encode("utf-8", "surrogatepass").split()
-        known = self.pieces
-        odd, long = [], []
-        for w in set(words).difference(known):
-            if (got := self.older.get(w)) or len(w) <= self.leaf and (got := self._piece(w)):
-                known[w] = got
+    def _learn(self, words: set[bytes]) -> None:
+        """Puts the encodings of words into the table, of those that need the whole library in one call."""
+        known, odd = self.words, []
+        for w in words.difference(known):
+            got = self.older.get(w)
+            if got is None:
+                got = self._plain(w)
+            if got is None:
+                odd.append(w)
             else:
-                (odd if len(w) <= self.leaf else long).append(w)
-        for w, ids in zip(odd + long, self._together([w.decode() for w in odd]) + [self.tree(w.decode()) for w in long]):
-            known[w] = (" ".join(map(str, ids)), " ".join(map(self.name, ids)))
-        got = [known[w] for w in words]
-        out = " ".join([i for i, _ in got if i]), " ".join([t for i, t in got if i])
-        for w in long:
-            del known[w]
+                known[w] = got
+        for w, ids in zip(odd, self._together([w.decode() for w in odd])):
+            known[w] = " ".join(map(str, ids))
+
+    def encode(self, text: str) -> str:
+        """Decimal ids joined by a space."""
+        words = self.tree(text.encode("utf-8", "surrogatepass"))
+        known = self.words
+        ids = " ".join([x for x in [known[w] if w.__class__ is bytes else " ".join([str(i) for i, _, _ in w.tokens]) for w in words] if x])
         if len(known) > self.kept:
-            self.older, self.pieces = known, {}
+            self.older, self.words = known, {}
             if len(self.marks) > 1000:
                 self.marks.clear()
-        return out
+        return ids
+
+
+class Decoder:
+    """Decodes ids as the library does, with special tokens kept."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        names = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
+        self.names = {str(i): name for name, i in names.items()}
+
+    def decode(self, ids: str) -> str:
+        """Of decimal ids joined by a space; ids that the vocabulary lacks are left out, as the library does."""
+        if not ids:
+            return ""
+        found = map(self.names.get, ids.split(" "))
+        return " ".join([x for x in found if x is not None])
 
 
-def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
-    """doc_id, n_tokens, ids_text (decimal ids joined by one space), decoded: the whole text's tokens.
+def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, **sizes) -> DataFrame:
+    """doc_id, n_tokens, ids_text (decimal ids joined by one space): the whole text's tokens; with decoded, what these ids decode to as well.
 
     The tokenizer's file must be at tokenizer_path on every executor.
     """
 
     def run(batches) -> Iterator[list[tuple]]:
         enc = TreeEncoder(tokenizer_path, **sizes)
+        back = Decoder(tokenizer_path) if decoded else None
         for rows in batches:
             out, held = [], 0
             for k, text in rows:
-                ids, decoded = enc.encode(text)
-                out.append((k, ids.count(" ") + 1 if ids else 0, ids, decoded))
-                held += len(ids) + len(decoded)
-                if held > 16_000_000:
+                ids = enc.encode(text)
+                out.append((k, ids.count(" ") + 1 if ids else 0, ids, *((back.decode(ids),) if back else ())))
+                held += 2 * len(ids)
+                if held > 8_000_000:
                     yield out
                     out, held = [], 0
             yield out
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return map_rows(rows, run, "doc_id long, n_tokens long, ids_text string, decoded string")
+    return map_rows(rows, run, f"doc_id long, n_tokens long, ids_text string{', decoded string' if decoded else ''}")
 
 
 def ids(encoded: DataFrame) -> DataFrame:
@@ -202,9 +264,9 @@ def decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col:
     """doc_id, decoded: what the library's decode(ids, skip_special_tokens=False) gives; a null array gives ''."""
 
     def run(batches) -> Iterator[list[tuple]]:
-        enc = TreeEncoder(tokenizer_path)
+        back = Decoder(tokenizer_path)
         for rows in batches:
-            yield [(k, " ".join(n for n in map(enc.name, i or []) if n is not None)) for k, i in rows]
+            yield [(k, back.decode(i)) for k, i in rows]
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    return map_rows(rows, run, "doc_id long, decoded string")
+    text = F.coalesce(F.array_join(F.col(ids_col).cast("array<string>"), " "), F.lit(""))
+    return map_rows(df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("ids")), run, "doc_id long, decoded string")

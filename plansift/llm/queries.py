@@ -53,7 +53,7 @@ def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
+    got = bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), decoded=True)
     return got.select("doc_id", "n_tokens", F.sha2(F.col("ids_text").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

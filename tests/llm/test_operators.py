@@ -454,13 +454,24 @@ def test_bpe_is_the_librarys(docs, none, spark):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
-    tree = bpe.TreeEncoder(path, leaf=40, window=8, kept=50)
+    tree, back = bpe.TreeEncoder(path, leaf=40, window=8, kept=50), bpe.Decoder(path)
     r = random.Random(1)
     for k in range(1500):
         a = "".join(r.sample(ALPHABETS, r.randint(1, 4)))
         t = "".join(r.choice(a) for _ in range(r.randint(0, 400))) if k % 3 else "".join(r.choice(ALPHABETS) for _ in range(r.randint(0, 40)))
         e = whole.encode(t, add_special_tokens=False)
-        assert tree.encode(t) == (" ".join(map(str, e.ids)), whole.decode(e.ids, skip_special_tokens=False))
+        ids = tree.encode(t)
+        assert ids == " ".join(map(str, e.ids))
+        assert back.decode(ids) == whole.decode(e.ids, skip_special_tokens=False)
+    assert min(tree.joins) > 500
+    for t in (f"{'a' * 30}{' ' * 90}b", f"{' ' * 90}b c", f"b{' ' * 41}", " " * 200, f"é{'  é' * 60}"):
+        assert tree.encode(t) == " ".join(map(str, whole.encode(t, add_special_tokens=False).ids))
+    assert back.decode("999999999") == whole.decode([999999999])
+    # the given documents come through the tree
+    tree = bpe.TreeEncoder(path)
+    for row in table(spark, "/root/testdata/sf0.001", "documents", "text").collect():
+        assert tree.encode(row.text) == " ".join(map(str, whole.encode(row.text, add_special_tokens=False).ids))
+    assert tree.joins[0] > 100 and tree.joins[1] > 500
     got = bpe.ids(bpe.encode(docs, path)).collect()
     for row, (_, t) in zip(sorted(got, key=lambda x: (repr(x.doc_id), x.n_tokens)), sorted(pairs(docs), key=lambda p: (repr(p[0]), len(whole.encode(p[1], add_special_tokens=False).ids)))):
         assert row.ids == whole.encode(t, add_special_tokens=False).ids
