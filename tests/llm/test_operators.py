@@ -98,11 +98,33 @@ def test_licenses(docs, none, spark):
 
 def test_several_licenses_in_one_file():
     names = ["mit", "bsd", "isc", "mit-name", "mpl-2.0", "unlicense", "warranty-disclaimer", "gpl-3.0"]
-    text = " filler ".join(licenses.TEMPLATES[n].replace("*", "") for n in names)
-    index = licenses._flat({w: 3.0 + len(w) / 10 for w in licenses._vocabulary()})
+    first = {k: t.replace("*", "") for k, t in reversed(licenses.TEMPLATES)}
+    text = " filler ".join(first[n] for n in names)
+    index = licenses.Index({w: 3.0 + len(w) / 10 for w in licenses._vocabulary()})
     assert set(names) <= set(index.scan(text)[5].split(",")) and index.scan(text)[6] == 1.0
 
 
+def test_whole_licenses_with_words_lost_and_put_in():
+    index = licenses.Index({w: 1.0 + len(w) for w in licenses._vocabulary()})
+    r = random.Random(3)
+    for label, template in licenses.TEMPLATES:
+        keys = {i for part in index.key[licenses.TEMPLATES.index((label, template))] for i in range(part[0], part[0] + len(part[1]))}
+        listed = template.replace("*", "").split()
+        assert label in index.scan("x " * 50 + " ".join(listed) + " y" * 50)[5].split(",")
+        if len(listed) > 60:
+            damaged = []
+            for i, w in enumerate(listed):
+                if i in keys or r.random() > 0.08:
+                    damaged.append(w)
+                if i not in keys and r.random() < 0.08:
+                    damaged.append("inserted")
+            got = index.scan("Copyright (c) " + " ".join(damaged))
+            assert label in got[5].split(",") and got[6] > 0.5, label
+    shuffled = [w for _, t in licenses.TEMPLATES for w in t.replace("*", "").split()]
+    r.shuffle(shuffled)
+    assert not {"mit", "isc", "apache-2.0", "zlib"} & set(index.scan(" ".join(shuffled))[5].split(","))
+
+
 def test_fingerprints_of_short_and_long_texts(spark):
     short = [prose(100 * n + k, n) for n in (5, 6) for k in range(1, 40)] + ["abcde", "ghijkl", "m nopqrs"]
     long = [f"w{k}" for k in range(20_000)]
@@ -403,12 +425,129 @@ def test_linking_sets_share_a_signature_that_the_larger_asks_for(n, seed):
         ('<p title=a">one</p><p title=b">two</p>', "one\n\ntwo"),
         ("<p title='a>b' id=\"c>d\">one</p><p a'hidden'>two</p>", "one\n\ntwo"),
         ("<a href=x><div>in a link</div></a><!-->shown", "in a link\nshown"),
+        ("x<div><p>a</p></div>b", "x\n\na\n\nb"),
+        ("<table><tr><th colspan=2>wide head<th>c<tr><td>a<td>bb<td>ccc</table>", "wide head | c\na | bb | ccc"),
+        ("<table><tr><td rowspan=2>ab<td>c<tr><td>d<tr><td>e<td>f</table>", "ab | c\n   | d\ne  | f"),
+        ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a | b\n  | c\n  | d"),
+        ("<b>" * 3000 + "deep" + "</b>" * 3000, "deep"),
+        ("<div>" * 3000 + "deep" + "<p>x" * 10, "deep" + "\n\nx" * 10),
     ],
 )
 def test_html(page, want):
     assert html.render(page) == want
 
 
+class Node:
+    """An element of a made-up page, which is written as HTML and, with nothing of html.py, as text."""
+
+    def __init__(self, r, depth=0, within=""):
+        inner = ["p", "div", "h2", "ul", "ol", "blockquote", "b", "span", "i", "br", "text", "text", "text", "gone"]
+        if within in ("p", "h2"):
+            inner = ["b", "span", "i", "br", "text", "text", "gone"]
+        self.name = "li" if within in ("ul", "ol") else r.choice(inner) if depth < 5 else "text"
+        if within in ("b", "span", "i", "gone") and self.name not in ("b", "span", "i", "br", "gone"):
+            self.name = "text"
+        self.said = r.choice(["one", " two ", "a &amp; b", "&lt;x&gt;", "\n three  four\n", "é"])
+        self.kids = [] if self.name in ("br", "text") else [Node(r, depth + 1, self.name) for _ in range(r.randint(0, 4))]
+        self.ended = r.random() < 0.5
+
+    def html(self):
+        if self.name == "text":
+            return self.said
+        if self.name == "br":
+            return "<br>"
+        inner = "".join(k.html() for k in self.kids)
+        if self.name == "gone":
+            return f"<span style='display:none'>{inner}</span>"
+        # the end of an item may be implied
+        return f"<{self.name}>{inner}" + ("" if self.name == "li" and not self.ended else f"</{self.name}>")
+
+    def parts(self, in_item=False):
+        """Strings of text, None for a line's end, and (breaks) 1 or 2: a new line, a blank one."""
+        if self.name == "gone":
+            return []
+        if self.name == "text":
+            return [entities_of(self.said)]
+        if self.name == "br":
+            return [None]
+        inner, number = [], 0
+        for k in self.kids:
+            if k.name == "li":
+                body = laid_out(k.parts_within(True))
+                lead, trail = edges(k.parts_within(True))
+                if body:
+                    number += 1
+                    mark = f"{number}. " if self.name == "ol" else "- "
+                    first, *rest = body.split("\n")
+                    body = "\n".join([(mark + first).rstrip(), *(" " * len(mark) + x if x else "" for x in rest)])
+                    inner += [max(1, lead), [body], max(1, trail)]
+                else:
+                    number += 1
+                    inner += [max(1, lead, trail)]
+            else:
+                inner += k.parts(in_item)
+        if self.name in ("b", "span", "i"):
+            return inner
+        level = 2 if self.name in ("p", "h2", "blockquote") or self.name in ("ul", "ol") and not in_item else 1
+        if self.name == "blockquote":
+            body = laid_out(inner)
+            lead, trail = edges(inner)
+            return [2, [("\n".join(("> " + x).rstrip() for x in body.split("\n")))], 2] if body else [2]
+        return [level, *inner, level]
+
+    def parts_within(self, in_item):
+        return [p for k in self.kids for p in k.parts(in_item)]
+
+
+def entities_of(s):
+    return s.replace("&lt;", "<").replace("&gt;", ">").replace("&amp;", "&")
+
+
+def runs_of(parts):
+    """Lines, as text, with the breaks before each; the breaks after the last."""
+    out, line, due = [], "", 0
+
+    def end():
+        nonlocal line, due
+        if s := " ".join(line.split()):
+            out.append((due, s))
+            due = 1
+        line = ""
+
+    for p in parts:
+        if isinstance(p, str):
+            line += p
+        elif p is None:
+            end()
+        elif isinstance(p, list):
+            end()
+            out.append((due, p[0]))
+            due = 1
+        else:
+            end()
+            due = max(due, p)
+    end()
+    return out, due
+
+
+def laid_out(parts):
+    lines, _ = runs_of(parts)
+    return "".join(("" if k == 0 else "\n\n" if due == 2 else "\n") + s for k, (due, s) in enumerate(lines))
+
+
+def edges(parts):
+    lines, due = runs_of(parts)
+    return (lines[0][0], due) if lines else (due, due)
+
+
+@pytest.mark.parametrize("seed", range(400))
+def test_html_against_another_renderer(seed):
+    r = random.Random(seed)
+    nodes = [Node(r) for _ in range(r.randint(1, 5))]
+    page = "".join(n.html() for n in nodes)
+    assert html.render(page) == laid_out([p for n in nodes for p in n.parts()]), page
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/pabletrduli =\"'&;!-x\n", max_size=120))
 def test_html_never_fails(page):
