@@ -1,18 +1,17 @@
 """WARC archives of pages, and the global index of their captures by external merge.
 
-write() turns pages into WARC 1.1 records and has Spark's text sink write them: a record's header and
-payload are one row, and the line separator CR LF CR LF is what ends a WARC record; so the archives lie
-wherever Spark can write; each is one gzip stream, and offsets count in what it holds. Equal payloads of REVISIT bytes or more are kept once, in the record of the
-largest page_id; the others are revisit records that refer to it. read() takes the archives back by
-their Content-Length headers; an archive holds at most RECORDS records, which bounds what a task holds.
+write() turns pages into WARC 1.1 records, each a gzip member of its own, and has Spark's text sink write their bytes; between members stands an
+empty one, as the sink must put something between lines. So the archives lie wherever Spark can write, and a record can be read from its offset and length alone. An archive holds
+records of one input split, RECORDS and about BYTES at most. Equal payloads of REVISIT bytes or more are kept once, in the record of the
+largest page_id; the others are revisit records that refer to it. read() takes the archives back by their members and Content-Length headers.
 
 index() gives the captures in global order of URL key, timestamp and page: each archive yields a
-locally sorted run; the key space is dealt out in ranges; where the pieces of the runs meet, a
-loser tree merges them. merge() itself is a generator, so it needs one row of each run at a time.
+locally sorted run, all of which are written; their rows are counted and dealt to ranges of about RANGE rows; in each range a
+loser tree merges the runs' pieces, a few hundred rows of each run at a time as values.
 
 Nulls: a null html is an empty payload, a null url an empty one; a null page_id is written as "null"
 and read back as null, and is below any other. Rows of equal page_id and payload are equally
-'response' where that page_id is the largest.
+'response' where that page_id is the largest. An empty table gives no captures. A page is held whole in a task, an archive compressed.
 """
 
 from __future__ import annotations
@@ -21,28 +20,51 @@ import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from plansift.llm.common import map_rows, shared_dir
+from plansift.llm.common import SENT, cut, map_rows, shared_dir, slices
 
-REVISIT, RECORDS, EPOCH = 1000, 1000, 1_600_000_000
+REVISIT, RECORDS, BYTES, RANGE, SALTS, EPOCH = 1000, 1000, 64 << 20, 200_000, 32, 1_600_000_000
 END = "\r\n\r\n"
 
+#: A gzip member of no bytes (RFC 1952).
+EMPTY = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, payload, digest, n_bytes, refers_to (null for responses) of every page.
 
-    Only digests that recur are joined back, and they are pre-aggregated before the shuffle.
-    """
+def _rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
         F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"),
         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("payload"),
-    ).withColumns({"digest": F.sha1(F.col("payload").cast("binary")), "n_bytes": F.octet_length("payload").cast("long")})
-    keys = rows.filter(F.col("n_bytes") >= REVISIT).groupBy(F.col("digest").alias("same"))
-    largest = keys.agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).filter("n > 1 and original is not null").drop("n")
-    joined = rows.join(largest, F.col("digest") == F.col("same"), "left")
+    )
+    return rows.withColumns({"digest": F.sha1(F.col("payload").cast("binary")), "n_bytes": F.octet_length("payload").cast("long")})
+
+
+def _digests(rows: DataFrame) -> DataFrame:
+    """same, original, n, n_bytes of each digest that may be revisited, and of all other rows together (same is null). Ids alone meet here, no payloads."""
+    same = F.when(F.col("n_bytes") >= REVISIT, F.col("digest")).alias("same")
+    return cut(rows.select(same, "page_id", "n_bytes").groupBy("same").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("n_bytes")))
+
+
+def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", digests: DataFrame | None = None) -> DataFrame:
+    """page_id, url, payload, digest, n_bytes, refers_to (null for responses) of every page.
+
+    The digests that recur are sent to all tasks if they are SENT at most, so that no payload moves; more of them are joined to the pages that can be revisits by digest and
+    salt, so that a hot payload is spread over SALTS tasks.
+    """
+    rows = _rows(pages, id_col, url_col, html_col)
+    digests = _digests(rows) if digests is None else digests
+    recur = digests.filter("same is not null and n > 1 and original is not null").select("same", "original")
+    if recur.count() <= SENT:
+        joined = rows.join(F.broadcast(recur), (F.col("digest") == F.col("same")) & (F.col("n_bytes") >= REVISIT), "left")
+    else:
+        large = rows.filter(F.col("n_bytes") >= REVISIT).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+        spread = recur.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = large.join(spread, (F.col("digest") == F.col("same")) & (F.col("salt") == F.col("_salt")), "left").drop("salt", "_salt")
+        joined = joined.unionByName(rows.filter(F.col("n_bytes") < REVISIT), allowMissingColumns=True)
     return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("original")), F.col("original"))).drop("same", "original")
 
 
@@ -69,29 +91,66 @@ def record_text(captured: Column) -> Column:
     return F.concat(head, http, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
 
 
-def write(pages: DataFrame, path: str, per_archive: int = RECORDS, **columns) -> None:
+@F.arrow_udf(BinaryType())
+def _member(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Each text and a record's ending as a gzip member."""
+    import gzip
+
+    for t in texts:
+        yield pa.concat_arrays([pa.array([gzip.compress((x + END).encode("utf-8", "surrogatepass"), 6, mtime=0) for x in part.to_pylist()], pa.binary()) for part in slices(t)])
+
+
+def write(pages: DataFrame, path: str, per_archive: int = RECORDS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Archives of the pages under path; each page's capture is dated EPOCH plus its page_id in seconds."""
+    digests = _digests(_rows(pages, id_col, url_col, html_col))
+    n, size = digests.agg(F.sum("n"), F.sum("n_bytes")).first()
+    if n:
+        per_archive = max(1, min(per_archive, BYTES * n // max(1, size)))
     captured = F.lit(EPOCH) + F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(1_000_000_000))
-    rows = records(pages, **columns).select(record_text(captured).alias("value"))
-    rows.write.option("lineSep", END).option("maxRecordsPerFile", per_archive).option("compression", "gzip").text(path)
+    rows = records(pages, id_col, url_col, html_col, digests).select(record_text(captured).alias("value"))
+    # a cast of bytes to a string keeps them as they are, and the sink writes a string's bytes
+    members = rows.select(_member("value").cast("string").alias("value"))
+    members.write.option("lineSep", EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", per_archive).text(path)
+
+
+def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of each gzip member with content."""
+    import zlib
+
+    at, step = 0, 1 << 16
+    while at < len(data):
+        member, parts, end = zlib.decompressobj(31), [], at
+        while not member.eof:
+            if end >= len(data):
+                raise ValueError(f"gzip member at offset {at} is cut off")
+            parts.append(member.decompress(data[end : end + step]))
+            end += step
+        end = min(end, len(data)) - len(member.unused_data)
+        if content := b"".join(parts):
+            yield at, end - at, content
+        at = end
+
+
+def record(member: bytes) -> tuple[dict[str, str], bytes]:
+    """(headers in small letters, block) of the record in a gzip member, that is of the bytes at a capture's offset and length."""
+    import gzip
+
+    return parse(gzip.decompress(member))
 
 
 HEADER = re.compile(rb"([A-Za-z-]+): ?([^\r]*)\r\n")
 
 
-def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, headers in small letters, block) of each record of an archive."""
-    at = 0
-    while at < len(data):
-        body = data.index(b"\r\n\r\n", at) + 4
-        if not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at offset {at}")
-        has = {k.decode().lower(): v.decode("utf-8", "replace") for k, v in HEADER.findall(data, data.index(b"\r\n", at) + 2, body - 2)}
-        end = body + int(has["content-length"])
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at offset {at} is cut off")
-        yield at, end - at, has, data[body:end]
-        at = end + 4
+def parse(data: bytes) -> tuple[dict[str, str], bytes]:
+    """(headers in small letters, block) of one record with its ending."""
+    if not data.startswith(b"WARC/"):
+        raise ValueError("no WARC record")
+    body = data.index(b"\r\n\r\n") + 4
+    has = {k.decode().lower(): v.decode("utf-8", "replace") for k, v in HEADER.findall(data, data.index(b"\r\n") + 2, body - 2)}
+    end = body + int(has["content-length"])
+    if data[end:] != b"\r\n\r\n":
+        raise ValueError("record is cut off, or goes on")
+    return has, data[body:end]
 
 
 def url_key(url: str) -> str:
@@ -117,14 +176,14 @@ CAPTURE = "url_key string, captured string, page_id long, archive string, offset
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One capture a record, each archive's in order of URL key, time and page: a sorted run. Payload digests are computed anew and held against the header."""
-    import gzip
     import hashlib
 
     def run(batches):
         for rows in batches:
             for name, data in rows:
                 out = []
-                for offset, length, has, block in parse(gzip.decompress(data) if name.endswith(".gz") else data):
+                for offset, length, content in members(data):
+                    has, block = parse(content)
                     http, _, payload = block.partition(b"\r\n\r\n")
                     n = int(re.search(rb"X-Payload-Length: (\d+)", http)[1])
                     digest = has["warc-payload-digest"].removeprefix("sha1:")
@@ -175,32 +234,41 @@ def merge(runs: list[Iterator[tuple]], key=_order) -> Iterator[tuple]:
             k //= 2
 
 
-def index(captures: DataFrame, ranges: int | None = None) -> DataFrame:
+def index(captures: DataFrame, rows_a_range: int = RANGE) -> DataFrame:
     """All captures; a partition holds a range of URL key, time and page, in order, later partitions later ranges.
 
-    A hot URL or host doesn't fill a range, as time and page are part of the ranges' bounds.
+    A hot URL or host doesn't fill a range, as time and page are part of the ranges' bounds. captures: as read() gives them; they should be
+    written, as they are counted, sampled and dealt.
     """
     keys = ["url_key", "captured", F.col("page_id").asc_nulls_first()]
-    n = ranges or max(1, int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-    def run(batches):
-        runs: dict[str, list[tuple]] = {}
-        for rows in batches:
-            for r in rows:
-                runs.setdefault(r[3], []).append(r)
-        # what one task of the map side sent of a run is in order; fetched blocks of other tasks hold other runs
-        for name, r in runs.items():
-            if any(_order(a) > _order(b) for a, b in zip(r, r[1:])):
-                runs[name] = sorted(r, key=_order)
-        out = []
-        for row in merge([runs[k] for k in sorted(runs)]):
+    ranges = max(1, -(-captures.count() // rows_a_range))
+
+    def rows_of(pieces: list[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in pieces:
+            for low in range(0, b.num_rows, 256):
+                yield from zip(*(c.to_pylist() for c in b.slice(low, 256).columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs: dict[str, list[pa.RecordBatch]] = {}
+        schema = None
+        for b in batches:
+            schema = b.schema
+            names, low = b.column(3).to_pylist(), 0
+            for high in range(1, b.num_rows + 1):
+                if high == b.num_rows or names[high] != names[low]:
+                    runs.setdefault(names[low], []).append(b.slice(low, high - low))
+                    low = high
+        out: list[tuple] = []
+        for row in merge([rows_of(runs[name]) for name in sorted(runs)]):
             out.append(row)
-            if len(out) == 5000:
-                yield out
+            if len(out) == 2000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
                 out = []
-        yield out
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return map_rows(captures.repartitionByRange(n, *keys), run, CAPTURE)
+    # within a range Spark puts each run's rows together and in order again, as they come from many map tasks
+    return captures.repartitionByRange(ranges, *keys).sortWithinPartitions("archive", *keys, "offset").mapInArrow(run, CAPTURE)
 
 
 def archive(pages: DataFrame, path: str | None = None, **columns) -> DataFrame:
@@ -208,4 +276,4 @@ def archive(pages: DataFrame, path: str | None = None, **columns) -> DataFrame:
     spark = pages.sparkSession
     path = path or shared_dir(spark)
     write(pages, path, **columns)
-    return index(read(spark, path))
+    return index(cut(read(spark, path)))
