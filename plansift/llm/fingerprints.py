@@ -88,9 +88,24 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def aligned(a: Column, b: Column) -> Column:
-    """Of the hashes two sketches share, the part that stands at the same place; 0 if they share none."""
-    bare = lambda x: F.transform(x, lambda v: F.shiftright(v, PLACE))
-    return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_intersect(bare(a), bare(b))), F.lit(0)), F.lit(0.0))
+    """Of neighbours among the anchors two sketches share, the part that stands equally far apart in both, so that what is inserted or lost costs one gap; 1 for one shared anchor, 0 for none."""
+    mask, tag = F.lit((1 << PLACE) - 1), 1 << PLACE
+    # both in one order of hash, a's before b's: a shared hash stands twice in a row
+    tagged = lambda x, t: F.transform(x, lambda v: F.shiftleft(F.shiftright(v, PLACE), PLACE + 1) + v.bitwiseAND(mask) + t)
+
+    def shifts(m: Column) -> Column:
+        """place in a and shift to b, of each shared hash, in order of place."""
+        pair = F.filter(F.sequence(F.lit(0), F.size(m) - 2), lambda i: F.shiftright(F.get(m, i), PLACE + 1) == F.shiftright(F.get(m, i + 1), PLACE + 1))
+        at = lambda i: F.get(m, i).bitwiseAND(mask)
+        return F.sort_array(F.transform(pair, lambda i: F.shiftleft(at(i), PLACE + 1) + at(i + 1) - at(i) + tag))
+
+    def steady(s: Column) -> Column:
+        shift = lambda i: F.get(s, i).bitwiseAND(F.lit((tag << 1) - 1))
+        same = F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda i: shift(i) == shift(i - 1))
+        return F.when(F.size(s) == 0, 0.0).when(F.size(s) == 1, 1.0).otherwise(F.size(same) / (F.size(s) - 1))
+
+    merged = F.sort_array(F.concat(tagged(a, 0), tagged(b, tag)))
+    return _let(merged, lambda m: F.when(F.size(m) < 2, 0.0).otherwise(_let(shifts(m), steady)))
 
 
 def _bounds(df: DataFrame, id_col: str, per_bucket: int, most: int) -> list[int]:
