@@ -33,3 +33,8 @@ def coordinate(c: Column, limit: float) -> Column:
     """A latitude (limit 90) or longitude (180) from text or number; null if out of range or no number."""
     v = c.try_cast("double")
     return F.when(v.between(-limit, limit), v)
+
+
+def coordinate_key(lat: Column, lng: Column, decimals: int) -> Column:
+    """Coordinates as part of a cache key."""
+    return F.format_string(f"%.{decimals}f,%.{decimals}f", lat, lng)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# How amounts are written (with the sign, right of a dash, and bare).
 AMOUNT = r"₹\s?([0-9][0-9,]*(?:\.[0-9]+)?)"
 RIGHT_SIDE = r"[–—\-]\s*(\d[\d,]*(?:\.\d+)?)\b"
 BARE = r"\b(\d{1,3}(?:,\d{3})+|\d+)\b"
@@ -31,23 +32,28 @@ def _first(c: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(c, "(?i)" + pattern, group), F.lit("")).cast("int")
 
 
+# How trips are described.
+DAYS, NIGHTS, ROOMS = r"\b(\d+)\s*-?\s*days?\b", r"\b(\d+)\s*-?\s*nights?\b", r"\b(\d+)\s*-?\s*rooms?\b"
+GROUP = r"\b(?:family\s+of|group\s+of)\s*(\d+)\b|\b(?:for|of|with)\s*(\d+)\s*(?:people|persons|adults|members|pax)\b"
+PARTY = r"\b(\d+)\s*(?:people|persons|adults|members)\b"
+ONE_WAY, ROUND_TRIP = r"(?i)\bone\s*-?\s*way\b|\boneway\b", r"(?i)\bround\s*-?\s*trip\b|\bto\s+and\s+fro\b|\bto-and-fro\b"
+NO_STAY = r"(?i)\b(?:without|no|skip|exclude|not\s+tak(?:ing|e))\s+(?:a\s+|an\s+)?(?:hotel|stay|room|accommodation)\b"
+
+
 def trip_params(c: Column) -> dict[str, Column]:
     """days, nights, persons, rooms, roundtrip, oneway, stay_excluded of a question; what isn't said is null."""
     text = F.coalesce(c, F.lit(""))
-    days = _first(text, r"\b(\d+)\s*-?\s*days?\b")
-    nights = _first(text, r"\b(\d+)\s*-?\s*nights?\b")
-    named = r"\b(?:family\s+of|group\s+of)\s*(\d+)\b|\b(?:for|of|with)\s*(\d+)\s*(?:people|persons|adults|members|pax)\b"
-    persons = F.coalesce(_first(text, named, 1), _first(text, named, 2), _first(text, r"\b(\d+)\s*(?:people|persons|adults|members)\b"))
-    oneway = text.rlike(r"(?i)\bone\s*-?\s*way\b|\boneway\b")
+    days, nights, rooms = _first(text, DAYS), _first(text, NIGHTS), _first(text, ROOMS)
+    oneway = text.rlike(ONE_WAY)
     return {
         "days": days,
-        "nights": F.coalesce(nights, F.greatest(days - 1, F.lit(0))),
+        "nights": F.coalesce(nights, F.when(days.isNotNull(), F.greatest(days - 1, F.lit(0)))),
         "nights_from_days": nights.isNull() & days.isNotNull(),
-        "persons": persons,
-        "rooms": F.when(_first(text, r"\b(\d+)\s*-?\s*rooms?\b").isNotNull(), F.greatest(_first(text, r"\b(\d+)\s*-?\s*rooms?\b"), F.lit(1))),
-        "roundtrip": text.rlike(r"(?i)\bround\s*-?\s*trip\b|\bto\s+and\s+fro\b|\bto-and-fro\b") & ~oneway,
+        "persons": F.coalesce(_first(text, GROUP, 1), _first(text, GROUP, 2), _first(text, PARTY)),
+        "rooms": F.when(rooms.isNotNull(), F.greatest(rooms, F.lit(1))),
+        "roundtrip": text.rlike(ROUND_TRIP) & ~oneway,
         "oneway": oneway,
-        "stay_excluded": text.rlike(r"(?i)\b(?:without|no|skip|exclude|not\s+tak(?:ing|e))\s+(?:a\s+|an\s+)?(?:hotel|stay|room|accommodation)\b"),
+        "stay_excluded": text.rlike(NO_STAY),
     }
 
 

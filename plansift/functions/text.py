@@ -12,6 +12,7 @@ STOPWORDS = (
     "meals temple temples nearby available place"
 ).split()
 
+# Patterns of citation markers and of numbers that aren't glued to words.
 CITATION = r"\s*:contentReference\[[^\]]*\]\{[^}]*\}"
 NUMBER = r"(?<![\w.])-?\d+(?:\.\d+)?(?![\w.])"
 #: Letters, marks, digits and underscores, joined by hyphens and apostrophes.
@@ -77,5 +78,16 @@ def strip_marks(c: Column) -> Column:
 
 
 def first_filled(*columns: Column) -> Column:
-    """The first that is neither null nor an empty string."""
-    return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
+    """The first that isn't null, an empty string, array or map (all of one type; 0 and false count as filled). An array or map column must come through filled()."""
+    return F.coalesce(*[F.when(c.cast("string") != "", c) for c in columns])
+
+
+def filled(c: Column) -> Column:
+    """An array or map, null if it is empty."""
+    return F.when(F.size(c) > 0, c)
+
+
+def cache_key(prefix: str, kind: Column, *parts: Column) -> Column:
+    """prefix, kind and parts (trimmed, in small letters, blanks as underscores), joined by colons."""
+    one = lambda p: F.replace(F.lower(F.trim(p.cast("string"))), F.lit(" "), F.lit("_"))
+    return F.concat(F.lit(prefix), kind, F.lit(":"), F.concat_ws(":", *map(one, parts)))

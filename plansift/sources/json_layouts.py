@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-HOTEL = "hotel_id string, hotel_name string, hotel_type string, address string, about string, price_range string, temple_id string, amenities array<string>, contact_numbers array<string>, booking_links map<string,string>, ratings struct<platform string, rating string>"
+from plansift.functions import text
+
+HOTEL = "hotel_id string, hotel_name string, hotel_type string, address string, about string, price_range string, temple_id string, amenities array<string>, contact_numbers array<string>, booking_links map<string,string>, ratings struct<platform string, rating string>, check_in_time string, check_out_time string, google_map_link string, official_website string"
 
 
 def read_hotel_files(spark: SparkSession, path: str) -> DataFrame:
@@ -19,13 +21,16 @@ def hotels(files: DataFrame) -> DataFrame:
     """files (temple_id, associated_temple, hotels, source_file) -> one row a hotel with a name."""
     rows = files.select("temple_id", "associated_temple", "source_file", F.posexplode("hotels").alias("pos", "h"))
     name = F.trim(F.coalesce("h.hotel_name", F.lit("")))
+    said = lambda c: F.trim(F.coalesce(c, F.lit("")))
     few = lambda c, n: F.slice(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")), 1, n)
     return rows.filter(name != "").select(
         "source_file", "pos", name.alias("name"), F.coalesce(F.nullif("h.temple_id", F.lit("")), "temple_id", F.lit("")).alias("temple_id"),
         F.trim(F.coalesce("associated_temple", F.lit(""))).alias("temple_name"), F.trim(F.coalesce("h.address", F.lit(""))).alias("address"), F.trim(F.coalesce("h.price_range", F.lit(""))).alias("price_range"),
         F.map_filter(F.coalesce("h.booking_links", F.create_map().cast("map<string,string>")), lambda k, v: v.startswith("http")).alias("booking_links"),
         few(F.col("h.amenities"), 8).alias("amenities"), few(F.col("h.contact_numbers"), 3).alias("phones"),
-    )
+        said("h.hotel_type").alias("hotel_type"), said("h.ratings.rating").alias("rating"), said("h.ratings.platform").alias("rating_platform"), said("h.check_in_time").alias("check_in"), said("h.check_out_time").alias("check_out"),
+        said("h.google_map_link").alias("map_link"), said("h.official_website").alias("website"), text.clean(F.col("h.about")).alias("about"),
+    ).withColumns({"place_tokens": text.tokens(F.concat_ws(" ", "temple_name", "address")), "name_tokens": text.tokens(F.col("name"))})
 
 
 def unwrapped(v: Column, path: str, kind: str) -> Column:
@@ -44,32 +49,39 @@ def as_array(v: Column, path: str, kind: str) -> Column:
 
 
 def restaurants(texts: DataFrame, text_col: str = "value") -> DataFrame:
-    """One record a restaurant document, whichever layout it has: name, address, distance_km, vegetarian, rating, cuisines (6 at most)."""
+    """One record a named restaurant document, whichever layout it has; what a layout doesn't say is '' or null."""
     rows = texts.withColumn("v", F.try_parse_json(text_col))
     v = F.col("v")
     at = lambda kind, *paths: F.coalesce(*[unwrapped(v, p, kind) for p in paths])
+    filled = lambda *paths: F.coalesce(*[F.nullif(F.trim(unwrapped(v, p, "string")), F.lit("")) for p in paths])
+    said = lambda *paths: F.coalesce(filled(*paths), F.lit(""))
     cuisine = F.coalesce(as_array(v, "$.basicInformation.cuisineType", "string"), as_array(v, "$.cuisine.types", "string"), as_array(v, "$.cuisine", "string"), F.array().cast("array<string>"))
-    distance = at("double", "$.travelInformation.distanceFromTempleKm", "$.distanceFromTemple.drivingDistance", "$.distanceFromTemple.walkingDistance", "$.distance_km")
+    cuisine = F.filter(F.transform(cuisine, lambda c: F.trim(c)), lambda c: c.isNotNull() & (c != ""))
+    distance = at("double", "$.travelInformation.distanceFromTempleKm", "$.distanceFromTemple.walkingDistance", "$.distanceFromTemple.drivingDistance", "$.distance_km")
+    opening, closing, days = (filled(f"$.workingHours.{k}") for k in ("openingTime", "closingTime", "workingDays"))
+    hours = F.concat(opening, F.lit(" - "), closing, F.coalesce(F.concat(F.lit(" ("), days, F.lit(")")), F.lit("")))
     return rows.select(
-        *[c for c in texts.columns if c != text_col], at("string", "$.restaurantName", "$.name").alias("name"), at("string", "$.location.fullAddress", "$.location.address", "$.address").alias("address"),
-        F.round(distance, 2).alias("distance_km"), at("boolean", "$.dietaryInformation.pureVegetarian", "$.foodType.pureVeg", "$.dietaryInformation.vegetarian", "$.foodType.vegetarian").alias("vegetarian"),
-        at("double", "$.customerInformation.googleRating", "$.businessInformation.rating").alias("rating"), F.slice(cuisine, 1, 6).alias("cuisines"),
-        F.concat(at("string", "$.workingHours.openingTime"), F.lit("–"), at("string", "$.workingHours.closingTime")).alias("hours"),
-        (~F.contains(F.lower(F.coalesce(at("string", "$.businessStatus", "$.metadata.status"), F.lit(""))), F.lit("closed"))).alias("open"),
-    ).filter(F.col("name").isNotNull())
+        *[c for c in texts.columns if c != text_col], filled("$.restaurantName", "$.name").alias("name"), said("$.associatedTemple.templeId").alias("temple_id"), said("$.associatedTemple.templeName").alias("temple_name"),
+        said("$.location.city").alias("city"), said("$.location.fullAddress", "$.location.address", "$.location.landmark", "$.address").alias("address"), F.round(distance, 2).alias("distance_km"),
+        at("boolean", "$.dietaryInformation.vegetarian", "$.foodType.vegetarian").alias("vegetarian"), at("boolean", "$.dietaryInformation.pureVegetarian", "$.foodType.pureVeg").alias("pure_veg"),
+        at("double", "$.customerInformation.googleRating", "$.businessInformation.rating").alias("rating"), at("long", "$.customerInformation.totalReviews", "$.businessInformation.reviewCount").alias("reviews"),
+        said("$.priceInformation.priceCategory", "$.businessInformation.priceRange").alias("price_category"), at("string", "$.priceInformation.averageCostForOne").alias("cost_for_one"), at("string", "$.priceInformation.averageCostForTwo").alias("cost_for_two"),
+        F.slice(cuisine, 1, 6).alias("cuisines"), F.coalesce(hours, F.lit("")).alias("hours"), said("$.contactInformation.phoneNumber", "$.contact.phone").alias("phone"), said("$.googleMapsLink").alias("map_link"),
+        (~F.contains(F.lower(said("$.businessStatus")), F.lit("closed"))).alias("open"), said("$.metadata.lastVerified").alias("last_verified"), said("$.metadata.status").alias("dataset_status"),
+    ).filter(F.col("name").isNotNull()).withColumns({"place_tokens": text.tokens(F.concat_ws(" ", "temple_name", "city", "address")), "name_tokens": text.tokens(F.col("name"))})
 
 
 def read_restaurant_files(spark: SparkSession, path: str) -> DataFrame:
-    texts = spark.read.option("wholetext", True).text(path).withColumn("source_file", F.col("_metadata.file_path"))
+    texts = spark.read.text(path, wholetext=True).withColumn("source_file", F.col("_metadata.file_path"))
     return restaurants(texts)
 
 
 def quarantine(texts: DataFrame, text_col: str, required: tuple[str, ...]) -> DataFrame:
-    """texts with status: ok, invalid_json, or invalid_record (no object, or a required string is missing)."""
+    """texts with status: ok, invalid_json, or invalid_record (no object, or a required string is missing, bare or wrapped)."""
     v = F.try_parse_json(text_col)
     missing = F.lit(False)
     for r in required:
-        missing = missing | (F.coalesce(F.trim(F.try_variant_get(F.col("_v"), f"$.{r}", "string")), F.lit("")) == "")
+        missing = missing | (F.coalesce(F.trim(unwrapped(F.col("_v"), f"$.{r}", "string")), F.lit("")) == "")
     is_object = F.schema_of_variant("_v").startswith("OBJECT")
     return texts.withColumn("_v", v).withColumn("status", F.when(F.col("_v").isNull(), "invalid_json").when(~is_object | missing, "invalid_record").otherwise("ok")).drop("_v")
 
@@ -80,7 +92,6 @@ def strict(checked: DataFrame) -> DataFrame:
 
 
 POI = "struct<elements array<struct<id: bigint, lat: double, lon: double, center: struct<lat: double, lon: double>, tags: map<string,string>>>>".replace("struct<elements array", "struct<elements: array")
-ROUTE = "struct<routes: array<struct<distanceMeters: double, duration: string, steps: array<struct<text: string>>>>>"
 GEOCODED = "array<struct<display_name: string, lat: string, lon: string, importance: double>>"
 
 
@@ -94,14 +105,28 @@ def pois(responses: DataFrame, json_col: str) -> DataFrame:
 
 
 def routes(responses: DataFrame, json_col: str) -> DataFrame:
-    """Long facts (key, value, value_text) of the first route of captured route responses: km, minutes, the first 12 steps."""
-    r = F.element_at(F.from_json(json_col, ROUTE)["routes"], 1)
-    rows = responses.withColumn("r", r).drop(json_col).filter("r is not null")
-    seconds = F.regexp_extract("r.duration", r"^(\d+(?:\.\d+)?)s?$", 1).try_cast("double")
-    steps = F.array_join(F.slice(F.transform("r.steps", lambda s: s["text"]), 1, 12), " > ")
+    """Long facts (key, value, value_text) of the first route of captured route responses: km, minutes, minutes in traffic, the first 12 steps.
+
+    Metres are `distanceMeters` or `distance`; seconds a number, text as "165s", or an object with `seconds`; steps stand in the
+    route or in its legs, each with `text` or a navigation instruction. A response with another code than Ok has no facts.
+    """
+    v = F.try_parse_json(json_col)
+    rows = responses.withColumn("r", F.element_at(F.try_variant_get(v, "$.routes", "array<variant>"), 1)).withColumn("code", F.try_variant_get(v, "$.code", "string"))
+    rows = rows.drop(json_col).filter("r is not null and coalesce(code, 'Ok') = 'Ok'")
+    number = lambda *paths: F.coalesce(*[F.try_variant_get("r", p, "double") for p in paths])
+
+    def seconds(name):
+        said = F.regexp_extract(F.try_variant_get("r", f"$.{name}", "string"), r"^(\d+(?:\.\d+)?)s?$", 1).try_cast("double")
+        return F.coalesce(number(f"$.{name}.seconds", f"$.{name}"), said)
+
+    of = lambda x: F.coalesce(F.try_variant_get(x, "$.navigationInstruction.instructions", "string"), F.try_variant_get(x, "$.text", "string"))
+    legs = F.flatten(F.transform(F.try_variant_get("r", "$.legs", "array<variant>"), lambda leg: F.coalesce(F.try_variant_get(leg, "$.steps", "array<variant>"), F.array().cast("array<variant>"))))
+    steps = F.transform(F.coalesce(legs, F.try_variant_get("r", "$.steps", "array<variant>")), lambda x: F.trim(of(x)))
+    steps = F.array_join(F.slice(F.filter(steps, lambda x: x.isNotNull() & (x != "")), 1, 12), " > ")
     fact = lambda k, v, t: F.struct(F.lit(k).alias("key"), v.alias("value"), t.alias("value_text"))
     none = F.lit(None).cast("string")
-    facts = F.array(fact("distance_km", F.round(F.col("r.distanceMeters") / 1000, 2), none), fact("duration_min", F.round(seconds / 60, 2), none), fact("steps", F.lit(None).cast("double"), steps))
+    minutes = lambda name: F.round(seconds(name) / 60, 2)
+    facts = F.array(fact("distance_km", F.round(number("$.distanceMeters", "$.distance") / 1000, 2), none), fact("duration_min", minutes("duration"), none), fact("duration_in_traffic_min", minutes("durationInTraffic"), none), fact("steps", F.lit(None).cast("double"), steps))
     return rows.withColumn("f", F.explode(facts)).select(*[c for c in responses.columns if c != json_col], "f.*").filter("value is not null or value_text <> ''")
 
 
@@ -120,7 +145,7 @@ def append_places(places: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def stringify(c: Column) -> Column:
-    """Nested JSON text as readable lines: "Key: value", lists and objects within, empty ones left out."""
+    """Nested JSON text as readable lines: "Key: value", or "Key:" and lines below for what is nested; empty ones left out. Null for what isn't JSON."""
     return _readable(c)
 
 
@@ -130,16 +155,64 @@ def _readable(texts):
 
     def show(x):
         if isinstance(x, dict):
-            parts = [(k, show(v)) for k, v in x.items()]
-            return "\n".join(f"{str(k).replace('_', ' ').strip().title()}: {v}" for k, v in parts if v)
+            parts = [(str(k).replace("_", " ").strip().title(), show(v), ":\n" if isinstance(v, (dict, list)) else ": ") for k, v in x.items()]
+            return "\n".join(k + sep + v for k, v, sep in parts if v)
         if isinstance(x, list):
-            return "\n".join(v for v in map(show, x) if v)
-        return "" if x is None else ("Yes" if x else "No") if isinstance(x, bool) else str(x).strip()
+            return "\n".join(filter(None, map(show, x)))
+        return "" if x is None else str(x).strip()
 
     def one(text):
         try:
             return show(json.loads(text)) if text is not None else None
-        except ValueError:
+        except (ValueError, RecursionError):
             return None
 
     return texts.map(one)
+
+
+def is_object(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+
+def items(v: Column, path: str) -> Column:
+    """array<variant>: the array at a path, a lone value as an array of one, or an empty array."""
+    lone = F.try_variant_get(v, path, "variant")
+    return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.when(lone.isNotNull() & (F.schema_of_variant(lone) != "VOID"), F.array(lone)), F.array().cast("array<variant>"))
+
+
+def strings(v: Column, path: str) -> Column:
+    """array<string>: the strings at a path, whether one or an array; other values are left out."""
+    return F.transform(F.filter(items(v, path), lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
+
+
+def first_said(v: Column, *paths: str) -> Column:
+    """The first non-empty string or number at the paths, trimmed; null if there is none."""
+    return F.coalesce(*[F.nullif(F.trim(unwrapped(v, p, "string")), F.lit("")) for p in paths])
+
+
+#: The spellings of a master list's id.
+RECORD_IDS = ("$.temple_id", "$.templeId", "$.id")
+
+
+def master_list(texts: DataFrame, text_col: str = "value", ids: tuple[str, ...] = RECORD_IDS) -> DataFrame:
+    """One row a record with an id: the texts' other columns, pos, record_id, record (variant).
+
+    A text's root is the list itself or an object with it under `temples` or `entities`; what isn't an object is left out, and of a text's
+    records of one id the last stays.
+    """
+    v = F.try_parse_json(text_col)
+    listed = F.coalesce(*[F.try_variant_get(v, p, "array<variant>") for p in ("$", "$.temples", "$.entities")])
+    other = [c for c in texts.columns if c != text_col]
+    found = F.filter(F.transform(listed, lambda r, i: F.struct(i.alias("pos"), first_said(r, *ids).alias("record_id"), is_object(r).alias("good"), r.alias("record"))), lambda x: x["good"] & x["record_id"].isNotNull())
+    rows = texts.withColumn("_t", F.monotonically_increasing_id()).select(*other, "_t", F.explode(found).alias("x")).select(*other, "_t", "x.pos", "x.record_id", "x.record")
+    w = Window.partitionBy("_t", "record_id").orderBy(F.desc("pos"))
+    return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_t", "_r")
+
+
+def place_list(texts: DataFrame, text_col: str = "value") -> DataFrame:
+    """place_id, name, place_type, aliases, latitude, longitude (as said, as text) of the places in texts {"places": [...]}; places without an id or a name are left out."""
+    v = F.try_parse_json(text_col)
+    rows = texts.select(F.explode(F.try_variant_get(v, "$.places", "array<variant>")).alias("p"))
+    p = F.col("p")
+    found = rows.select(first_said(p, "$.place_id").alias("place_id"), first_said(p, "$.canonical_name").alias("name"), F.coalesce(first_said(p, "$.place_type"), F.lit("place")).alias("place_type"), strings(p, "$.aliases").alias("aliases"), first_said(p, "$.location.latitude").alias("latitude"), first_said(p, "$.location.longitude").alias("longitude"))
+    return found.filter("place_id is not null and name is not null")

@@ -1,10 +1,11 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and intermediate tables in it."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_base(spark: SparkSession) -> str:
@@ -24,3 +25,26 @@ def shared_base(spark: SparkSession) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="plansift-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder there."""
+    return f"{shared_base(spark)}/plansift-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
+    """df, computed once and kept in the shared folder, with its lineage cut. The folder's name is added to scratch, for discard()."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, scratch: list[str]) -> None:
+    """Deletes the folders of cut() that nothing reads any more."""
+    for name in scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    scratch.clear()
