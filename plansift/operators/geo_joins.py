@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plansift.functions.geo import haversine
@@ -12,34 +12,47 @@ from plansift.functions.geo import haversine
 KM_A_DEGREE = 111.19
 
 
-def radius_join(anchors: DataFrame, points: DataFrame, km: float, k: int, max_lat: float = 75.0) -> DataFrame:
+def radius_join(anchors: DataFrame, points: DataFrame, km: float, k: int) -> DataFrame:
     """anchor_id, point_id, distance_km, rank: the k points nearest to each anchor within km.
 
-    anchors: anchor_id, lat, lng; points: point_id, lat, lng. Cells are as wide as the radius (in longitude at max_lat);
-    an anchor looks into its cell and those around, so the join is on equal cells. Anchors beyond max_lat,
-    or across the date line, aren't joined.
+    anchors: anchor_id, lat, lng; points: point_id, lat, lng; coordinates beyond their range or null take no part. Bands of latitude are as high as the radius, and a
+    band's cells at least as wide as the radius at the far end of the next band towards the pole, an even share of its circle; an anchor looks into the three cells around it in its own
+    band and the two beside, round the date line too. So the join is on equal cells. In a band by a pole all points are one cell.
     """
-    lat_cell = km / KM_A_DEGREE
-    lng_cell = lat_cell / math.cos(math.radians(max_lat))
-    cell = lambda c, w: F.floor(F.col(c) / w).cast("long")
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = anchors.filter(F.abs("lat") <= max_lat).select("anchor_id", F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"), F.explode(around).alias("d"))
-    a = a.withColumns({"cy": cell("a_lat", lat_cell) + F.col("d.i"), "cx": cell("a_lng", lng_cell) + F.col("d.j")}).drop("d")
-    p = points.select("point_id", "lat", "lng", cell("lat", lat_cell).alias("cy"), cell("lng", lng_cell).alias("cx"))
+    band_height = (km + 0.005) / KM_A_DEGREE  # distances are rounded to 2 decimals
+    whole = int(90 / band_height) + 2  # bands on either side of the equator
+    band = lambda c: F.floor(F.col(c) / band_height).cast("int")
+
+    def cells(b: Column) -> Column:
+        """How many cells a band has; an anchor may lie in the next band towards the pole."""
+        far = F.least(F.lit(90.0), F.greatest(F.abs((b - 1) * band_height), F.abs((b + 2) * band_height)))
+        # half a chord's longitude grows towards the poles: sin(dlng / 2) = sin(d / 2) / cos(lat)
+        ratio = F.lit(math.sin(math.radians(band_height / 2))) / F.cos(F.radians(far))
+        return F.when(ratio >= 1, 1).otherwise(F.greatest(F.lit(1), F.floor(360 / F.degrees(2 * F.asin(F.least(ratio, F.lit(1.0))))).cast("int")))
+
+    def cell(b: Column, lng: Column) -> Column:
+        n = cells(b)
+        return F.pmod(F.floor((lng + 180) / 360 * n), n.cast("long")).cast("int")
+
+    sound = lambda df: df.filter(F.col("lat").between(-90, 90) & F.col("lng").between(-180, 180))
+    a = sound(anchors).select("anchor_id", F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"), F.explode(F.sequence(band("lat") - 1, band("lat") + 1)).alias("cy"))
+    n, own = cells(F.col("cy")), cell(F.col("cy"), F.col("a_lng"))
+    a = a.filter(F.abs("cy") <= whole).withColumn("cx", F.explode(F.array_distinct(F.array(F.pmod(own - 1, n), own, F.pmod(own + 1, n)))))
+    p = sound(points).select("point_id", "lat", "lng", band("lat").alias("cy")).withColumn("cx", cell(F.col("cy"), F.col("lng")))
     near = a.join(p, ["cy", "cx"]).withColumn("distance_km", haversine(F.col("a_lat"), F.col("a_lng"), F.col("lat"), F.col("lng"))).filter(F.col("distance_km") <= km)
     w = Window.partitionBy("anchor_id").orderBy("distance_km", "point_id")
     return near.select("anchor_id", "point_id", "distance_km", F.row_number().over(w).alias("rank")).filter(F.col("rank") <= k)
 
 
 def drop_near_names(items: DataFrame, known: DataFrame, key: str, name: str, order: str, limit: float = 0.72) -> DataFrame:
-    """items whose names aren't near a known name of their key, nor near one kept before them.
+    """items whose names aren't near a known name of their key, nor near one kept before them; items without a name go.
 
     Each key's items must be few, as after a top-k; known: key and name. The known names of a key come as one array.
     """
     from difflib import SequenceMatcher
 
-    names = known.groupBy(key).agg(F.collect_set(F.lower(name)).alias("_known"))
-    joined = items.join(names, key, "left")
+    names = known.filter(F.col(name).isNotNull()).groupBy(key).agg(F.collect_set(F.lower(name)).alias("_known"))
+    joined = items.filter(F.col(name).isNotNull()).join(names, key, "left")
     schema = items.schema
 
     def greedy(pdf):

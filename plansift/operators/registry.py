@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plansift.functions.text import normalize, strip_marks
+from plansift.sources.json_layouts import first_said, is_object, items, strings
 
 # Words that mark an event's name.
 EVENT_WORDS = ("jathara", "jatara", "jatra", "festival", "brahmotsavam", "utsavam", "mahotsavam")
@@ -64,11 +65,15 @@ def name_variants(c: Column, person: Column) -> Column:
     return F.concat(F.array_compact(fixed), events)
 
 
+# The words that a question may begin with, and those that may follow.
+ASKING, FOLLOWING = r"(?i)^(what|who|where|when|why|how|which)\b", r"(?i)^(is|are|was|were|does|do|did|can|could|should)\b"
+
+
 def faq_topics(question: Column, answer: Column) -> Column:
     """array<struct(topic, relation)>: the question, what remains of it without its asking words, and a short answer."""
     q = F.trim(question)
-    rest = F.regexp_replace(q, r"(?i)^(what|who|where|when|why|how|which)\b", "")
-    rest = F.regexp_replace(F.trim(rest), r"(?i)^(is|are|was|were|does|do|did|can|could|should)\b", "")
+    rest = F.regexp_replace(q, ASKING, "")
+    rest = F.regexp_replace(F.trim(rest), FOLLOWING, "")
     rest = F.trim(F.regexp_replace(rest, r"[ ?.]+$", ""))
     row = lambda v, rule: F.struct(v.alias("topic"), F.lit(rule).alias("relation"))
     short = F.size(F.split(F.trim(answer), r"\s+")).between(1, 8) & (F.trim(answer) != "")
@@ -78,3 +83,109 @@ def faq_topics(question: Column, answer: Column) -> Column:
 def distinct_mentions(rows: DataFrame, identity: list[str], spelling: str) -> DataFrame:
     """One row an identity; of its spellings the least."""
     return rows.groupBy(*identity).agg(F.min(spelling).alias(spelling))
+
+
+# Where records name people and events, as (part, fields, relation).
+PEOPLE = ("person", "people", "persons", "founder", "founders", "associated_person", "associated_people")
+NAMED = ("name", "person_name")
+EVENTS = ("festival", "name", "title", "festival_name", "event", "event_name")
+TOPICS = ("topic", "subject", "name")
+VARIATIONS = ("query", "question", "variation", "text")
+
+
+def mentions(records: DataFrame, target: str, record: str = "record") -> DataFrame:
+    """Names by which JSON records (a variant column) may be meant: the target, mention, alias (normalised), mention_type, relation, source_field, source_section.
+
+    People come from founders and history, events from festivals, topics from questions, their short answers and query variations; names with brackets
+    and events give their variants as well. One row a target, alias, type, relation, field and section: spellings alone don't count.
+    """
+    v = F.col(record)
+    none = F.lit(None).cast("string")
+    row = lambda value, kind, relation, field, section: F.struct(value.alias("value"), F.lit(kind).alias("mention_type"), relation.alias("relation"), F.lit(field).alias("source_field"), section.alias("source_section"))
+
+    def each(part: str, fields, kind: str, relation: str, section, one: bool) -> Column:
+        """Of every object in a part's list, the strings under the fields (with one: only where they aren't lists)."""
+
+        def field(x, i, f: str) -> Column:
+            values = strings(x, f"$.{f}")
+            if one:
+                values = F.when(F.try_variant_get(x, f"$.{f}", "array<variant>").isNull(), values).otherwise(F.array().cast("array<string>"))
+            return F.transform(values, lambda y: row(y, kind, F.lit(relation), f"{part}.{f}", section(x, i)))
+
+        def of(x, i):
+            return F.when(is_object(x), F.flatten(F.array(*[field(x, i, f) for f in fields])))
+
+        return F.flatten(F.filter(F.transform(items(v, f"$.{part}"), of), lambda a: a.isNotNull()))
+
+    def called(part, *names):
+        return lambda x, i: F.coalesce(first_said(x, *[f"$.{n}" for n in names]), F.format_string(f"{part}[%d]", i))
+
+    numbered = lambda part: lambda x, i: F.format_string(f"{part}[%d]", i)
+
+    def asked(x, i):
+        question, answer = first_said(x, "$.question", "$.query", "$.title"), first_said(x, "$.answer", "$.response")
+        topics = faq_topics(F.coalesce(question, F.lit("")), F.coalesce(answer, F.lit("")))
+        field = lambda t: F.when(t["relation"] == "faq_answer_topic", "faq.answer").otherwise("faq.question")
+        made = F.transform(topics, lambda t: F.struct(t["topic"].alias("value"), F.lit("topic").alias("mention_type"), t["relation"].alias("relation"), field(t).alias("source_field"), numbered("faq")(x, i).alias("source_section")))
+        return F.when(is_object(x), made)
+
+    founders = F.transform(strings(v, "$.founders"), lambda y: row(y, "person", F.lit("associated_person"), "founders", none))
+    bare = F.filter(F.transform(items(v, "$.query_variations"), lambda x, i: F.when(F.schema_of_variant(x) == "STRING", row(F.try_variant_get(x, "$", "string"), "topic", F.lit("query_variation"), "query_variations", numbered("query_variations")(x, i)))), lambda r: r.isNotNull())
+    found = F.flatten(
+        F.array(
+            founders,
+            each("history", PEOPLE, "person", "associated_person", called("history", "section", "title"), False),
+            each("history", NAMED, "person", "historical_person", called("history", "section", "title"), True),
+            each("festivals", EVENTS, "festival", "festival", called("festivals", "festival", "name", "title"), True),
+            F.flatten(F.filter(F.transform(items(v, "$.faq"), asked), lambda a: a.isNotNull())),
+            each("faq", TOPICS, "topic", "faq_topic", numbered("faq"), True),
+            bare,
+            each("query_variations", VARIATIONS, "topic", "query_variation", numbered("query_variations"), True),
+        )
+    )
+    rows = records.select(F.col(target).alias("target"), F.explode(found).alias("m")).select("target", "m.*")
+    kind = F.col("mention_type")
+    # topics stand as they are; events have short names, people don't
+    spelled = F.when(kind == "topic", F.array(F.trim("value"))).otherwise(F.transform(F.filter(name_variants(F.col("value"), kind == "person"), lambda x: (x["rule"] != "event") | (kind == "festival")), lambda x: x["variant"]))
+    rows = rows.withColumn("mention", F.explode(spelled)).withColumn("alias", normalize(F.col("mention"))).filter("alias <> ''")
+    identity = ["target", "alias", "mention_type", "relation", "source_field", "source_section"]
+    return distinct_mentions(rows.select(*identity, "mention"), identity, "mention")
+
+
+def ambiguous_mentions(records: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(alias, n of aliases that stand for several known targets), (the mentions of targets that aren't known). records: alias, target; entities: entity_id."""
+    known = entities.select(F.col("entity_id").alias("target")).distinct()
+    several = records.join(known, "target", "left_semi").groupBy("alias").agg(F.count_distinct("target").alias("n")).filter("n > 1")
+    return several, records.join(known, "target", "left_anti")
+
+
+def emergency_flags(entities: DataFrame, documents: DataFrame, text_col: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(entities with emergency: whether a document names their id, the named ids that aren't entities: id, n of documents). Documents that aren't objects or name none don't count."""
+    v = F.try_parse_json(text_col)
+    named = documents.select(first_said(v, "$.temple_id", "$.templeId").alias("id")).filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    flagged = entities.join(named.select(F.col("id").alias("_e")), F.col("entity_id") == F.col("_e"), "left").withColumn("emergency", F.col("_e").isNotNull()).drop("_e")
+    return flagged, named.join(entities.select(F.col("entity_id").alias("id")), "id", "left_anti")
+
+
+TABLES = ("entities", "aliases", "mentions")
+
+
+def write_registry(path: str, entities: DataFrame, aliases: DataFrame, mentions: DataFrame, mode: str = "errorifexists") -> None:
+    """The registry as three tables under path."""
+    for name, df in zip(TABLES, (entities, aliases, mentions)):
+        df.write.mode(mode).parquet(f"{path.rstrip('/')}/{name}")
+
+
+def read_registry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables; entities without an id or a name, and aliases or mentions of no text, are left out."""
+    entities, aliases, mentions = (spark.read.parquet(f"{path.rstrip('/')}/{name}") for name in TABLES)
+    return entities.filter("entity_id <> '' and canonical_name <> ''"), aliases.filter("alias <> ''"), mentions.filter("alias <> ''")
+
+
+def report(spark: SparkSession, checks: dict[str, DataFrame]) -> DataFrame:
+    """check, key, n of all checks; each gives key and n."""
+    rows = None
+    for name, df in checks.items():
+        one = df.select(F.lit(name).alias("check"), F.col("key").cast("string").alias("key"), F.col("n").cast("long").alias("n"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows

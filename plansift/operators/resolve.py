@@ -7,10 +7,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from plansift.sources.shared import cut
+
 FUZZY, RELATED, PLACE = 0.88, 0.82, 0.90
 
-# Which mention types and relations answer to a requested type.
-RELATED_TYPES = {"festival": ("festival", "event"), "event": ("festival", "event"), "person": ("person", "associated_person", "founder"), "topic": ("topic", "faq_topic")}
+# Which mention types and relations answer to a requested type; other types answer to themselves.
+RELATED_TYPES = {
+    "person": ("person", "topic", "associated_person", "historical_person"),
+    "festival": ("festival", "topic", "query_variation"),
+    "event": ("festival", "topic", "query_variation"),
+    "topic": ("topic", "festival", "query_variation"),
+    "landmark": ("landmark", "place", "festival", "event", "topic", "query_variation"),
+}
+
+# The types of mention that stand for an entity.
+RESOLVABLE = ("temple", "person", "festival", "event", "landmark", "place")
 
 
 @F.pandas_udf(DoubleType())
@@ -27,28 +38,45 @@ def may_match(a: Column, b: Column, limit: float) -> Column:
     return (2 * F.least(F.length(a), F.length(b)) >= limit * both) & (F.levenshtein(a, b) <= (1 - limit) * both)
 
 
+def _pieces(n: Column, limit: float) -> tuple[Column, Column]:
+    """(most edits that any alias within the limit can be away, width of the pieces) of a mention of n characters; the last piece takes the rest."""
+    edits = F.floor((1 - limit) * (n + n * (2 - limit) / limit)).cast("int")
+    return edits, F.floor(n / F.least(edits + 1, n)).cast("int")
+
+
 def fuzzy_pairs(mentions: DataFrame, names: DataFrame, limit: float) -> DataFrame:
     """mention x alias rows that may_match. mentions: m_id, mention; names: alias and what goes with it.
 
-    Pairs meet by shared pieces of their text: a pair within d edits shares one of d + 1 pieces of the mention, at
-    a place at most d off. So the join is on (piece, length band), never a cross join.
+    A pair within d edits shares one of the mention's d + 1 pieces, and it stands at most d places off. So the join is on
+    (piece, where it stands), the mention's pieces being sent to the places around, and near lengths; never a cross join.
+    The aliases' pieces have the widths that mentions of near length are cut into.
     """
     m = mentions.withColumn("n", F.length("mention")).filter("n > 0")
-    # the most edits that any alias within the limit can be away
-    edits = F.floor((1 - limit) * (F.col("n") + F.col("n") * (2 - limit) / limit)).cast("int")
-    m = m.withColumn("k", F.least(edits + 1, F.col("n")))
-    step = F.floor(F.col("n") / F.col("k")).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.substring("mention", i * step + 1, F.when(i == F.col("k") - 1, F.col("n") - i * step).otherwise(step)))
-    probe = m.withColumn("piece", F.explode(F.array_distinct(pieces))).withColumn("w", F.length("piece")).drop("n", "k")
-    widths = sorted(r["w"] for r in probe.select("w").distinct().collect())  # piece widths: bounded by the longest mention
+    d, width = _pieces(F.col("n"), limit)
+    m = m.withColumns({"d": d, "step": width}).withColumn("k", F.least(F.col("d") + 1, F.col("n")))
+    n, step, k = F.col("n"), F.col("step"), F.col("k")
+    pieces = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct((i * step + 1).alias("start"), F.substring("mention", i * step + 1, F.when(i == k - 1, n - i * step).otherwise(step)).alias("piece")))
+    probe = m.withColumn("x", F.explode(pieces)).withColumn("start", F.explode(F.sequence(F.greatest(F.lit(1), F.col("x.start") - F.col("d")), F.col("x.start") + F.col("d"))))
+    probe = probe.select(*mentions.columns, F.col("n").alias("_n"), F.col("x.piece").alias("piece"), "start").distinct()
+
+    long = F.length("alias")
+    lengths = F.sequence(F.greatest(F.lit(1), F.ceil(long * limit / (2 - limit) - 1e-9).cast("int")), F.greatest(F.lit(1), F.floor(long * (2 - limit) / limit + 1e-9).cast("int")))
 
-    def grams(w: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("alias") - (w - 1), F.lit(1))), lambda i: F.substring("alias", i, F.lit(w)))
+    def widths(n: Column) -> Column:
+        d, step = _pieces(n, limit)
+        return F.array(step, n - (F.least(d + 1, n) - 1) * step)
 
-    every = F.flatten(F.array(*map(grams, widths))) if widths else F.array().cast("array<string>")
-    index = names.withColumn("piece", F.explode(F.array_distinct(every)))
-    met = probe.join(index, "piece").drop("piece", "w")
-    return met.filter(may_match(F.col("mention"), F.col("alias"), limit)).dropDuplicates(["m_id", "alias", *[c for c in names.columns if c != "alias"]])
+    every = F.array_distinct(F.flatten(F.transform(lengths, widths)))
+    grams = F.flatten(F.transform(every, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(long - (w - 1), F.lit(1))), lambda i: F.struct(i.alias("start"), F.substring("alias", i, w).alias("piece")))))
+    index = names.withColumn("_g", F.explode(F.array_distinct(grams))).select(*names.columns, "_g.start", "_g.piece")
+    near = 2 * F.least(F.col("_n"), long) >= limit * (F.col("_n") + long)
+    met = probe.join(index, ["piece", "start"]).filter(near).drop("piece", "start", "_n")
+    return met.dropDuplicates(["m_id", "alias", *[c for c in names.columns if c != "alias"]]).filter(may_match(F.col("mention"), F.col("alias"), limit))
+
+
+def of_type(asked: Column, entity_type: Column) -> Column:
+    """Whether an entity is of the type asked for, if one is."""
+    return asked.isNull() | (entity_type == asked)
 
 
 def fuzzy(mentions: DataFrame, names: DataFrame, key: str, limit: float = FUZZY, most: int = 10) -> DataFrame:
@@ -59,10 +87,11 @@ def fuzzy(mentions: DataFrame, names: DataFrame, key: str, limit: float = FUZZY,
     return best.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most).select("m_id", key, F.round("s", 4).alias("score"))
 
 
-def context_score(ids: Column, parent: Column, city: Column, district: Column) -> Column:
-    """100, 80, 40 and 25 for what the context names; each a condition or null."""
+def context_score(ids: Column, parent: Column, city: Column, district: Column, itself: Column | None = None, related: Column | None = None) -> Column:
+    """What the context names, each a condition or null: the entity's id 100, the entity as the context's place 100, its place 80, its relation to that place 80, its city 40, its district 25."""
     point = lambda c, v: F.when(c, v).otherwise(0)
-    return point(ids, 100) + point(parent, 80) + point(city, 40) + point(district, 25)
+    none = F.lit(False)
+    return point(ids, 100) + point(none if itself is None else itself, 100) + point(parent, 80) + point(none if related is None else related, 80) + point(city, 40) + point(district, 25)
 
 
 def decide_exact(scored: DataFrame, key: str) -> DataFrame:
@@ -87,18 +116,71 @@ def decide_fuzzy(scored: DataFrame, key: str) -> DataFrame:
     return ranked.select("m_id", F.when(by_context | by_score, "RESOLVED").otherwise("AMBIGUOUS").alias("status"), F.when(by_context, F.col("kc")).when(by_score, F.col("ks")).alias(key), F.when(by_context, "fuzzy_context").when(by_score, "fuzzy").otherwise("fuzzy_ambiguous").alias("match_type"))
 
 
-def related(mentions: DataFrame, records: DataFrame, entities: DataFrame, limit: float = RELATED) -> DataFrame:
-    """m_id, target, relation, mention_type, score of related mentions of the type asked for, one row a (target, relation, mention).
-
-    mentions: m_id, mention, asked; records: alias, mention_type, relation, target; entities: target, entity_type. Exact matches hide fuzzy ones.
-    """
+def related_fits(asked: Column, mention_type: Column, relation: Column, entity_type: Column) -> Column:
+    """Whether a related mention answers to the type asked for: by its own type or relation, or by its target's type."""
     allowed = F.create_map(*[x for k, v in RELATED_TYPES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    live = records.join(entities, "target")
-    fits = F.col("asked").isNull() | F.array_contains(F.coalesce(allowed[F.col("asked")], F.array("asked")), F.col("mention_type")) | F.array_contains(F.coalesce(allowed[F.col("asked")], F.array("asked")), F.col("relation")) | (F.col("entity_type") == F.col("asked"))
-    exact = mentions.join(live, F.col("mention") == F.col("alias")).filter(fits).withColumn("score", F.lit(1.0))
+    types = F.coalesce(allowed[asked], F.array(asked))
+    return asked.isNull() | F.coalesce(F.array_contains(types, mention_type), F.lit(False)) | F.coalesce(F.array_contains(types, relation), F.lit(False)) | F.coalesce(entity_type == asked, F.lit(False))
+
+
+def related_exact(mentions: DataFrame, records: DataFrame, entities: DataFrame) -> DataFrame:
+    """Related mentions of the same text and a fitting type whose target is known. mentions: m_id, mention, asked; records: alias, mention_type, relation, target; entities: target, entity_type."""
+    fits = related_fits(F.col("asked"), F.col("mention_type"), F.col("relation"), F.col("entity_type"))
+    found = mentions.join(records.join(entities, "target"), F.col("mention") == F.col("alias")).filter(fits)
+    return found.groupBy("m_id", "target", "relation", "alias").agg(F.min("mention_type").alias("mention_type")).withColumn("score", F.lit(1.0))
+
+
+def related(mentions: DataFrame, records: DataFrame, entities: DataFrame, limit: float = RELATED, most: int = 10) -> DataFrame:
+    """m_id, target, relation, alias, mention_type, score of related mentions, as related_exact; mentions that it has none for get up to `most` near ones."""
+    exact = related_exact(mentions, records, entities)
     rest = mentions.join(exact.select("m_id").distinct(), "m_id", "left_anti")
-    near = fuzzy_pairs(rest, live, limit).filter(fits).withColumn("score", F.round(ratio("mention", "alias"), 4)).filter(F.col("score") >= limit)
-    return exact.unionByName(near).groupBy("m_id", "target", "relation", "alias").agg(F.max("score").alias("score"))
+    fits = related_fits(F.col("asked"), F.col("mention_type"), F.col("relation"), F.col("entity_type"))
+    near = fuzzy_pairs(rest, records.join(entities, "target"), limit).filter(fits).withColumn("s", ratio("mention", "alias")).filter(F.col("s") >= limit)
+    near = near.groupBy("m_id", "target", "relation", "alias").agg(F.min("mention_type").alias("mention_type"), F.round(F.max("s"), 4).alias("score"))
+    w = Window.partitionBy("m_id").orderBy(F.desc("score"), "alias", "target", "relation")
+    near = near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most).drop("r")
+    return exact.unionByName(near)
+
+
+def decide_related(found: DataFrame) -> DataFrame:
+    """m_id, status, key, match_type of related mentions: the target of the best score, if it is one."""
+    top = found.groupBy("m_id").agg(F.max("score").alias("score"))
+    best = found.join(top, ["m_id", "score"]).groupBy("m_id", "score").agg(F.count_distinct("target").alias("n"), F.min("target").alias("key"))
+    kind = F.when(F.col("score") == 1, "related_exact").otherwise("related_fuzzy")
+    alone = F.col("n") == 1
+    return best.select("m_id", F.when(alone, "RESOLVED").otherwise("AMBIGUOUS").alias("status"), F.when(alone, F.col("key")).alias("key"), F.concat(kind, F.when(alone, "").otherwise("_ambiguous")).alias("match_type"))
+
+
+def resolve(mentions: DataFrame, names: DataFrame, entities: DataFrame, records: DataFrame | None = None, context: Column | None = None) -> DataFrame:
+    """m_id, status, key, match_type of every mention: by equal alias, else by a near one, else by a related mention; each, once the one before is written, only for what that leaves.
+
+    mentions: m_id, mention (normalised), asked (a type or null) and what context needs; names: alias, key; entities: key, entity_type and what
+    context needs; records: alias, mention_type, relation, target. context: a score of (mention, entity) rows, 0 by default.
+    """
+    score = F.lit(0) if context is None else context
+    live = mentions.filter("mention <> ''")
+    typed = names.join(entities, "key")
+    fits = of_type(F.col("asked"), F.col("entity_type"))
+    same = live.join(typed, F.col("mention") == F.col("alias")).filter(fits).groupBy("m_id", "key").agg(F.max(score).alias("context"))
+    out = cut(decide_exact(same, "key").select("m_id", "status", "key", "match_type"))
+    rest = live.join(out.select("m_id"), "m_id", "left_anti")
+    pairs = fuzzy_pairs(rest, typed, FUZZY).filter(fits).withColumn("s", ratio("mention", "alias")).filter(F.col("s") >= FUZZY)
+    best = pairs.groupBy("m_id", "key").agg(F.max("s").alias("s"), F.max_by("alias", "s").alias("alias"), F.max(score).alias("context"))
+    w = Window.partitionBy("m_id").orderBy(F.desc("s"), "alias", "key")
+    near = best.withColumn("r", F.row_number().over(w)).filter("r <= 10").select("m_id", "key", "context", F.round("s", 4).alias("score"))
+    out = cut(out.unionByName(decide_fuzzy(near, "key")))
+    if records is not None:
+        rest = live.join(out.select("m_id"), "m_id", "left_anti")
+        out = cut(out.unionByName(decide_related(related(rest.select("m_id", "mention", "asked"), records, entities.select(F.col("key").alias("target"), "entity_type")))))
+    none = F.lit(None).cast("string")
+    left = mentions.join(out.select("m_id"), "m_id", "left_anti").select("m_id", F.lit("UNRESOLVED").alias("status"), none.cast(entities.schema["key"].dataType).alias("key"), F.lit("none").alias("match_type"))
+    return out.unionByName(left)
+
+
+def request_ids(mentions: DataFrame, resolved: DataFrame, request: list[str]) -> DataFrame:
+    """The request's columns and ids: the sorted distinct keys of its resolved mentions. mentions: request, m_id; a request names few entities."""
+    good = resolved.filter("status = 'RESOLVED'").select("m_id", "key")
+    return mentions.join(good, "m_id").groupBy(*request).agg(F.array_sort(F.collect_set("key")).alias("ids"))
 
 
 def first_tier(tiers: DataFrame, key: str, tier: str = "tier") -> DataFrame:
