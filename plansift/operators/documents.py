@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plansift.functions.text import words
+from plansift.sources.json_layouts import first_said, is_object, stringify
 
 CHUNK, OVERLAP, SEPARATORS = 800, 120, ("\n\n", "\n", ". ", " ", "")
-CANDIDATES, KEPT, BLOCK, BLOCKS = 20, 5, 256, 16
+CANDIDATES, KEPT, BLOCK, BLOCKS, PARTS = 20, 5, 256, 16, 64
 
 # What a content type is worth by itself.
 PRIORITY = {
@@ -30,15 +31,51 @@ FOCUS = {
     "religious": "deity god goddess religious spiritual significance worship ritual rituals pooja puja".split(),
     "facility": "facility facilities parking water shops amenities".split(),
 }
+# The narrative fields of a record, which become documents; all other fields are operational facts.
+NARRATIVE = (
+    "overview summary sthala_puranam religious_significance spiritual_significance architecture architectural_style history temple_layout rituals "
+    "special_poojas festivals travel travel_tips best_time_to_visit accommodation accessibility nearby_places nearby_infrastructure healing_beliefs "
+    "miracles_and_devotee_experiences faq audio"
+).split()
+
 TIMING_PHRASES = ("temple timings", "darshan timings", "darshan time", "opening hours", "visiting hours", "temple hours")
 
 
-def sections(docs: DataFrame, key: str, text_col: str, separator: str = "\n") -> DataFrame:
+def lines(docs: DataFrame, key: str, text_col: str, separator: str = "\n") -> DataFrame:
     """key, pos, section, content: a row a non-blank line of a text."""
     rows = docs.select(key, F.posexplode(F.split(text_col, separator)).alias("pos", "content"))
     return rows.filter(F.trim("content") != "").select(key, "pos", F.format_string("line[%d]", "pos").alias("section"), "content")
 
 
+def sections(records: DataFrame, text_col: str = "value", fields: tuple[str, ...] = tuple(NARRATIVE)) -> DataFrame:
+    """Documents of JSON records (text): the record's other columns, temple_id, name, content_type, pos, section, content, last_verified.
+
+    A list gives a row an item, named by its title, name, heading or section, else field[i]; anything else one row named as its field. Fields that
+    aren't listed, what is empty, and records without an id or a name (see quarantine) give none. Keys stay in the record's order.
+    """
+    text, v = F.col(text_col), F.col("_v")
+    other = [c for c in records.columns if c != text_col]
+
+    def of(field: str) -> Column:
+        one = F.try_variant_get(v, f"$.{field}", "variant")
+        listed = F.try_variant_get(v, f"$.{field}", "array<variant>")
+        said = F.get_json_object(text, f"$.{field}")
+        each = F.from_json(said, "array<string>")  # what isn't a string, as its JSON text
+        title = lambda x: F.when(is_object(x), first_said(x, "$.title", "$.name", "$.heading", "$.section"))
+        # a variant would bring an object's keys into another order; of strings it has the quotes
+        json = lambda x, own: F.when(F.schema_of_variant(x) == "STRING", F.to_json(x)).otherwise(own)
+        row = lambda pos, section, json: F.struct(F.lit(field).alias("content_type"), pos.alias("pos"), section.alias("section"), json.alias("json"))
+        items = F.transform(listed, lambda x, i: row(i, F.coalesce(title(x), F.format_string(f"{field}[%d]", i)), json(x, F.get(each, i))))
+        alone = F.when(one.isNotNull(), F.array(row(F.lit(0), F.lit(field), json(one, said))))
+        return F.coalesce(items, alone, F.array().cast("array<struct<content_type:string,pos:int,section:string,json:string>>"))
+
+    rows = records.withColumn("_v", F.try_parse_json(text))
+    known = {"temple_id": first_said(v, "$.temple_id"), "name": first_said(v, "$.name"), "last_verified": first_said(v, "$.last_verified")}
+    rows = rows.select(*other, *[c.alias(n) for n, c in known.items()], F.explode(F.flatten(F.array(*map(of, fields)))).alias("s")).filter("temple_id is not null and name is not null")
+    shown = rows.select(*other, "temple_id", "name", "s.content_type", "s.pos", "s.section", stringify(F.col("s.json")).alias("content"), "last_verified")
+    return shown.filter("content <> ''")
+
+
 def split_text(text: str, size: int = CHUNK, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
     """Chunks of at most size characters: cut at the first separator that occurs, pieces merged up to size with the tail of the chunk before as overlap."""
     at = next((k for k, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
@@ -95,29 +132,42 @@ def append_new(chunk_rows: DataFrame, kept: DataFrame, key: str) -> DataFrame:
     return chunk_rows.join(kept.select(key, "chunk_index"), [key, "chunk_index"], "left_anti")
 
 
+def ingest(chunk_rows: DataFrame, path: str, key: str) -> None:
+    """Appends chunks to the table at path, which the first call creates; chunks that are there already aren't written again."""
+    spark = chunk_rows.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        chunk_rows = append_new(chunk_rows, spark.read.schema(chunk_rows.schema).parquet(path), key)
+    chunk_rows.write.mode("append").parquet(path)
+
+
 def _norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, group: str | None = None) -> DataFrame:
     """query_id, vec_id, score, rank: exact cosine search of a set of queries (query_id, q) over all vectors (vec_id, v).
 
     Queries meet the vectors in blocks of BLOCK: up to BLOCKS blocks go to every task, in one pass over the vectors; more are
-    joined by block number. allowed: (query_id, vec_id) pairs to search in.
+    joined by block number and a part of the vectors, so that work spreads over blocks times PARTS. A vector scores a block at once, and only a block's k best of each
+    partition go on. group: a column of both tables; a query searches the vectors of its group alone.
     """
     v = vectors.withColumn("v", F.col("v").cast("array<double>")).filter(F.size("v") > 0).withColumn("n", _norm(F.col("v"))).filter("n > 0")
     q = queries.withColumn("q", F.col("q").cast("array<double>")).withColumn("m", _norm(F.col("q"))).filter("m > 0")
+    of = [] if group is None else [group]
     blocks = max(1, -(-q.count() // BLOCK))
-    held = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "q", "m")).alias("qs"))
-    held = F.broadcast(held) if blocks <= BLOCKS else held
+    held = q.groupBy(*of, F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", F.transform("q", lambda x: x / F.col("m")).alias("q"))).alias("qs"))
     v = v.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    rows = v.join(held, "block").select("vec_id", "v", "n", F.explode("qs").alias("x"))
-    dot = F.aggregate(F.zip_with("v", "x.q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    scored = rows.select(F.col("x.query_id").alias("query_id"), "vec_id", (dot / (F.col("n") * F.col("x.m"))).alias("score"))
-    if allowed is not None:
-        scored = scored.join(allowed, ["query_id", "vec_id"], "left_semi")
+    if blocks <= BLOCKS:
+        rows = v.join(F.broadcast(held), [*of, "block"])
+    else:
+        parts = F.sequence(F.lit(0), F.lit(PARTS - 1))
+        rows = v.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(PARTS)).cast("int")).join(held.withColumn("part", F.explode(parts)), [*of, "block", "part"])
+    dot = lambda x: F.aggregate(F.zip_with("v", x["q"], lambda a, b: a * b), F.lit(0.0), lambda a, y: a + y)
+    near = F.transform("qs", lambda x: F.struct(x["query_id"].alias("query_id"), (dot(x) / F.col("n")).alias("score")))
+    scored = rows.select("vec_id", F.inline(near))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return scored.select("query_id", "vec_id", "score").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def lexical(query: Column, content: Column, meta: Column) -> Column:

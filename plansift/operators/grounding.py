@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plansift.functions.text import numbers, same_value
+from plansift.functions.text import numbers, same_value, search_link, truncate
 
 COMPONENTS = ("food", "stay", "transport")
 
@@ -44,8 +44,151 @@ def ungrounded(drafts: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
     return gone.groupBy(key).agg(F.sort_array(F.collect_set("token")).alias("missing"), F.count_distinct("token").alias("n_missing"))
 
 
-def render(evidence: DataFrame, key: str) -> DataFrame:
-    """key, shown: the evidence rows of a key (kind, pos, low, note) as lines, in order of pos."""
-    line = F.concat(F.lit("- "), "kind", F.lit(" "), F.col("pos").cast("string"), F.lit(": "), F.col("low").cast("string"), F.coalesce(F.concat(F.lit(" ("), "note", F.lit(")")), F.lit("")))
-    rows = evidence.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))).alias("rows"))
-    return rows.select(key, F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("shown"))
+#: The columns of an evidence table, beside its key and pos. What a kind doesn't say is null.
+EVIDENCE = {
+    "kind": "string", "source": "string", "key": "string", "value": "string", "unit": "string", "provider": "string", "approximate": "boolean", "role": "string", "name": "string", "error": "string",
+    "hint": "string", "status": "string", "selected": "string", "component": "string", "scope": "string", "low": "bigint", "high": "bigint", "free_stated": "boolean",
+    "samples": "array<struct<name:string,charges:string>>", "included": "array<string>", "text": "string",
+}
+VALUE, TEXT = 400, 400
+
+
+def evidence(rows: DataFrame, by: list[str], **columns: Column) -> DataFrame:
+    """rows in the columns of EVIDENCE, to be put together by unionByName. by: the key and position columns."""
+    return rows.select(*by, *[columns.get(n, F.lit(None)).cast(t).alias(n) for n, t in EVIDENCE.items()])
+
+
+def fact_evidence(facts: DataFrame, by: list[str]) -> DataFrame:
+    """Of route facts (fact, value, value_text, unit, provider, approximate), long texts cut."""
+    value = F.coalesce(shown_number(F.col("value")), truncate(F.col("value_text"), VALUE))
+    return evidence(facts, by, kind=F.lit("fact"), source=F.col("provider"), key=F.col("fact"), value=value, unit=F.col("unit"), provider=F.col("provider"), approximate=F.col("approximate"))
+
+
+def calculation_evidence(calculations: DataFrame, by: list[str]) -> DataFrame:
+    """Of calculations (fact, value, unit, status, estimated, provider)."""
+    return evidence(calculations, by, kind=F.lit("calculation"), source=F.lit("calculation"), key=F.col("fact"), value=shown_number(F.col("value")), unit=F.col("unit"), status=F.col("status"), approximate=F.col("estimated"), provider=F.col("provider"))
+
+
+def transit_notes(routes: DataFrame, by: list[str], capable: str, link: str) -> DataFrame:
+    """A note for each route (mode, status, provider) asked for by transit that the provider capable of it didn't answer."""
+    answered = F.col("status").isin("OK", "PARTIAL") & F.coalesce(F.col("provider") == capable, F.lit(False))
+    missed = routes.filter((F.col("mode") == "transit") & ~answered)
+    return evidence(missed, by, kind=F.lit("note"), source=F.lit("travel"), key=F.lit("transit_unavailable"), error=F.lit("No transit/bus data available for this route right now."), hint=F.lit(link))
+
+
+def no_result_notes(requests: DataFrame, results: DataFrame, request: str, pos: Column, template: str, noun: str) -> DataFrame:
+    """A note with a search link for each request (request, question) that has no row in results."""
+    missed = requests.join(results.select(request).distinct(), request, "left_anti").withColumn("pos", pos)
+    said = F.coalesce(F.nullif(F.trim("question"), F.lit("")), F.lit(noun))
+    return evidence(missed, [request, "pos"], kind=F.lit("note"), source=F.lit(noun), key=F.lit("no_data"), error=F.lit(f"No {noun} found in the curated dataset or the live map for this query."), hint=search_link(template, said))
+
+
+def shown_number(c: Column) -> Column:
+    """A number as text, whole ones with one decimal."""
+    return F.when(c == F.floor(c), F.concat(F.floor(c).cast("string"), F.lit(".0"))).otherwise(c.cast("string"))
+
+
+def line() -> Column:
+    """The lines of an evidence row; null for one that says nothing."""
+    kind = F.col("kind")
+    said = lambda n: F.coalesce(F.col(n), F.lit(""))
+    none = lambda n: F.coalesce(F.col(n).cast("string"), F.lit("None"))
+    fact = F.concat(none("key"), F.lit(": "), none("value"), F.lit(" "), said("unit"), F.when(F.col("approximate"), " (approx)").otherwise(""), F.lit(" ["), F.coalesce(F.nullif("provider", F.lit("")), F.col("source"), F.lit("")), F.lit("]"))
+    place = F.concat(none("role"), F.lit(": "), none("name"))
+    note = F.concat(F.coalesce(F.nullif("error", F.lit("")), F.nullif("key", F.lit("")), F.lit("note")), F.when(F.col("hint") != "", F.concat(F.lit(" - "), "hint")).otherwise(""))
+    status = F.concat(F.lit("provider status: "), none("status"), F.when(F.col("selected") != "", F.concat(F.lit(", selected: "), "selected")).otherwise(""))
+    part, sign = F.coalesce(F.nullif("component", F.lit("")), F.lit("cost")), F.when(F.col("unit") == "currency", "₹").otherwise("")
+    low, high = F.col("low"), F.col("high")
+    unpriced = F.concat(F.trim(F.concat(part, F.lit(" "), said("scope"))), F.when(F.col("free_stated"), ": free darshan listed in records; no priced entries").otherwise(": no priced entries"))
+    priced = F.concat(part, F.lit(" "), said("scope"), F.lit(": "), sign, none("low"), F.when(high.isNull() | low.eqNullSafe(high), "").otherwise(F.concat(F.lit(" - "), sign, none("high"))))
+    samples = F.transform("samples", lambda x: F.concat(F.lit("\n  "), F.coalesce(x["name"], F.lit("None")), F.lit(": "), F.coalesce(x["charges"], F.lit("None"))))
+    item = F.concat(F.when(low.isNull() & high.isNull(), unpriced).otherwise(F.rtrim(priced)), F.coalesce(F.array_join(samples, ""), F.lit("")))
+    covers = F.when(F.size("included") > 0, F.concat(F.lit(" (covers: "), F.array_join("included", ", "), F.lit(")"))).otherwise("")
+    total = F.concat(F.lit("budget total: ₹"), none("low"), F.lit(" - ₹"), none("high"), covers)
+    other = F.when(F.trim("text") != "", F.concat(F.when(F.col("name") != "", F.concat("name", F.lit(": "))).otherwise(""), F.substring(F.trim("text"), 1, TEXT)))
+    return F.when(kind.isin("fact", "calculation"), fact).when(kind == "place", place).when(kind.isin("note", "error"), note).when(kind == "status", status).when(kind == "budget_item", item).when(kind == "budget_total", total).otherwise(other)
+
+
+def render(rows: DataFrame, key: str) -> DataFrame:
+    """key, shown: an answer of evidence alone, a line a row of an EVIDENCE table in order of pos. A key has an answer's few rows."""
+    lined = rows.select(key, "pos", line().alias("line")).filter("line is not null")
+    listed = lined.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("rows"))
+    return listed.select(key, F.trim(F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("shown"))
+
+
+# The keys of a budget's assumptions, in order.
+ASSUMPTIONS = ("trip_duration", "nights_from_days", "nights", "persons", "rooms", "roundtrip", "fuel_rate", "per_room", "temple_excluded")
+
+
+def budget_block(trips: DataFrame, key: str, rate: float = 8.3, meals: int = 3) -> DataFrame:
+    """key, components (component, scope, low, high, in_total), assumptions (keys), included, absent, low, high, partial, missing, estimate_status, is_complete of each trip.
+
+    trips: days, nights, nights_from_days, persons, rooms, roundtrip, stay_excluded, mode, km, stay_low, stay_high, meal_low, meal_high, seva_low, seva_high; what isn't
+    known is null. Costs that aren't known are missing, never zero; only trip totals are summed. A partial total is named in missing, so the estimate stays partial.
+    """
+    c = F.col
+    ways = F.when(c("roundtrip"), 2).otherwise(1)
+    fuel = F.floor(c("km") * rate * ways)
+    rooms = F.greatest(F.coalesce("rooms", F.lit(1)), F.lit(1))
+    stays = ~c("stay_excluded") & c("stay_low").isNotNull()
+    eats = c("meal_low").isNotNull()
+
+    def item(component: str, scope: str, ok: Column, low: Column, high: Column, in_total: bool = True) -> Column:
+        return F.when(ok, F.struct(F.lit(component).alias("component"), F.lit(scope).alias("scope"), low.cast("long").alias("low"), high.cast("long").alias("high"), F.lit(in_total).alias("in_total")))
+
+    parts = F.array_compact(
+        F.array(
+            item("transport", "trip_total", (c("mode") == "driving") & c("km").isNotNull(), fuel, fuel),
+            item("stay", "per_night", stays, c("stay_low"), c("stay_high")),
+            item("stay", "trip_total", stays & (c("nights") > 0), c("stay_low") * c("nights") * rooms, c("stay_high") * c("nights") * rooms),
+            item("food", "per_meal", eats, c("meal_low"), c("meal_high")),
+            item("food", "per_day", eats & (c("days") > 0), c("meal_low") * meals, c("meal_high") * meals),
+            item("food", "trip_total", eats & (c("days") > 0) & (c("persons") > 0), c("meal_low") * meals * c("days") * c("persons"), c("meal_high") * meals * c("days") * c("persons")),
+            item("temple", "optional_sevas", c("seva_low").isNotNull() | c("seva_high").isNotNull(), c("seva_low"), c("seva_high"), False),
+        )
+    )
+    sleeps = ~c("stay_excluded") & c("nights").isNotNull()
+    holds = (c("days").isNotNull(), sleeps & c("nights_from_days"), sleeps & ~c("nights_from_days"), c("persons").isNotNull(), c("rooms").isNotNull() & ~c("stay_excluded"), c("roundtrip"), c("mode") == "driving", ~c("stay_excluded"), F.lit(True))
+    assumptions = F.array_compact(F.array(*[F.when(h, F.lit(k)) for k, h in zip(ASSUMPTIONS, holds)]))
+    rows = trips.select("*", parts.alias("components"), assumptions.alias("assumptions"))
+    summed = F.filter("components", lambda p: p["in_total"] & (p["scope"] == "trip_total"))
+    included = F.array_sort(F.transform(summed, lambda p: p["component"]))
+    wanted = F.filter(F.array(*map(F.lit, COMPONENTS)), lambda x: ~(c("stay_excluded") & (x == "stay")))
+    total = lambda f: F.when(F.size(summed) > 0, F.aggregate(summed, F.lit(0).cast("long"), lambda a, p: a + p[f]))
+    rows = rows.withColumns({"included": included, "absent": F.array_except(wanted, included), "total_low": total("low"), "total_high": total("high")})
+    gaps = F.array_compact(F.array(F.when(c("days").isNull(), "number of days/nights"), F.when(c("persons").isNull(), "number of persons")))
+    has = F.size("included") > 0
+    missing = F.array_compact(
+        F.array(
+            F.when(c("mode") == "transit", "transit fare (no fare data available)").when((c("mode") == "driving") & c("km").isNull(), "transport distance"),
+            F.when(~c("stay_excluded") & c("stay_low").isNull(), "hotel prices (no stays found for this place)"),
+            F.when(c("meal_low").isNull(), "meal prices (no priced restaurants found for this place)"),
+            F.when(has & (F.size("absent") > 0), F.concat(F.lit("this total only covers "), F.array_join("included", ", "), F.lit(" (missing: "), F.array_join("absent", ", "), F.lit(")"))),
+            F.when(F.size(gaps) > 0, F.concat(F.lit("to get a full trip total, tell me "), F.array_join(gaps, " and "))),
+        )
+    )
+    rows = rows.withColumn("missing", F.array_distinct(missing))
+    complete = (F.size("missing") == 0) & has
+    return rows.select(key, "components", "assumptions", "included", "absent", c("total_low").alias("low"), c("total_high").alias("high"), (has & (F.size("absent") > 0)).alias("partial"), "missing", F.when(complete, "complete").otherwise("partial").alias("estimate_status"), complete.alias("is_complete"))
+
+
+def seva_records(requests: DataFrame, records: DataFrame) -> DataFrame:
+    """request_id, path, by: the record of each request's first id that has one; else the first record, by path, that shares a word of three letters or more with the request.
+
+    requests: request_id, ids, words; records: record_id, path, words. The words are met one by one, and of each word only its first record matters.
+    """
+    asked = requests.select("request_id", F.posexplode("ids").alias("pos", "record_id"))
+    by_id = asked.join(records.select("record_id", "path"), "record_id").groupBy("request_id").agg(F.min_by("path", F.struct("pos", "path")).alias("path"))
+    rest = requests.join(by_id.select("request_id"), "request_id", "left_anti").select("request_id", F.explode(F.array_distinct("words")).alias("word")).filter(F.length("word") >= 3)
+    first = records.select("path", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.min("path").alias("path"))
+    by_word = rest.join(first, "word").groupBy("request_id").agg(F.min("path").alias("path"))
+    return by_id.withColumn("by", F.lit("id")).unionByName(by_word.withColumn("by", F.lit("word")))
+
+
+def merge_tiers(curated: DataFrame, live: DataFrame, key: str, order: str, most: tuple[int, int] = (5, 4)) -> DataFrame:
+    """The first `most` rows of a key of each source by order, curated ones first, in the columns of both, with source_tier."""
+    def cut(df, n, tier):
+        w = Window.partitionBy(key).orderBy(order)
+        return df.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).withColumn("source_tier", F.lit(tier))
+
+    return cut(curated, most[0], "internal_dataset").unionByName(cut(live, most[1], "open-data"), allowMissingColumns=True)

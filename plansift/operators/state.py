@@ -5,7 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TURNS, SESSION_TTL, ROUTE_TTL, NEGATIVE_TTL = 10, 86_400, 86_400, 30
+from plansift.functions.geo import coordinate_key
+from plansift.functions.text import cache_key
+
+TURNS, SESSION_TTL = 10, 86_400
+
+#: How long facts of a kind live, in seconds; other kinds as routes. Failures live shorter, failed searches for places a little longer.
+TTL = {"geocode": 2_592_000, "route": 86_400, "places": 86_400}
+NEGATIVE_TTL, FAILED_PLACES_TTL = 30, 600
+CACHE = "travel:v2:"
+
+
+def fact_ttl(kind: Column, failed: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for kv in TTL.items() for x in kv])
+    return F.when(failed & (kind == "places"), FAILED_PLACES_TTL).when(failed, NEGATIVE_TTL).otherwise(F.coalesce(known[kind], F.lit(TTL["route"])))
+
+
+def route_key(origin: tuple[Column, Column], destination: tuple[Column, Column], mode: Column) -> Column:
+    """The cache key of a route; coordinates count to 6 decimals."""
+    return cache_key(CACHE, F.lit("route"), coordinate_key(*origin, 6), coordinate_key(*destination, 6), mode)
+
+
+def places_key(kind: Column, lat: Column, lng: Column, radius: Column) -> Column:
+    """The cache key of a search for places; coordinates count to 3 decimals."""
+    return cache_key(CACHE, F.lit("places"), F.lit("overpass"), kind, F.format_string("%.3f", lat), F.format_string("%.3f", lng), radius)
 
 # Patterns of messages that must not wait.
 EMERGENCY = (
@@ -38,14 +61,26 @@ def last_turns(turns: DataFrame, key: str, ts: str, tie: str, n: int = TURNS, tt
     return listed.select(key, F.transform("x", lambda x: x[tie]).alias("history"), "last")
 
 
-def as_of(reads: DataFrame, writes: DataFrame, key: str, ts: str) -> DataFrame:
-    """Each read with the latest write of its key at or before it. reads: key, ts, read_id; writes: key, ts, payload, negative, ttl_s.
+CONTEXT, KEPT_TEXT, CONTEXT_TEXT = 3, 500, 300
+
+
+def recent_context(turns: DataFrame, key: str, order: list[str], texts: list[str], n: int = CONTEXT) -> DataFrame:
+    """turns with their texts cut as they are kept, and context: the n turns before each, oldest first, as an array of structs of the texts cut shorter."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(-n, -1)
+    said = F.struct(*[F.substring(F.coalesce(F.col(t).cast("string"), F.lit("")), 1, CONTEXT_TEXT).alias(t) for t in texts])
+    rows = turns.withColumn("context", F.collect_list(said).over(w))
+    return rows.withColumns({t: F.substring(F.col(t).cast("string"), 1, KEPT_TEXT) for t in texts})
+
+
+def as_of(reads: DataFrame, writes: DataFrame, key: str, ts: str, tie: str = "payload") -> DataFrame:
+    """Each read with the latest write of its key at or before it. reads: key, ts, read_id; writes: key, ts, payload, negative, ttl_s, and tie, the highest of which counts among writes of one time.
 
     Both come together in one sorted pass a key (no join): hit is whether the write still lives and isn't a failure.
     """
-    r = reads.select(key, ts, "read_id", F.lit(1).alias("_o"), F.lit(None).cast(writes.select(F.struct(ts, "payload", "negative", "ttl_s")).schema[0].dataType).alias("w"))
-    w = writes.select(key, ts, F.lit(None).cast(reads.schema["read_id"].dataType).alias("read_id"), F.lit(0).alias("_o"), F.struct(ts, "payload", "negative", "ttl_s").alias("w"))
-    span = Window.partitionBy(key).orderBy(ts, "_o", F.col("w.payload")).rowsBetween(Window.unboundedPreceding, 0)
+    write = F.struct(ts, "payload", "negative", "ttl_s")
+    r = reads.select(key, ts, "read_id", F.lit(1).alias("_o"), F.lit(None).cast(writes.schema[tie].dataType).alias("_t"), F.lit(None).cast(writes.select(write).schema[0].dataType).alias("w"))
+    w = writes.select(key, ts, F.lit(None).cast(reads.schema["read_id"].dataType).alias("read_id"), F.lit(0).alias("_o"), F.col(tie).alias("_t"), write.alias("w"))
+    span = Window.partitionBy(key).orderBy(ts, "_o", "_t").rowsBetween(Window.unboundedPreceding, 0)
     rows = r.unionByName(w).withColumn("w", F.last("w", ignorenulls=True).over(span)).filter("_o = 1")
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     lives = micros(ts) - micros(f"w.{ts}") <= F.col("w.ttl_s").cast("long") * 1_000_000

@@ -1,4 +1,9 @@
-"""Structured Streaming twins: session history with expiry, expiring facts, and the gate on a message flow."""
+"""Structured Streaming twins: session history with expiry, expiring facts, and the gate on a message flow.
+
+State expires in event time: a session SESSION_TTL seconds after its last turn or touch, a fact after its own TTL. Timers drop what the watermark has
+passed, so state holds live keys alone. Rows of a key take effect in order of time and id within a batch; later batches must not go back in time by more
+than the watermark's delay. All operators need the RocksDB state store (STORE).
+"""
 
 from __future__ import annotations
 
@@ -12,34 +17,99 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from plansift.operators.state import SESSION_TTL, TURNS, is_urgent
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DELAY = "1 hour"
+
+
+def _micros(t) -> int:
+    return pd.Timestamp(t).value // 1000
 
 
 class _LastTurns(StatefulProcessor):
-    """The last TURNS rows of a key; a gap in event time of more than SESSION_TTL empties it."""
+    """The last TURNS rows of a key. A turn or a touch renews the history for SESSION_TTL seconds, a delete drops it; a turn after that begins anew."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getListState("turns", "id long")
+        self.renewed = handle.getValueState("renewed", "at timestamp")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = [i for (i,) in self.kept.get()]
+        at = pd.Timestamp(self.renewed.get()[0]) if self.renewed.exists() else None
+        for t, i, action in sorted((t, int(i), a) for b in rows for t, i, a in zip(b["ts"], b["id"], b["action"])):
+            # whole seconds count, as in the batch twin
+            if at is not None and _micros(t) // 1_000_000 - _micros(at) // 1_000_000 > SESSION_TTL:
+                held, at = [], None
+            if action == "delete":
+                held, at = [], None
+            elif action == "turn":
+                held, at = [*held, i][-TURNS:], t
+            elif at is not None:  # a touch of a session that there is
+                at = t
+        for old in self.handle.listTimers():
+            self.handle.deleteTimer(old)
+        if at is None:
+            self.kept.clear()
+            self.renewed.clear()
+        else:
+            self.kept.put([(i,) for i in held])
+            self.renewed.update((at.to_pydatetime(),))
+            self.handle.registerTimer(max(_micros(at) // 1000 + (SESSION_TTL + 1) * 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame({"key": [key[0]], "history": [held], "last": [at]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.kept.clear()
+        self.renewed.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def last_turns(stream: DataFrame, key: str, ts: str, tie: str, action: str | None = None, delay: str = DELAY) -> DataFrame:
+    """key, history, last after each micro-batch, in update mode; an empty history for a key that was dropped. action: turn (by default), touch or delete."""
+    what = F.lit("turn") if action is None else F.col(action)
+    rows = stream.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.col(tie).cast("long").alias("id"), what.alias("action")).withWatermark("ts", delay)
+    return rows.groupBy("key").transformWithStateInPandas(_LastTurns(), "key long, history array<long>, last timestamp", "update", "eventtime")
+
+
+class _Facts(StatefulProcessor):
+    """The last write of a key, as long as it lives; answers reads. A failure is kept too, as a miss."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getListState("turns", "ts timestamp, id long")
+        self.handle = handle
+        self.fact = handle.getValueState("fact", "at timestamp, payload string, negative boolean, ttl long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        turns = [(pd.Timestamp(t), i) for t, i in self.kept.get()]
-        turns += [(t, int(i)) for b in rows for t, i in zip(b["ts"], b["id"])]
-        turns.sort()
-        start = 0
-        for k in range(1, len(turns)):
-            if int((turns[k][0] - pd.Timestamp(0)).total_seconds()) - int((turns[k - 1][0] - pd.Timestamp(0)).total_seconds()) > SESSION_TTL:
-                start = k
-        turns = turns[start:][-TURNS:]
-        self.kept.put([(t.to_pydatetime(), i) for t, i in turns])
-        yield pd.DataFrame({"key": [key[0]], "history": [[i for _, i in turns]], "last": [turns[-1][0]]})
+        fact = self.fact.get() if self.fact.exists() else None
+        fact = fact and (pd.Timestamp(fact[0]), fact[1], bool(fact[2]), int(fact[3]))
+        wrote, out = False, []
+        listed = [r for b in rows for r in zip(b["ts"], b["is_read"], b["id"], b["payload"], b["negative"], b["ttl_s"])]
+        # a write at the time of a read comes before it; of writes at one time the highest id is last
+        for t, read, i, payload, negative, ttl in sorted(listed, key=lambda r: (r[0], r[1], r[2])):
+            if not read:
+                fact, wrote = (t, payload, bool(negative), int(ttl)), True
+                continue
+            hit = fact is not None and not fact[2] and _micros(t) - _micros(fact[0]) <= fact[3] * 1_000_000
+            out.append((key[0], int(i), hit, fact[1] if hit else None))
+        if wrote:
+            self.fact.update((fact[0].to_pydatetime(), fact[1], fact[2], fact[3]))
+            for old in self.handle.listTimers():
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(max(_micros(fact[0]) // 1000 + fact[3] * 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame(out, columns=["key", "read_id", "hit", "payload"]).astype({"key": "int64", "read_id": "int64", "hit": "bool"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.fact.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def last_turns(stream: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
-    """key, history, last after each micro-batch, in update mode. Needs the RocksDB state store (STORE)."""
-    rows = stream.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(tie).cast("long").alias("id"))
-    return rows.groupBy("key").transformWithStateInPandas(_LastTurns(), "key long, history array<long>, last timestamp", "update", "none")
+def fact_cache(stream: DataFrame, key: str, ts: str, delay: str = DELAY) -> DataFrame:
+    """key, read_id, hit, payload of the reads in a flow of reads and writes (is_read, id, payload, negative, ttl_s): what the latest write of the key at or before the read says, while it lives."""
+    rows = stream.select(F.col(key).cast("long").alias("key"), F.col(ts).cast("timestamp").alias("ts"), "is_read", F.col("id").cast("long").alias("id"), F.col("payload").cast("string").alias("payload"), F.coalesce("negative", F.lit(False)).alias("negative"), F.coalesce(F.col("ttl_s").cast("long"), F.lit(0)).alias("ttl_s")).withWatermark("ts", delay)
+    return rows.groupBy("key").transformWithStateInPandas(_Facts(), "key long, read_id long, hit boolean, payload string", "append", "eventtime")
 
 
 def gate(stream: DataFrame, message: str) -> DataFrame:
@@ -52,7 +122,7 @@ def drained(stream: DataFrame, path: str, mode: str) -> DataFrame:
     spark: SparkSession = stream.sparkSession
     out = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
     if mode == "append":
-        query = out.format("parquet").outputMode("append").start(f"{path}/rows")
+        query = out.format("parquet").outputMode("append").option("path", f"{path}/rows").start()
     else:
 
         def save(batch: DataFrame, number: int) -> None:
