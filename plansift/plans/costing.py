@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plansift.functions import geo, money, text
 from plansift.operators import geo_joins, grounding
 from plansift.plans.base import joined, query, table
+from plansift.sources.shared import cut
 
 _NORM = r"""trim(regexp_replace(translate(lower({0}), '-_,./\():;''"', '          '), '\s+', ' ', 'g'))"""
 
@@ -57,9 +58,20 @@ def token_sets(spark, d):
     x AS (SELECT doc_id, unnest({_TOKENS.format("text")}) AS t FROM documents)
     SELECT item_id, doc_id, count(*) AS shared FROM b JOIN x USING (t) GROUP BY ALL HAVING count(*) >= 20""")
 def token_overlap_join(spark, d):
-    items = table(spark, d, "benchmark").select("item_id", F.explode(text.tokens(F.col("text"))).alias("t"))
-    docs = table(spark, d, "documents").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("t"))
-    return docs.join(items, "t").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared")).filter("shared >= 20")
+    """Items and documents that share 20 words or more. Each item asks by all but its 19 most frequent words, as one of the others must be shared; who answers is verified."""
+    least = 20
+    items = table(spark, d, "benchmark").select("item_id", text.tokens(F.col("text")).alias("words")).filter(F.size("words") >= least)
+    docs = table(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("words")).filter(F.size("words") >= least)
+    asked = items.select("item_id", F.explode("words").alias("t"))
+    held = docs.select("doc_id", F.explode("words").alias("t"))
+    # how many documents hold each of the items' words
+    often = held.groupBy("t").agg(F.count(F.lit(1)).alias("n")).join(asked.select("t").distinct(), "t")
+    w = Window.partitionBy("item_id").orderBy(F.desc("n"), "t")
+    rare = cut(asked.join(often, "t").withColumn("r", F.row_number().over(w)).filter(F.col("r") >= least).select("item_id", "t"))
+    met = held.join(rare, "t").select("item_id", "doc_id").distinct()
+    shared = F.size(F.array_intersect("words", "asked")).cast("long")
+    pairs = met.join(docs, "doc_id").join(items.withColumnRenamed("words", "asked"), "item_id")
+    return pairs.select("item_id", "doc_id", shared.alias("shared")).filter(F.col("shared") >= least)
 
 
 def _price_text():
@@ -158,6 +170,24 @@ def radius_topk(spark, d):
     return geo_joins.radius_join(anchors, points, 50.0, 6)
 
 
+_WIDE = "(({0} * 37) % 18000) / 100.0 - 90", "(({0} * 7919) % 36000) / 100.0 - 180"
+
+
+@query(f"""
+    SELECT anchor_id, point_id, distance_km, rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY distance_km, point_id) AS rank FROM (
+        SELECT s_suppkey AS anchor_id, c_custkey AS point_id, round(2 * 6371.0 * asin(least(1.0, sqrt({_H.format(a="x", b="y", c="u", d="v")}))), 2) AS distance_km FROM (
+          SELECT s_suppkey, c_custkey, {_WIDE[0].format("s_suppkey")} AS x, {_WIDE[1].format("s_suppkey")} AS y, {_WIDE[0].format("(c_custkey + 7)")} AS u, {_WIDE[1].format("(c_custkey * 3)")} AS v FROM supplier, customer))
+      WHERE distance_km <= 900) WHERE rank <= 6""")
+def radius_topk_everywhere(spark, d):
+    """As radius_topk, with places from pole to pole and round the date line."""
+    at = lambda lat, lng: (((lat * 37) % 18000) / 100.0 - 90, ((lng * 7919) % 36000) / 100.0 - 180)
+    (a, b), (u, v) = at(F.col("s_suppkey"), F.col("s_suppkey")), at(F.col("c_custkey") + 7, F.col("c_custkey") * 3)
+    anchors = table(spark, d, "supplier").select(F.col("s_suppkey").alias("anchor_id"), a.alias("lat"), b.alias("lng"))
+    points = table(spark, d, "customer").select(F.col("c_custkey").alias("point_id"), u.alias("lat"), v.alias("lng"))
+    return geo_joins.radius_join(anchors, points, 900.0, 6)
+
+
 @query()
 def poi_dedupe(spark, d):
     near = radius_topk(spark, d).join(table(spark, d, "customer").select(F.col("c_custkey").alias("point_id"), F.concat("c_mktsegment", F.lit(" house "), (F.col("c_custkey") % 7).cast("string")).alias("name")), "point_id")
@@ -230,11 +260,132 @@ def number_grounding(spark, d):
     return grounding.ungrounded(drafts, evidence, "o_orderkey").withColumn("missing", joined("missing"))
 
 
-@query("""
-    SELECT l_orderkey, string_agg(line, chr(10) ORDER BY l_linenumber, line) AS shown FROM (SELECT l_orderkey, l_linenumber, '- ' || CASE WHEN l_returnflag = 'R' THEN 'return ' ELSE 'item ' END || l_linenumber || ': ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || CASE WHEN l_linestatus = 'O' THEN ' (open)' ELSE '' END AS line
-    FROM lineitem) GROUP BY l_orderkey""")
+_FACTS = """
+    WITH o AS (SELECT o_orderkey, o_orderkey % 3 AS mode, CAST(o_orderkey % 50 AS BIGINT) AS low, o_orderkey % 4 AS price, o_orderkey % 6 AS given, o_orderpriority FROM orders),
+    l AS (SELECT l_orderkey, min(l_linenumber) AS lo, max(l_linenumber) AS hi FROM lineitem GROUP BY 1)"""
+
+
+@query(f"""{_FACTS}
+    SELECT o_orderkey, concat_ws(chr(10),
+        'origin: Order ' || o_orderkey,
+        'distance: ' || low || '.5 km' || CASE WHEN mode = 0 THEN ' (approx)' ELSE '' END || ' [osrm]',
+        'steps: ' || CASE WHEN given = 0 THEN repeat('go on, ', 57) || 'g …' ELSE 'turn' END || '  [osrm]',
+        'eta: ' || low || '.0 minutes [' || CASE WHEN mode = 0 THEN 'osrm' ELSE 'calculation' END || ']',
+        'provider status: ' || CASE WHEN mode = 1 THEN 'FAILED' ELSE 'OK, selected: osrm' END,
+        CASE WHEN mode = 1 THEN 'No transit/bus data available for this route right now. - https://x/transit' END,
+        'stay per_night: ₹' || low || CASE WHEN price > 0 THEN ' - ₹' || (low + price) ELSE '' END,
+        CASE WHEN given = 1 THEN 'temple optional_sevas: free darshan listed in records; no priced entries' WHEN given = 2 THEN 'temple optional_sevas: no priced entries' ELSE 'temple optional_sevas: ₹10' || chr(10) || '  Archana: ₹10' || chr(10) || '  None: free' END,
+        'budget total: ₹' || low || ' - ₹' || (low + 5) || CASE WHEN price > 1 THEN ' (covers: food, stay)' ELSE '' END,
+        CASE WHEN given <> 3 THEN o_orderpriority || ': lines ' || lo || ' to ' || hi END) AS shown
+    FROM o JOIN l ON l_orderkey = o_orderkey""")
 def evidence_render(spark, d):
-    line = table(spark, d, "lineitem")
-    items = line.filter("l_returnflag <> 'R'").select("l_orderkey", F.lit("item").alias("kind"), F.col("l_linenumber").alias("pos"), F.col("l_quantity").cast("long").alias("low"), F.when(F.col("l_linestatus") == "O", "open").alias("note"))
-    back = line.filter("l_returnflag = 'R'").select("l_orderkey", F.lit("return").alias("kind"), F.col("l_linenumber").alias("pos"), F.col("l_quantity").cast("long").alias("low"), F.when(F.col("l_linestatus") == "O", "open").alias("note"))
-    return grounding.render(items.unionByName(back, allowMissingColumns=True), "l_orderkey")
+    """Evidence of all kinds for each order, as lines."""
+    k = F.col("o_orderkey")
+    spans = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("lo"), F.max("l_linenumber").alias("hi"))
+    o = table(spark, d, "orders").join(spans, k == F.col("l_orderkey")).select("o_orderkey", "lo", "hi", "o_orderpriority", (k % 3).alias("mode"), (k % 50).cast("long").alias("low"), (k % 4).alias("price"), (k % 6).alias("given"))
+    by, at = ["o_orderkey", "pos"], lambda n: o.withColumn("pos", F.lit(n))
+    fact = lambda name, value, said, unit: F.struct(F.lit(name).alias("fact"), value.cast("double").alias("value"), said.cast("string").alias("value_text"), F.lit(unit).alias("unit"))
+    none = F.lit(None)
+    steps = F.when(F.col("given") == 0, F.repeat(F.lit("go on, "), 70)).otherwise("turn")
+    facts = o.select("o_orderkey", "mode", F.posexplode(F.array(fact("distance", F.col("low") + 0.5, none, "km"), fact("steps", none, steps, None))).alias("i", "f")).select("o_orderkey", (F.col("i") + 2).alias("pos"), "f.*", F.lit("osrm").alias("provider"), (F.col("mode") == 0).alias("approximate"))
+    facts = facts.withColumn("approximate", F.col("approximate") & (F.col("fact") == "distance"))
+    calc = at(4).select(*by, F.lit("eta").alias("fact"), F.col("low").cast("double").alias("value"), F.lit("minutes").alias("unit"), F.lit("OK").alias("status"), F.lit(False).alias("estimated"), F.when(F.col("mode") == 0, "osrm").alias("provider"))
+    routes = at(6).withColumns({"mode": F.when(F.col("mode") == 1, "transit").otherwise("driving"), "status": F.when(F.col("mode") == 1, "FAILED").otherwise("OK"), "provider": F.when(F.col("mode") != 1, "osrm")})
+    sample = lambda name, charges: F.struct(F.lit(name).cast("string").alias("name"), F.lit(charges).alias("charges"))
+    cost = F.when(~F.col("given").isin(1, 2), F.lit(10))
+    parts = (
+        grounding.evidence(at(1), by, kind=F.lit("place"), role=F.lit("origin"), name=F.concat(F.lit("Order "), k.cast("string"))),
+        grounding.fact_evidence(facts, by),
+        grounding.calculation_evidence(calc, by),
+        grounding.evidence(at(5), by, kind=F.lit("status"), status=F.when(F.col("mode") == 1, "FAILED").otherwise("OK"), selected=F.when(F.col("mode") != 1, "osrm")),
+        grounding.transit_notes(routes, by, "google_routes", "https://x/transit"),
+        grounding.evidence(at(7), by, kind=F.lit("budget_item"), component=F.lit("stay"), scope=F.lit("per_night"), low=F.col("low"), high=F.when(F.col("price") != 1, F.col("low") + F.col("price")).otherwise(F.col("low") + 1), unit=F.lit("currency")),
+        grounding.evidence(at(8), by, kind=F.lit("budget_item"), component=F.lit("temple"), scope=F.lit("optional_sevas"), low=cost, high=cost, unit=F.when(cost.isNotNull(), "currency"), free_stated=F.col("given") == 1, samples=F.when(cost.isNotNull(), F.array(sample("Archana", "₹10"), sample(None, "free")))),
+        grounding.evidence(at(9), by, kind=F.lit("budget_total"), low=F.col("low"), high=F.col("low") + 5, included=F.when(F.col("price") > 1, F.array(F.lit("food"), F.lit("stay")))),
+        grounding.evidence(at(10), by, kind=F.lit("chunk"), name=F.col("o_orderpriority"), text=F.when(F.col("given") != 3, F.concat(F.lit(" lines "), F.col("lo").cast("string"), F.lit(" to "), F.col("hi").cast("string"))).otherwise("  ")),
+    )
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return grounding.render(rows, "o_orderkey")
+
+
+_BLOCK = """
+    WITH b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 5 END AS days, CASE WHEN o_orderkey % 3 = 0 THEN 2 WHEN o_orderkey % 5 > 0 THEN o_orderkey % 5 - 1 END AS nights, o_orderkey % 3 <> 0 AND o_orderkey % 5 > 0 AS guessed,
+                 CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 4 END AS persons, CASE WHEN o_orderkey % 6 = 1 THEN 2 END AS rooms, o_orderkey % 2 = 0 AS two, o_orderkey % 7 = 0 AS nostay, o_orderkey % 8 AS mode, l.* FROM orders
+               LEFT JOIN (SELECT l_orderkey, sum(CAST(l_quantity AS BIGINT)) AS km, min(CAST(floor(l_extendedprice) AS BIGINT)) AS low, max(CAST(floor(l_extendedprice) AS BIGINT)) AS high FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey),
+    c AS (SELECT *, CASE WHEN mode > 2 AND km IS NOT NULL THEN CAST(floor(km * 8.3 * CASE WHEN two THEN 2 ELSE 1 END) AS BIGINT) END AS t, CASE WHEN NOT nostay AND nights > 0 THEN low * nights * coalesce(rooms, 1) END AS s_low, CASE WHEN NOT nostay AND nights > 0 THEN high * nights * coalesce(rooms, 1) END AS s_high,
+                 CASE WHEN k % 9 > 0 THEN low END AS meal, CASE WHEN k % 9 > 0 THEN high END AS dear FROM b),
+    f AS (SELECT *, meal * 3 * days * persons AS f_low, dear * 3 * days * persons AS f_high FROM c),
+    i AS (SELECT *, list_filter([CASE WHEN f_low IS NOT NULL THEN 'food' END, CASE WHEN s_low IS NOT NULL THEN 'stay' END, CASE WHEN t IS NOT NULL THEN 'transport' END], lambda x: x IS NOT NULL) AS included FROM f),
+    j AS (SELECT *, list_filter(['food', 'stay', 'transport'], lambda x: NOT list_contains(included, x) AND NOT (nostay AND x = 'stay')) AS absent FROM i),
+    m AS (SELECT *, list_filter([CASE WHEN mode = 1 THEN 'transit fare (no fare data available)' WHEN mode > 2 AND km IS NULL THEN 'transport distance' END, CASE WHEN NOT nostay AND low IS NULL THEN 'hotel prices (no stays found for this place)' END,
+                 CASE WHEN meal IS NULL THEN 'meal prices (no priced restaurants found for this place)' END, CASE WHEN len(included) > 0 AND len(absent) > 0 THEN 'this total only covers ' || array_to_string(included, ', ') || ' (missing: ' || array_to_string(absent, ', ') || ')' END,
+                 CASE WHEN days IS NULL OR persons IS NULL THEN 'to get a full trip total, tell me ' || concat_ws(' and ', CASE WHEN days IS NULL THEN 'number of days/nights' END, CASE WHEN persons IS NULL THEN 'number of persons' END) END], lambda x: x IS NOT NULL) AS missing FROM j)"""
+
+
+@query(f"""{_BLOCK}
+    SELECT k AS o_orderkey, concat_ws(';', CASE WHEN t IS NOT NULL THEN 'transport/trip_total/' || t || '/' || t END, CASE WHEN NOT nostay AND low IS NOT NULL THEN 'stay/per_night/' || low || '/' || high END, 'stay/trip_total/' || s_low || '/' || s_high,
+             'food/per_meal/' || meal || '/' || dear, 'food/per_day/' || (meal * CASE WHEN days > 0 THEN 3 END) || '/' || (dear * 3), 'food/trip_total/' || f_low || '/' || f_high, CASE WHEN k % 10 = 0 THEN 'temple/optional_sevas/5/5' END) AS components,
+           concat_ws(',', CASE WHEN days IS NOT NULL THEN 'trip_duration' END, CASE WHEN NOT nostay AND nights IS NOT NULL THEN CASE WHEN guessed THEN 'nights_from_days' ELSE 'nights' END END, CASE WHEN persons IS NOT NULL THEN 'persons' END, CASE WHEN rooms IS NOT NULL AND NOT nostay THEN 'rooms' END,
+             CASE WHEN two THEN 'roundtrip' END, CASE WHEN mode > 2 THEN 'fuel_rate' END, CASE WHEN NOT nostay THEN 'per_room' END, 'temple_excluded') AS assumptions,
+           array_to_string(included, ',') AS included, array_to_string(absent, ',') AS absent,
+           CASE WHEN len(included) > 0 THEN coalesce(t, 0) + coalesce(s_low, 0) + coalesce(f_low, 0) END AS low, CASE WHEN len(included) > 0 THEN coalesce(t, 0) + coalesce(s_high, 0) + coalesce(f_high, 0) END AS high,
+           len(included) > 0 AND len(absent) > 0 AS partial, array_to_string(missing, '; ') AS missing, CASE WHEN len(missing) = 0 AND len(included) > 0 THEN 'complete' ELSE 'partial' END AS estimate_status, len(missing) = 0 AND len(included) > 0 AS is_complete
+    FROM m""")
+def budget_block(spark, d):
+    """The whole budget of a trip: components by scope, assumptions, total, what is missing, and whether it is complete."""
+    p = F.floor("l_extendedprice").cast("long")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("km"), F.min(p).alias("low"), F.max(p).alias("high"))
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").join(lines, k == F.col("l_orderkey"), "left")
+    meal = lambda c: F.when(k % 9 > 0, F.col(c))
+    seva = F.when(k % 10 == 0, F.lit(5).cast("long"))
+    trips = rows.select(
+        "o_orderkey", F.when(k % 5 > 0, k % 5).alias("days"), F.when(k % 3 == 0, 2).when(k % 5 > 0, k % 5 - 1).alias("nights"), ((k % 3 != 0) & (k % 5 > 0)).alias("nights_from_days"),
+        F.when(k % 4 > 0, k % 4).alias("persons"), F.when(k % 6 == 1, 2).alias("rooms"), (k % 2 == 0).alias("roundtrip"), (k % 7 == 0).alias("stay_excluded"), F.when(k % 8 == 1, "transit").when(k % 8 == 2, "walking").when(k % 8 == 0, "cycling").otherwise("driving").alias("mode"),
+        "km", F.col("low").alias("stay_low"), F.col("high").alias("stay_high"), meal("low").alias("meal_low"), meal("high").alias("meal_high"), seva.alias("seva_low"), seva.alias("seva_high"),
+    )
+    got = grounding.budget_block(trips, "o_orderkey")
+    shown = F.transform("components", lambda c: F.concat_ws("/", c["component"], c["scope"], c["low"].cast("string"), c["high"].cast("string")))
+    return got.withColumns({"components": F.array_join(shown, ";"), "assumptions": joined("assumptions"), "included": joined("included"), "absent": joined("absent"), "missing": F.array_join("missing", "; ")})
+
+
+@query(f"""
+    WITH r AS (SELECT p_partkey AS id, 'p/' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS path, regexp_extract_all(lower(p_name || ' ' || p_brand), '[a-z0-9]+') AS w FROM part WHERE p_partkey % 3 <> 0),
+    q AS (SELECT o_orderkey AS k, o_orderkey % (SELECT count(*) FROM part) AS a, o_orderkey * 7 % (SELECT count(*) FROM part) AS b, CASE WHEN o_orderkey % 4 = 0 THEN 'zz nowhere' ELSE 'the big blue lamp of order' END AS said FROM orders),
+    i AS (SELECT k, coalesce((CASE WHEN a % 3 <> 0 THEN a END), CASE WHEN b % 3 <> 0 THEN b END) AS id FROM q),
+    x AS (SELECT min(path) AS path FROM r WHERE list_has_any(w, list_filter(regexp_extract_all('the big blue lamp of order', '[a-z0-9]+'), lambda t: length(t) >= 3)))
+    SELECT q.k AS o_orderkey, CASE WHEN i.id IS NOT NULL THEN 'p/' || lpad(CAST(i.id AS VARCHAR), 9, '0') ELSE x.path END AS path, CASE WHEN i.id IS NOT NULL THEN 'id' ELSE 'word' END AS by
+    FROM q JOIN i USING (k), x WHERE i.id IS NOT NULL OR (said <> 'zz nowhere' AND x.path IS NOT NULL)""")
+def seva_lookup(spark, d):
+    """A request's record: by its ids in order, else the first file that shares a word with it."""
+    part = table(spark, d, "part")
+    split = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    records = part.filter("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("record_id"), F.concat(F.lit("p/"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("path"), split(F.concat_ws(" ", "p_name", "p_brand")).alias("words"))
+    k, n = F.col("o_orderkey"), part.count()
+    said = F.when(k % 4 == 0, "zz nowhere").otherwise("the big blue lamp of order")
+    requests = table(spark, d, "orders").select(k.alias("request_id"), F.array(k % n, k * 7 % n).alias("ids"), split(said).alias("words"))
+    return grounding.seva_records(requests, records).withColumnRenamed("request_id", "o_orderkey")
+
+
+@query("""
+    SELECT s_suppkey, 'restaurants' AS source, 'no_data' AS key, 'No restaurants found in the curated dataset or the live map for this query.' AS error,
+           'https://search.example/?q=' || CASE WHEN s_suppkey % 2 = 0 THEN 'restaurants' ELSE 'food+near+' || replace(replace(s_name, '#', '%23'), ' ', '+') END AS hint
+    FROM supplier WHERE s_suppkey NOT IN (SELECT p_partkey // 20 FROM part WHERE p_size > 40)""")
+def no_result_notes(spark, d):
+    """A note with a search link for every supplier without a large part."""
+    requests = table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, " ").otherwise(F.concat(F.lit("food near "), F.col("s_name"))).alias("question"))
+    results = table(spark, d, "part").filter("p_size > 40").select(F.floor(F.col("p_partkey") / 20).alias("s_suppkey"))
+    return grounding.no_result_notes(requests, results, "s_suppkey", F.lit(0), "https://search.example/?q={query}", "restaurants").select("s_suppkey", "source", "key", "error", "hint")
+
+
+@query("""
+    WITH c AS (SELECT p_partkey // 20 AS place_id, p_name AS name, row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey) AS place FROM part WHERE p_size > 25),
+    l AS (SELECT c_nationkey AS place_id, c_name AS name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS place FROM customer)
+    SELECT place_id, name, CAST(place AS INT) AS place, 'internal_dataset' AS source_tier FROM c WHERE place <= 5 UNION ALL SELECT place_id, name, CAST(place AS INT), 'open-data' FROM l WHERE place <= 4""")
+def merged_results(spark, d):
+    """A place's first five curated rows, then its first four live ones."""
+    curated = table(spark, d, "part").filter("p_size > 25").select(F.floor(F.col("p_partkey") / 20).alias("place_id"), F.col("p_name").alias("name"), F.col("p_partkey").alias("pos"))
+    live = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("place_id"), F.col("c_name").alias("name"), F.col("c_custkey").alias("pos"))
+    return grounding.merge_tiers(curated, live, "place_id", "pos").select("place_id", "name", "place", "source_tier")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plansift.operators import documents, resolve
 from plansift.plans.base import query, table
 from plansift.sources import json_layouts
+from plansift.sources.shared import cut, shared_dir
 
 _K = "CAST(json_extract_string(props, '$.k') AS DOUBLE)"
 
@@ -18,7 +19,7 @@ def _layouts(spark, d):
     e = F.col("event_id") % 5
     name = F.concat(F.lit('"R'), F.col("event_id").cast("string"), F.lit('"'))
     one = F.concat(F.lit('{"restaurantName": '), name, F.lit(', "travelInformation": {"distanceFromTempleKm": '), k, F.lit('}, "basicInformation": {"cuisineType": ["a", "b"]}}'))
-    two = F.concat(F.lit('{"restaurantName": {"value": '), name, F.lit('}, "distanceFromTemple": {"drivingDistance": {"value": '), k, F.lit('}}, "cuisine": {"types": "c"}, "metadata": {"status": "Temporarily Closed"}}'))
+    two = F.concat(F.lit('{"restaurantName": {"value": '), name, F.lit('}, "distanceFromTemple": {"drivingDistance": {"value": '), k, F.lit('}}, "cuisine": {"types": "c"}, "businessStatus": "Temporarily Closed", "foodType": {"pureVeg": true}, "businessInformation": {"reviewCount": 7}, "priceInformation": {"averageCostForOne": {"value": "₹200"}}, "workingHours": {"openingTime": "9", "closingTime": "21", "workingDays": "daily"}}'))
     three = F.concat(F.lit('{"name": '), name, F.lit(', "distance_km": "'), k, F.lit('", "foodType": {"vegetarian": true}}'))
     four = F.lit('{"restaurantName": {"value": null}}')
     five = F.concat(F.lit('{"restaurantName": '), name)
@@ -26,15 +27,16 @@ def _layouts(spark, d):
 
 
 @query(f"""
-    SELECT event_id, 'R' || event_id AS name, {_K} AS distance_km, CASE event_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS n_cuisines, CASE WHEN event_id % 5 = 2 THEN true END AS vegetarian, event_id % 5 <> 1 AS open
+    SELECT event_id, 'R' || event_id AS name, {_K} AS distance_km, CASE event_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS n_cuisines, CASE WHEN event_id % 5 = 2 THEN true END AS vegetarian, event_id % 5 <> 1 AS open,
+           CASE WHEN event_id % 5 = 1 THEN true END AS pure_veg, CASE WHEN event_id % 5 = 1 THEN 7 END AS reviews, CASE WHEN event_id % 5 = 1 THEN '₹200' END AS cost_for_one, CASE WHEN event_id % 5 = 1 THEN '9 - 21 (daily)' ELSE '' END AS hours
     FROM events WHERE event_id % 5 < 3""")
 def json_variant_unify(spark, d):
-    return json_layouts.restaurants(_layouts(spark, d)).select("event_id", "name", "distance_km", F.size("cuisines").alias("n_cuisines"), "vegetarian", "open")
+    return json_layouts.restaurants(_layouts(spark, d)).select("event_id", "name", "distance_km", F.size("cuisines").alias("n_cuisines"), "vegetarian", "open", "pure_veg", F.col("reviews").cast("int").alias("reviews"), "cost_for_one", "hours")
 
 
 @query("SELECT event_id, CASE event_id % 5 WHEN 4 THEN 'invalid_json' WHEN 2 THEN 'invalid_record' WHEN 3 THEN 'invalid_record' WHEN 1 THEN 'ok' ELSE 'ok' END AS status FROM events")
 def malformed_quarantine(spark, d):
-    return json_layouts.quarantine(_layouts(spark, d), "value", ("restaurantName",)).select("event_id", F.when((F.col("event_id") % 5 == 3), "invalid_record").otherwise(F.col("status")).alias("status"))
+    return json_layouts.quarantine(_layouts(spark, d), "value", ("restaurantName",)).select("event_id", "status")
 
 
 @query("""
@@ -64,17 +66,21 @@ def _ddl(flat: str) -> str:
     return flat.replace(" string", ": string").replace(" array", ": array").replace(" map", ": map").replace(" struct<", ": struct<")
 
 
-@query()
+@query("""
+    SELECT event_id, 'Props:' || chr(10) || 'K: ' || json_extract_string(props, '$.k') || chr(10) || 'Event Type: ' || event_type || chr(10) || 'Users:' || chr(10) || 'User Id: ' || user_id || chr(10) || 'Seen' || chr(10)
+           || 'Is Even: ' || CASE WHEN event_id % 2 = 0 THEN 'True' ELSE 'False' END AS shown
+    FROM events""")
 def json_stringify(spark, d):
-    nested = F.to_json(F.struct(F.from_json("props", "k int").alias("props"), F.col("event_type").alias("event_type"), F.array(F.struct(F.col("user_id").alias("user_id"))).alias("users")))
+    nested = F.concat(F.lit('{"props":'), "props", F.lit(',"event_type":"'), "event_type", F.lit('","users":[{"user_id":'), F.col("user_id").cast("string"), F.lit(',"note":"  "},"Seen "],"none":null,"is_even":'), (F.col("event_id") % 2 == 0).cast("string"), F.lit("}"))
     return table(spark, d, "events").select("event_id", json_layouts.stringify(nested).alias("shown"))
 
 
 @query("""
     SELECT c_custkey, 'poi' AS kind, c_name AS name, CAST(c_nationkey AS DOUBLE) AS value, c_mktsegment AS value_text FROM customer WHERE c_custkey % 3 <> 0
-    UNION ALL SELECT c_custkey, 'route', 'distance_km', CAST(c_custkey AS DOUBLE) / 10, NULL FROM customer
-    UNION ALL SELECT c_custkey, 'route', 'duration_min', CAST(c_nationkey AS DOUBLE), NULL FROM customer
-    UNION ALL SELECT c_custkey, 'route', 'steps', NULL, 'go > turn' FROM customer
+    UNION ALL SELECT c_custkey, 'route', 'distance_km', CAST(c_custkey AS DOUBLE) / 10, NULL FROM customer WHERE c_custkey % 30 <> 2
+    UNION ALL SELECT c_custkey, 'route', 'duration_min', CAST(c_nationkey AS DOUBLE), NULL FROM customer WHERE c_custkey % 30 <> 2
+    UNION ALL SELECT c_custkey, 'route', 'duration_in_traffic_min', CAST(c_nationkey AS DOUBLE) * 2, NULL FROM customer WHERE c_custkey % 3 = 1
+    UNION ALL SELECT c_custkey, 'route', 'steps', NULL, 'go > turn' FROM customer WHERE c_custkey % 3 <> 2
     UNION ALL SELECT c_custkey, 'place', c_name, CAST(c_nationkey AS DOUBLE), NULL FROM customer WHERE c_custkey % 4 <> 0""")
 def response_flatten(spark, d):
     c = table(spark, d, "customer")
@@ -82,8 +88,14 @@ def response_flatten(spark, d):
     tags = F.create_map(F.lit("name"), F.when(key % 3 != 0, F.col("c_name")).otherwise(F.lit("")), F.lit("addr:city"), F.col("c_mktsegment"))
     element = F.struct(key.alias("id"), F.when(key % 2 == 0, n).alias("lat"), F.when(key % 2 == 0, n).alias("lon"), F.when(key % 2 == 1, F.struct(n.alias("lat"), n.alias("lon"))).alias("center"), tags.alias("tags"))
     poi = json_layouts.pois(c.select("c_custkey", F.to_json(F.struct(F.array(element).alias("elements"))).alias("j")), "j")
-    route = F.struct((key * 100).cast("double").alias("distanceMeters"), F.concat((F.col("c_nationkey") * 60).cast("string"), F.lit("s")).alias("duration"), F.array(F.struct(F.lit("go").alias("text")), F.struct(F.lit("turn").alias("text"))).alias("steps"))
-    facts = json_layouts.routes(c.select("c_custkey", F.to_json(F.struct(F.array(route).alias("routes"))).alias("j")), "j")
+    metres, secs = (key * 100).cast("double"), F.col("c_nationkey") * 60
+    say = lambda t: F.struct(F.struct(F.lit(t).alias("instructions")).alias("navigationInstruction"))
+    short = F.struct(metres.alias("distanceMeters"), F.concat(secs.cast("string"), F.lit("s")).alias("duration"), F.array(F.struct(F.lit("go").alias("text")), F.struct(F.lit("turn").alias("text"))).alias("steps"))
+    full = F.struct(metres.alias("distanceMeters"), F.struct(secs.alias("seconds")).alias("duration"), F.struct((secs * 2).alias("seconds")).alias("durationInTraffic"), F.array(F.struct(F.array(say("go"), say(" ")).alias("steps")), F.struct(F.array(say("turn")).alias("steps"))).alias("legs"))
+    second = F.struct(metres.alias("distance"), secs.alias("duration"))
+    answers = lambda r, code: F.to_json(F.struct(code.alias("code"), F.array(r).alias("routes")))
+    route = F.when(key % 3 == 0, answers(short, F.lit(None).cast("string"))).when(key % 3 == 1, answers(full, F.lit(None).cast("string"))).otherwise(answers(second, F.when(key % 30 == 2, F.lit("NoRoute")).otherwise(F.lit("Ok"))))
+    facts = json_layouts.routes(c.select("c_custkey", route.alias("j")), "j")
     found = F.array(F.struct(F.col("c_name").alias("display_name"), F.when(key % 4 == 0, F.lit("bad")).otherwise(n.cast("string")).alias("lat"), F.lit("10.5").alias("lon"), F.lit(0.5).alias("importance")))
     places = json_layouts.geocoded(c.select("c_custkey", F.to_json(found).alias("j")), "j")
     none = F.lit(None).cast("string")
@@ -109,8 +121,37 @@ def place_append(spark, d):
 @query("""
     WITH x AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)
     SELECT doc_id, CAST(pos AS INT) AS pos, 'line[' || pos || ']' AS section, content FROM x WHERE trim(content) <> ''""")
+def doc_lines(spark, d):
+    return documents.lines(table(spark, d, "documents"), "doc_id", "text")
+
+
+def _pages(spark, d):
+    """Documents as JSON records: whole text, lists with titled, bare and empty items, and operational fields; every seventh without a name."""
+    k = F.col("doc_id")
+    history = F.array(F.to_json(F.struct(F.col("source").alias("title"), k.alias("since"))), F.to_json(F.struct(F.lit(" ").alias("note"))), F.to_json(F.struct(F.array("lang", "source").alias("kept_by"))))
+    plain = F.to_json(F.struct(k.alias("temple_id"), F.when(k % 7 != 0, F.concat(F.lit("page "), k.cast("string"))).alias("name"), F.col("text").alias("overview"), F.col("source").alias("sevas"), F.lit("2024").alias("last_verified")))
+    faq = F.array(F.lit('"by hand"'), F.to_json(F.struct(F.lit("").alias("title"), F.col("lang").alias("heading"))))
+    json = F.concat(F.regexp_replace(plain, r"\}$", ""), F.lit(', "history": ['), F.array_join(history, ","), F.lit('], "faq": ['), F.array_join(faq, ","), F.lit("]}"))
+    return table(spark, d, "documents").select("doc_id", json.alias("value"))
+
+
+_TRIM = r"regexp_replace({0}, '^[\s\x0b\x1c-\x1f\x85\xa0]+|[\s\x0b\x1c-\x1f\x85\xa0]+$', '', 'g')"
+_SECTIONS = f"""
+    SELECT doc_id, 'overview' AS content_type, 0 AS pos, 'overview' AS section, {_TRIM.format('text')} AS content FROM documents WHERE {_TRIM.format('text')} <> ''
+    UNION ALL SELECT doc_id, 'history', 0, source, 'Title: ' || source || chr(10) || 'Since: ' || doc_id FROM documents
+    UNION ALL SELECT doc_id, 'history', 2, 'history[2]', 'Kept By:' || chr(10) || lang || chr(10) || source FROM documents
+    UNION ALL SELECT doc_id, 'faq', 0, 'faq[0]', 'by hand' FROM documents
+    UNION ALL SELECT doc_id, 'faq', 1, lang, 'Heading: ' || lang FROM documents"""
+
+
+@query(f"SELECT x.*, CAST(doc_id AS VARCHAR) AS temple_id, 'page ' || doc_id AS name, '2024' AS last_verified FROM ({_SECTIONS}) x WHERE doc_id % 7 <> 0")
 def doc_sections(spark, d):
-    return documents.sections(table(spark, d, "documents"), "doc_id", "text")
+    return documents.sections(_pages(spark, d))
+
+
+@query(f"SELECT content_type, count(*) AS n, count(DISTINCT doc_id) AS n_records FROM ({_SECTIONS}) WHERE doc_id % 7 <> 0 GROUP BY 1")
+def section_counts(spark, d):
+    return documents.sections(_pages(spark, d)).groupBy("content_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_records"))
 
 
 @query()
@@ -118,7 +159,14 @@ def doc_chunks(spark, d):
     return documents.chunks(table(spark, d, "documents"), "doc_id", "text")
 
 
-_DOT = "list_sum(list_transform(list_zip(a.v, b.v), lambda x: x[1] * x[2]))"
+@query()
+def chunk_store(spark, d):
+    """Chunks put into a store twice, half of the documents the first time; none is there twice."""
+    path = f"{shared_dir(spark)}/chunks"
+    found = cut(doc_chunks(spark, d))
+    documents.ingest(found.filter("doc_id % 2 = 0"), path, "doc_id")
+    documents.ingest(found, path, "doc_id")
+    return spark.read.schema(found.schema).parquet(path)
 
 
 @query("""
@@ -135,6 +183,19 @@ def vector_topk(spark, d):
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.row_number().over(w).alias("rank")).filter(F.col("rank") <= documents.CANDIDATES)
 
 
+@query("""
+    WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    s AS (SELECT b.vec_id AS query_id, a.vec_id, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS score
+          FROM e a JOIN e b ON b.vec_id % 100 = 0 AND a.vec_id % 7 = (b.vec_id // 100) % 7),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 20""")
+def vector_topk_in_groups(spark, d):
+    """Each query searches one group of the vectors alone: its permitted groups come first, so that no other vector is scored."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"), (F.col("vec_id") % 7).alias("grp"))
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), (F.floor(F.col("vec_id") / 100) % 7).alias("grp"))
+    return documents.vector_topk(e, q, documents.CANDIDATES, group="grp").select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
 _QUESTION = "CASE WHEN {0} % 5 = 0 THEN 'what time is the festival' WHEN {0} % 5 = 1 THEN 'history of the founder and distance' WHEN {0} % 5 = 2 THEN 'temple timings and darshan' WHEN {0} % 5 = 3 THEN 'parking is here' ELSE 'is the' END"
 _KIND = "CASE WHEN doc_id % 4 = 0 THEN 'faq' WHEN doc_id % 4 = 1 THEN 'history' WHEN doc_id % 4 = 2 THEN 'travel' ELSE source END"
 _CONTENT = "text || CASE WHEN doc_id % 6 = 0 THEN ' The darshan timings are open hours' WHEN doc_id % 6 = 1 THEN ' a festival and its history' ELSE '' END"

@@ -5,8 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Window
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from plansift.functions.geo import coordinate
 from plansift.operators import state
 from plansift.plans.base import joined, query, table
 from plansift.sources.shared import shared_base
@@ -30,16 +32,70 @@ def session_last10(spark, d):
 @query()
 def session_state_stream(spark, d):
     """The same histories by a stateful stream over the events file."""
-    events = table(spark, d, "events")
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", sessions.STORE)
-    try:
-        stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(_stream_path(d, "events"))
-        rows = sessions.drained(sessions.last_turns(stream, "user_id", "ts", "event_id"), _folder(spark), "update")
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    own = _streaming(spark)
+    schema = table(spark, d, "events").schema
+    stream = own.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_stream_path(d, "events"))
+    rows = sessions.drained(sessions.last_turns(stream, "user_id", "ts", "event_id"), _folder(spark), "update")
     newest = Window.partitionBy("key").orderBy(F.desc("batch"))
-    return rows.withColumn("r", F.row_number().over(newest)).filter("r = 1").select(F.col("key").alias("user_id"), joined("history"), "last")
+    rows = rows.withColumn("r", F.row_number().over(newest)).filter("r = 1 and size(history) > 0")
+    return rows.select(F.col("key").alias("user_id"), joined("history"), "last")
+
+
+def _streaming(spark):
+    """A session of its own for a stateful stream, so that the caller's settings stay as they are."""
+    own = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.checkpoint.dir"):
+        if (value := spark.conf.get(name, None)) is not None:
+            try:
+                own.conf.set(name, value)
+            except AnalysisException:  # a static setting, which all sessions share
+                pass
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", sessions.STORE)
+    return own
+
+
+_CACHE = """
+    WITH e AS (SELECT *, ['geocode', 'route', 'places', 'other'][event_id % 4 + 1] AS kind FROM events),
+    w AS (SELECT user_id, ts, event_id, 'f' || event_id AS payload, event_type = 'error' AS negative, CASE WHEN event_type = 'error' THEN CASE kind WHEN 'places' THEN 600 ELSE 30 END WHEN kind = 'geocode' THEN 2592000 ELSE 86400 END AS ttl FROM e WHERE event_type IN ('error', 'purchase')),
+    r AS (SELECT * FROM e WHERE event_type = 'view'),
+    j AS (SELECT r.user_id, r.event_id AS read_id, r.ts, w.ts AS wts, w.payload, w.negative, w.ttl, row_number() OVER (PARTITION BY r.event_id ORDER BY w.ts DESC, w.event_id DESC) AS n FROM r LEFT JOIN w ON w.user_id = r.user_id AND w.ts <= r.ts)
+    SELECT user_id, read_id, coalesce(NOT negative AND epoch_us(ts) - epoch_us(wts) <= CAST(ttl AS BIGINT) * 1000000, false) AS hit, CASE WHEN NOT negative AND epoch_us(ts) - epoch_us(wts) <= CAST(ttl AS BIGINT) * 1000000 THEN payload END AS payload FROM j WHERE n = 1"""
+
+
+def _facts(events):
+    """Events as reads (views) and writes (purchases, and errors as failures) of facts of four kinds."""
+    kind = F.element_at(F.array(*map(F.lit, ("geocode", "route", "places", "other"))), (F.col("event_id") % 4 + 1).cast("int"))
+    negative = F.col("event_type") == "error"
+    return events.filter(F.col("event_type").isin("view", "error", "purchase")).select("user_id", "ts", F.col("event_id").alias("id"), (F.col("event_type") == "view").alias("is_read"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("payload"), negative.alias("negative"), state.fact_ttl(kind, negative).alias("ttl_s"))
+
+
+@query(_CACHE)
+def fact_cache_stream(spark, d):
+    """Reads of a cache of facts, answered by a stateful stream."""
+    stream = _streaming(spark).readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "*.parquet").parquet(_stream_path(d, "events"))
+    return sessions.drained(sessions.fact_cache(_facts(stream), "user_id", "ts"), _folder(spark), "append").withColumnRenamed("key", "user_id")
+
+
+@query("""
+    SELECT conv_id, turn, substring(text, 1, 500) AS text, coalesce(array_to_string(list(role || '=' || substring(text, 1, 300)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), ' | '), '') AS context FROM conversations""")
+def context_turns(spark, d):
+    """Each turn with the three before it, texts cut."""
+    rows = state.recent_context(table(spark, d, "conversations"), "conv_id", ["turn"], ["text", "role"])
+    shown = F.transform("context", lambda t: F.concat(t["role"], F.lit("="), t["text"]))
+    return rows.select("conv_id", "turn", "text", F.array_join(shown, " | ").alias("context"))
+
+
+@query("""
+    SELECT c_custkey, 'travel:v2:route:' || printf('%.6f,%.6f:%.6f,%.6f', c_custkey / 8.0 % 90, c_nationkey / 4.0, c_nationkey / 2.0, c_custkey / 16.0 % 180) || ':' || replace(lower(c_mktsegment), ' ', '_') || '_car' AS route_key,
+           'travel:v2:places:overpass:hotel:' || printf('%.3f:%.3f', c_custkey / 8.0 % 90, c_nationkey / 4.0) || ':5000' AS places_key,
+           CASE WHEN c_acctbal BETWEEN -180 AND 180 THEN c_acctbal END AS longitude
+    FROM customer""")
+def cache_keys(spark, d):
+    c = table(spark, d, "customer")
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    origin, destination = (k / 8.0 % 90, n / 4.0), (n / 2.0, k / 16.0 % 180)
+    said = F.concat(F.lit(" "), F.col("c_mktsegment"), F.lit(" Car "))
+    return c.select("c_custkey", state.route_key(origin, destination, said).alias("route_key"), state.places_key(F.lit("hotel"), *origin, F.lit(5000)).alias("places_key"), coordinate(F.col("c_acctbal").cast("string"), 180.0).alias("longitude"))
 
 
 def _stream_path(d: str, name: str) -> str:
@@ -69,17 +125,13 @@ def safety_stream(spark, d):
     return sessions.drained(urgent, _folder(spark), "append")
 
 
-@query("""
-    WITH w AS (SELECT user_id, ts, event_id, value, event_type = 'error' AS negative, CASE WHEN event_type = 'error' THEN 30 ELSE 86400 END AS ttl FROM events WHERE event_type IN ('error', 'purchase')),
-    r AS (SELECT * FROM events WHERE event_type = 'view'),
-    j AS (SELECT r.user_id, r.event_id AS read_id, r.ts, w.ts AS wts, w.value, w.negative, w.ttl, row_number() OVER (PARTITION BY r.event_id ORDER BY w.ts DESC, w.event_id DESC) AS n FROM r LEFT JOIN w ON w.user_id = r.user_id AND w.ts <= r.ts)
-    SELECT user_id, read_id, coalesce(NOT negative AND epoch_us(ts) - epoch_us(wts) <= CAST(ttl AS BIGINT) * 1000000, false) AS hit, CASE WHEN NOT negative AND epoch_us(ts) - epoch_us(wts) <= CAST(ttl AS BIGINT) * 1000000 THEN 'f0' END AS payload FROM j WHERE n = 1""")
+@query(_CACHE)
 def ttl_cache_asof(spark, d):
-    e = table(spark, d, "events")
-    reads = e.filter("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("read_id"))
-    negative = F.col("event_type") == "error"
-    writes = e.filter(F.col("event_type").isin("error", "purchase")).select("user_id", "ts", F.lit("f0").alias("payload"), negative.alias("negative"), F.when(negative, state.NEGATIVE_TTL).otherwise(state.ROUTE_TTL).alias("ttl_s"))
-    return state.as_of(reads, writes, "user_id", "ts")
+    """The batch twin of fact_cache_stream."""
+    facts = _facts(table(spark, d, "events"))
+    reads = facts.filter("is_read").select("user_id", "ts", F.col("id").alias("read_id"))
+    writes = facts.filter("not is_read").select("user_id", "ts", "id", "payload", "negative", "ttl_s")
+    return state.as_of(reads, writes, "user_id", "ts", tie="id")
 
 
 @query("""

@@ -3,6 +3,7 @@
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -18,9 +19,27 @@ def rows(df):
 def test_layouts(spark):
     docs = ['{"restaurantName":{"value":"A"},"location":{"address":{"value":"x"}},"cuisine":{"types":["p","q"]}}', '{"restaurantName":{"value":null}}', '{"restaurantName":"B","travelInformation":{"distanceFromTempleKm":{"value":1.234}},"businessStatus":"CLOSED"}', "{bad", None, "[1]"]
     df = json_layouts.restaurants(spark.createDataFrame([(d,) for d in docs], "value string"))
-    assert [(r.name, r.address, r.distance_km, r.cuisines, r.open) for r in df.orderBy("name").collect()] == [("A", "x", None, ["p", "q"], True), ("B", None, 1.23, [], False)]
+    assert [(r.name, r.address, r.distance_km, r.cuisines, r.open) for r in df.orderBy("name").collect()] == [("A", "x", None, ["p", "q"], True), ("B", "", 1.23, [], False)]
     checked = json_layouts.quarantine(spark.createDataFrame([(d,) for d in docs], "value string"), "value", ("restaurantName",))
-    assert {r.status for r in checked.collect()} == {"ok", "invalid_json", "invalid_record"}
+    assert [r.status for r in checked.collect()] == ["ok", "invalid_record", "ok", "invalid_json", "invalid_json", "invalid_record"]
+    assert json_layouts.strict(checked.filter("status = 'ok'")).count() == 2
+    with pytest.raises(Exception, match="bad record: invalid_"):
+        json_layouts.strict(checked).collect()
+
+
+def test_restaurant_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"restaurantName": {"value": " A "},\n "associatedTemple": {"templeId": "T1"}, "dietaryInformation": {"vegetarian": false}, "foodType": {"pureVeg": true}, "priceInformation": {"averageCostForOne": {"value": "₹200-300"}}, "customerInformation": {"totalReviews": 12}, "distanceFromTemple": {"walkingDistance": {"value": 0.456}, "drivingDistance": 9}, "location": {"landmark": "gate"}}')
+    (tmp_path / "b.json").write_text("[]")
+    (r,) = json_layouts.read_restaurant_files(spark, str(tmp_path)).collect()
+    assert (r.name, r.temple_id, r.vegetarian, r.pure_veg, r.cost_for_one, r.reviews, r.distance_km, r.address) == ("A", "T1", False, True, "₹200-300", 12, 0.46, "gate")
+
+
+def test_first_filled(spark):
+    from plansift.functions.text import filled, first_filled
+
+    df = spark.createDataFrame([("", None, "c", [], [1]), (None, "b", "c", [2], [1])], "a string, b string, c string, x array<int>, y array<int>")
+    got = df.select(first_filled(F.col("a"), F.col("b"), F.col("c")).alias("t"), F.coalesce(filled(F.col("x")), filled(F.col("y"))).alias("l"), first_filled(F.lit(0), F.lit(5)).alias("n"), first_filled(F.lit(False)).alias("f")).collect()
+    assert [tuple(r) for r in got] == [("c", [1], 0, False), ("b", [2], 0, False)]
 
 
 def test_hotel_files(spark, tmp_path):
@@ -84,9 +103,21 @@ def test_radius_join_is_exact(spark):
     assert rows(geo_joins.radius_join(a, p, 20.0, 99).select("anchor_id", "point_id")) == rows(near.select("anchor_id", "point_id"))
 
 
+def test_radius_join_by_the_poles_and_over_the_date_line(spark):
+    from plansift.functions.geo import haversine
+
+    pts = [(i, lat, lng) for i, (lat, lng) in enumerate((a, b) for a in (-90.0, -89.7, -80.0, 0.0, 0.3, 74.9, 75.2, 89.6, 89.9, 90.0) for b in (-180.0, -179.9, -90.0, 0.1, 89.0, 179.8, 180.0))]
+    pts += [(900, None, 1.0), (901, 95.0, 1.0)]
+    a = spark.createDataFrame(pts, "anchor_id long, lat double, lng double")
+    p = spark.createDataFrame(pts, "point_id long, lat double, lng double")
+    for km in (5.0, 40.0, 700.0, 6000.0):
+        near = a.toDF("anchor_id", "x", "y").crossJoin(p).withColumn("d", haversine(F.col("x"), F.col("y"), F.col("lat"), F.col("lng"))).filter((F.col("d") <= km) & ~F.col("anchor_id").isin(900, 901) & ~F.col("point_id").isin(900, 901))
+        assert rows(geo_joins.radius_join(a, p, km, 999).select("anchor_id", "point_id")) == rows(near.select("anchor_id", "point_id"))
+
+
 def test_near_names_go(spark):
-    items = spark.createDataFrame([(1, "Hotel Sun", 1), (1, "Lake Palace", 2), (1, "Lake Palaces", 3), (2, "Hotel Sun", 1)], "k long, name string, rank int")
-    known = spark.createDataFrame([(1, "hotel sun")], "k long, name string")
+    items = spark.createDataFrame([(1, "Hotel Sun", 1), (1, "Lake Palace", 2), (1, "Lake Palaces", 3), (2, "Hotel Sun", 1), (2, None, 2)], "k long, name string, rank int")
+    known = spark.createDataFrame([(1, "hotel sun"), (1, None)], "k long, name string")
     assert rows(geo_joins.drop_near_names(items, known, "k", "name", "rank").select("k", "name")) == [(1, "Lake Palace"), (2, "Hotel Sun")]
 
 
@@ -117,7 +148,7 @@ def test_focus_and_priority(spark):
 
 def test_stringify(spark):
     df = spark.createDataFrame([('{"a_b": {"c": [1, "x"], "d": null, "e": true}}',), ("{",), (None,)], "t string")
-    assert [r.x for r in df.select(json_layouts.stringify(F.col("t")).alias("x")).collect()] == ["A B: C: 1\nx\nE: Yes", None, None]
+    assert [r.x for r in df.select(json_layouts.stringify(F.col("t")).alias("x")).collect()] == ["A B:\nC:\n1\nx\nE: True", None, None]
 
 
 def test_places(spark):
@@ -131,3 +162,130 @@ def test_as_of(spark):
     r = pd.DataFrame({"k": [1] * 5, "ts": pd.to_datetime([-1, 50, 51, 101, 200], unit="s"), "read_id": range(5)})
     got = state.as_of(spark.createDataFrame(r), spark.createDataFrame(w), "k", "ts")
     assert rows(got.select("read_id", "hit", "payload")) == [(0, False, None), (1, True, "a"), (2, False, None), (3, False, None), (4, True, "c")]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def plain_fuzzy(mention, names, limit=0.88):
+    """(score, alias, key) of the names (alias, key) near a mention, the best alias of each key, ten at most."""
+    best = {}
+    for alias, key in names:
+        s = SequenceMatcher(None, mention, alias).ratio()
+        if s >= limit and (key not in best or s > best[key][0]):
+            best[key] = (s, alias, key)
+    return [(round(s, 4), a, k) for s, a, k in sorted(best.values(), key=lambda x: (-x[0], x[1], x[2]))[:10]]
+
+
+def part_names():
+    import duckdb
+
+    got = duckdb.sql(f"select p_partkey, p_name, p_brand from '{SF}/part.parquet'").fetchall()
+    return got, {k: b for k, _, b in got}
+
+
+def hurt(k, name):
+    return name[:3] + name[4:] if k % 3 == 0 else name + "x" if k % 3 == 1 else name
+
+
+def test_resolve_fuzzy_by_brute_force(spark):
+    from plansift.plans import QUERIES
+
+    parts, brand = part_names()
+    want = {}
+    for k, name, own in parts:
+        if k % 100:
+            continue
+        scored = [(40 if brand[x] == own else 0, s, x) for s, _, x in plain_fuzzy(hurt(k, name), [(n, x) for x, n, _ in parts])]
+        if not scored:
+            continue
+        top, lead = max(c for c, _, _ in scored), max(scored)[1]
+        context, near = [x for c, _, x in scored if c == top], [x for _, s, x in scored if s == lead]
+        want[k] = ("RESOLVED", context[0], "fuzzy_context") if top and len(context) == 1 else ("RESOLVED", near[0], "fuzzy") if len(near) == 1 else ("AMBIGUOUS", None, "fuzzy_ambiguous")
+    assert {r.m_id: (r.status, r.key, r.match_type) for r in QUERIES["resolve_fuzzy"](spark, SF).collect()} == want and want
+
+
+def test_resolve_mentions_by_brute_force(spark):
+    from plansift.plans import QUERIES
+
+    parts, brand = part_names()
+    types = {"event": ("festival", "topic", "query_variation"), "landmark": ("landmark", "place", "festival", "event", "topic", "query_variation"), "person": ("person", "topic", "associated_person", "historical_person"), "place": ("place",)}
+    kinds = ("festival", "person", "topic")
+    named = [(n, k) for k, n, _ in parts]
+    said = [(f"{n} {b.lower()}", k, kinds[k % 3]) for k, n, b in parts]
+    asked = {k: (f"{n} {b.lower()}{' a' if k % 500 == 0 else ''}", "event" if k % 400 == 0 else "place" if k % 400 == 100 else "landmark" if k % 400 == 200 else "person" if k % 800 == 300 else None) for k, n, b in parts if k % 100 == 0}
+    asked |= {k + 10_000_000: (hurt(k, n), None) for k, n, _ in parts if k % 100 == 0}
+    want = {}
+    for m, (text, kind) in asked.items():
+        # all parts are places, so a type that isn't theirs leaves related mentions alone
+        mine = named if kind in (None, "place") else []
+        same = [k for n, k in mine if n == text]
+        if same:
+            want[m] = ("RESOLVED", same[0], "exact") if len(same) == 1 else ("AMBIGUOUS", None, "exact_ambiguous")
+            continue
+        if near := plain_fuzzy(text, mine):
+            first = [k for s, _, k in near if s == near[0][0]]
+            want[m] = ("RESOLVED", first[0], "fuzzy") if len(first) == 1 else ("AMBIGUOUS", None, "fuzzy_ambiguous")
+            continue
+        fits = [(a, k) for a, k, t in said if kind is None or kind == "place" or t in types[kind]]
+        same = {k for a, k in fits if a == text}
+        scored = [(1.0, k) for k in same] or sorted(((round(SequenceMatcher(None, text, a).ratio(), 4), a, k) for a, k in fits if SequenceMatcher(None, text, a).ratio() >= 0.82), key=lambda x: (-x[0], x[1], x[2]))[:10]
+        best = {x[-1] for x in scored if x[0] == scored[0][0]}
+        name = "related_exact" if same or scored and scored[0][0] == 1 else "related_fuzzy"
+        want[m] = ("UNRESOLVED", None, "none") if not best else ("RESOLVED", best.pop(), name) if len(best) == 1 else ("AMBIGUOUS", None, name + "_ambiguous")
+    assert {r.m_id: (r.status, r.key, r.match_type) for r in QUERIES["resolve_mentions"](spark, SF).collect()} == want
+
+
+def test_poi_dedupe_by_brute_force(spark):
+    from plansift.plans import QUERIES
+
+    segment = {r.c_custkey: r.c_mktsegment for r in spark.read.parquet(f"{SF}/customer.parquet").collect()}
+    near = sorted((r.anchor_id, r["rank"], r.point_id) for r in QUERIES["radius_topk"](spark, SF).collect())
+    kept, want = {}, []
+    for a, _, p in near:
+        name = f"{segment[p]} house {p % 7}"
+        seen = kept.setdefault(a, ["building house 1"])
+        if all(SequenceMatcher(None, name.lower(), x).ratio() <= 0.72 for x in seen):
+            seen.append(name.lower())
+            want.append((a, name, p))
+    got = QUERIES["poi_dedupe"](spark, SF).collect()
+    assert sorted((r.anchor_id, r.name, r.point_id) for r in got if r.source_tier == "LIVE") == sorted(want) and want
+    assert sum(r.source_tier == "CURATED" for r in got) == spark.read.parquet(f"{SF}/supplier.parquet").count()
+
+
+def test_chunks_are_those_of_each_text_and_stored_once(spark):
+    from plansift.plans import QUERIES
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    want = sorted((k, i, c) for k, t in texts.items() if t for i, c in enumerate(documents.split_text(t)))
+    assert rows(QUERIES["doc_chunks"](spark, SF)) == want and all(0 < len(c) <= 800 for _, _, c in want)
+    assert rows(QUERIES["chunk_store"](spark, SF)) == want
+
+
+def test_session_state_is_touched_and_deleted(spark, tmp_path):
+    from plansift.plans.state import _streaming
+    from plansift.streaming import sessions
+
+    hour = 3600
+    moves = [(1, 0, 1, "turn"), (1, 20 * hour, 2, "touch"), (1, 40 * hour, 3, "turn"), (2, 0, 4, "turn"), (2, 1, 5, "delete"), (3, 0, 6, "turn"), (3, 30 * hour, 7, "turn"), (4, 0, 8, "turn"), (4, 25 * hour, 9, "touch"), (5, 0, 10, "touch")]
+    pdf = pd.DataFrame([(k, pd.Timestamp(10**9 + t, unit="s"), i, a) for k, t, i, a in moves], columns=["k", "ts", "id", "action"])
+    df = spark.createDataFrame(pdf)
+    df.write.parquet(f"{tmp_path}/in")
+    stream = _streaming(spark).readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    got = {r.key: list(r.history) for r in sessions.drained(sessions.last_turns(stream, "k", "ts", "id", "action"), f"{tmp_path}/out", "update").collect()}
+    assert got == {1: [1, 3], 2: [], 3: [7], 4: [], 5: []}
+
+
+def test_state_of_idle_sessions_goes(spark, tmp_path):
+    """Later files move the watermark on, and timers drop what has expired: the store holds the last key alone."""
+    from plansift.plans.state import _streaming
+    from plansift.streaming import sessions
+
+    for n in range(4):
+        pdf = pd.DataFrame([(n, pd.Timestamp(10**9 + n * 10 * 86_400, unit="s"), n)], columns=["k", "ts", "id"])
+        spark.createDataFrame(pdf).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    schema = spark.read.parquet(f"{tmp_path}/in").schema
+    stream = _streaming(spark).readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    sessions.drained(sessions.last_turns(stream, "k", "ts", "id"), f"{tmp_path}/out", "update")
+    held = spark.read.format("statestore").option("stateVarName", "turns").load(f"{tmp_path}/out/checkpoint")
+    assert held.count() <= 2

@@ -9,7 +9,7 @@ import pytest
 
 from plansift.plans import ORACLE_SQL, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -29,8 +29,8 @@ def listed(rows, names):
 def test_query(spark, name):
     df = QUERIES[name](spark, SF)
     got = [r.asDict() for r in df.collect()]
-    if name not in ORACLE_SQL:
-        assert df.columns
+    if name not in ORACLE_SQL:  # these have brute-force tests in test_library.py
+        assert got
         return
     con = duckdb.connect()
     for t in TABLES:
