@@ -340,6 +340,34 @@ def test_toxicity(spark, docs, none):
     assert toxicity.keep_clean(docs, model).columns == docs.columns and len(model[0]) < 5000
 
 
+def test_ftrl_against_the_published_steps():
+    """The algorithm as written down per coordinate, with z and n kept over all epochs."""
+    r = random.Random(4)
+    rows = [(np.array(sorted(r.sample(range(40), r.randint(0, 9))), np.int32), r.randint(0, 1)) for _ in range(300)]
+    alpha, beta, l1, l2, odds = 0.7, 1.0, 0.9, 0.3, -0.4
+    model = toxicity.Ftrl(40, odds, alpha, beta, l1, l2)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    z["bias"] = -odds * beta / alpha
+
+    def weight(i):
+        if i == "bias":
+            return -z[i] / ((beta + math.sqrt(n[i])) / alpha)
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(3):
+        for x, y in rows:
+            model.learn(x, y)
+            at = [*x.tolist(), "bias"]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in at:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    got = model.weights(np.arange(41))
+    assert np.allclose(got, [*(weight(i) for i in range(40)), weight("bias")]) and (got[:40] == 0).any() and (got[:40] != 0).any()
+
+
 def brute_components(rows):
     shingler = jaccard.Shingler()
     sets = [frozenset(shingler.set_of(t).tolist()) for _, t in rows]
