@@ -21,7 +21,7 @@ against a random pivot of its bucket, which joins groups of near copies in linea
 then still lies in one bucket and in several components is tested pair by pair, in large buckets within
 blocks of bounded size, so that the pairs are never rows. Every test is the exact intersection of the two sets.
 
-Nulls and blank texts have an empty set and link with nothing. Rows of one id, and of none, count as documents of
+A text is held whole in its task, as are the sets of two that are tested. Nulls and blank texts have an empty set and link with nothing; an empty table gives no rows. Rows of one id, and of none, count as documents of
 their own. A component's id is its least doc_id (null if it has none but null ids).
 """
 
@@ -503,7 +503,8 @@ def _placed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         least = least.join(whole, "comp").select("class", "comp", "component")
     else:
         least = least.select("class", F.col("class").alias("comp"), F.col("least").alias("component"))
-    return members.join(least, "class", "left")
+    # a class of very many copies doesn't meet in one task while classes are few enough to be sent; beyond that the join is one of a skewed side, which Spark splits
+    return members.join(small(cut(least)), "class", "left")
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -517,19 +518,22 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     placed = _placed(df, id_col, text_col).filter("class is not null")
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("text"))
     found = placed.select("comp", row.alias("row")).groupBy("comp", "row").agg(F.count(F.lit(1)).alias("times"))
-    best = found.groupBy("comp").agg(F.min("row").alias("best"))
+    found = cut(found)
+    best = small(cut(found.groupBy("comp").agg(F.min("row").alias("best"))))
     found = found.join(best, "comp").filter((F.col("row") != F.col("best")) | (F.col("times") > 1))
-    marked = cut(found.select(F.col("row.none").alias("_none"), F.col("row.id").alias("_id"), F.col("row.text").alias("_text"), (F.col("row") == F.col("best")).alias("_best")))
-    at = ["_none", "_id", "_text"]
+    # names that the table has no column of
+    none, own, hashed, is_best, nth = (f"_{n}{'_' * max(len(c) for c in df.columns)}" for n in ("none", "id", "text", "best", "nth"))
+    marked = cut(found.select(F.col("row.none").alias(none), F.col("row.id").alias(own), F.col("row.text").alias(hashed), (F.col("row") == F.col("best")).alias(is_best)))
+    at = [none, own, hashed]
     id, text = F.col(id_col).cast("long"), text_or_empty(text_col)
-    rows = df.withColumns({"_none": id.isNull(), "_id": F.coalesce(id, F.lit(0)), "_text": F.xxhash64(text)})
-    kept = rows.join(marked.drop("_best"), at, "left_anti").select(*df.columns)
-    repeated = marked.filter("_best").drop("_best")
+    rows = df.withColumns({none: id.isNull(), own: F.coalesce(id, F.lit(0)), hashed: F.xxhash64(text)})
+    kept = rows.join(marked.drop(is_best), at, "left_anti").select(*df.columns)
+    repeated = marked.filter(F.col(is_best)).drop(is_best)
     if repeated.isEmpty():
         return kept
     from pyspark.sql import Window
 
     # of rows equal in id and text the one whose other columns hash least
     order = Window.partitionBy(*at).orderBy(F.xxhash64(*[c for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()]))
-    firsts = rows.join(repeated, at, "left_semi").withColumn("_r", F.row_number().over(order)).filter("_r = 1")
+    firsts = rows.join(repeated, at, "left_semi").withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1)
     return kept.unionByName(firsts.select(*df.columns))

@@ -106,7 +106,11 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
 
 
 def sequences(df: DataFrame, packed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """pack()'s rows with the text of each piece in place of row_hash."""
+    """pack()'s rows with the text of each piece in place of row_hash.
+
+    Pieces of one document lie in one shard; a document of many pieces is joined to its text once a piece. Null texts are '' here, rows
+    of one id and text give their pieces as often as they occur, and further columns of df, whatever their names, play no part.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = df.select(F.xxhash64(F.col(id_col).cast("long"), text).alias("row_hash"), F.col(id_col).cast("long").alias("_id"), text.alias("text")).dropDuplicates(["row_hash", "_id"])
     joined = packed.join(texts, (packed["row_hash"] == texts["row_hash"]) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("row_hash", "_id")
