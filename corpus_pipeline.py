@@ -1,7 +1,11 @@
 """A training corpus from documents: toxic ones go, near duplicates go, personal data is masked, the rest is packed.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. All but the last
-return the columns of documents, with any further ones the table has.
+return the columns of documents, with any further ones the table has, whatever their names.
+
+Null and empty texts are kept by all stages: they score as clean, link with nothing, have no personal data and become pieces of length 0. Rows without an id
+count as documents of their own; of equal rows one stays. An empty table gives no rows. Very long texts are worked on whole, each in one task, and cut only
+by the packing.
 """
 
 from __future__ import annotations
