@@ -145,6 +145,22 @@ def _norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
 
 
+def embed(docs: DataFrame, text_col: str, model, batch: int = 32, column: str = "v") -> DataFrame:
+    """docs with the unit vectors of their texts. model: a function of a list of `batch` texts at most that gives a vector each; it is sent to the tasks. A vector of zeros stays as it is; null texts count as empty."""
+
+    @F.pandas_udf("array<double>")
+    def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            out: list = []
+            for low in range(0, len(texts), batch):
+                for v in model(texts.iloc[low : low + batch].fillna("").tolist()):
+                    norm = sum(x * x for x in v) ** 0.5
+                    out.append([x / norm for x in v] if norm else list(v))
+            yield pd.Series(out)
+
+    return docs.withColumn(column, vectors(F.col(text_col).cast("string")))
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, group: str | None = None) -> DataFrame:
     """query_id, vec_id, score, rank: exact cosine search of a set of queries (query_id, q) over all vectors (vec_id, v).
 

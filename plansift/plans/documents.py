@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plansift.operators import documents, resolve
+from plansift.functions import text
+from plansift.operators import documents, resolve, selection
 from plansift.plans.base import query, table
 from plansift.sources import json_layouts
 from plansift.sources.shared import cut, shared_dir
@@ -264,6 +265,40 @@ def select_cascade(spark, d):
     return resolve.first_tier(kept.select("s_suppkey", "p_partkey", "tier"), "s_suppkey").select("s_suppkey", "p_partkey", "tier")
 
 
+@query("""
+    WITH r AS (SELECT p_partkey, p_partkey // 20 AS zone, p_size % 2 = 0 AS veg, p_partkey % 3 <> 0 AS open, CASE WHEN p_partkey % 4 = 0 THEN 999.0 ELSE p_size END AS km FROM part),
+    m AS (SELECT s_suppkey AS k, r.*, CASE s_suppkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END AS tier, s_suppkey % 5 = 1 AS green FROM supplier JOIN r ON (s_suppkey % 5 < 3 AND zone = s_suppkey) OR (s_suppkey % 5 = 3 AND p_partkey = 20 * s_suppkey)),
+    v AS (SELECT *, max(CASE WHEN veg THEN 1 ELSE 0 END) OVER (PARTITION BY k) AS greens FROM m),
+    o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY NOT open, km, p_partkey) AS rank FROM v WHERE NOT green OR greens = 0 OR veg)
+    SELECT k AS request_id, p_partkey AS record_id, CAST(tier AS INT) AS tier, CAST(rank AS INT) AS rank FROM o WHERE rank <= 5""")
+def select_records(spark, d):
+    """Requests that name an id, a place (for vegetarian food), a place among their mentions, a record, or nothing."""
+    k = F.col("p_partkey")
+    zone = F.floor(k / 20).cast("string")
+    records = table(spark, d, "part").select(
+        k.alias("record_id"), F.concat(F.lit("T"), zone).alias("place_id"), text.tokens(F.concat(F.lit("zone"), zone)).alias("place_tokens"), text.tokens(F.concat(F.lit("item"), k.cast("string"))).alias("name_tokens"),
+        (F.col("p_size") % 2 == 0).alias("vegetarian"), (k % 3 != 0).alias("open"), F.when(k % 4 != 0, F.col("p_size").cast("double")).alias("distance_km"),
+    )
+    s, here = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    question = F.when(s % 5 == 1, F.concat(F.lit("Pure VEG food near zone"), here, F.lit(", please"))).when(s % 5 == 2, "good food").when(s % 5 == 3, F.concat(F.lit("is item"), (20 * s).cast("string"), F.lit(" open?"))).otherwise("anything")
+    none = F.array().cast("array<string>")
+    mentions = F.when(s % 5 == 2, F.array(F.lit("nothing here"), F.concat(F.lit("Zone"), here), F.lit("zone0"))).otherwise(none)
+    requests = table(spark, d, "supplier").select(s.alias("request_id"), question.alias("question"), F.when(s % 5 == 0, F.array(F.concat(F.lit("T"), here), F.lit("none"))).otherwise(none).alias("ids"), mentions.alias("mentions"))
+    return selection.select_records(requests, records)
+
+
+_COUNTS = "[" + ", ".join(f"length(text) - length(replace(text, '{c}', ''))" for c in "etan") + "]"
+
+
+@query(f"""
+    WITH e AS (SELECT doc_id, CAST({_COUNTS} AS DOUBLE[]) AS v FROM documents), n AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM e)
+    SELECT doc_id, CASE WHEN n > 0 THEN round(v[1] / n, 6) ELSE 0 END AS first, CASE WHEN n > 0 THEN round(v[4] / n, 6) ELSE 0 END AS last FROM n""")
+def doc_vectors(spark, d):
+    """Vectors of documents by a model of our own: how often four letters occur."""
+    found = documents.embed(table(spark, d, "documents").select("doc_id", "text"), "text", lambda texts: [[float(t.count(c)) for c in "etan"] for t in texts])
+    return found.select("doc_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[3], 6).alias("last"))
+
+
 @query("""
     SELECT s_nationkey, s_suppkey, rank FROM (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal < 0, CASE WHEN s_suppkey % 4 = 0 THEN 999.0 ELSE s_suppkey % 10 END, s_suppkey) AS rank FROM supplier) WHERE rank <= 5""")
 def rank_open_distance(spark, d):
