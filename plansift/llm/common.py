@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plansift.sources.shared import shared_base
+from plansift.sources.shared import cut, discard, shared_dir  # noqa: F401
 
 SLICE, BYTES, SENT = 512, 4 << 20, 500_000
 
@@ -20,29 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share."""
-    return f"{shared_base(spark)}/plansift-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
-    """df, computed once and kept in the shared folder, with its lineage cut. The folder's name is added to scratch, for discard()."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    if scratch is not None:
-        scratch.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, scratch: list[str]) -> None:
-    """Deletes the folders of cut() that nothing reads any more."""
-    for name in scratch:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    scratch.clear()
-
-
 def small(df: DataFrame, rows: int = SENT) -> DataFrame:
     """A table that was cut(), marked to be sent to all tasks if it holds at most that many rows (of a few numbers each); else as it is."""
     return F.broadcast(df) if df.count() <= rows else df
