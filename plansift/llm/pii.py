@@ -50,7 +50,9 @@ _ASSIGNED = re.compile(_SAID + r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?\Z")
 _KNOWN = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[bp]-[A-Za-z0-9-]{20,}|AIza[A-Za-z0-9_-]{35}")
 _KEY = re.compile(r"[A-Za-z0-9+/_-]{8,}={0,2}")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
-_HIT = re.compile(r"[0-9@]+|" + _SAID + r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z+/_-])")
+_HIT = re.compile(r"[0-9@]+")
+_ANNOUNCED = re.compile(_SAID + r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z+/_-])")
+_STEMS = ("token", "secret", "pass", "key")  # one of them is in all that announces a secret
 _ATOM = re.compile(r"[0-9]+|[A-Za-z]+|.", re.S)
 # Words that announce a kind.
 CUES = {"email": ("mail", "contact", "write"), "ip": ("ip", "host", "server", "addr"), "card": ("card", "visa", "credit", "pay"), "phone": ("tel", "phone", "call", "fax", "mobile"), "secret": ("key", "auth", "login"), "iban": ("iban", "account", "bank")}
@@ -128,11 +130,15 @@ def base(text: str) -> tuple[list[Span], bool]:
 
 def regions(text: str):
     """(start, end) of the stretches around digits, at signs and announced secrets, chunks with one blank or bracket between taken together."""
+    hits = [m.span() for m in _HIT.finditer(text)]
+    if "=" in text or ":" in text:
+        low = text.lower()
+        if any(s in low for s in _STEMS):
+            hits = sorted(hits + [m.span() for m in _ANNOUNCED.finditer(text)])
     start = end = -1
-    for m in _HIT.finditer(text):
-        if m.end() <= end:
+    for a, b in hits:
+        if b <= end:
             continue
-        a, b = m.start(), m.end()
         low = max(0, end)
         while a > low and not text[a - 1].isspace():
             a -= 1
