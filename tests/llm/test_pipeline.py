@@ -3,6 +3,7 @@
 import corpus_pipeline
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from plansift.llm import queries
 
@@ -32,6 +33,70 @@ def test_stages_on_odd_rows(spark):
     assert docs.filter("doc_id = 3").count() == 0 and docs.filter("doc_id is null").count() == 1
 
 
+def test_run_by_brute_force(spark, tmp_path):
+    import collections
+    import random
+
+    from plansift.llm import jaccard, packing, pii, toxicity
+
+    r = random.Random(8)
+    words = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("ana", "ore", "ito", "ula", "emi")]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    texts = []
+    for i in range(160):
+        t = prose(r.randint(40, 90))
+        if i % 3 == 0:
+            t += " vile nasty scum"
+        elif i % 8 == 1:
+            t += f" mail a{i}@example.org, or +1 (988) 555-{2000 + i}"
+        texts.append(t)
+    for i in range(20):
+        texts.append(texts[i] if i % 2 else texts[i].replace(texts[i].split()[3], "other", 1))
+    texts += ["", None, prose(9000)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(160)], "doc_id long, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs, labels = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "labels"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    score = toxicity._Scorer(toxicity.train(docs, labels, keep=~toxicity.held_out(F.col("_id"))), toxicity.BITS)
+    kept = [(i, t) for i, t in enumerate(texts) if score(t or "") < toxicity.CUT]
+    assert {i for i, _ in kept if i < 160} == {i for i in range(160) if i % 3}
+    shingler, chosen, sets = jaccard.Shingler(), [], {}
+    for i, t in kept:  # in order of id, so the first of a component comes first
+        s = sets[i] = frozenset(shingler.set_of(t or "").tolist())
+        chosen.append(i)
+    up = {i: i for i in chosen}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for k, i in enumerate(chosen):
+        for j in chosen[:k]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    left = {i for i in chosen if find(i) == i}
+    assert len(left) < len(chosen)
+    weights = pii.train(docs.filter(F.col("doc_id").isin(*left)))
+    masked = {r.doc_id: r.text or "" for r in pii.redact(docs.filter(F.col("doc_id").isin(*left)), weights).collect()}
+    for i, t in masked.items():
+        assert "@example.org" not in t and ("[EMAIL]" in t) == ("@example.org" in (texts[i] or ""))
+    pieces = collections.defaultdict(list)
+    for p in got:
+        pieces[p.doc_id].append((p.start, p.text))
+        assert len(p.text) == p.length
+    assert {i: "".join(t for _, t in sorted(ps)) for i, ps in pieces.items()} == masked
+    filled = collections.Counter()
+    for p in got:
+        filled[p.shard, p.bin] += p.n_tokens
+    assert max(filled.values()) <= packing.CAPACITY and all(filled[p.shard, p.bin] == p.bin_tokens for p in got)
+
+
 @pytest.mark.parametrize("name", [*queries.QUERIES])
 def test_query(spark, name):
     df = queries.QUERIES[name](spark, SF)
