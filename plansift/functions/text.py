@@ -1,9 +1,10 @@
-"""Text functions as Columns: normalisation, tokens, numbers in text. All stay in the JVM."""
+"""Text functions as Columns: normalisation, tokens, numbers in text. All but truncate_nested stay in the JVM."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that say nothing about a place.
 STOPWORDS = (
@@ -35,6 +36,31 @@ def truncate(c: Column, limit: int) -> Column:
     return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit(" …"))).otherwise(c)
 
 
+@F.pandas_udf(StringType())
+def _cut_nested(texts, limits):
+    import json
+
+    def cut(x, n):
+        if isinstance(x, str):
+            return x if len(x) <= n else x[:n] + " …"
+        if isinstance(x, list):
+            return [cut(y, n) for y in x]
+        return {k: cut(y, n) for k, y in x.items()} if isinstance(x, dict) else x
+
+    def one(text, n):
+        try:
+            return None if text is None else json.dumps(cut(json.loads(text), n), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return None
+
+    return texts.__class__([one(t, n) for t, n in zip(texts, limits)], dtype=object)
+
+
+def truncate_nested(c: Column, limit: int) -> Column:
+    """JSON text with all its strings, however deep, cut to limit code points with an ellipsis; null for what isn't JSON."""
+    return _cut_nested(c, F.lit(limit))
+
+
 def unglue(c: Column) -> Column:
     """An en dash put between amounts that were written together."""
     return F.regexp_replace(c, r"(?<=\d)₹(?=\d)", "–₹")

@@ -116,19 +116,43 @@ def render(rows: DataFrame, key: str) -> DataFrame:
     return listed.select(key, F.trim(F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("shown"))
 
 
+# What is said of a transport cost that isn't known.
+NO_ORIGIN, NO_DESTINATION = "your starting point (for travel cost)", "your destination (for travel cost)"
+NO_ROUTE, NO_FARE, NO_COST = "travel cost (route unavailable)", "public transport fare (not in our dataset - check Redbus)", "travel cost (route gave no cost)"
+
+
+def transport(trips: DataFrame) -> DataFrame:
+    """trips (origin, destination, mode, roundtrip, oneway, route_ok, cost of one way) with transport_low, transport_high, transport_method, transport_note and transport_missing.
+
+    Walking costs nothing and misses nothing; a fare by transit isn't known; anything else costs the way once, or twice for a round trip. Unknown costs are null.
+    """
+    c = F.col
+    blank = lambda n: F.coalesce(F.trim(n), F.lit("")) == ""
+    missing = (
+        F.when(blank("origin"), NO_ORIGIN).when(blank("destination"), NO_DESTINATION).when(~F.coalesce("route_ok", F.lit(False)), NO_ROUTE)
+        .when(c("mode") == "walking", None).when(c("mode") == "transit", NO_FARE).when(c("cost").isNull(), NO_COST)
+    )
+    rows = trips.withColumn("transport_missing", missing.cast("string"))
+    reached = ~blank("origin") & ~blank("destination") & F.coalesce("route_ok", F.lit(False))
+    priced = reached & c("transport_missing").isNull() & (c("mode") != "walking")
+    once = F.round("cost").cast("long")
+    cost = F.when(priced, F.when(c("roundtrip"), once * 2).otherwise(once))
+    method = F.when(priced, F.when(c("roundtrip"), "round_trip_2x_one_way (distance_times_cost_per_km)").otherwise("distance_times_cost_per_km"))
+    note = F.when(reached & (c("mode") == "walking"), "transport_walking").when(priced & ~c("roundtrip") & ~c("oneway"), "one_way_only")
+    return rows.withColumns({"transport_low": cost, "transport_high": cost, "transport_method": method, "transport_note": note})
+
+
 # The keys of a budget's assumptions, in order.
 ASSUMPTIONS = ("trip_duration", "nights_from_days", "nights", "persons", "rooms", "roundtrip", "fuel_rate", "per_room", "temple_excluded")
 
 
-def budget_block(trips: DataFrame, key: str, rate: float = 8.3, meals: int = 3) -> DataFrame:
+def budget_block(trips: DataFrame, key: str, meals: int = 3) -> DataFrame:
     """key, components (component, scope, low, high, in_total), assumptions (keys), included, absent, low, high, partial, missing, estimate_status, is_complete of each trip.
 
-    trips: days, nights, nights_from_days, persons, rooms, roundtrip, stay_excluded, mode, km, stay_low, stay_high, meal_low, meal_high, seva_low, seva_high; what isn't
+    trips: as transport() gives them, with days, nights, nights_from_days, persons, rooms, stay_excluded, stay_low, stay_high, meal_low, meal_high, seva_low, seva_high; what isn't
     known is null. Costs that aren't known are missing, never zero; only trip totals are summed. A partial total is named in missing, so the estimate stays partial.
     """
     c = F.col
-    ways = F.when(c("roundtrip"), 2).otherwise(1)
-    fuel = F.floor(c("km") * rate * ways)
     rooms = F.greatest(F.coalesce("rooms", F.lit(1)), F.lit(1))
     stays = ~c("stay_excluded") & c("stay_low").isNotNull()
     eats = c("meal_low").isNotNull()
@@ -138,7 +162,7 @@ def budget_block(trips: DataFrame, key: str, rate: float = 8.3, meals: int = 3)
 
     parts = F.array_compact(
         F.array(
-            item("transport", "trip_total", (c("mode") == "driving") & c("km").isNotNull(), fuel, fuel),
+            item("transport", "trip_total", c("transport_low").isNotNull(), c("transport_low"), c("transport_high")),
             item("stay", "per_night", stays, c("stay_low"), c("stay_high")),
             item("stay", "trip_total", stays & (c("nights") > 0), c("stay_low") * c("nights") * rooms, c("stay_high") * c("nights") * rooms),
             item("food", "per_meal", eats, c("meal_low"), c("meal_high")),
@@ -160,7 +184,7 @@ def budget_block(trips: DataFrame, key: str, rate: float = 8.3, meals: int = 3)
     has = F.size("included") > 0
     missing = F.array_compact(
         F.array(
-            F.when(c("mode") == "transit", "transit fare (no fare data available)").when((c("mode") == "driving") & c("km").isNull(), "transport distance"),
+            c("transport_missing"),
             F.when(~c("stay_excluded") & c("stay_low").isNull(), "hotel prices (no stays found for this place)"),
             F.when(c("meal_low").isNull(), "meal prices (no priced restaurants found for this place)"),
             F.when(has & (F.size("absent") > 0), F.concat(F.lit("this total only covers "), F.array_join("included", ", "), F.lit(" (missing: "), F.array_join("absent", ", "), F.lit(")"))),

@@ -40,6 +40,15 @@ def text_clean(spark, d):
     return docs.select("doc_id", text.clean(marked).alias("cleaned"), text.truncate(F.col("text"), 1400).alias("shortened"), text.unglue(glued).alias("repaired"), text.search_link("https://search.example/?q={query}", question).alias("link"))
 
 
+@query("""
+    SELECT doc_id, CASE WHEN length(text) > 1400 THEN substring(text, 1, 1400) || ' …' ELSE text END AS body, lang AS lang, CASE WHEN length(text) > 1400 THEN substring(text, 1, 1400) || ' …' ELSE text END AS deep FROM documents""")
+def nested_cut(spark, d):
+    """Answers as JSON with texts at several depths, cut."""
+    answer = F.to_json(F.struct(F.col("text").alias("body"), F.struct(F.array("lang", "text").alias("list")).alias("more")))
+    cut_ = table(spark, d, "documents").select("doc_id", text.truncate_nested(answer, 1400).alias("j"))
+    return cut_.select("doc_id", F.get_json_object("j", "$.body").alias("body"), F.get_json_object("j", "$.more.list[0]").alias("lang"), F.get_json_object("j", "$.more.list[1]").alias("deep"))
+
+
 _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 _TOKENS = f"list_distinct(list_filter(regexp_extract_all(lower({{0}}), '[a-z0-9]+'), lambda t: length(t) >= 3 AND t NOT IN ({_STOP})))"
 
@@ -314,12 +323,14 @@ _BLOCK = """
     WITH b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 5 END AS days, CASE WHEN o_orderkey % 3 = 0 THEN 2 WHEN o_orderkey % 5 > 0 THEN o_orderkey % 5 - 1 END AS nights, o_orderkey % 3 <> 0 AND o_orderkey % 5 > 0 AS guessed,
                  CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 4 END AS persons, CASE WHEN o_orderkey % 6 = 1 THEN 2 END AS rooms, o_orderkey % 2 = 0 AS two, o_orderkey % 7 = 0 AS nostay, o_orderkey % 8 AS mode, l.* FROM orders
                LEFT JOIN (SELECT l_orderkey, sum(CAST(l_quantity AS BIGINT)) AS km, min(CAST(floor(l_extendedprice) AS BIGINT)) AS low, max(CAST(floor(l_extendedprice) AS BIGINT)) AS high FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey),
-    c AS (SELECT *, CASE WHEN mode > 2 AND km IS NOT NULL THEN CAST(floor(km * 8.3 * CASE WHEN two THEN 2 ELSE 1 END) AS BIGINT) END AS t, CASE WHEN NOT nostay AND nights > 0 THEN low * nights * coalesce(rooms, 1) END AS s_low, CASE WHEN NOT nostay AND nights > 0 THEN high * nights * coalesce(rooms, 1) END AS s_high,
-                 CASE WHEN k % 9 > 0 THEN low END AS meal, CASE WHEN k % 9 > 0 THEN high END AS dear FROM b),
+    g AS (SELECT *, CASE WHEN k % 11 = 0 THEN 'your starting point (for travel cost)' WHEN k % 13 = 0 THEN 'your destination (for travel cost)' WHEN km IS NULL THEN 'travel cost (route unavailable)' WHEN mode = 2 THEN NULL
+                 WHEN mode = 1 THEN 'public transport fare (not in our dataset - check Redbus)' WHEN k % 17 = 0 THEN 'travel cost (route gave no cost)' END AS gap FROM b),
+    c AS (SELECT *, CASE WHEN gap IS NULL AND mode <> 2 THEN CAST(round(round(km * 8.3, 2)) AS BIGINT) * CASE WHEN two THEN 2 ELSE 1 END END AS t, CASE WHEN NOT nostay AND nights > 0 THEN low * nights * coalesce(rooms, 1) END AS s_low, CASE WHEN NOT nostay AND nights > 0 THEN high * nights * coalesce(rooms, 1) END AS s_high,
+                 CASE WHEN k % 9 > 0 THEN low END AS meal, CASE WHEN k % 9 > 0 THEN high END AS dear FROM g),
     f AS (SELECT *, meal * 3 * days * persons AS f_low, dear * 3 * days * persons AS f_high FROM c),
     i AS (SELECT *, list_filter([CASE WHEN f_low IS NOT NULL THEN 'food' END, CASE WHEN s_low IS NOT NULL THEN 'stay' END, CASE WHEN t IS NOT NULL THEN 'transport' END], lambda x: x IS NOT NULL) AS included FROM f),
     j AS (SELECT *, list_filter(['food', 'stay', 'transport'], lambda x: NOT list_contains(included, x) AND NOT (nostay AND x = 'stay')) AS absent FROM i),
-    m AS (SELECT *, list_filter([CASE WHEN mode = 1 THEN 'transit fare (no fare data available)' WHEN mode > 2 AND km IS NULL THEN 'transport distance' END, CASE WHEN NOT nostay AND low IS NULL THEN 'hotel prices (no stays found for this place)' END,
+    m AS (SELECT *, list_filter([gap, CASE WHEN NOT nostay AND low IS NULL THEN 'hotel prices (no stays found for this place)' END,
                  CASE WHEN meal IS NULL THEN 'meal prices (no priced restaurants found for this place)' END, CASE WHEN len(included) > 0 AND len(absent) > 0 THEN 'this total only covers ' || array_to_string(included, ', ') || ' (missing: ' || array_to_string(absent, ', ') || ')' END,
                  CASE WHEN days IS NULL OR persons IS NULL THEN 'to get a full trip total, tell me ' || concat_ws(' and ', CASE WHEN days IS NULL THEN 'number of days/nights' END, CASE WHEN persons IS NULL THEN 'number of persons' END) END], lambda x: x IS NOT NULL) AS missing FROM j)"""
 
@@ -331,6 +342,8 @@ _BLOCK = """
              CASE WHEN two THEN 'roundtrip' END, CASE WHEN mode > 2 THEN 'fuel_rate' END, CASE WHEN NOT nostay THEN 'per_room' END, 'temple_excluded') AS assumptions,
            array_to_string(included, ',') AS included, array_to_string(absent, ',') AS absent,
            CASE WHEN len(included) > 0 THEN coalesce(t, 0) + coalesce(s_low, 0) + coalesce(f_low, 0) END AS low, CASE WHEN len(included) > 0 THEN coalesce(t, 0) + coalesce(s_high, 0) + coalesce(f_high, 0) END AS high,
+           CASE WHEN t IS NOT NULL THEN CASE WHEN two THEN 'round_trip_2x_one_way (distance_times_cost_per_km)' ELSE 'distance_times_cost_per_km' END END AS transport_method,
+           CASE WHEN mode = 2 AND gap IS NULL THEN 'transport_walking' WHEN t IS NOT NULL AND NOT two AND k % 4 <> 1 THEN 'one_way_only' END AS transport_note,
            len(included) > 0 AND len(absent) > 0 AS partial, array_to_string(missing, '; ') AS missing, CASE WHEN len(missing) = 0 AND len(included) > 0 THEN 'complete' ELSE 'partial' END AS estimate_status, len(missing) = 0 AND len(included) > 0 AS is_complete
     FROM m""")
 def budget_block(spark, d):
@@ -344,9 +357,11 @@ def budget_block(spark, d):
     trips = rows.select(
         "o_orderkey", F.when(k % 5 > 0, k % 5).alias("days"), F.when(k % 3 == 0, 2).when(k % 5 > 0, k % 5 - 1).alias("nights"), ((k % 3 != 0) & (k % 5 > 0)).alias("nights_from_days"),
         F.when(k % 4 > 0, k % 4).alias("persons"), F.when(k % 6 == 1, 2).alias("rooms"), (k % 2 == 0).alias("roundtrip"), (k % 7 == 0).alias("stay_excluded"), F.when(k % 8 == 1, "transit").when(k % 8 == 2, "walking").when(k % 8 == 0, "cycling").otherwise("driving").alias("mode"),
-        "km", F.col("low").alias("stay_low"), F.col("high").alias("stay_high"), meal("low").alias("meal_low"), meal("high").alias("meal_high"), seva.alias("seva_low"), seva.alias("seva_high"),
+        F.when(k % 11 == 0, " ").otherwise("here").alias("origin"), F.when(k % 13 != 0, "there").alias("destination"), (k % 4 == 1).alias("oneway"), F.col("km").isNotNull().alias("route_ok"), F.when(k % 17 != 0, F.round(F.col("km") * 8.3, 2)).alias("cost"),
+        F.col("low").alias("stay_low"), F.col("high").alias("stay_high"), meal("low").alias("meal_low"), meal("high").alias("meal_high"), seva.alias("seva_low"), seva.alias("seva_high"),
     )
-    got = grounding.budget_block(trips, "o_orderkey")
+    trips = grounding.transport(trips)
+    got = grounding.budget_block(trips, "o_orderkey").join(trips.select("o_orderkey", "transport_method", "transport_note"), "o_orderkey")
     shown = F.transform("components", lambda c: F.concat_ws("/", c["component"], c["scope"], c["low"].cast("string"), c["high"].cast("string")))
     return got.withColumns({"components": F.array_join(shown, ";"), "assumptions": joined("assumptions"), "included": joined("included"), "absent": joined("absent"), "missing": F.array_join("missing", "; ")})
 

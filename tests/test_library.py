@@ -289,3 +289,15 @@ def test_state_of_idle_sessions_goes(spark, tmp_path):
     sessions.drained(sessions.last_turns(stream, "k", "ts", "id"), f"{tmp_path}/out", "update")
     held = spark.read.format("statestore").option("stateVarName", "turns").load(f"{tmp_path}/out/checkpoint")
     assert held.count() <= 2
+
+
+def test_vector_search_in_blocks_and_parts(spark, monkeypatch):
+    import random
+
+    r = random.Random(5)
+    v = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(6)]) for i in range(300)] + [(999, [0.0] * 6), (998, [])], "vec_id long, v array<double>")
+    q = v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    want = rows(documents.vector_topk(v, q, 4))
+    monkeypatch.setattr(documents, "BLOCK", 2)
+    monkeypatch.setattr(documents, "BLOCKS", 1)
+    assert rows(documents.vector_topk(v, q, 4)) == want and len(want) == 80
