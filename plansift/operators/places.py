@@ -9,7 +9,7 @@ from plansift.functions.geo import coordinate
 from plansift.functions.text import normalize
 from plansift.operators.resolve import PLACE, fuzzy_pairs, ratio, resolve
 from plansift.sources.json_layouts import first_said, is_object
-from plansift.sources.shared import cut
+from plansift.sources.shared import cut, discard
 
 # The spellings of an entity's id, in order.
 ID_KEYS = ("entity_id", "entityId", "canonical_entity_id", "canonicalEntityId", "temple_id", "templeId", "hotel_id", "hotelId", "restaurant_id", "restaurantId")
@@ -57,23 +57,26 @@ def resolve_places(asked: DataFrame, entities: DataFrame, aliases: DataFrame, pl
     place_list() gives; candidates: query, rank, name, importance, latitude, longitude. What has no sound coordinates passes on to the next tier. What asks for
     nothing is INVALID, what nothing answers UNRESOLVED. Each tier's answers are written before the next takes what is left.
     """
+    spark, scratch = asked.sparkSession, []
     good = located(entities)
     rows = asked.select("key", entity_id(F.col("value")).alias("eid"), query_text(F.col("value")).alias("query")).withColumn("norm", normalize(F.col("query")))
     rows = cut(rows)
     end = ["place_id", "latitude", "longitude"]
     found = rows.join(good.select(F.col("entity_id").alias("place_id"), "latitude", "longitude"), F.col("eid") == F.col("place_id")).select("key", F.lit("RESOLVED").alias("status"), F.lit(1).alias("tier"), *end)
 
-    found = cut(found)
+    found = cut(found, scratch)
 
     def left(done: DataFrame) -> DataFrame:
         return rows.filter("query is not null").join(done.select("key"), "key", "left_anti")
 
     named = resolve(left(found).select(F.col("key").alias("m_id"), F.col("norm").alias("mention"), F.lit(None).cast("string").alias("asked")), aliases.select("alias", F.col("entity_id").alias("key")), entities.select(F.col("entity_id").alias("key"), "entity_type"))
     named = named.filter("status = 'RESOLVED'").select("m_id", F.col("key").alias("place_id")).join(good.select(F.col("entity_id").alias("place_id"), "latitude", "longitude"), "place_id")
-    found = cut(found.unionByName(named.select(F.col("m_id").alias("key"), F.lit("RESOLVED").alias("status"), F.lit(2).alias("tier"), *end)))
+    found = cut(found.unionByName(named.select(F.col("m_id").alias("key"), F.lit("RESOLVED").alias("status"), F.lit(2).alias("tier"), *end)), scratch)
     geo = in_geography(left(found).select("key", "norm"), places).join(located(places).select(*end), "place_id")
-    found = cut(found.unionByName(geo.select("key", F.lit("RESOLVED").alias("status"), F.lit(3).alias("tier"), *end)))
-    found = cut(found.unionByName(by_candidates(left(found).select("key", "query"), candidates).select("key", "status", F.lit(4).alias("tier"), *end)))
+    found = cut(found.unionByName(geo.select("key", F.lit("RESOLVED").alias("status"), F.lit(3).alias("tier"), *end)), scratch)
+    found = cut(found.unionByName(by_candidates(left(found).select("key", "query"), candidates).select("key", "status", F.lit(4).alias("tier"), *end)), scratch)
+    scratch.pop()  # the answer reads the last
+    discard(spark, scratch)
     rest = rows.join(found.select("key"), "key", "left_anti")
     return found.unionByName(rest.select("key", F.when(F.col("query").isNull(), "INVALID").otherwise("UNRESOLVED").alias("status")), allowMissingColumns=True)
 

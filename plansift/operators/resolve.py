@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from plansift.sources.shared import cut
+from plansift.sources.shared import cut, discard
 
 FUZZY, RELATED, PLACE = 0.88, 0.82, 0.90
 
@@ -157,21 +157,24 @@ def resolve(mentions: DataFrame, names: DataFrame, entities: DataFrame, records:
     mentions: m_id, mention (normalised), asked (a type or null) and what context needs; names: alias, key; entities: key, entity_type and what
     context needs; records: alias, mention_type, relation, target. context: a score of (mention, entity) rows, 0 by default.
     """
+    spark, scratch = mentions.sparkSession, []
     score = F.lit(0) if context is None else context
     live = mentions.filter("mention <> ''")
     typed = names.join(entities, "key")
     fits = of_type(F.col("asked"), F.col("entity_type"))
     same = live.join(typed, F.col("mention") == F.col("alias")).filter(fits).groupBy("m_id", "key").agg(F.max(score).alias("context"))
-    out = cut(decide_exact(same, "key").select("m_id", "status", "key", "match_type"))
+    out = cut(decide_exact(same, "key").select("m_id", "status", "key", "match_type"), scratch)
     rest = live.join(out.select("m_id"), "m_id", "left_anti")
     pairs = fuzzy_pairs(rest, typed, FUZZY).filter(fits).withColumn("s", ratio("mention", "alias")).filter(F.col("s") >= FUZZY)
     best = pairs.groupBy("m_id", "key").agg(F.max("s").alias("s"), F.max_by("alias", "s").alias("alias"), F.max(score).alias("context"))
     w = Window.partitionBy("m_id").orderBy(F.desc("s"), "alias", "key")
     near = best.withColumn("r", F.row_number().over(w)).filter("r <= 10").select("m_id", "key", "context", F.round("s", 4).alias("score"))
-    out = cut(out.unionByName(decide_fuzzy(near, "key")))
+    out = cut(out.unionByName(decide_fuzzy(near, "key")), scratch)
     if records is not None:
         rest = live.join(out.select("m_id"), "m_id", "left_anti")
-        out = cut(out.unionByName(decide_related(related(rest.select("m_id", "mention", "asked"), records, entities.select(F.col("key").alias("target"), "entity_type")))))
+        out = cut(out.unionByName(decide_related(related(rest.select("m_id", "mention", "asked"), records, entities.select(F.col("key").alias("target"), "entity_type")))), scratch)
+    scratch.pop()  # the answer reads the last
+    discard(spark, scratch)
     none = F.lit(None).cast("string")
     left = mentions.join(out.select("m_id"), "m_id", "left_anti").select("m_id", F.lit("UNRESOLVED").alias("status"), none.cast(entities.schema["key"].dataType).alias("key"), F.lit("none").alias("match_type"))
     return out.unionByName(left)
