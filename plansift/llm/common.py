@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plansift.sources.shared import cut, discard, shared_dir  # noqa: F401
@@ -60,3 +60,12 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterator[tuple]], sc
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+_SPACE = r"\x20\x09-\x0D"
+
+
+def word_count(text: Column) -> Column:
+    """Words between ASCII white space; 0 for a null. No array of them is built: each word's first letter and the blank before it are cut out and counted."""
+    padded = F.concat(F.lit(" "), F.coalesce(text.cast("string"), F.lit("")))
+    return F.floor((F.length(padded) - F.length(F.regexp_replace(padded, f"[{_SPACE}][^{_SPACE}]", ""))) / 2).cast("long")
