@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plansift.functions import checked
+
 POI_RADIUS, ROUTE_RADIUS, SPEED = 6371.0, 6371.0088, 40.0
 
 
@@ -35,6 +37,11 @@ def coordinate(c: Column, limit: float) -> Column:
     return F.when(v.between(-limit, limit), v)
 
 
+def coordinate_checked(c: Column, limit: float) -> Column:
+    """As coordinate(), checked. Reasons: not_a_number, out_of_range."""
+    return checked.number(c, "double", -limit, limit)
+
+
 def coordinate_key(lat: Column, lng: Column, decimals: int) -> Column:
     """Coordinates as part of a cache key."""
     return F.format_string(f"%.{decimals}f,%.{decimals}f", lat, lng)

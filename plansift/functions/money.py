@@ -5,31 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plansift.functions import checked
+
 # How amounts are written (with the sign, right of a dash, and bare).
 AMOUNT = r"₹\s?([0-9][0-9,]*(?:\.[0-9]+)?)"
 RIGHT_SIDE = r"[–—\-]\s*(\d[\d,]*(?:\.\d+)?)\b"
 BARE = r"\b(\d{1,3}(?:,\d{3})+|\d+)\b"
 
 
-def _longs(c: Column, pattern: str) -> Column:
-    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
-    return F.transform(found, lambda x: F.regexp_replace(x, ",", "").cast("double").cast("long"))
+def _amounts(c: Column, pattern: str) -> Column:
+    """All amounts as one checked array: an amount beyond what a long holds is an error, as what it would leave out isn't known."""
+    return checked.each(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(1)), checked.number)
 
 
 def amounts(c: Column) -> Column:
-    """Signed amounts of a text as whole rupees; an empty array for a null."""
-    return F.coalesce(_longs(c, AMOUNT), F.array().cast("array<long>"))
+    """Signed amounts of a text as whole rupees; an empty array for a null, null for an amount that no long holds."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(AMOUNT), F.lit(1))
+    return F.transform(found, lambda x: checked.number(x)["value"])
+
+
+def price_range_checked(c: Column) -> Column:
+    """Checked struct(low, high) of a price text: signed amounts and what stands right of a dash, else any whole numbers. Reason: out_of_range."""
+    none = F.array().cast("array<long>")
+
+    def read(x: Column) -> Column:
+        marked = x["signed"]["status"] != checked.NONE
+        reason = F.when(marked, F.coalesce(x["signed"]["reason"], x["right"]["reason"])).otherwise(x["bare"]["reason"])
+        every = F.when(marked, F.concat(F.coalesce(x["signed"]["value"], none), F.coalesce(x["right"]["value"], none))).otherwise(F.coalesce(x["bare"]["value"], none))
+        return checked.outcome(F.when(reason.isNull() & (F.size(every) > 0), F.struct(F.array_min(every).alias("low"), F.array_max(every).alias("high"))), reason)
+
+    return checked.let(F.struct(_amounts(c, AMOUNT).alias("signed"), _amounts(c, RIGHT_SIDE).alias("right"), _amounts(c, BARE).alias("bare")), read)
 
 
 def price_range(c: Column) -> Column:
-    """struct(low, high) of a price text, null if it has no number: signed amounts and what stands right of a dash, else any whole numbers."""
-    signed = amounts(c)
-    every = F.when(F.size(signed) > 0, F.concat(signed, _longs(c, RIGHT_SIDE))).otherwise(_longs(c, BARE))
-    return F.when(F.size(every) > 0, F.struct(F.array_min(every).alias("low"), F.array_max(every).alias("high")))
+    """struct(low, high) of a price text, null if it has no number or one that no long holds."""
+    return price_range_checked(c)["value"]
 
 
 def _first(c: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(c, "(?i)" + pattern, group), F.lit("")).cast("int")
+    return checked.number(F.regexp_extract(c, "(?i)" + pattern, group), "int")
 
 
 # How trips are described.
@@ -40,23 +54,42 @@ ONE_WAY, ROUND_TRIP = r"(?i)\bone\s*-?\s*way\b|\boneway\b", r"(?i)\bround\s*-?\s
 NO_STAY = r"(?i)\b(?:without|no|skip|exclude|not\s+tak(?:ing|e))\s+(?:a\s+|an\s+)?(?:hotel|stay|room|accommodation)\b"
 
 
+def _trip_numbers(text: Column) -> dict[str, Column]:
+    """Checked days, nights, persons and rooms."""
+    stated = [_first(text, GROUP, 1), _first(text, GROUP, 2), _first(text, PARTY)]
+    persons = checked.let(F.array(*stated), lambda all: F.coalesce(F.get(F.filter(all, lambda p: p["status"] != checked.NONE), F.lit(0)), F.get(all, F.lit(2))))
+    return {"days": _first(text, DAYS), "nights": _first(text, NIGHTS), "persons": persons, "rooms": _first(text, ROOMS)}
+
+
 def trip_params(c: Column) -> dict[str, Column]:
-    """days, nights, persons, rooms, roundtrip, oneway, stay_excluded of a question; what isn't said is null."""
+    """days, nights, persons, rooms, roundtrip, oneway, stay_excluded of a question; what isn't said, or is a number beyond an int's, is null."""
     text = F.coalesce(c, F.lit(""))
-    days, nights, rooms = _first(text, DAYS), _first(text, NIGHTS), _first(text, ROOMS)
+    n = _trip_numbers(text)
+    days, rooms = (n[k]["value"] for k in ("days", "rooms"))
     oneway = text.rlike(ONE_WAY)
+
+    def nights(x: Column) -> Column:
+        by_days = (x["nights"]["status"] == checked.NONE) & x["days"].isNotNull()
+        return F.struct(F.when(by_days, F.greatest(x["days"] - 1, F.lit(0))).otherwise(x["nights"]["value"]).alias("n"), by_days.alias("by_days"))
+
+    slept = checked.let(F.struct(n["nights"].alias("nights"), days.alias("days")), nights)
     return {
         "days": days,
-        "nights": F.coalesce(nights, F.when(days.isNotNull(), F.greatest(days - 1, F.lit(0)))),
-        "nights_from_days": nights.isNull() & days.isNotNull(),
-        "persons": F.coalesce(_first(text, GROUP, 1), _first(text, GROUP, 2), _first(text, PARTY)),
-        "rooms": F.when(rooms.isNotNull(), F.greatest(rooms, F.lit(1))),
+        "nights": slept["n"],
+        "nights_from_days": slept["by_days"],
+        "persons": n["persons"]["value"],
+        "rooms": F.greatest(rooms, F.when(rooms.isNotNull(), F.lit(1))),
         "roundtrip": text.rlike(ROUND_TRIP) & ~oneway,
         "oneway": oneway,
         "stay_excluded": text.rlike(NO_STAY),
     }
 
 
+def trip_numbers_checked(c: Column) -> Column:
+    """Checked struct(days, nights, persons, rooms) as said. Reason: the first of them that is out of range."""
+    return checked.together(**_trip_numbers(F.coalesce(c, F.lit(""))))
+
+
 def trip_header(p: dict[str, Column]) -> Column:
     """A trip in words; parts that aren't known are left out."""
     part = lambda c, word: F.when(c.isNotNull(), F.concat(c.cast("string"), F.lit(f" {word}")))

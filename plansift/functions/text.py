@@ -88,8 +88,10 @@ def numbers(c: Column) -> Column:
 
 
 def same_value(token: Column) -> Column:
-    """The value by which two number tokens are the same: 8.30 and 8.3, 5.0 and 5."""
-    return token.cast("decimal(38,10)")
+    """What two number tokens have in common if they are the same number, however long: 8.30 and 8.3, 5.0 and 5, 007 and 7."""
+    whole = F.regexp_replace(F.regexp_extract(token, r"^[^.]*", 0), r"^0+(?=\d)", "")
+    part = F.regexp_replace(F.regexp_extract(token, r"\.(\d+)$", 1), "0+$", "")
+    return F.when(part != "", F.concat(whole, F.lit("."), part)).otherwise(whole)
 
 
 def search_link(template: str, c: Column) -> Column:

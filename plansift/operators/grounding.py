@@ -10,27 +10,43 @@ from plansift.functions.text import numbers, same_value, search_link, truncate
 COMPONENTS = ("food", "stay", "transport")
 
 
-def trip_totals(trips: DataFrame, rate: float = 8.3, meals: int = 3) -> DataFrame:
-    """Totals of trips with nights, days, persons, mode (0 driving, 1 transit, 2 walking), two_way, km, low and high (a price band), n.
+def _product(*factors: Column | int) -> Column:
+    """A product of whole numbers; null where no long holds it, so that odd numbers make a cost unknown and don't fail a job."""
+    got = F.lit(1).cast("long")
+    for f in factors:
+        got = F.try_multiply(got, f if isinstance(f, Column) else F.lit(f))
+    return got
 
-    A component needs all its inputs; one without them is absent and named in `missing`. Transit has no known fare.
+
+def _sum(parts: Column, field: str) -> Column:
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: F.try_add(a, p[field]))
+
+
+def trip_totals(trips: DataFrame, key: str, rate: float, meals: int = 3) -> DataFrame:
+    """Totals of trips with nights, days, persons, mode (0 driving, 1 transit, 2 walking), two_way, km, low and high (a price band), n; rate: the cost of a km.
+
+    A component needs all its inputs; one without them, or whose cost no long holds, is absent; what lacks is named in `missing`. Transit has no known fare.
     """
     ways = F.when(F.col("two_way"), 2).otherwise(1)
     fuel = F.floor(F.col("km") * rate * ways)
-    item = lambda name, ok, low, high: F.when(ok, F.struct(F.lit(name).alias("component"), low.cast("long").alias("low"), high.cast("long").alias("high")))
+
+    def item(name: str, ok: Column, low: Column, high: Column) -> Column:
+        low, high = low.try_cast("long"), high.try_cast("long")
+        return F.when(ok & low.isNotNull() & high.isNotNull(), F.struct(F.lit(name).alias("component"), low.alias("low"), high.alias("high")))
+
     parts = F.array_compact(
         F.array(
             item("transport", (F.col("mode") == 0) & F.col("km").isNotNull(), fuel, fuel),
-            item("stay", (F.col("nights") > 0) & F.col("low").isNotNull(), F.col("low") * F.col("nights"), F.col("high") * F.col("nights")),
-            item("food", (F.col("days") > 0) & (F.col("n") > 2), meals * F.col("low") * F.col("days") * F.col("persons"), meals * F.col("high") * F.col("days") * F.col("persons")),
+            item("stay", (F.col("nights") > 0) & F.col("low").isNotNull(), _product(F.col("low"), F.col("nights")), _product(F.col("high"), F.col("nights"))),
+            item("food", (F.col("days") > 0) & (F.col("n") > 2), _product(meals, F.col("low"), F.col("days"), F.col("persons")), _product(meals, F.col("high"), F.col("days"), F.col("persons"))),
         )
     )
     missing = F.array_compact(F.array(F.when(F.col("mode") == 1, "transit fare").when((F.col("mode") == 0) & F.col("km").isNull(), "distance"), F.when(F.col("nights") == 0, "nights"), F.when(F.col("days") == 0, "days")))
     assumptions = F.array_compact(F.array(F.when(F.col("mode") == 0, F.lit("fuel by distance")), F.when(F.col("nights") > 0, F.lit("one room"))))
-    total = lambda f: F.when(F.size("parts") > 0, F.aggregate(F.transform("parts", lambda p: p[f]), F.lit(0).cast("long"), lambda a, x: a + x))
-    rows = trips.select("o_orderkey", parts.alias("parts"), missing.alias("m"), assumptions.alias("a"))
+    total = lambda f: F.when(F.size("parts") > 0, _sum(F.col("parts"), f))
+    rows = trips.select(key, parts.alias("parts"), missing.alias("m"), assumptions.alias("a"))
     included = F.array_sort(F.transform("parts", lambda p: p["component"]))
-    return rows.select("o_orderkey", total("low").alias("low"), total("high").alias("high"), included.alias("included"), F.array_except(F.array(*map(F.lit, COMPONENTS)), included).alias("absent"), (F.size("parts") < len(COMPONENTS)).alias("partial"), F.array_join(F.array_distinct("m"), ", ").alias("missing"), F.size("a").alias("n_assumptions"))
+    return rows.select(key, total("low").alias("low"), total("high").alias("high"), included.alias("included"), F.array_except(F.array(*map(F.lit, COMPONENTS)), included).alias("absent"), (F.size("parts") < len(COMPONENTS)).alias("partial"), F.array_join(F.array_distinct("m"), ", ").alias("missing"), F.size("a").alias("n_assumptions"))
 
 
 def ungrounded(drafts: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
@@ -135,8 +151,8 @@ def transport(trips: DataFrame) -> DataFrame:
     rows = trips.withColumn("transport_missing", missing.cast("string"))
     reached = ~blank("origin") & ~blank("destination") & F.coalesce("route_ok", F.lit(False))
     priced = reached & c("transport_missing").isNull() & (c("mode") != "walking")
-    once = F.round("cost").cast("long")
-    cost = F.when(priced, F.when(c("roundtrip"), once * 2).otherwise(once))
+    once = F.round("cost").try_cast("long")
+    cost = F.when(priced, F.when(c("roundtrip"), F.try_multiply(once, F.lit(2))).otherwise(once))
     method = F.when(priced, F.when(c("roundtrip"), "round_trip_2x_one_way (distance_times_cost_per_km)").otherwise("distance_times_cost_per_km"))
     note = F.when(reached & (c("mode") == "walking"), "transport_walking").when(priced & ~c("roundtrip") & ~c("oneway"), "one_way_only")
     return rows.withColumns({"transport_low": cost, "transport_high": cost, "transport_method": method, "transport_note": note})
@@ -158,16 +174,17 @@ def budget_block(trips: DataFrame, key: str, meals: int = 3) -> DataFrame:
     eats = c("meal_low").isNotNull()
 
     def item(component: str, scope: str, ok: Column, low: Column, high: Column, in_total: bool = True) -> Column:
-        return F.when(ok, F.struct(F.lit(component).alias("component"), F.lit(scope).alias("scope"), low.cast("long").alias("low"), high.cast("long").alias("high"), F.lit(in_total).alias("in_total")))
+        low, high = low.try_cast("long"), high.try_cast("long")
+        return F.when(ok & (low.isNotNull() | high.isNotNull()), F.struct(F.lit(component).alias("component"), F.lit(scope).alias("scope"), low.alias("low"), high.alias("high"), F.lit(in_total).alias("in_total")))
 
     parts = F.array_compact(
         F.array(
             item("transport", "trip_total", c("transport_low").isNotNull(), c("transport_low"), c("transport_high")),
             item("stay", "per_night", stays, c("stay_low"), c("stay_high")),
-            item("stay", "trip_total", stays & (c("nights") > 0), c("stay_low") * c("nights") * rooms, c("stay_high") * c("nights") * rooms),
+            item("stay", "trip_total", stays & (c("nights") > 0), _product(c("stay_low"), c("nights"), rooms), _product(c("stay_high"), c("nights"), rooms)),
             item("food", "per_meal", eats, c("meal_low"), c("meal_high")),
-            item("food", "per_day", eats & (c("days") > 0), c("meal_low") * meals, c("meal_high") * meals),
-            item("food", "trip_total", eats & (c("days") > 0) & (c("persons") > 0), c("meal_low") * meals * c("days") * c("persons"), c("meal_high") * meals * c("days") * c("persons")),
+            item("food", "per_day", eats & (c("days") > 0), _product(c("meal_low"), meals), _product(c("meal_high"), meals)),
+            item("food", "trip_total", eats & (c("days") > 0) & (c("persons") > 0), _product(c("meal_low"), meals, c("days"), c("persons")), _product(c("meal_high"), meals, c("days"), c("persons"))),
             item("temple", "optional_sevas", c("seva_low").isNotNull() | c("seva_high").isNotNull(), c("seva_low"), c("seva_high"), False),
         )
     )
@@ -178,7 +195,7 @@ def budget_block(trips: DataFrame, key: str, meals: int = 3) -> DataFrame:
     summed = F.filter("components", lambda p: p["in_total"] & (p["scope"] == "trip_total"))
     included = F.array_sort(F.transform(summed, lambda p: p["component"]))
     wanted = F.filter(F.array(*map(F.lit, COMPONENTS)), lambda x: ~(c("stay_excluded") & (x == "stay")))
-    total = lambda f: F.when(F.size(summed) > 0, F.aggregate(summed, F.lit(0).cast("long"), lambda a, p: a + p[f]))
+    total = lambda f: F.when(F.size(summed) > 0, _sum(summed, f))
     rows = rows.withColumns({"included": included, "absent": F.array_except(wanted, included), "total_low": total("low"), "total_high": total("high")})
     gaps = F.array_compact(F.array(F.when(c("days").isNull(), "number of days/nights"), F.when(c("persons").isNull(), "number of persons")))
     has = F.size("included") > 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plansift.functions import geo, money, text
+from plansift.functions import checked, geo, money, text
 from plansift.operators import geo_joins, grounding
 from plansift.plans.base import joined, query, table
 from plansift.sources.shared import cut
@@ -142,6 +142,39 @@ def trip_params(spark, d):
     return rows.select("o_orderkey", *[c.alias(n) for n, c in p.items()], money.trip_header(p).alias("header"))
 
 
+_ODD = """(SELECT o_orderkey, o_orderkey % 5 AS a, o_orderkey % 4 AS b, o_orderkey % 6 AS c, o_orderkey % 7 AS e, o_orderdate FROM orders)"""
+
+
+@query(f"""
+    SELECT o_orderkey, 'price' AS field, CASE a WHEN 0 THEN '{10**17}-{10**17 + 5}' WHEN 1 THEN '20-20' END AS value, CASE a WHEN 2 THEN 'ERROR' WHEN 3 THEN 'NONE' WHEN 4 THEN 'ERROR' ELSE 'OK' END AS status, CASE WHEN a IN (2, 4) THEN 'out_of_range' END AS reason FROM {_ODD}
+    UNION ALL SELECT o_orderkey, 'trip', CASE b WHEN 0 THEN '3 days 2 persons' WHEN 3 THEN ' days  persons' END, CASE WHEN b IN (1, 2) THEN 'ERROR' ELSE 'OK' END, CASE b WHEN 1 THEN 'days:out_of_range' WHEN 2 THEN 'persons:out_of_range' END FROM {_ODD}
+    UNION ALL SELECT o_orderkey, 'record', CASE WHEN c = 0 THEN 'r' || o_orderkey END, CASE c WHEN 0 THEN 'OK' WHEN 5 THEN 'NONE' ELSE 'ERROR' END, CASE c WHEN 1 THEN 'invalid_json' WHEN 2 THEN 'not_an_object' WHEN 3 THEN 'missing:name' WHEN 4 THEN 'missing:name' END FROM {_ODD}
+    UNION ALL SELECT o_orderkey, 'day', CASE WHEN e < 3 THEN strftime(o_orderdate, '%Y-%m-%d') END, CASE WHEN e < 3 THEN 'OK' WHEN e = 6 THEN 'NONE' ELSE 'ERROR' END, CASE WHEN e IN (3, 4, 5) THEN 'not_a_date' END FROM {_ODD}
+    UNION ALL SELECT o_orderkey, 'latitude', CASE WHEN e = 0 THEN '45.5' END, CASE WHEN e = 0 THEN 'OK' ELSE 'ERROR' END, CASE WHEN e = 0 THEN NULL WHEN e < 3 THEN 'out_of_range' ELSE 'not_a_number' END FROM {_ODD}""")
+def parse_outcomes(spark, d):
+    """Prices, trips, records, days and latitudes that may be odd: numbers of any length, broken JSON, impossible days."""
+    k = F.col("o_orderkey")
+    long = F.repeat(F.lit("9"), (20 + k % 300).cast("int"))
+    a, b, c, e = (k % n for n in (5, 4, 6, 7))
+    price = F.when(a == 0, f"₹{10**17:,}–{10**17 + 5}").when(a == 1, "20 each").when(a == 2, F.concat(F.lit("₹1–"), long)).when(a == 3, "free").otherwise(F.concat(F.lit("₹"), long, F.lit("₹5")))
+    trip = F.when(b == 0, "3 days for 2 people").when(b == 1, F.concat(long, F.lit(" days for 2 people"))).when(b == 2, F.concat(F.lit("a family of "), long)).otherwise("some time")
+    record = F.when(c == 0, F.concat(F.lit('{"name": "r'), k.cast("string"), F.lit('"}'))).when(c == 1, '{"name": ').when(c == 2, "[1]").when(c == 3, "{}").when(c == 4, '{"name": null}').otherwise(F.lit(" "))
+    iso = F.date_format("o_orderdate", "yyyy-MM-dd")
+    day = F.when(e == 0, iso).when(e < 3, F.date_format("o_orderdate", "dd/MM/yyyy")).when(e == 3, "2024-02-30").when(e == 4, "soon").when(e == 5, F.concat(iso, long)).otherwise(F.lit(None))
+    latitude = F.when(e == 0, "45.5").when(e == 1, "90.01").when(e == 2, long).otherwise(F.lit("4 5"))
+    rows = table(spark, d, "orders").select(
+        "o_orderkey", money.price_range_checked(price).alias("price"), money.trip_numbers_checked(trip).alias("trip"), checked.json(record, ("name",)).alias("record"),
+        checked.date(day, "yyyy-MM-dd", "dd/MM/yyyy").alias("day"), geo.coordinate_checked(latitude, 90.0).alias("latitude"),
+    )
+    n = lambda f: F.coalesce(F.col(f"trip.value.{f}").cast("string"), F.lit(""))
+    shown = {
+        "price": F.concat_ws("-", "price.value.low", "price.value.high"), "trip": F.concat(n("days"), F.lit(" days "), n("persons"), F.lit(" persons")), "record": F.try_variant_get("record.value", "$.name", "string"),
+        "day": F.date_format("day.value", "yyyy-MM-dd"), "latitude": F.col("latitude.value").cast("string"),
+    }
+    each = [F.struct(F.lit(f).alias("field"), F.when(F.col(f"{f}.status") == "OK", v).alias("value"), F.col(f"{f}.status").alias("status"), F.col(f"{f}.reason").alias("reason")) for f, v in shown.items()]
+    return rows.select("o_orderkey", F.inline(F.array(*each)))
+
+
 _LAT, _LNG = "(({0} * 37) % 1200) / 100.0 + 10", "(({0} * 53) % 1500) / 100.0 + 70"
 _H = "(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))"
 
@@ -251,7 +284,7 @@ def budget_totals(spark, d):
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min(p).alias("low"), F.max(p).alias("high"), F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("km"))
     k = F.col("o_orderkey")
     trips = table(spark, d, "orders").select("o_orderkey", (k % 4).alias("nights"), (k % 5).alias("days"), (1 + k % 3).alias("persons"), (k % 3).alias("mode"), (k % 2 == 0).alias("two_way")).join(lines, k == F.col("l_orderkey"), "left")
-    return grounding.trip_totals(trips).withColumns({"included": joined("included"), "absent": joined("absent")})
+    return grounding.trip_totals(trips, "o_orderkey", 8.3).withColumns({"included": joined("included"), "absent": joined("absent")})
 
 
 @query("""

@@ -1,9 +1,11 @@
 """Column functions against literal cases."""
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plansift.functions import geo, money, text
+from plansift.functions import checked, geo, money, text
 
 
 def one(spark, column, **values):
@@ -67,3 +69,54 @@ def test_eta(spark):
     assert (e.value, e.status, e.estimated) == (150.0, "OK", True)
     assert one(spark, money.eta(F.col("m"), F.lit(30)), m=-1.0).status == "UNAVAILABLE"
     assert one(spark, money.distance_cost(F.col("m"), F.lit(None).cast("double")), m=1.0).reason == "missing_rate"
+
+
+NUMERALS = ["9" * n for n in (1, 9, 10, 18, 19, 20, 38, 39, 300)] + ["0" * 50 + "7", "1." + "3" * 60, "1,000", ",", "-5", "+7", "1e5", "0x1", "٣", "NaN", "Infinity", "", " ", None]
+
+
+def test_checked_numbers(spark):
+    df = spark.createDataFrame([(t,) for t in NUMERALS], "t string")
+    got = {r.t: (r.n, r.d) for r in df.select("t", checked.number(F.col("t")).alias("n"), checked.number(F.col("t"), "double", -10, 10).alias("d")).collect()}
+    assert {t: tuple(n) for t, (n, _) in got.items() if t and len(t) < 40} == {
+        "9": (9, "OK", None), "9" * 9: (10**9 - 1, "OK", None), "9" * 10: (10**10 - 1, "OK", None), "9" * 18: (10**18 - 1, "OK", None), "9" * 19: (None, "ERROR", "out_of_range"), "9" * 20: (None, "ERROR", "out_of_range"), "9" * 38: (None, "ERROR", "out_of_range"),
+        "9" * 39: (None, "ERROR", "out_of_range"), "1,000": (1000, "OK", None), ",": (None, "ERROR", "not_a_number"), "-5": (-5, "OK", None), "+7": (7, "OK", None), "1e5": (None, "ERROR", "not_a_number"), "0x1": (None, "ERROR", "not_a_number"),
+        "٣": (None, "ERROR", "not_a_number"), "NaN": (None, "ERROR", "not_a_number"), "Infinity": (None, "ERROR", "not_a_number"), " ": (None, "NONE", None),
+    }
+    assert got["0" * 50 + "7"][0].value == 7 and got["1." + "3" * 60][0].value == 1 and got[None][0].status == got[""][0].status == "NONE"
+    assert got["9"][1].value == 9.0 and got["1,000"][1].reason == "out_of_range"
+
+
+def test_checked_json_and_dates(spark):
+    df = spark.createDataFrame([('{"a": 1}',), ('{"a": null}',), ("[1]",), ("{",), ("",), (None,), ('{"b": "2024-01-01"}',), ("1",)], "t string")
+    got = [(r.status, r.reason) for r in df.select(checked.json(F.col("t"), ("a",)).alias("j")).select("j.status", "j.reason").collect()]
+    assert got == [("OK", None), ("ERROR", "missing:a"), ("ERROR", "not_an_object"), ("ERROR", "invalid_json"), ("NONE", None), ("NONE", None), ("ERROR", "missing:a"), ("ERROR", "not_an_object")]
+    days = spark.createDataFrame([("2024-02-29",), ("2023-02-29",), ("31/12/2024",), ("x" * 1000,), (None,)], "t string").select("t", checked.date(F.col("t"), "yyyy-MM-dd", "dd/MM/yyyy").alias("d"))
+    assert [r.d.status for r in days.collect()] == ["OK", "ERROR", "OK", "ERROR", "NONE"]
+    assert checked.good(days, "d").count() == 3 and [tuple(r)[1:] for r in checked.errors(days, "d", keep=("t",)).collect()] == [("d", "not_a_date")] * 2
+    with pytest.raises(Exception, match="bad record: d: not_a_date"):
+        checked.strict(days, "d").collect()
+
+
+DIGITS = st.text("0123456789", min_size=1, max_size=400)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(DIGITS, min_size=1, max_size=4))
+def test_no_text_of_digits_fails_a_job(spark, numerals):
+    """Numbers of any length in all parsers of money, trips, numbers and coordinates."""
+    texts = [f"₹{n}–{numerals[-1]}.{n}" for n in numerals] + [f"{n} days {n} nights for {n} people in {n} rooms" for n in numerals] + numerals
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    rows = df.select("t", money.price_range_checked(t).alias("price"), money.amounts(t).alias("amounts"), money.trip_numbers_checked(t).alias("trip"), *money.trip_params(t).values(), F.transform(text.numbers(t), text.same_value).alias("same"), geo.coordinate(t, 90.0).alias("c"), geo.coordinate_checked(t, 90.0).alias("cc")).collect()
+    for r in rows[len(numerals) : 2 * len(numerals)]:
+        n = int(r.t.split()[0])
+        assert (r.trip.status, r.trip.reason) == (("OK", None) if n < 2**31 else ("ERROR", "days:out_of_range"))
+    for r in rows[2 * len(numerals) :]:
+        n = int(r.t)
+        assert tuple(r.price.value or ()) == ((n, n) if n < 2**63 else ()) and r.price.status == ("OK" if n < 2**63 else "ERROR")
+
+
+def test_same_value(spark):
+    pairs = {"8.30": "8.3", "5.0": "5", "007": "7", "0": "0", "00.10": "0.1", "9" * 60: "9" * 60, "10": "10", "1.050": "1.05"}
+    df = spark.createDataFrame([(k,) for k in pairs], "t string").select("t", text.same_value(F.col("t")).alias("v"))
+    assert {r.t: r.v for r in df.collect()} == pairs
