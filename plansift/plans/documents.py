@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plansift.functions import text
 from plansift.operators import documents, resolve, selection
-from plansift.plans.base import query, table
+from plansift.plans.base import joined, query, table
 from plansift.sources import json_layouts
 from plansift.sources.shared import cut, shared_dir
 
@@ -15,27 +15,27 @@ _K = "CAST(json_extract_string(props, '$.k') AS DOUBLE)"
 
 
 def _layouts(spark, d):
-    """Events' props in four layouts of a restaurant document, and one cut short."""
+    """Events' props as restaurant documents: two layouts with odd fields, one with a name that isn't read, one without a name, one cut short."""
     k = F.get_json_object("props", "$.k")
     e = F.col("event_id") % 5
     name = F.concat(F.lit('"R'), F.col("event_id").cast("string"), F.lit('"'))
-    one = F.concat(F.lit('{"restaurantName": '), name, F.lit(', "travelInformation": {"distanceFromTempleKm": '), k, F.lit('}, "basicInformation": {"cuisineType": ["a", "b"]}}'))
-    two = F.concat(F.lit('{"restaurantName": {"value": '), name, F.lit('}, "distanceFromTemple": {"drivingDistance": {"value": '), k, F.lit('}}, "cuisine": {"types": "c"}, "businessStatus": "Temporarily Closed", "foodType": {"pureVeg": true}, "businessInformation": {"reviewCount": 7}, "priceInformation": {"averageCostForOne": {"value": "₹200"}}, "workingHours": {"openingTime": "9", "closingTime": "21", "workingDays": "daily"}}'))
-    three = F.concat(F.lit('{"name": '), name, F.lit(', "distance_km": "'), k, F.lit('", "foodType": {"vegetarian": true}}'))
+    one = F.concat(F.lit('{"restaurantName": '), name, F.lit(', "travelInformation": {"distanceFromTempleKm": '), k, F.lit('}, "basicInformation": {"cuisineType": ["a", 7, " ", {"x": 1}, "b"]}, "customerInformation": {"totalReviews": "1,200"}}'))
+    two = F.concat(F.lit('{"restaurantName": {"value": '), name, F.lit('}, "distanceFromTemple": {"walkingDistance": {"value": null}, "drivingDistance": {"value": "'), k, F.lit('"}}, "basicInformation": {"cuisineType": []}, "cuisine": {"types": ["c"]}, "businessStatus": "Temporarily Closed", "foodType": {"pureVeg": true}, "businessInformation": {"reviewCount": 7}, "priceInformation": {"averageCostForOne": {"value": "₹200"}}, "workingHours": {"openingTime": "9", "closingTime": "21", "workingDays": "daily"}}'))
+    three = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"name": '), name, F.lit(', "distance_km": 5}'))).otherwise(F.concat(F.lit('{"restaurantName": '), name, F.lit(', "travelInformation": {"distanceFromTempleKm": "near"}, "distanceFromTemple": {"walkingDistance": 2}, "cuisine": "bare", "foodType": {"vegetarian": true}}')))
     four = F.lit('{"restaurantName": {"value": null}}')
     five = F.concat(F.lit('{"restaurantName": '), name)
     return table(spark, d, "events").select("event_id", F.when(e == 0, one).when(e == 1, two).when(e == 2, three).when(e == 3, four).otherwise(five).alias("value"))
 
 
 @query(f"""
-    SELECT event_id, 'R' || event_id AS name, {_K} AS distance_km, CASE event_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS n_cuisines, CASE WHEN event_id % 5 = 2 THEN true END AS vegetarian, event_id % 5 <> 1 AS open,
-           CASE WHEN event_id % 5 = 1 THEN true END AS pure_veg, CASE WHEN event_id % 5 = 1 THEN 7 END AS reviews, CASE WHEN event_id % 5 = 1 THEN '₹200' END AS cost_for_one, CASE WHEN event_id % 5 = 1 THEN '9 - 21 (daily)' ELSE '' END AS hours
-    FROM events WHERE event_id % 5 < 3""")
+    SELECT event_id, 'R' || event_id AS name, CASE WHEN event_id % 5 < 2 THEN {_K} END AS distance_km, CASE event_id % 5 WHEN 0 THEN 'a,b' WHEN 1 THEN 'c' ELSE '' END AS cuisines, CASE WHEN event_id % 5 = 2 THEN true END AS vegetarian, event_id % 5 <> 1 AS open,
+           CASE WHEN event_id % 5 = 1 THEN true END AS pure_veg, CASE event_id % 5 WHEN 0 THEN '1,200' WHEN 1 THEN '7' END AS reviews, CASE WHEN event_id % 5 = 1 THEN '₹200' END AS cost_for_one, CASE WHEN event_id % 5 = 1 THEN '9 - 21 (daily)' ELSE '' END AS hours
+    FROM events WHERE event_id % 5 < 2 OR event_id % 10 = 7""")
 def json_variant_unify(spark, d):
-    return json_layouts.restaurants(_layouts(spark, d)).select("event_id", "name", "distance_km", F.size("cuisines").alias("n_cuisines"), "vegetarian", "open", "pure_veg", F.col("reviews").cast("int").alias("reviews"), "cost_for_one", "hours")
+    return json_layouts.restaurants(_layouts(spark, d)).select("event_id", "name", "distance_km", joined("cuisines"), "vegetarian", "open", "pure_veg", "reviews", "cost_for_one", "hours")
 
 
-@query("SELECT event_id, CASE event_id % 5 WHEN 4 THEN 'invalid_json' WHEN 2 THEN 'invalid_record' WHEN 3 THEN 'invalid_record' WHEN 1 THEN 'ok' ELSE 'ok' END AS status FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 5 = 4 THEN 'invalid_json' WHEN event_id % 5 < 2 OR event_id % 10 = 7 THEN 'ok' ELSE 'invalid_record' END AS status FROM events")
 def malformed_quarantine(spark, d):
     return json_layouts.quarantine(_layouts(spark, d), "value", ("restaurantName",)).select("event_id", "status")
 

@@ -43,29 +43,48 @@ def unwrapped(v: Column, path: str, kind: str) -> Column:
     return F.coalesce(inner, F.when(F.schema_of_variant(node).startswith("OBJECT"), None).otherwise(own))
 
 
-def as_array(v: Column, path: str, kind: str) -> Column:
-    """The array at a path, or the scalar there as an array of one; null if there is neither."""
-    return F.coalesce(F.try_variant_get(v, path, f"array<{kind}>"), F.when(F.try_variant_get(v, path, kind).isNotNull(), F.array(F.try_variant_get(v, path, kind))))
+def scalar_text(v: Column, path: str) -> Column:
+    """A text, number or boolean at a path, bare or wrapped, as text; null for a list or an object that isn't a wrapper."""
+    flat = lambda p: F.when(~F.schema_of_variant(F.try_variant_get(v, p, "variant")).rlike("^(OBJECT|ARRAY|VOID)"), F.try_variant_get(v, p, "string"))
+    return F.coalesce(flat(f"{path}.value"), flat(path))
+
+
+def there(v: Column, path: str) -> Column:
+    """What stands at a path, whatever it is; of a wrapper what is wrapped. Null where nothing or null does."""
+    own, inner = (F.try_variant_get(v, p, "variant") for p in (path, f"{path}.value"))
+    held = F.coalesce(inner, own)
+    return F.when(F.schema_of_variant(held) != "VOID", held)
+
+
+def filled_strings(v: Column, *paths: str) -> Column:
+    """The texts, trimmed, of the first list at the paths that holds anything; what isn't text and blank ones are left out. A bare text stands for the list of its characters."""
+    chars = lambda x: F.split(F.when(F.schema_of_variant(F.try_variant_get(x, "$", "variant")) == "STRING", F.try_variant_get(x, "$", "string")), "")
+    of = lambda p: F.coalesce(F.transform(F.try_variant_get(v, p, "array<variant>"), lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))), chars(F.try_variant_get(v, p, "variant")))
+    first = F.coalesce(*[text.filled(of(p)) for p in paths], F.array().cast("array<string>"))
+    return F.filter(F.transform(first, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
 
 
 def restaurants(texts: DataFrame, text_col: str = "value") -> DataFrame:
-    """One record a named restaurant document, whichever layout it has; what a layout doesn't say is '' or null."""
+    """One record a restaurant document that has a name, whichever layout it has; what a layout doesn't say is '' or null.
+
+    Of alternative fields the first that is there counts: a distance that is there and isn't a number gives null, it doesn't fall on to the next. Ratings, review
+    counts and costs are kept as they are written, as text.
+    """
     rows = texts.withColumn("v", F.try_parse_json(text_col))
     v = F.col("v")
     at = lambda kind, *paths: F.coalesce(*[unwrapped(v, p, kind) for p in paths])
-    filled = lambda *paths: F.coalesce(*[F.nullif(F.trim(unwrapped(v, p, "string")), F.lit("")) for p in paths])
+    filled = lambda *paths: F.coalesce(*[F.nullif(F.trim(scalar_text(v, p)), F.lit("")) for p in paths])
     said = lambda *paths: F.coalesce(filled(*paths), F.lit(""))
-    cuisine = F.coalesce(as_array(v, "$.basicInformation.cuisineType", "string"), as_array(v, "$.cuisine.types", "string"), as_array(v, "$.cuisine", "string"), F.array().cast("array<string>"))
-    cuisine = F.filter(F.transform(cuisine, lambda c: F.trim(c)), lambda c: c.isNotNull() & (c != ""))
-    distance = at("double", "$.travelInformation.distanceFromTempleKm", "$.distanceFromTemple.walkingDistance", "$.distanceFromTemple.drivingDistance", "$.distance_km")
+    cuisine = filled_strings(v, "$.basicInformation.cuisineType", "$.cuisine.types")
+    distance = F.coalesce(*[there(v, p) for p in ("$.travelInformation.distanceFromTempleKm", "$.distanceFromTemple.walkingDistance", "$.distanceFromTemple.drivingDistance")])
     opening, closing, days = (filled(f"$.workingHours.{k}") for k in ("openingTime", "closingTime", "workingDays"))
     hours = F.concat(opening, F.lit(" - "), closing, F.coalesce(F.concat(F.lit(" ("), days, F.lit(")")), F.lit("")))
     return rows.select(
-        *[c for c in texts.columns if c != text_col], filled("$.restaurantName", "$.name").alias("name"), said("$.associatedTemple.templeId").alias("temple_id"), said("$.associatedTemple.templeName").alias("temple_name"),
-        said("$.location.city").alias("city"), said("$.location.fullAddress", "$.location.address", "$.location.landmark", "$.address").alias("address"), F.round(distance, 2).alias("distance_km"),
+        *[c for c in texts.columns if c != text_col], filled("$.restaurantName").alias("name"), said("$.associatedTemple.templeId").alias("temple_id"), said("$.associatedTemple.templeName").alias("temple_name"),
+        said("$.location.city").alias("city"), said("$.location.fullAddress", "$.location.address", "$.location.landmark").alias("address"), F.round(F.trim(F.try_variant_get(distance, "$", "string")).try_cast("double"), 2).alias("distance_km"),
         at("boolean", "$.dietaryInformation.vegetarian", "$.foodType.vegetarian").alias("vegetarian"), at("boolean", "$.dietaryInformation.pureVegetarian", "$.foodType.pureVeg").alias("pure_veg"),
-        at("double", "$.customerInformation.googleRating", "$.businessInformation.rating").alias("rating"), at("long", "$.customerInformation.totalReviews", "$.businessInformation.reviewCount").alias("reviews"),
-        said("$.priceInformation.priceCategory", "$.businessInformation.priceRange").alias("price_category"), at("string", "$.priceInformation.averageCostForOne").alias("cost_for_one"), at("string", "$.priceInformation.averageCostForTwo").alias("cost_for_two"),
+        filled("$.customerInformation.googleRating", "$.businessInformation.rating").alias("rating"), filled("$.customerInformation.totalReviews", "$.businessInformation.reviewCount").alias("reviews"),
+        said("$.priceInformation.priceCategory", "$.businessInformation.priceRange").alias("price_category"), filled("$.priceInformation.averageCostForOne").alias("cost_for_one"), filled("$.priceInformation.averageCostForTwo").alias("cost_for_two"),
         F.slice(cuisine, 1, 6).alias("cuisines"), F.coalesce(hours, F.lit("")).alias("hours"), said("$.contactInformation.phoneNumber", "$.contact.phone").alias("phone"), said("$.googleMapsLink").alias("map_link"),
         (~F.contains(F.lower(said("$.businessStatus")), F.lit("closed"))).alias("open"), said("$.metadata.lastVerified").alias("last_verified"), said("$.metadata.status").alias("dataset_status"),
     ).filter(F.col("name").isNotNull()).withColumns({"place_tokens": text.tokens(F.concat_ws(" ", "temple_name", "city", "address")), "name_tokens": text.tokens(F.col("name"))})

@@ -31,7 +31,7 @@ def test_restaurant_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"restaurantName": {"value": " A "},\n "associatedTemple": {"templeId": "T1"}, "dietaryInformation": {"vegetarian": false}, "foodType": {"pureVeg": true}, "priceInformation": {"averageCostForOne": {"value": "₹200-300"}}, "customerInformation": {"totalReviews": 12}, "distanceFromTemple": {"walkingDistance": {"value": 0.456}, "drivingDistance": 9}, "location": {"landmark": "gate"}}')
     (tmp_path / "b.json").write_text("[]")
     (r,) = json_layouts.read_restaurant_files(spark, str(tmp_path)).collect()
-    assert (r.name, r.temple_id, r.vegetarian, r.pure_veg, r.cost_for_one, r.reviews, r.distance_km, r.address) == ("A", "T1", False, True, "₹200-300", 12, 0.46, "gate")
+    assert (r.name, r.temple_id, r.vegetarian, r.pure_veg, r.cost_for_one, r.reviews, r.distance_km, r.address) == ("A", "T1", False, True, "₹200-300", "12", 0.46, "gate")
 
 
 def test_first_filled(spark):
@@ -301,3 +301,14 @@ def test_vector_search_in_blocks_and_parts(spark, monkeypatch):
     monkeypatch.setattr(documents, "BLOCK", 2)
     monkeypatch.setattr(documents, "BLOCKS", 1)
     assert rows(documents.vector_topk(v, q, 4)) == want and len(want) == 80
+
+
+def test_odd_restaurant_fields(spark):
+    docs = {
+        "A": '{"restaurantName":"A","basicInformation":{"cuisineType":[]},"cuisine":{"types":["p",7,{"a":1}," q ",["r"]]},"travelInformation":{"distanceFromTempleKm":"near"},"distanceFromTemple":{"walkingDistance":1.2},"customerInformation":{"totalReviews":12.5}}',
+        "B": '{"restaurantName":{"value":"B"},"cuisine":{"types":"ab c"},"travelInformation":{"distanceFromTempleKm":{"value":null}},"distanceFromTemple":{"walkingDistance":{"value":null},"drivingDistance":{"value":" 3.004 "}},"customerInformation":{"totalReviews":"1,200"}}',
+        "D": '{"restaurantName":"D","distanceFromTemple":{"walkingDistance":{"text":"x"},"drivingDistance":3.0},"cuisine":"bare"}',
+    }
+    rest = ['{"name":"C"}', '{"restaurantName":{"name":"x"}}', '{"restaurantName":" "}']
+    got = json_layouts.restaurants(spark.createDataFrame([(d,) for d in [*docs.values(), *rest]], "value string"))
+    assert {r.name: (r.cuisines, r.distance_km, r.reviews) for r in got.collect()} == {"A": (["p", "q"], None, "12.5"), "B": (["a", "b", "c"], 3.0, "1,200"), "D": ([], None, None)}
