@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plansift.functions.geo import coordinate_key
 from plansift.functions.text import cache_key
+from plansift.operators.spread import carry_forward
 
 TURNS, SESSION_TTL = 10, 86_400
 
@@ -46,18 +47,17 @@ def is_urgent(message: Column, patterns: tuple[str, ...] = EMERGENCY) -> Column:
 
 
 def last_turns(turns: DataFrame, key: str, ts: str, tie: str, n: int = TURNS, ttl: int | None = None) -> DataFrame:
-    """key, history (the last n rows' tie column, oldest first), last. A gap longer than ttl seconds begins a new history."""
-    rows = turns
-    if ttl is not None:
-        order = Window.partitionBy(key).orderBy(ts, tie)
-        gap = F.unix_timestamp(ts) - F.unix_timestamp(F.lag(ts).over(order)) > ttl
-        rows = rows.withColumn("_part", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(order))
-        rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_part"), F.desc(ts), F.desc(tie)))).filter(F.col("_r") <= n)
-        newest = F.max("_part").over(Window.partitionBy(key))
-        rows = rows.withColumn("_new", newest).filter("_part = _new")
-    else:
-        rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(ts), F.desc(tie)))).filter(F.col("_r") <= n)
+    """key, history (the last n rows' tie column, oldest first), last. A gap longer than ttl seconds begins a new history.
+
+    Only a key's last n rows are brought together: tasks cut theirs before the shuffle, and only gaps between those n can matter.
+    """
+    rows = turns.select(key, ts, tie).withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(ts), F.desc(tie)))).filter(F.col("_r") <= n)
     listed = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(ts, tie))).alias("x"), F.max(ts).alias("last"))
+    if ttl is not None:
+        # where the newest history begins: after the last gap
+        gap = lambda x, i: (i > 0) & (F.unix_timestamp(x[ts]) - F.unix_timestamp(F.get("x", i - 1)[ts]) > ttl)
+        begins = F.array_max(F.transform("x", lambda x, i: F.when(gap(x, i), i).otherwise(0)))
+        listed = listed.withColumn("x", F.slice("x", begins + 1, F.lit(n)))
     return listed.select(key, F.transform("x", lambda x: x[tie]).alias("history"), "last")
 
 
@@ -72,20 +72,25 @@ def recent_context(turns: DataFrame, key: str, order: list[str], texts: list[str
     return rows.withColumns({t: F.substring(F.col(t).cast("string"), 1, KEPT_TEXT) for t in texts})
 
 
-def as_of(reads: DataFrame, writes: DataFrame, key: str, ts: str, tie: str = "payload") -> DataFrame:
+def as_of(reads: DataFrame, writes: DataFrame, key: str, ts: str, tie: str = "payload", spread: bool = False, parts: int | None = None) -> DataFrame:
     """Each read with the latest write of its key at or before it. reads: key, ts, read_id; writes: key, ts, payload, negative, ttl_s, and tie, the highest of which counts among writes of one time.
 
-    Both come together in one sorted pass a key (no join): hit is whether the write still lives and isn't a failure.
+    Both come together in one sorted pass a key (no join): hit is whether the write still lives and isn't a failure. spread: deal rows to ranges of key and time instead,
+    so that a key of any size lies in many tasks, at the cost of writing them once.
     """
     write = F.struct(ts, "payload", "negative", "ttl_s")
     r = reads.select(key, ts, "read_id", F.lit(1).alias("_o"), F.lit(None).cast(writes.schema[tie].dataType).alias("_t"), F.lit(None).cast(writes.select(write).schema[0].dataType).alias("w"))
     w = writes.select(key, ts, F.lit(None).cast(reads.schema["read_id"].dataType).alias("read_id"), F.lit(0).alias("_o"), F.col(tie).alias("_t"), write.alias("w"))
-    span = Window.partitionBy(key).orderBy(ts, "_o", "_t").rowsBetween(Window.unboundedPreceding, 0)
-    rows = r.unionByName(w).withColumn("w", F.last("w", ignorenulls=True).over(span)).filter("_o = 1")
+    both = r.unionByName(w)
+    if spread:
+        rows = carry_forward(both, [key], [ts, "_o", "_t", "read_id"], "w", parts).drop("_part")
+    else:
+        span = Window.partitionBy(key).orderBy(ts, "_o", "_t").rowsBetween(Window.unboundedPreceding, 0)
+        rows = both.withColumn("w", F.last("w", ignorenulls=True).over(span))
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     lives = micros(ts) - micros(f"w.{ts}") <= F.col("w.ttl_s").cast("long") * 1_000_000
     hit = F.coalesce(lives & ~F.col("w.negative"), F.lit(False))
-    return rows.select(key, "read_id", hit.alias("hit"), F.when(hit, F.col("w.payload")).alias("payload"))
+    return rows.filter("_o = 1").select(key, "read_id", hit.alias("hit"), F.when(hit, F.col("w.payload")).alias("payload"))
 
 
 def first_success(attempts: DataFrame, key: str, straight_line: DataFrame) -> DataFrame:

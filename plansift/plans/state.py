@@ -134,6 +134,20 @@ def ttl_cache_asof(spark, d):
     return state.as_of(reads, writes, "user_id", "ts", tie="id")
 
 
+@query("""
+    WITH e AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS owner, ['geocode', 'route', 'places', 'other'][event_id % 4 + 1] AS kind FROM events),
+    w AS (SELECT owner, ts, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) = 'error' AS negative, arg_max(CASE WHEN event_type = 'error' THEN CASE kind WHEN 'places' THEN 600 ELSE 30 END WHEN kind = 'geocode' THEN 2592000 ELSE 86400 END, event_id) AS ttl
+          FROM e WHERE event_type IN ('error', 'purchase') GROUP BY owner, ts),
+    j AS (SELECT r.owner, r.event_id AS read_id, NOT negative AND epoch_us(r.ts) - epoch_us(w.ts) <= CAST(ttl AS BIGINT) * 1000000 AS lives, w.event_id AS written FROM (SELECT * FROM e WHERE event_type = 'view') r ASOF LEFT JOIN w ON w.owner = r.owner AND r.ts >= w.ts)
+    SELECT owner, read_id, coalesce(lives, false) AS hit, CASE WHEN lives THEN 'f' || written END AS payload FROM j""")
+def ttl_cache_asof_hot(spark, d):
+    """The cache with a third of all facts under one key, which is spread over many tasks."""
+    facts = _facts(table(spark, d, "events")).withColumn("owner", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("user_id")))
+    reads = facts.filter("is_read").select("owner", "ts", F.col("id").alias("read_id"))
+    writes = facts.filter("not is_read").select("owner", "ts", "id", "payload", "negative", "ttl_s")
+    return state.as_of(reads, writes, "owner", "ts", tie="id", spread=True)
+
+
 @query("""
     WITH a AS (SELECT event_id % 1000 AS route, user_id % 3 AS priority, min(CASE WHEN event_type <> 'error' THEN value END) AS value, bool_and(event_type = 'error') AS failed FROM events GROUP BY 1, 2),
     b AS (SELECT route, min(priority) FILTER (WHERE NOT failed) AS p FROM a GROUP BY 1)

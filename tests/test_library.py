@@ -312,3 +312,37 @@ def test_odd_restaurant_fields(spark):
     rest = ['{"name":"C"}', '{"restaurantName":{"name":"x"}}', '{"restaurantName":" "}']
     got = json_layouts.restaurants(spark.createDataFrame([(d,) for d in [*docs.values(), *rest]], "value string"))
     assert {r.name: (r.cuisines, r.distance_km, r.reviews) for r in got.collect()} == {"A": (["p", "q"], None, "12.5"), "B": (["a", "b", "c"], 3.0, "1,200"), "D": ([], None, None)}
+
+
+@pytest.mark.parametrize("parts", [1, 4, 23])
+@pytest.mark.parametrize("n_keys", [1, 3, 300])
+def test_as_of_spread_over_ranges(spark, parts, n_keys):
+    import random
+
+    r = random.Random(n_keys)
+    at = lambda: pd.Timestamp(10**9 + r.randrange(4000), unit="s").to_pydatetime()
+    key = lambda: None if r.random() < 0.02 else r.randrange(n_keys)
+    writes = spark.createDataFrame([(key(), at(), i, f"p{i}", r.random() < 0.2, r.choice([5, 500, 10**6])) for i in range(700)], "k int, ts timestamp, id long, payload string, negative boolean, ttl_s int")
+    reads = spark.createDataFrame([(key(), at(), i) for i in range(900)], "k int, ts timestamp, read_id long")
+    want = sorted(state.as_of(reads, writes, "k", "ts", "id").collect(), key=repr)
+    assert sorted(state.as_of(reads, writes, "k", "ts", "id", spread=True, parts=parts).collect(), key=repr) == want and len(want) == 900
+    assert state.as_of(reads.limit(0), writes.limit(0), "k", "ts", "id", spread=True, parts=parts).collect() == []
+
+
+def test_one_key_spreads_over_tasks(spark):
+    """All rows have one key: no range holds more than twice its share."""
+    from plansift.operators import spread
+
+    rows = spark.range(20_000).select(F.lit(1).alias("k"), F.col("id").alias("ts"), F.when(F.col("id") % 97 == 0, F.col("id")).alias("v"))
+    got = spread.carry_forward(rows, ["k"], ["ts"], "v", parts=16)
+    assert max(r["count"] for r in got.groupBy("_part").count().collect()) <= 2 * 20_000 / 16
+    assert got.filter("v <> ts - ts % 97").count() == 0 and got.filter("v is null").count() == 0
+
+
+def test_last_turns_of_a_hot_key(spark):
+    day = 86_400
+    moves = [(1, n, n) for n in range(3000)] + [(2, 0, 1), (2, day, 2), (2, 2 * day + 1, 3), (2, 2 * day + 2, 4), (3, 5, 7), (3, 5, 6), (4, 0, 1)]
+    df = spark.createDataFrame([(k, pd.Timestamp(10**9 + t, unit="s").to_pydatetime(), i) for k, t, i in moves], "k int, ts timestamp, id long")
+    got = state.last_turns(df, "k", "ts", "id", ttl=day)
+    assert {r.k: r.history for r in got.collect()} == {1: list(range(2990, 3000)), 2: [3, 4], 3: [6, 7], 4: [1]}
+    assert "WindowGroupLimit" in got._jdf.queryExecution().toString()
