@@ -288,18 +288,41 @@ def test_recall_on_vectors_of_doubles(spark):
     assert hit >= 0.9 * 200
 
 
-def test_pairs_met_by_angle():
-    rng = np.random.RandomState(5)
-    x, z = rng.randn(1000, 64), rng.randn(1000, 64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    z -= (z * x).sum(1, keepdims=True) * x
-    z /= np.linalg.norm(z, axis=1, keepdims=True)
-    for cosine, share in ((0.3, 0.9), (0.4, 0.94), (0.5, 0.97)):
-        y = cosine * x + math.sqrt(1 - cosine**2) * z
-        met = np.zeros(len(x), bool)
+def test_more_vectors_are_compared_less():
+    """Of random vectors nine in ten neighbours are met, and what a query is compared to grows clearly less than the table does."""
+    rng, shares = np.random.RandomState(5), []
+    for n in (500, 3000, 18_000):
+        x = rng.randn(n, 64)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        sizes, count = neighbours.choices(n, 64), neighbours.probes(n, 64)
+        scores = x[:60] @ x.T
+        scores[np.arange(60), np.arange(60)] = -9
+        best = np.argsort(-scores, axis=1)[:, :5]
+        met, compared = np.zeros((60, n), bool), 0
         for t in range(neighbours.TABLES):
-            met |= (neighbours.axes(x, t, neighbours.PROBES) == neighbours.axes(y, t, 1)).any(1)
-        assert met.mean() >= share
+            own, near = neighbours.own_bucket(x, t, sizes), neighbours.near_buckets(x[:60], t, sizes, count)
+            assert own.max() < math.prod(sizes)
+            hit = np.stack([np.isin(own, row) for row in near])
+            met |= hit
+            compared += hit.sum()
+        assert np.take_along_axis(met, best, 1).mean() >= 0.9
+        shares.append(compared / 60 / n)
+    assert shares[1] < 0.75 * shares[0] and shares[2] < 0.65 * shares[1]
+
+
+def test_probes_are_the_nearest_joint_buckets():
+    x = np.random.RandomState(1).randn(20, 4)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert [neighbours.choices(n, 64) for n in (0, 1, 128, 129, 1 << 14, 1 << 15)] == [[128], [128], [128], [128, 2], [128, 128], [128, 128, 2]]
+    for sizes in ([8], [8, 4], [8, 8, 2]):
+        costs = np.zeros((20, 1))
+        for r, size in enumerate(sizes):
+            y = neighbours.turned(x, 3000 + r)[:, : size // 2]
+            z = np.concatenate([y, -y], axis=1)
+            costs = (costs[:, :, None] + ((z.max(1, keepdims=True) - z) ** 2)[:, None, :]).reshape(20, -1)
+        got = neighbours.near_buckets(x, 3, sizes, 6)
+        assert np.allclose(np.take_along_axis(costs, got, 1), np.sort(costs, axis=1)[:, :6])
+        assert (got[:, 0] == neighbours.own_bucket(x, 3, sizes)).all()
 
 
 @settings(max_examples=100, deadline=None)
