@@ -70,7 +70,7 @@ def token_overlap_join(spark, d):
     """Items and documents that share 20 words or more. Each item asks by all but its 19 most frequent words, as one of the others must be shared; who answers is verified."""
     least = 20
     items = table(spark, d, "benchmark").select("item_id", text.tokens(F.col("text")).alias("words")).filter(F.size("words") >= least)
-    docs = table(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("words")).filter(F.size("words") >= least)
+    docs = cut(table(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("words")).filter(F.size("words") >= least))  # texts are read once
     asked = items.select("item_id", F.explode("words").alias("t"))
     held = docs.select("doc_id", F.explode("words").alias("t"))
     # how many documents hold each of the items' words

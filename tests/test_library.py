@@ -346,3 +346,34 @@ def test_last_turns_of_a_hot_key(spark):
     got = state.last_turns(df, "k", "ts", "id", ttl=day)
     assert {r.k: r.history for r in got.collect()} == {1: list(range(2990, 3000)), 2: [3, 4], 3: [6, 7], 4: [1]}
     assert "WindowGroupLimit" in got._jdf.queryExecution().toString()
+
+
+def test_select_records_by_brute_force(spark):
+    """Words that most records hold, requests for several words, ids and mentions, and a bound on what a request meets."""
+    import random
+
+    from plansift.functions.text import STOPWORDS
+    from plansift.operators import selection
+
+    r = random.Random(4)
+    vocabulary = ["common", "lake", "hill", "river", "gate", "veg", "mill"]
+    pick = lambda n: [w for w in vocabulary if r.random() < (0.9 if w == "common" else n)]
+    records = [(i, f"T{r.randrange(40)}", pick(0.1), pick(0.1) + ["solo"] * (i % 3 == 0), r.choice([True, False, None]), r.choice([True, False, None]), r.choice([None, 1.5, 2.0, 7.0])) for i in range(400)]
+    requests = [(q, "the open solo" if q % 6 == 0 else " ".join(pick(0.15)) if q % 3 else "the open", [f"T{r.randrange(60)}" for _ in range(r.randrange(3))] if q % 4 == 0 else None if q % 5 == 0 else [], [" ".join(pick(0.2)) for _ in range(r.randrange(3))]) for q in range(120)]
+    rec = spark.createDataFrame(records, "record_id int, place_id string, place_tokens array<string>, name_tokens array<string>, vegetarian boolean, open boolean, distance_km double")
+    req = spark.createDataFrame(requests, "request_id int, question string, ids array<string>, mentions array<string>")
+    words = lambda t: [w for w in t.split() if len(w) > 2 and w not in STOPWORDS]
+    want = []
+    for q, question, ids, mentions in requests:
+        said = set(words(question))
+        first = next((m for m in mentions if any(set(words(m)) & set(x[2]) for x in records)), "")
+        hits = [[x for x in records if x[1] in (ids or [])], [x for x in records if said & set(x[2])], [x for x in records if set(words(first)) & set(x[2])], [x for x in records if said & set(x[3])]]
+        tier = next((t for t, h in enumerate(hits, 1) if h), None)
+        if tier:
+            green = bool(said & set(selection.VEGETARIAN))
+            order = sorted(hits[tier - 1], key=lambda x: (green and not x[4], not x[5], 999.0 if x[6] is None else x[6], x[0]))[:5]
+            some = green and any(x[4] for x in order)
+            want += [(q, x[0], tier, n) for n, x in enumerate(order, 1) if not some or x[4]]
+    assert rows(selection.select_records(req, rec)) == sorted(want) and len({w[2] for w in want}) == 4
+    index = selection.best_by_word(rec)
+    assert index.filter("size(best) > 5").count() == 0 and index.groupBy("kind", "word", "green").count().filter("count > 1").count() == 0
