@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plansift.functions import text
-from plansift.operators import documents, resolve, selection
+from plansift.operators import documents, pruned_search, resolve, selection
 from plansift.plans.base import joined, query, table
 from plansift.sources import json_layouts
 from plansift.sources.shared import cut, shared_dir
@@ -184,6 +184,18 @@ def vector_topk(spark, d):
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.row_number().over(w).alias("rank")).filter(F.col("rank") <= documents.CANDIDATES)
 
 
+@query("""
+    WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    s AS (SELECT b.vec_id AS query_id, a.vec_id, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS score FROM e a JOIN e b ON b.vec_id % 100 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 20""")
+def vector_topk_pruned(spark, d):
+    """The exact search by reference points, which skips what can't be near enough; a query's own vector is among the answers."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    return pruned_search.topk(e, q, documents.CANDIDATES).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("""
     WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
     s AS (SELECT b.vec_id AS query_id, a.vec_id, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS score

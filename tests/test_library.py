@@ -377,3 +377,33 @@ def test_select_records_by_brute_force(spark):
     assert rows(selection.select_records(req, rec)) == sorted(want) and len({w[2] for w in want}) == 4
     index = selection.best_by_word(rec)
     assert index.filter("size(best) > 5").count() == 0 and index.groupBy("kind", "word", "green").count().filter("count > 1").count() == 0
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_pruned_search_is_exact_and_skips(spark, monkeypatch, block):
+    """Vectors in clusters, with copies and odd ones: all answers, and the more vectors the smaller the share that is scored."""
+    import numpy as np
+
+    from plansift.operators import pruned_search
+
+    monkeypatch.setattr(pruned_search, "BLOCK", block)
+    rng, shares = np.random.RandomState(3), []
+    centres = rng.randn(60, 12)
+    for n in (600, 3000) if block > 7 else (600,):
+        x = centres[rng.randint(60, size=n)] + 0.15 * rng.randn(n, 12)
+        x[n // 2 : n // 2 + 30] = x[5]
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        odd = [(n, None), (n + 1, []), (n + 2, [0.0] * 12), (n + 3, [1.0] * 3)]
+        v = spark.createDataFrame([*((i, [float(a) for a in y]) for i, y in enumerate(x)), *odd], "vec_id long, v array<double>").repartition(4)
+        q = v.filter("vec_id % 50 = 5 or vec_id >= " + str(n)).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+        got, scored = {}, {}
+        for r in pruned_search.topk(v, q, 5, per_reference=20).collect():
+            got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, round(r.score, 9))
+            scored[r.query_id] = r.n_scored
+        for i in range(5, n, 50):
+            s = (unit * unit[i]).sum(axis=1).round(9)
+            assert got[i] == {k + 1: (j, s[j]) for k, j in enumerate(np.lexsort((np.arange(n), -s))[:5].tolist())}
+        shares.append(sum(scored.values()) / len(scored) / n)
+        assert not {n, n + 1, n + 2} & set(got)
+    assert shares[0] < 0.5 and shares[-1] <= shares[0]
+    assert pruned_search.topk(v.limit(0), q, 5).collect() == [] and pruned_search.topk(v, q.limit(0), 5).collect() == []
