@@ -27,6 +27,7 @@ without an id. Vectors of different lengths are no candidates of each other. Rep
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from plansift.llm.common import cut, discard, map_rows, small
 
-TABLES, FILL, SHARE, FALL, INNER, BLOCK = 6, 1, 6.3, 0.35, 9, 1024
+TABLES, FILL, SHARE, FALL, INNER, BLOCK, DENSE = 6, 1, 6.3, 0.35, 12, 8192, 512
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -48,17 +49,29 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(n)
 
 
-def turned(x: np.ndarray, turn: int, seed: int = 7) -> np.ndarray:
-    """Unit rows after the pseudo-rotation of that number."""
-    width = 1 << max(0, int(x.shape[1] - 1).bit_length())
-    y = np.zeros((len(x), width))
-    y[:, : x.shape[1]] = x
+def _signs(y: np.ndarray, turn: int, seed: int) -> np.ndarray:
+    width = y.shape[1]
     rng = np.random.RandomState([seed, turn, width])
     for _ in range(3):
         y = hadamard(y * rng.choice([-1.0, 1.0], width))
     return y
 
 
+@functools.lru_cache(64)
+def _matrix(turn: int, width: int, seed: int) -> np.ndarray:
+    return _signs(np.eye(width), turn, seed)
+
+
+def turned(x: np.ndarray, turn: int, seed: int = 7) -> np.ndarray:
+    """Unit rows after the pseudo-rotation of that number. Up to DENSE numbers wide, all three rounds are worked out once, as one matrix."""
+    width = 1 << max(0, int(x.shape[1] - 1).bit_length())
+    if width <= DENSE:
+        return x @ _matrix(turn, width, seed)[: x.shape[1]]
+    y = np.zeros((len(x), width))
+    y[:, : x.shape[1]] = x
+    return _signs(y, turn, seed)
+
+
 def choices(n: int, numbers: int, fill: int = FILL) -> list[int]:
     """Among how many signed axes each rotation of a table chooses, for n vectors of that many numbers."""
     most = 2 << max(0, int(numbers - 1).bit_length())
@@ -101,6 +114,9 @@ def near_buckets(x: np.ndarray, table: int, sizes: list[int], count: int) -> np.
         few = np.argsort(behind, axis=1, kind="stable")[:, :count]
         cost = (cost[:, :, None] + np.take_along_axis(behind, few, 1)[:, None, :]).reshape(len(x), -1)
         names = (names[:, :, None] * z.shape[1] + few[:, None, :]).reshape(len(x), -1)
+        if cost.shape[1] > 4 * count:
+            part = np.argpartition(cost, count, axis=1)[:, :count]
+            cost, names = np.take_along_axis(cost, part, 1), np.take_along_axis(names, part, 1)
         best = np.argsort(cost, axis=1, kind="stable")[:, :count]
         cost, names = np.take_along_axis(cost, best, 1), np.take_along_axis(names, best, 1)
     return names
@@ -150,7 +166,7 @@ def _hashed(df: DataFrame, tables: int, n: int, asks: bool, kind: str, ratio: fl
                         out += [(size, t, int(first[i]), key, v, last[i:j]) for i, j in zip(begins, [*begins[1:], len(row)])]
                     yield out
 
-    return map_rows(df.select("key", "v"), run, "size int, tab int, bucket long, key long, v binary, last array<int>")
+    return map_rows(df.select("key", "v"), run, "size int, tab int, bucket long, key long, v binary, last array<smallint>")
 
 
 def _blocks(n: Column) -> Column:
@@ -216,7 +232,7 @@ def nearest(df: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id", ve
     short = askers.select("key").distinct().join(found.filter(F.size("near") > k).select(F.col("ask").alias("key")), "key", "left_anti")
     short = cut(short, scratch)
     if not short.isEmpty():
-        every = groups.select(F.octet_length("v").alias("size"), F.lit(-1).alias("tab"), F.lit(0).cast("long").alias("bucket"), "key", "v", F.array(F.lit(0)).alias("last"))
+        every = groups.select(F.octet_length("v").alias("size"), F.lit(-1).alias("tab"), F.lit(0).cast("long").alias("bucket"), "key", "v", F.array(F.lit(0).cast("smallint")).alias("last"))
         rest = cut(_answers(_met(every, cut(every.join(short, "key", "left_semi"), scratch), k, kind, scratch), ids, k))
         found = found.join(small(cut(short.withColumnRenamed("key", "ask"))), "ask", "left_anti").unionByName(rest)
     discard(df.sparkSession, scratch)
