@@ -31,7 +31,7 @@ def outcome(value: Column, reason: Column) -> Column:
 
 
 def _said(c: Column) -> Column:
-    return F.nullif(F.trim(c.cast("string")), F.lit(""))
+    return F.nullif(F.trim(c.cast("string"), F.lit(" \t\r\n")), F.lit(""))
 
 
 def number(c: Column, kind: str = "long", least: float | None = None, most: float | None = None) -> Column:

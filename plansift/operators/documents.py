@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plansift.functions.text import words
+from plansift.sources import committed
 from plansift.sources.json_layouts import first_said, is_object, stringify
 
 CHUNK, OVERLAP, SEPARATORS = 800, 120, ("\n\n", "\n", ". ", " ", "")
@@ -128,17 +129,13 @@ def chunks(docs: DataFrame, key: str, text_col: str) -> DataFrame:
 
 
 def append_new(chunk_rows: DataFrame, kept: DataFrame, key: str) -> DataFrame:
-    """What of chunk_rows isn't yet in kept, by key and chunk_index."""
-    return chunk_rows.join(kept.select(key, "chunk_index"), [key, "chunk_index"], "left_anti")
+    """What of chunk_rows isn't yet in kept, by key and chunk_index, each once."""
+    return committed.one_of_key(chunk_rows, [key, "chunk_index"]).join(kept.select(key, "chunk_index").distinct(), [key, "chunk_index"], "left_anti")
 
 
-def ingest(chunk_rows: DataFrame, path: str, key: str) -> None:
-    """Appends chunks to the table at path, which the first call creates; chunks that are there already aren't written again."""
-    spark = chunk_rows.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        chunk_rows = append_new(chunk_rows, spark.read.schema(chunk_rows.schema).parquet(path), key)
-    chunk_rows.write.mode("append").parquet(path)
+def ingest(chunk_rows: DataFrame, path: str, key: str) -> int:
+    """Appends chunks to the store at path, which the first call creates; a chunk that is there already, or twice in a call, is stored once. All at once or not at all (see sources.committed)."""
+    return committed.append(chunk_rows, path, [key, "chunk_index"])
 
 
 def _norm(v: Column) -> Column:

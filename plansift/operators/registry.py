@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plansift.functions.text import normalize, strip_marks
+from plansift.sources import committed
 from plansift.sources.json_layouts import first_said, is_object, items, strings
 
 # Words that mark an event's name.
@@ -170,15 +171,14 @@ def emergency_flags(entities: DataFrame, documents: DataFrame, text_col: str = "
 TABLES = ("entities", "aliases", "mentions")
 
 
-def write_registry(path: str, entities: DataFrame, aliases: DataFrame, mentions: DataFrame, mode: str = "errorifexists") -> None:
-    """The registry as three tables under path."""
-    for name, df in zip(TABLES, (entities, aliases, mentions)):
-        df.write.mode(mode).parquet(f"{path.rstrip('/')}/{name}")
+def write_registry(path: str, entities: DataFrame, aliases: DataFrame, mentions: DataFrame, mode: str = "errorifexists") -> int:
+    """The registry as three tables under path, which change together: readers see the old ones or the new ones. mode: errorifexists or overwrite."""
+    return committed.replace(path, dict(zip(TABLES, (entities, aliases, mentions))), once=mode == "errorifexists")
 
 
 def read_registry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three tables; entities without an id or a name, and aliases or mentions of no text, are left out."""
-    entities, aliases, mentions = (spark.read.parquet(f"{path.rstrip('/')}/{name}") for name in TABLES)
+    entities, aliases, mentions = (committed.read(spark, path, name) for name in TABLES)
     return entities.filter("entity_id <> '' and canonical_name <> ''"), aliases.filter("alias <> ''"), mentions.filter("alias <> ''")
 
 
@@ -189,3 +189,8 @@ def report(spark: SparkSession, checks: dict[str, DataFrame]) -> DataFrame:
         one = df.select(F.lit(name).alias("check"), F.col("key").cast("string").alias("key"), F.col("n").cast("long").alias("n"))
         rows = one if rows is None else rows.unionByName(one)
     return rows
+
+
+def write_report(path: str, rows: DataFrame) -> int:
+    """A report becomes the table `report` under path, beside the registry's tables if they are there."""
+    return committed.replace(path, {"report": rows})

@@ -8,34 +8,53 @@ from pyspark.sql import functions as F
 from plansift.functions import text
 from plansift.operators import documents, pruned_search, resolve, selection
 from plansift.plans.base import joined, query, table
-from plansift.sources import json_layouts
+from plansift.sources import committed, json_files, json_layouts
 from plansift.sources.shared import cut, shared_dir
 
 _K = "CAST(json_extract_string(props, '$.k') AS DOUBLE)"
 
 
-def _layouts(spark, d):
-    """Events' props as restaurant documents: two layouts with odd fields, one with a name that isn't read, one without a name, one cut short."""
-    k = F.get_json_object("props", "$.k")
-    e = F.col("event_id") % 5
-    name = F.concat(F.lit('"R'), F.col("event_id").cast("string"), F.lit('"'))
+def _restaurant(key, k):
+    """Restaurant documents by a key's remainder: two layouts with odd fields, one with a name that isn't read, one without a name, one cut short."""
+    e = key % 5
+    name = F.concat(F.lit('"R'), key.cast("string"), F.lit('"'))
     one = F.concat(F.lit('{"restaurantName": '), name, F.lit(', "travelInformation": {"distanceFromTempleKm": '), k, F.lit('}, "basicInformation": {"cuisineType": ["a", 7, " ", {"x": 1}, "b"]}, "customerInformation": {"totalReviews": "1,200"}}'))
     two = F.concat(F.lit('{"restaurantName": {"value": '), name, F.lit('}, "distanceFromTemple": {"walkingDistance": {"value": null}, "drivingDistance": {"value": "'), k, F.lit('"}}, "basicInformation": {"cuisineType": []}, "cuisine": {"types": ["c"]}, "businessStatus": "Temporarily Closed", "foodType": {"pureVeg": true}, "businessInformation": {"reviewCount": 7}, "priceInformation": {"averageCostForOne": {"value": "₹200"}}, "workingHours": {"openingTime": "9", "closingTime": "21", "workingDays": "daily"}}'))
-    three = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"name": '), name, F.lit(', "distance_km": 5}'))).otherwise(F.concat(F.lit('{"restaurantName": '), name, F.lit(', "travelInformation": {"distanceFromTempleKm": "near"}, "distanceFromTemple": {"walkingDistance": 2}, "cuisine": "bare", "foodType": {"vegetarian": true}}')))
+    three = F.concat(F.lit('{"name": '), name, F.lit(', "distance_km": 5}'))
+    odd = F.concat(F.lit('{"restaurantName": '), name, F.lit(', "travelInformation": {"distanceFromTempleKm": "near"}, "distanceFromTemple": {"walkingDistance": 2}, "cuisine": "bare", "foodType": {"vegetarian": true}}'))
     four = F.lit('{"restaurantName": {"value": null}}')
     five = F.concat(F.lit('{"restaurantName": '), name)
-    return table(spark, d, "events").select("event_id", F.when(e == 0, one).when(e == 1, two).when(e == 2, three).when(e == 3, four).otherwise(five).alias("value"))
+    return F.when(key % 10 == 5, odd).when(e == 0, one).when(e == 1, two).when(e == 2, three).when(e == 3, four).otherwise(five)
+
+
+def _layouts(spark, d):
+    return table(spark, d, "events").select("event_id", _restaurant(F.col("event_id"), F.get_json_object("props", "$.k")).alias("value"))
+
+
+_RESTAURANTS = """
+    SELECT s_suppkey, 'R' || s_suppkey AS name, CASE WHEN s_suppkey % 10 <> 5 THEN CAST(s_nationkey AS DOUBLE) END AS distance_km, CASE WHEN s_suppkey % 10 = 0 THEN 'a,b' WHEN s_suppkey % 5 = 1 THEN 'c' ELSE '' END AS cuisines FROM supplier WHERE s_suppkey % 5 < 2"""
 
 
 @query(f"""
-    SELECT event_id, 'R' || event_id AS name, CASE WHEN event_id % 5 < 2 THEN {_K} END AS distance_km, CASE event_id % 5 WHEN 0 THEN 'a,b' WHEN 1 THEN 'c' ELSE '' END AS cuisines, CASE WHEN event_id % 5 = 2 THEN true END AS vegetarian, event_id % 5 <> 1 AS open,
-           CASE WHEN event_id % 5 = 1 THEN true END AS pure_veg, CASE event_id % 5 WHEN 0 THEN '1,200' WHEN 1 THEN '7' END AS reviews, CASE WHEN event_id % 5 = 1 THEN '₹200' END AS cost_for_one, CASE WHEN event_id % 5 = 1 THEN '9 - 21 (daily)' ELSE '' END AS hours
-    FROM events WHERE event_id % 5 < 2 OR event_id % 10 = 7""")
+    SELECT name, distance_km, cuisines, NULL AS reason FROM ({_RESTAURANTS})
+    UNION ALL SELECT NULL, NULL, NULL, CASE WHEN s_suppkey % 5 = 4 THEN 'invalid_json' ELSE 'missing:restaurantName' END FROM supplier WHERE s_suppkey % 5 IN (2, 4)""")
+def restaurant_files(spark, d):
+    """A file a supplier, in many layouts, some broken or nameless: the records of the good ones, and why the others are none."""
+    path = f"{shared_dir(spark)}/restaurants"
+    json_files.write_json_files(table(spark, d, "supplier").select(_restaurant(F.col("s_suppkey"), F.col("s_nationkey").cast("string")).alias("value")), path)
+    good, bad = json_layouts.read_restaurant_files(spark, path)
+    return good.select("name", "distance_km", joined("cuisines")).unionByName(bad.select("reason"), allowMissingColumns=True)
+
+
+@query(f"""
+    SELECT event_id, 'R' || event_id AS name, CASE WHEN event_id % 10 <> 5 THEN {_K} END AS distance_km, CASE WHEN event_id % 10 = 0 THEN 'a,b' WHEN event_id % 5 = 1 THEN 'c' ELSE '' END AS cuisines, CASE WHEN event_id % 10 = 5 THEN true END AS vegetarian, event_id % 5 <> 1 AS open,
+           CASE WHEN event_id % 5 = 1 THEN true END AS pure_veg, CASE WHEN event_id % 10 = 0 THEN '1,200' WHEN event_id % 5 = 1 THEN '7' END AS reviews, CASE WHEN event_id % 5 = 1 THEN '₹200' END AS cost_for_one, CASE WHEN event_id % 5 = 1 THEN '9 - 21 (daily)' ELSE '' END AS hours
+    FROM events WHERE event_id % 5 < 2""")
 def json_variant_unify(spark, d):
     return json_layouts.restaurants(_layouts(spark, d)).select("event_id", "name", "distance_km", joined("cuisines"), "vegetarian", "open", "pure_veg", "reviews", "cost_for_one", "hours")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 5 = 4 THEN 'invalid_json' WHEN event_id % 5 < 2 OR event_id % 10 = 7 THEN 'ok' ELSE 'invalid_record' END AS status FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 5 = 4 THEN 'invalid_json' WHEN event_id % 5 < 2 THEN 'ok' ELSE 'invalid_record' END AS status FROM events")
 def malformed_quarantine(spark, d):
     return json_layouts.quarantine(_layouts(spark, d), "value", ("restaurantName",)).select("event_id", "status")
 
@@ -45,7 +64,15 @@ def malformed_quarantine(spark, d):
            CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS n_links
     FROM (SELECT event_id, event_id // 10 AS file FROM events)""")
 def json_explode_inherit(spark, d):
-    """Files of ten events each as hotels; written as JSON text and read back with the fixed schema."""
+    """Files of ten events each as hotels; written as JSON text and parsed with the fixed schema."""
+    text = _hotel_texts(spark, d)
+    schema = f"struct<temple_id: string, associated_temple: string, hotels: array<struct<{_ddl(json_layouts.HOTEL)}>>>"
+    parsed = text.select("file", F.from_json("value", schema).alias("f")).select(F.col("file").cast("string").alias("source_file"), "f.*")
+    return json_layouts.hotels(parsed).select(F.col("source_file").cast("long").alias("file"), F.col("pos").cast("long").alias("pos"), "name", "temple_id", "temple_name", F.size("booking_links").alias("n_links"))
+
+
+def _hotel_texts(spark, d):
+    """file, value: ten events each as hotels of a JSON file."""
     e = table(spark, d, "events").withColumn("file", F.floor(F.col("event_id") / 10))
     hotel = F.struct(
         F.concat(F.lit("H"), F.col("event_id").cast("string")).alias("hotel_name"),
@@ -57,10 +84,25 @@ def json_explode_inherit(spark, d):
     # a map can't be ordered, so the order goes by the rank alone
     files = ranked.groupBy("file").agg(F.collect_list(F.struct("r", "h")).alias("x"))
     files = files.select("file", F.transform(F.array_sort("x", lambda a, b: a["r"] - b["r"]), lambda x: x["h"]).alias("hotels"))
-    text = files.select("file", F.to_json(F.struct(F.concat(F.lit("F"), F.col("file").cast("string")).alias("temple_id"), F.concat(F.lit("Temple "), F.col("file").cast("string")).alias("associated_temple"), "hotels")).alias("value"))
-    schema = f"struct<temple_id: string, associated_temple: string, hotels: array<struct<{_ddl(json_layouts.HOTEL)}>>>"
-    parsed = text.select("file", F.from_json("value", schema).alias("f")).select(F.col("file").cast("string").alias("source_file"), "f.*")
-    return json_layouts.hotels(parsed).select(F.col("source_file").cast("long").alias("file"), F.col("pos").cast("long").alias("pos"), "name", "temple_id", "temple_name", F.size("booking_links").alias("n_links"))
+    return files.select("file", F.to_json(F.struct(F.concat(F.lit("F"), F.col("file").cast("string")).alias("temple_id"), F.concat(F.lit("Temple "), F.col("file").cast("string")).alias("associated_temple"), "hotels")).alias("value"))
+
+
+@query("""
+    WITH e AS (SELECT event_id, event_id // 10 AS file FROM events)
+    SELECT row_number() OVER (PARTITION BY file ORDER BY event_id) - 1 AS pos, 'H' || event_id AS name, CASE WHEN event_id % 2 = 0 THEN 'T' || event_id ELSE 'F' || file END AS temple_id, 'Temple ' || file AS temple_name, NULL AS reason FROM e WHERE file % 13 NOT IN (5, 6, 7)
+    UNION ALL SELECT DISTINCT NULL, NULL, 'F' || file, NULL, CASE file % 13 WHEN 5 THEN 'invalid_json' ELSE 'not_an_object' END FROM e WHERE file % 13 IN (5, 6)""")
+def hotel_files(spark, d):
+    """The same as real files, of which some are cut short, lists or empty: the hotels of the good ones, and how the others fail."""
+    texts = _hotel_texts(spark, d)
+    kind = F.col("file") % 13
+    name = F.concat(F.lit("F"), F.col("file").cast("string"))
+    value = F.when(kind == 5, F.concat(F.lit('{"temple_id": "'), name, F.lit('"'))).when(kind == 6, F.concat(F.lit('["'), name, F.lit('"]'))).when(kind == 7, "").otherwise(F.col("value"))
+    path = f"{shared_dir(spark)}/hotels"
+    json_files.write_json_files(texts.select(value.alias("value")), path)
+    good, bad = json_layouts.read_hotel_files(spark, path)
+    # which file failed, by what can be read of it
+    bad = bad.join(spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_file"), F.regexp_extract(F.col("content").cast("string"), r"F\d+", 0).alias("temple_id")), "source_file")
+    return good.select(F.col("pos").cast("long").alias("pos"), "name", "temple_id", "temple_name").unionByName(bad.select("temple_id", "reason"), allowMissingColumns=True)
 
 
 def _ddl(flat: str) -> str:
@@ -167,7 +209,19 @@ def chunk_store(spark, d):
     found = cut(doc_chunks(spark, d))
     documents.ingest(found.filter("doc_id % 2 = 0"), path, "doc_id")
     documents.ingest(found, path, "doc_id")
-    return spark.read.schema(found.schema).parquet(path)
+    return committed.read(spark, path, schema=found.schema)
+
+
+@query(f"SELECT content_type, doc_id, pos, section, content FROM ({_SECTIONS}) WHERE doc_id % 7 <> 0")
+def section_store(spark, d):
+    """Sections of records put into a store in three calls that overlap, with repeated rows in each: every section is there once."""
+    path = f"{shared_dir(spark)}/sections"
+    found = cut(doc_sections(spark, d).select("content_type", "doc_id", "pos", "section", "content"))
+    keys = ["doc_id", "content_type", "pos"]
+    committed.append(found.filter("doc_id % 2 = 0").unionByName(found.filter("doc_id % 4 = 0")), path, keys)
+    committed.append(found.unionByName(found), path, keys)
+    committed.append(found, path, keys)
+    return committed.read(spark, path)
 
 
 @query("""

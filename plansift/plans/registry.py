@@ -10,7 +10,7 @@ from plansift.operators import places, registry, resolve
 from plansift.plans.base import joined, query, table
 from plansift.plans.costing import _NORM
 from plansift.plans.documents import _layouts
-from plansift.sources import json_layouts
+from plansift.sources import committed, json_layouts
 from plansift.sources.shared import cut, shared_dir
 
 
@@ -71,7 +71,9 @@ def registry_report(spark, d):
         "entities": kinds, "ambiguous_alias": twice, "unknown_reference": orphans, "invalid_json": bad.filter("status = 'invalid_json'"), "invalid_record": bad.filter("status = 'invalid_record'"),
         "ambiguous_mention": several.withColumnRenamed("alias", "key"), "unknown_mention": unknown.groupBy(F.col("target").alias("key")).agg(F.count(F.lit(1)).alias("n")),
     }
-    return cut(registry.report(spark, checks))
+    path = shared_dir(spark)
+    registry.write_report(path, registry.report(spark, checks))
+    return committed.read(spark, path, "report")
 
 
 @query(f"SELECT 'entity' AS kind, entity_id, entity_type AS detail FROM {_ENTITIES} UNION ALL SELECT 'alias', entity_id, {_NORM.format('canonical_name')} FROM {_ENTITIES} UNION ALL SELECT 'mention', 'S' || s_suppkey, 'supplier ' || s_suppkey FROM supplier")

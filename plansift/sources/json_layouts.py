@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from plansift.functions import text
+from plansift.sources import json_files
 
 HOTEL = "hotel_id string, hotel_name string, hotel_type string, address string, about string, price_range string, temple_id string, amenities array<string>, contact_numbers array<string>, booking_links map<string,string>, ratings struct<platform string, rating string>, check_in_time string, check_out_time string, google_map_link string, official_website string"
 
 
-def read_hotel_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row a named hotel of the files under path, with the file's ids where the hotel has none of its own."""
-    files = spark.read.schema(f"temple_id string, associated_temple string, hotels array<struct<{HOTEL.replace(' string', ':string').replace(' array', ':array').replace(' map', ':map').replace(' struct<platform:string, rating:string>', ':struct<platform:string,rating:string>')}>>").option("multiLine", True).json(path)
-    return hotels(files.withColumn("source_file", F.col("_metadata.file_path")))
+_FILE = f"struct<temple_id: string, associated_temple: string, hotels: array<struct<{HOTEL.replace(' string', ': string').replace(' array', ': array').replace(' map', ': map').replace(' struct<platform: string, rating: string>', ': struct<platform: string, rating: string>')}>>>"
+
+
+def read_hotel_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(one row a named hotel of the files under path, with the file's ids where the hotel has none of its own; the files that can't be read: source_file, reason)."""
+    files = json_files.read_json_files(spark, path)
+    parsed = files.filter("status = 'OK'").select("source_file", F.from_json("text", _FILE).alias("f")).select("source_file", "f.*")
+    return hotels(parsed), files.filter("status = 'ERROR'").select("source_file", "reason")
 
 
 def hotels(files: DataFrame) -> DataFrame:
@@ -90,9 +95,10 @@ def restaurants(texts: DataFrame, text_col: str = "value") -> DataFrame:
     ).filter(F.col("name").isNotNull()).withColumns({"place_tokens": text.tokens(F.concat_ws(" ", "temple_name", "city", "address")), "name_tokens": text.tokens(F.col("name"))})
 
 
-def read_restaurant_files(spark: SparkSession, path: str) -> DataFrame:
-    texts = spark.read.text(path, wholetext=True).withColumn("source_file", F.col("_metadata.file_path"))
-    return restaurants(texts)
+def read_restaurant_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(one row a named restaurant of the files under path; the files that can't be read or name none: source_file, reason)."""
+    files = json_files.read_json_files(spark, path, required=("restaurantName",))
+    return restaurants(files.filter("status = 'OK'").select("source_file", "text"), "text"), files.filter("status = 'ERROR'").select("source_file", "reason")
 
 
 def quarantine(texts: DataFrame, text_col: str, required: tuple[str, ...]) -> DataFrame:

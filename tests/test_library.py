@@ -30,7 +30,9 @@ def test_layouts(spark):
 def test_restaurant_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"restaurantName": {"value": " A "},\n "associatedTemple": {"templeId": "T1"}, "dietaryInformation": {"vegetarian": false}, "foodType": {"pureVeg": true}, "priceInformation": {"averageCostForOne": {"value": "₹200-300"}}, "customerInformation": {"totalReviews": 12}, "distanceFromTemple": {"walkingDistance": {"value": 0.456}, "drivingDistance": 9}, "location": {"landmark": "gate"}}')
     (tmp_path / "b.json").write_text("[]")
-    (r,) = json_layouts.read_restaurant_files(spark, str(tmp_path)).collect()
+    good, bad = json_layouts.read_restaurant_files(spark, str(tmp_path))
+    (r,) = good.collect()
+    assert [x.reason for x in bad.collect()] == ["not_an_object"]
     assert (r.name, r.temple_id, r.vegetarian, r.pure_veg, r.cost_for_one, r.reviews, r.distance_km, r.address) == ("A", "T1", False, True, "₹200-300", "12", 0.46, "gate")
 
 
@@ -44,7 +46,7 @@ def test_first_filled(spark):
 
 def test_hotel_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"temple_id": "T1", "associated_temple": " X ",\n "hotels": [{"hotel_name": "H", "booking_links": {"a": "https://b", "c": null}, "amenities": ["x", " "]}, {"hotel_name": ""}]}')
-    (r,) = json_layouts.read_hotel_files(spark, str(tmp_path)).collect()
+    (r,) = json_layouts.read_hotel_files(spark, str(tmp_path))[0].collect()
     assert (r.name, r.temple_id, r.temple_name, r.booking_links, r.amenities) == ("H", "T1", "X", {"a": "https://b"}, ["x"])
 
 
@@ -407,3 +409,51 @@ def test_pruned_search_is_exact_and_skips(spark, monkeypatch, block):
         assert not {n, n + 1, n + 2} & set(got)
     assert shares[0] < 0.5 and shares[-1] <= shares[0]
     assert pruned_search.topk(v.limit(0), q, 5).collect() == [] and pruned_search.topk(v, q.limit(0), 5).collect() == []
+
+
+def test_json_files_of_all_kinds(spark, tmp_path):
+    from plansift.sources import json_files
+
+    files = {"a.json": b'{"x": {"y": 5}, "n": "A"}', "b.json": b"\xef\xbb\xbf" + '{"n": "é"}'.encode(), "c.json": b'{"n": "\xff"}', "d.json": b" \n", "e.json": b"{", "f.json": b"[1]", "g.json": b'{"n": null}', "sub/h.json": b'{"n": "H", "pad": "' + b"x" * 300 + b'"}', "i.txt": b"{}"}
+    (tmp_path / "sub").mkdir()
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = json_files.read_json_files(spark, str(tmp_path), {"n": ("$.n", "string"), "y": ("$.x.y", "int")}, ("n",), "*.json", 200)
+    assert {r.source_file.rsplit("/", 1)[-1]: (r.status, r.reason, r.n, r.y) for r in got.collect()} == {
+        "a.json": ("OK", None, "A", 5), "b.json": ("OK", None, "é", None), "c.json": ("ERROR", "not_utf8", None, None), "d.json": ("NONE", None, None, None), "e.json": ("ERROR", "invalid_json", None, None),
+        "f.json": ("ERROR", "not_an_object", None, None), "g.json": ("ERROR", "missing:n", None, None), "h.json": ("ERROR", "too_large", None, None),
+    }
+    names = got.select("source_file")
+    assert names.count() == 8 and "ReadSchema: struct<path:string>" in names._jdf.queryExecution().toString().replace("struct<path:string,length:bigint>", "struct<path:string>")
+
+
+def test_commits_are_whole(spark, tmp_path, monkeypatch):
+    from plansift.sources import committed
+
+    path = str(tmp_path / "store")
+    of = lambda *pairs: spark.createDataFrame(list(pairs), "k long, v string")
+    held = lambda: sorted(map(tuple, committed.read(spark, path).collect()), key=repr)
+    with pytest.raises(Exception, match="no table rows"):
+        committed.read(spark, path)
+    assert committed.append(of((1, "b"), (1, "a"), (2, "x"), (None, "n"), (None, "n")), path, ["k"]) == 1
+    assert held() == [(1, "a"), (2, "x"), (None, "n")]
+    # a writer that dies before its manifest leaves the old state
+    real = committed.commit
+    monkeypatch.setattr(committed, "commit", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(RuntimeError):
+        committed.append(of((3, "lost")), path, ["k"])
+    monkeypatch.setattr(committed, "commit", real)
+    assert held() == [(1, "a"), (2, "x"), (None, "n")] and committed.vacuum(spark, path) == 1 and len(held()) == 3
+    # another writer comes first, with one of the same keys
+    def late(*args):
+        monkeypatch.setattr(committed, "commit", real)
+        committed.append(of((4, "first"), (5, "first")), path, ["k"])
+        real(*args)
+
+    monkeypatch.setattr(committed, "commit", late)
+    assert committed.append(of((5, "second"), (6, "second"), (None, "again")), path, ["k"]) == 3
+    assert held() == [(1, "a"), (2, "x"), (4, "first"), (5, "first"), (6, "second"), (None, "n")]
+    committed.replace(path, {"rows": of((9, "z")), "other": of((1, "o"))})
+    assert held() == [(9, "z")] and committed.read(spark, path, "other").count() == 1
+    with pytest.raises(FileExistsError):
+        committed.replace(path, {"other": of((2, "o"))}, once=True)
