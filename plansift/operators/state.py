@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plansift.functions.geo import coordinate_key
 from plansift.functions.text import cache_key
+from plansift.operators.patterns import hits
 from plansift.operators.spread import carry_forward
 
 TURNS, SESSION_TTL = 10, 86_400
@@ -46,6 +47,11 @@ def is_urgent(message: Column, patterns: tuple[str, ...] = EMERGENCY) -> Column:
     return F.coalesce(message.rlike("(?iu)" + "|".join(patterns)), F.lit(False))
 
 
+def urgent_hits(messages: DataFrame, message: str, patterns: tuple[str, ...] = EMERGENCY) -> DataFrame:
+    """messages once for each pattern that occurs in them, with the pattern as it is written."""
+    return hits(messages, F.col(message), {p: p for p in patterns})
+
+
 def last_turns(turns: DataFrame, key: str, ts: str, tie: str, n: int = TURNS, ttl: int | None = None) -> DataFrame:
     """key, history (the last n rows' tie column, oldest first), last. A gap longer than ttl seconds begins a new history.
 

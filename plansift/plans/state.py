@@ -117,6 +117,21 @@ def safety_gate(spark, d):
     return docs.unionByName(turns)
 
 
+_EACH = " UNION ALL ".join(
+    "SELECT kind, id, turn, '{0}' AS pattern FROM m WHERE regexp_matches(text, '(?i){0}')".format(p.replace("'", "''")) for p in state.EMERGENCY
+)
+
+
+@query(f"""
+    WITH m AS (SELECT 'document' AS kind, doc_id AS id, 0 AS turn, {_HURT.format('doc_id', 'text')} AS text FROM documents UNION ALL SELECT 'conversation', conv_id, turn, {_HURT.format('conv_id', 'text')} FROM conversations)
+    {_EACH}""")
+def safety_hits(spark, d):
+    """Which pattern hit in which message."""
+    docs = table(spark, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("turn"), F.expr(_HURT.format("doc_id", "text")).alias("text"))
+    turns = table(spark, d, "conversations").select(F.lit("conversation").alias("kind"), F.col("conv_id").alias("id"), "turn", F.expr(_HURT.format("conv_id", "text")).alias("text"))
+    return state.urgent_hits(docs.unionByName(turns), "text").drop("text")
+
+
 @query(f"SELECT conv_id, turn, role FROM conversations WHERE regexp_matches({_HURT.format('conv_id', 'text')}, '{_PATTERN.replace(chr(39), chr(39) * 2)}')")
 def safety_stream(spark, d):
     schema = table(spark, d, "conversations").schema

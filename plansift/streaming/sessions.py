@@ -1,8 +1,8 @@
 """Structured Streaming twins: session history with expiry, expiring facts, and the gate on a message flow.
 
 State expires in event time: a session SESSION_TTL seconds after its last turn or touch, a fact after its own TTL. Timers drop what the watermark has
-passed, so state holds live keys alone. Rows of a key take effect in order of time and id within a batch; later batches must not go back in time by more
-than the watermark's delay. All operators need the RocksDB state store (STORE).
+passed, so state holds live keys alone. Rows of a session take effect in order of time and id even if they come late, but within the watermark's delay; writes of
+facts in that order within a batch. All operators need the RocksDB state store (STORE).
 """
 
 from __future__ import annotations
@@ -25,51 +25,92 @@ def _micros(t) -> int:
 
 
 class _LastTurns(StatefulProcessor):
-    """The last TURNS rows of a key. A turn or a touch renews the history for SESSION_TTL seconds, a delete drops it; a turn after that begins anew."""
+    """The last TURNS rows of a key. A turn or a touch renews the history for SESSION_TTL seconds, a delete drops it; a turn after that begins anew.
+
+    What lies before the watermark is settled: the history as it was then, and when it was renewed. What is later is held row by row, by time and id, so that
+    a row that comes late, but within the watermark's delay, takes its place in the order before the history is told.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.kept = handle.getListState("turns", "id long")
         self.renewed = handle.getValueState("renewed", "at timestamp")
+        self.pending = handle.getMapState("pending", "at long, id long", "action string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [i for (i,) in self.kept.get()]
-        at = pd.Timestamp(self.renewed.get()[0]) if self.renewed.exists() else None
-        for t, i, action in sorted((t, int(i), a) for b in rows for t, i, a in zip(b["ts"], b["id"], b["action"])):
+    @staticmethod
+    def _after(held: list[int], at: int | None, rows: list[tuple[int, int, str]]) -> tuple[list[int], int | None]:
+        """History and time of renewal (micros) after rows, which are in order."""
+        for t, i, action in rows:
             # whole seconds count, as in the batch twin
-            if at is not None and _micros(t) // 1_000_000 - _micros(at) // 1_000_000 > SESSION_TTL:
+            if action == "delete" or at is not None and t // 1_000_000 - at // 1_000_000 > SESSION_TTL:
                 held, at = [], None
-            if action == "delete":
-                held, at = [], None
-            elif action == "turn":
+            if action == "turn":
                 held, at = [*held, i][-TURNS:], t
-            elif at is not None:  # a touch of a session that there is
+            elif action == "touch" and at is not None:  # of a session that there is
                 at = t
-        for old in self.handle.listTimers():
-            self.handle.deleteTimer(old)
+        return held, at
+
+    def _settled(self) -> tuple[list[int], int | None]:
+        return [i for (i,) in self.kept.get()], _micros(self.renewed.get()[0]) if self.renewed.exists() else None
+
+    def _settle(self, held: list[int], at: int | None) -> None:
         if at is None:
             self.kept.clear()
             self.renewed.clear()
         else:
             self.kept.put([(i,) for i in held])
-            self.renewed.update((at.to_pydatetime(),))
-            self.handle.registerTimer(max(_micros(at) // 1000 + (SESSION_TTL + 1) * 1000, timerValues.getCurrentWatermarkInMs() + 1))
-        yield pd.DataFrame({"key": [key[0]], "history": [held], "last": [at]})
+            self.renewed.update((pd.Timestamp(at * 1000).to_pydatetime(),))
+
+    def _timer(self, last: int | None, timerValues) -> None:
+        for old in self.handle.listTimers():
+            self.handle.deleteTimer(old)
+        if last is not None:
+            self.handle.registerTimer(max(last // 1000 + (SESSION_TTL + 1) * 1000, timerValues.getCurrentWatermarkInMs() + 1))
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        held, at = list(initialState["history"].iloc[0])[-TURNS:], _micros(initialState["last"].iloc[0])
+        self._settle([int(i) for i in held], at)
+        self._timer(at, timerValues)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held, at = self._settled()
+        waiting = {(t, i): action for (t, i), (action,) in self.pending.iterator()}
+        new = {(_micros(t), int(i)): a for b in rows for t, i, a in zip(b["ts"], b["id"], b["action"])}
+        ordered = [(t, i, a) for (t, i), a in sorted((waiting | new).items())]
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        due = [r for r in ordered if r[0] <= mark]
+        later = ordered[len(due) :]
+        held, at = self._after(held, at, due)
+        self._settle(held, at)
+        for t, i, _ in due:
+            if (t, i) in waiting:
+                self.pending.removeKey((t, i))
+        for (t, i), a in new.items():
+            if t > mark:
+                self.pending.updateValue((t, i), (a,))
+        held, at = self._after(held, at, later)
+        self._timer(max((x for x in (at, later[-1][0] if later else None) if x is not None), default=None), timerValues)
+        yield pd.DataFrame({"key": [key[0]], "history": [held], "last": [None if at is None else pd.Timestamp(at * 1000)]}).astype({"last": "datetime64[us]"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.kept.clear()
         self.renewed.clear()
+        self.pending.clear()
         return iter([])
 
     def close(self) -> None:
         pass
 
 
-def last_turns(stream: DataFrame, key: str, ts: str, tie: str, action: str | None = None, delay: str = DELAY) -> DataFrame:
-    """key, history, last after each micro-batch, in update mode; an empty history for a key that was dropped. action: turn (by default), touch or delete."""
+def last_turns(stream: DataFrame, key: str, ts: str, tie: str, action: str | None = None, delay: str = DELAY, start: DataFrame | None = None) -> DataFrame:
+    """key, history, last after each micro-batch, in update mode; an empty history for a key that was dropped. action: turn (by default), touch or delete.
+
+    Rows may come in any order within the delay. start: key, history, last of sessions that there are already, as the batch twin gives them.
+    """
     what = F.lit("turn") if action is None else F.col(action)
     rows = stream.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.col(tie).cast("long").alias("id"), what.alias("action")).withWatermark("ts", delay)
-    return rows.groupBy("key").transformWithStateInPandas(_LastTurns(), "key long, history array<long>, last timestamp", "update", "eventtime")
+    begun = None if start is None else start.select(F.col(key).alias("key"), F.col("history").cast("array<long>").alias("history"), F.col("last").cast("timestamp").alias("last")).groupBy("key")
+    return rows.groupBy("key").transformWithStateInPandas(_LastTurns(), "key long, history array<long>, last timestamp", "update", "eventtime", initialState=begun)
 
 
 class _Facts(StatefulProcessor):

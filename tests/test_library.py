@@ -457,3 +457,45 @@ def test_commits_are_whole(spark, tmp_path, monkeypatch):
     assert held() == [(9, "z")] and committed.read(spark, path, "other").count() == 1
     with pytest.raises(FileExistsError):
         committed.replace(path, {"other": of((2, "o"))}, once=True)
+
+
+def test_pattern_hits_by_brute_force(spark):
+    """Many patterns, with and without plain text in them, in any case; odd texts."""
+    import re
+
+    from plansift.operators import patterns
+
+    named = {p: p for p in (r"\bcall\b", "ambulance", r"a+b", r"x|y1", r"[0-9]{3}", r"(?:one|two) thing", r"fire\s+now", "అంబులెన్స్", "straße", r"\bs\b")} | {f"w{n}": rf"\bword{n}\b" for n in range(300)}
+    texts = ["Call an AMBULANCE", "recall", "AAAB 12 345", "y1", "ONE THING", "thing", "fire   now", "firenow", "అంబులెన్స్ కావాలి", "STRASSE Straße", "word7 word77x WORD299", "", None, "s", "word" * 5000 + " word12"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(3)
+    want = {(i, n) for i, t in enumerate(texts) if t for n, p in named.items() if re.search(p, t, re.IGNORECASE)}
+    assert {(r.id, r.pattern) for r in patterns.hits(df, F.col("t"), named).collect()} == want and len(want) > 12
+    assert patterns.hits(df, F.col("t"), {}).count() == 0
+    assert [patterns.required_text(p) for p in (r"\bcan't breathe\b", "a|b", "ab+cde", "[xy]z", "(?:ab)")] == ["can't breathe", "", "cde", "z", "ab"]
+
+
+def test_late_turns_take_their_place(spark, tmp_path):
+    """Rows in any order within the delay, over many batches, on top of sessions that there are already: as the batch twin over all rows."""
+    import random
+
+    from plansift.plans.state import _streaming
+    from plansift.streaming import sessions
+
+    r, hour = random.Random(8), 3600
+    moves = [(k, r.randrange(0, 60 * hour), 1000 * k + n) for k in range(12) for n in range(r.randrange(1, 25))]
+    frame = lambda rows: pd.DataFrame([(k, pd.Timestamp(10**9 + t, unit="s"), i) for k, t, i in rows], columns=["k", "ts", "id"])
+    want = {x.k: (x.history, x.last) for x in state.last_turns(spark.createDataFrame(frame(moves)), "k", "ts", "id", ttl=state.SESSION_TTL).collect()}
+    # what came in the first ten hours is there from a batch; the rest comes up to eight hours late
+    start = state.last_turns(spark.createDataFrame(frame([m for m in moves if m[1] < 10 * hour])), "k", "ts", "id", ttl=state.SESSION_TTL)
+    flow = sorted((m for m in moves if m[1] >= 10 * hour), key=lambda m: m[1] + r.randrange(0, 8 * hour))
+    for n in range(0, len(flow), -(-len(flow) // 5)):
+        spark.createDataFrame(frame(flow[n : n + -(-len(flow) // 5)])).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    own = _streaming(spark)
+    stream = own.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = sessions.drained(sessions.last_turns(stream, "k", "ts", "id", delay="8 hours", start=own.createDataFrame(start.toPandas())), f"{tmp_path}/out", "update")
+    last = {}
+    for x in sorted(got.collect(), key=lambda x: x.batch):
+        if x.history:  # an empty one tells of a session that went
+            last[x.key] = (list(x.history), x["last"])
+    begun = {x.k: (x.history, x.last) for x in start.collect()}
+    assert begun | last == want
