@@ -64,7 +64,7 @@ def ungrounded(drafts: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
 EVIDENCE = {
     "kind": "string", "source": "string", "key": "string", "value": "string", "unit": "string", "provider": "string", "approximate": "boolean", "role": "string", "name": "string", "error": "string",
     "hint": "string", "status": "string", "selected": "string", "component": "string", "scope": "string", "low": "bigint", "high": "bigint", "free_stated": "boolean",
-    "samples": "array<struct<name:string,charges:string>>", "included": "array<string>", "text": "string",
+    "samples": "array<struct<name:string,charges:string>>", "included": "array<string>", "text": "string", "source_tier": "string", "details": "string",
 }
 VALUE, TEXT = 400, 400
 
@@ -85,6 +85,32 @@ def calculation_evidence(calculations: DataFrame, by: list[str]) -> DataFrame:
     return evidence(calculations, by, kind=F.lit("calculation"), source=F.lit("calculation"), key=F.col("fact"), value=shown_number(F.col("value")), unit=F.col("unit"), status=F.col("status"), approximate=F.col("estimated"), provider=F.col("provider"))
 
 
+#: What is told of stays, of places to eat and of places on the live map, beside their name; kept as JSON in `details`.
+STAY = ("hotel_type", "temple_id", "temple_name", "address", "price_range", "rating", "rating_platform", "booking_links", "amenities", "check_in", "check_out", "phones", "map_link", "about")
+FOOD = ("temple_id", "temple_name", "city", "address", "cuisines", "vegetarian", "pure_veg", "price_category", "cost_for_one", "cost_for_two", "rating", "reviews", "hours", "phone", "map_link", "distance_km", "open", "last_verified", "dataset_status")
+LIVE = ("category", "cuisine", "phone", "website", "address", "latitude", "longitude", "distance_km")
+
+
+def _listed(records: DataFrame, by: list[str], kind: str, source: str, tier: str, told: tuple[str, ...]) -> DataFrame:
+    details = F.to_json(F.struct(*[F.col(c) for c in told if c in records.columns]))
+    return evidence(records, by, kind=F.lit(kind), source=F.lit(source), source_tier=F.lit(tier), name=F.col("name"), details=details)
+
+
+def stay_evidence(records: DataFrame, by: list[str]) -> DataFrame:
+    """Of hotels (see json_layouts.hotels), each a row; it has no line of its own in render()."""
+    return _listed(records, by, "hotel", "hotel_dataset", "internal_dataset", STAY)
+
+
+def food_evidence(records: DataFrame, by: list[str]) -> DataFrame:
+    """Of restaurants (see json_layouts.restaurants)."""
+    return _listed(records, by, "restaurant", "restaurant_dataset", "internal_dataset", FOOD)
+
+
+def live_evidence(records: DataFrame, by: list[str], source: str) -> DataFrame:
+    """Of places on the live map, by the source that knows them."""
+    return _listed(records, by, "poi", source, "open-data", LIVE)
+
+
 def transit_notes(routes: DataFrame, by: list[str], capable: str, link: str) -> DataFrame:
     """A note for each route (mode, status, provider) asked for by transit that the provider capable of it didn't answer."""
     answered = F.col("status").isin("OK", "PARTIAL") & F.coalesce(F.col("provider") == capable, F.lit(False))
@@ -233,3 +259,19 @@ def merge_tiers(curated: DataFrame, live: DataFrame, key: str, order: str, most:
         return df.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).withColumn("source_tier", F.lit(tier))
 
     return cut(curated, most[0], "internal_dataset").unionByName(cut(live, most[1], "open-data"), allowMissingColumns=True)
+
+
+def render_results(results: DataFrame, rows: DataFrame, key: str, result: str = "result") -> DataFrame:
+    """key, shown: whole answers as text, result after result: its question, then what it asks back, or its error and its evidence, and a blank line.
+
+    results: key, result (its place), question, status, query, error; rows: evidence with key, result and pos. An answer's lines are first put together result by result, then
+    answer by answer, so that no more than a result's, then an answer's lines meet. A result without evidence, or with none that says anything, has its other lines.
+    """
+    lines = rows.select(key, result, "pos", line().alias("l")).filter("l is not null")
+    of_result = lines.groupBy(key, result).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "l"))), lambda x: x["l"]), "\n").alias("lines"))
+    given = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    asks = F.concat_ws("\n", F.concat(F.lit("Q: "), given("question")), F.coalesce(F.nullif("query", F.lit("")), F.lit("clarification needed")))
+    tells = F.concat_ws("\n", F.concat(F.lit("Q: "), given("question")), F.concat(F.lit("("), F.nullif("error", F.lit("")), F.lit(")")), "lines", F.lit(""))
+    blocks = results.join(of_result, [key, result], "left").select(key, result, F.when(F.col("status") == "NEEDS_CLARIFICATION", asks).otherwise(tells).alias("block"))
+    answers = blocks.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(result, "block"))), lambda x: x["block"]), "\n").alias("shown"))
+    return answers.withColumn("shown", F.regexp_replace("shown", r"(?U)^\s+|\s+\z", ""))

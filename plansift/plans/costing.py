@@ -352,6 +352,45 @@ def evidence_render(spark, d):
     return grounding.render(rows, "o_orderkey")
 
 
+@query("""
+    SELECT o_custkey, trim(string_agg(block, chr(10) ORDER BY k), ' ' || chr(10)) AS shown FROM (
+      SELECT o_custkey, o_orderkey AS k, concat_ws(chr(10), CASE WHEN o_orderkey % 5 > 0 THEN 'Q: order ' || o_orderkey || '?' END,
+        CASE WHEN o_orderkey % 4 = 1 THEN CASE WHEN o_orderkey % 8 = 1 THEN 'clarification needed' ELSE 'which one?' END
+             ELSE concat_ws(chr(10), CASE WHEN o_orderkey % 3 = 0 THEN '(no route)' END, 'origin: Order ' || o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority || ': told' END, '') END) AS block
+      FROM orders) GROUP BY o_custkey""")
+def answer_render(spark, d):
+    """Whole answers of a customer: each order a result with its question, clarification, error, and evidence of places, stays, food and texts."""
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").withColumn("result", k).withColumn("name", F.concat(F.lit("Order "), k.cast("string")))
+    by, at = ["o_custkey", "result", "pos"], lambda n: o.withColumn("pos", F.lit(n))
+    parts = (
+        grounding.evidence(at(4).filter(k % 2 == 0), by, kind=F.lit("chunk"), name=F.col("o_orderpriority"), text=F.lit("told")), grounding.evidence(at(1), by, kind=F.lit("place"), role=F.lit("origin"), name=F.col("name")),
+        grounding.stay_evidence(at(2).withColumn("address", F.col("o_orderpriority")), by), grounding.food_evidence(at(3), by), grounding.live_evidence(at(5), by, "overpass"),
+    )
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    results = o.select(
+        "o_custkey", "result", F.when(k % 5 > 0, F.concat(F.lit(" order "), k.cast("string"), F.lit("? "))).otherwise(" ").alias("question"), F.when(k % 4 == 1, "NEEDS_CLARIFICATION").otherwise("OK").alias("status"),
+        F.when(k % 8 != 1, "which one?").otherwise("").alias("query"), F.when(k % 3 == 0, "no route").alias("error"),
+    )
+    return grounding.render_results(results, rows, "o_custkey")
+
+
+@query("""
+    SELECT 'hotel' AS kind, s_suppkey, 'hotel_dataset' AS source, 'internal_dataset' AS source_tier, s_name AS name, '{"address":"' || s_nationkey || '","amenities":["a","b"]}' AS details FROM supplier
+    UNION ALL SELECT 'restaurant', s_suppkey, 'restaurant_dataset', 'internal_dataset', s_name, '{"vegetarian":' || CASE WHEN s_suppkey % 2 = 0 THEN 'true' ELSE 'false' END || CASE WHEN s_suppkey % 3 = 0 THEN ',"distance_km":1.5' ELSE '' END || '}' FROM supplier
+    UNION ALL SELECT 'poi', s_suppkey, 'overpass', 'open-data', s_name, '{"category":"hotel","latitude":10.5}' FROM supplier""")
+def place_evidence(spark, d):
+    """Evidence rows of stays, places to eat and live places, with what is told of them."""
+    s = table(spark, d, "supplier").withColumn("name", F.col("s_name"))
+    n = F.col("s_suppkey")
+    stays = grounding.stay_evidence(s.withColumns({"address": F.col("s_nationkey").cast("string"), "amenities": F.array(F.lit("a"), F.lit("b"))}), ["s_suppkey"])
+    food = grounding.food_evidence(s.withColumns({"vegetarian": n % 2 == 0, "distance_km": F.when(n % 3 == 0, 1.5)}), ["s_suppkey"])
+    live = grounding.live_evidence(s.withColumns({"category": F.lit("hotel"), "latitude": F.lit(10.5)}), ["s_suppkey"], "overpass")
+    return stays.unionByName(food).unionByName(live).select("kind", "s_suppkey", "source", "source_tier", "name", "details")
+
+
 _BLOCK = """
     WITH b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 5 END AS days, CASE WHEN o_orderkey % 3 = 0 THEN 2 WHEN o_orderkey % 5 > 0 THEN o_orderkey % 5 - 1 END AS nights, o_orderkey % 3 <> 0 AND o_orderkey % 5 > 0 AS guessed,
                  CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 4 END AS persons, CASE WHEN o_orderkey % 6 = 1 THEN 2 END AS rooms, o_orderkey % 2 = 0 AS two, o_orderkey % 7 = 0 AS nostay, o_orderkey % 8 AS mode, l.* FROM orders

@@ -499,3 +499,14 @@ def test_late_turns_take_their_place(spark, tmp_path):
             last[x.key] = (list(x.history), x["last"])
     begun = {x.k: (x.history, x.last) for x in start.collect()}
     assert begun | last == want
+
+
+def test_whole_answers(spark):
+    """Results of every status, with and without evidence, in order."""
+    results = [(1, 0, " What? ", "OK", None, None), (1, 1, None, "NEEDS_CLARIFICATION", "", "not shown"), (1, 2, "Where?", "NEEDS_CLARIFICATION", "which town?", None), (1, 3, "Far?", "ERROR", None, "no route"), (1, 4, "", "OK", None, ""), (2, 0, None, "OK", None, None)]
+    rows = [(1, 0, 2, "place", "origin", "A", None), (1, 0, 1, "chunk", None, None, "  one\ntwo "), (1, 0, 3, "hotel", None, "H", None), (1, 2, 0, "place", "never", "shown", None), (1, 3, 0, "place", "to", "B", None)]
+    r = spark.createDataFrame(results, "k int, result int, question string, status string, query string, error string")
+    e = spark.createDataFrame(rows, "k int, result int, pos int, kind string, role string, name string, text string")
+    e = grounding.evidence(e, ["k", "result", "pos"], kind=F.col("kind"), role=F.col("role"), name=F.col("name"), text=F.col("text"))
+    got = {x.k: x.shown for x in grounding.render_results(r, e, "k").collect()}
+    assert got == {1: "Q: What?\none\ntwo\norigin: A\n\nclarification needed\nQ: Where?\nwhich town?\nQ: Far?\n(no route)\nto: B", 2: ""}
