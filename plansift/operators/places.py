@@ -50,11 +50,12 @@ def by_candidates(asked: DataFrame, candidates: DataFrame, gap: float = GAP) ->
     return asked.join(first, "query").select("key", F.when(close, "AMBIGUOUS").otherwise("RESOLVED").alias("status"), F.when(~close, F.col("name")).alias("place_id"), F.when(~close, F.col("latitude")).alias("latitude"), F.when(~close, F.col("longitude")).alias("longitude"))
 
 
-def resolve_places(asked: DataFrame, entities: DataFrame, aliases: DataFrame, places: DataFrame, candidates: DataFrame) -> DataFrame:
+def resolve_places(asked: DataFrame, entities: DataFrame, aliases: DataFrame, places: DataFrame, candidates: DataFrame, records: DataFrame | None = None) -> DataFrame:
     """key, status, tier (1 id, 2 named entity, 3 geography, 4 geocoder), place_id, latitude, longitude of every asked value.
 
     asked: key, value (a variant: text or an object); entities: entity_id, entity_type, canonical_name, latitude, longitude; aliases: alias, entity_id; places as
-    place_list() gives; candidates: query, rank, name, importance, latitude, longitude. What has no sound coordinates passes on to the next tier. What asks for
+    place_list() gives; candidates: query, rank, name, importance, latitude, longitude; records: alias, mention_type, relation, target of related mentions, which name an entity
+    where no alias does. What has no sound coordinates passes on to the next tier. What asks for
     nothing is INVALID, what nothing answers UNRESOLVED. Each tier's answers are written before the next takes what is left.
     """
     spark, scratch = asked.sparkSession, []
@@ -69,7 +70,7 @@ def resolve_places(asked: DataFrame, entities: DataFrame, aliases: DataFrame, pl
     def left(done: DataFrame) -> DataFrame:
         return rows.filter("query is not null").join(done.select("key"), "key", "left_anti")
 
-    named = resolve(left(found).select(F.col("key").alias("m_id"), F.col("norm").alias("mention"), F.lit(None).cast("string").alias("asked")), aliases.select("alias", F.col("entity_id").alias("key")), entities.select(F.col("entity_id").alias("key"), "entity_type"))
+    named = resolve(left(found).select(F.col("key").alias("m_id"), F.col("norm").alias("mention"), F.lit(None).cast("string").alias("asked")), aliases.select("alias", F.col("entity_id").alias("key")), entities.select(F.col("entity_id").alias("key"), "entity_type"), records)
     named = named.filter("status = 'RESOLVED'").select("m_id", F.col("key").alias("place_id")).join(good.select(F.col("entity_id").alias("place_id"), "latitude", "longitude"), "place_id")
     found = cut(found.unionByName(named.select(F.col("m_id").alias("key"), F.lit("RESOLVED").alias("status"), F.lit(2).alias("tier"), *end)), scratch)
     geo = in_geography(left(found).select("key", "norm"), places).join(located(places).select(*end), "place_id")

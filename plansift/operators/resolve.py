@@ -131,15 +131,20 @@ def related_exact(mentions: DataFrame, records: DataFrame, entities: DataFrame)
 
 
 def related(mentions: DataFrame, records: DataFrame, entities: DataFrame, limit: float = RELATED, most: int = 10) -> DataFrame:
-    """m_id, target, relation, alias, mention_type, score of related mentions, as related_exact; mentions that it has none for get up to `most` near ones."""
+    """m_id, target, relation, alias, mention_type, score of related mentions, as related_exact; mentions that it has none for get near ones: of the `most` nearest those whose target is known.
+
+    Near ones are told apart by target, relation and spelling: records may have a column spelling; else the alias stands for it.
+    """
     exact = related_exact(mentions, records, entities)
     rest = mentions.join(exact.select("m_id").distinct(), "m_id", "left_anti")
     fits = related_fits(F.col("asked"), F.col("mention_type"), F.col("relation"), F.col("entity_type"))
-    near = fuzzy_pairs(rest, records.join(entities, "target"), limit).filter(fits).withColumn("s", ratio("mention", "alias")).filter(F.col("s") >= limit)
-    near = near.groupBy("m_id", "target", "relation", "alias").agg(F.min("mention_type").alias("mention_type"), F.round(F.max("s"), 4).alias("score"))
-    w = Window.partitionBy("m_id").orderBy(F.desc("score"), "alias", "target", "relation")
-    near = near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most).drop("r")
-    return exact.unionByName(near)
+    spelled = records if "spelling" in records.columns else records.withColumn("spelling", F.col("alias"))
+    known = entities.select("target", "entity_type", F.lit(True).alias("known"))
+    near = fuzzy_pairs(rest, spelled.join(known, "target", "left"), limit).filter(fits).withColumn("s", ratio("mention", "alias")).filter(F.col("s") >= limit)
+    near = near.groupBy("m_id", "target", "relation", "spelling").agg(F.max_by("alias", "s").alias("alias"), F.min("mention_type").alias("mention_type"), F.round(F.max("s"), 4).alias("score"), F.max("known").alias("known"))
+    w = Window.partitionBy("m_id").orderBy(F.desc("score"), "alias", "target", "relation", "spelling")
+    near = near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most).filter("known")
+    return exact.unionByName(near.select(*exact.columns))
 
 
 def decide_related(found: DataFrame) -> DataFrame:

@@ -379,6 +379,23 @@ def place_cascade(spark, d):
     return found.select(F.col("key").alias("s_suppkey"), "status", F.col("tier").cast("int").alias("tier"), "place_id", "latitude")
 
 
+@query("""
+    SELECT s_suppkey, CASE s_suppkey % 5 WHEN 3 THEN 'UNRESOLVED' WHEN 4 THEN 'UNRESOLVED' ELSE 'RESOLVED' END AS status, CAST(CASE WHEN s_suppkey % 5 < 3 THEN 2 END AS INT) AS tier, CASE WHEN s_suppkey % 5 < 3 THEN 'N' || s_nationkey END AS place_id,
+           CASE WHEN s_suppkey % 5 < 3 THEN 10.5::DOUBLE END AS latitude FROM supplier""")
+def place_cascade_related(spark, d):
+    """Places that only a related mention names: as it is spelled, with a letter lost, and by a mention of several; by their own name, and by a mention of an entity that isn't known."""
+    s, nation = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")), table(spark, d, "nation")
+    k, number = F.col("s_suppkey"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")
+    said = lambda: F.concat(F.lit("founder "), F.translate(number, "0123456789", "abcdefghij"), F.lit(" of "), F.lower("n_name"))
+    c = k % 5
+    value = F.when(c == 0, said()).when(c == 1, F.regexp_replace(said(), "^f", "")).when(c == 2, F.col("n_name")).when(c == 3, F.lit("patron of them all")).otherwise(F.lit("the lost quarter"))
+    record = lambda alias, target: nation.select(normalize(alias).alias("alias"), F.lit("person").alias("mention_type"), F.lit("founder").alias("relation"), target.alias("target"))
+    ref = F.concat(F.lit("N"), F.col("n_nationkey").cast("string"))
+    records = record(said(), ref).unionByName(record(F.lit("patron of them all"), ref)).unionByName(record(F.lit("the lost quarter"), F.lit("X9")))
+    found = places.resolve_places(s.select(k.alias("key"), F.try_parse_json(F.concat(F.lit('"'), value, F.lit('"'))).alias("value")), *_places(spark, d), records)
+    return found.select(F.col("key").alias("s_suppkey"), "status", F.col("tier").cast("int").alias("tier"), "place_id", "latitude")
+
+
 @query("""
     SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'RESOLVED' WHEN c_custkey % 4 = 1 THEN 'RESOLVED' WHEN c_custkey % 4 = 2 THEN 'AMBIGUOUS' ELSE 'NONE' END AS status, CAST(CASE c_custkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 END AS INT) AS pos,
            CASE WHEN c_custkey % 4 < 2 THEN 'N' || c_nationkey END AS place_id

@@ -510,3 +510,16 @@ def test_whole_answers(spark):
     e = grounding.evidence(e, ["k", "result", "pos"], kind=F.col("kind"), role=F.col("role"), name=F.col("name"), text=F.col("text"))
     got = {x.k: x.shown for x in grounding.render_results(r, e, "k").collect()}
     assert got == {1: "Q: What?\none\ntwo\norigin: A\n\nclarification needed\nQ: Where?\nwhich town?\nQ: Far?\n(no route)\nto: B", 2: ""}
+
+
+def test_related_by_spelling_before_unknown_targets_go(spark):
+    """Two spellings of one alias are two of the ten; unknown targets take places among them, and then go."""
+    from plansift.operators import resolve
+
+    m = spark.createDataFrame([(1, "old gate keeper", None)], "m_id int, mention string, asked string")
+    entities = spark.createDataFrame([("a", "person"), ("b", "person")], "target string, entity_type string")
+    near = [("old gate keepers", f"Old Gate-Keepers{n}", "t", "r", "x") for n in range(8)] + [("old gate keepers", s, "t", "r", "a") for s in ("Old Gate Keepers", "OLD GATE KEEPERS")] + [("old gates keeperss", "z", "t", "r", "b")]
+    records = spark.createDataFrame(near, "alias string, spelling string, mention_type string, relation string, target string")
+    got = resolve.related(m, records, entities)
+    assert sorted((r.target, r.alias) for r in got.collect()) == [("a", "old gate keepers")] * 2
+    assert sorted(r.target for r in resolve.related(m, records.drop("spelling"), entities).collect()) == ["a", "b"]
