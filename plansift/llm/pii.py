@@ -11,7 +11,8 @@ their probability is at least SURE. So it finds what rules with greedy matching
 train() learns the weights by maximum likelihood from at most SAMPLE regions (those of least hash over
 all documents) in which the rules dropped nothing; each phone is also shown without its
 country code, each card with a wrong check digit, as an account number and as one with wrong check digits, and each address with too large a part. What the patterns
-of seeds() find counts as secrets and accounts there.
+of seeds() find counts as secrets and accounts there; each announced secret is also shown with made-up keys of five alphabets, bare and in quotes, and the same keys under names that
+announce nothing, each card with made-up numbers of other lengths and beginnings, right and wrong, so that the field learns what announces a key and what a key looks like, not the pattern. How well it finds what neither pattern nor training has made is a test of its own.
 
 Nulls count as empty texts, which have no spans. Repeated rows give repeated rows, an empty table gives none. A text is held whole in its task; the
 work is linear in its length.
@@ -21,7 +22,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
+import string
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -314,6 +318,42 @@ def _best(n: int, found, w: dict[str, float], inside=frozenset()):
     return out[::-1]
 
 
+#: Alphabets of made-up keys, and what stands between a name and its value.
+_ALPHABETS = (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits, string.ascii_letters + "_-", string.digits + "abcdef")
+_GIVEN = ("=", ": ", " = ", '="', ": '", " = \"")
+
+
+def _numbers(like: str) -> list[tuple[str, bool]]:
+    """Made-up card numbers of other lengths and beginnings, each with its check digit right and wrong, in groups or not."""
+    r, out = random.Random(zlib.crc32(like.encode())), []
+    for n in (13, 14, 15, 16, 19):
+        head = r.choice("3456") + "".join(r.choice(string.digits) for _ in range(n - 2))
+        check = next(c for c in string.digits if luhn(head + c))
+        for c in (check, str((int(check) + 1 + r.randrange(9)) % 10)):
+            number = head + c
+            out.append((r.choice(("", " ", "-")).join(number[k : k + 4] for k in range(0, n, 4)), c == check))
+    return out
+
+
+def _keys(text: str, end: int, gold: list[Span], x: Span) -> list[tuple[str, list[Span]]]:
+    """A region with a secret, with made-up keys in its place, bare and in quotes: true where a name announces them, not where the name is that of something else, nor where the value is a plain word."""
+    a = x[1]
+    m = _ASSIGNED.search(text, max(0, a - 40), a)
+    if not m:
+        return []
+    rest = [g for g in gold if g[2] <= m.start()]  # what comes after the secret isn't shown
+    r, out = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass"))), []
+    name = re.match(_SAID, m[0])[0]
+    for alphabet in _ALPHABETS:
+        given = r.choice(_GIVEN)
+        key = r.choice(string.ascii_letters) + "".join(r.choice(alphabet) for _ in range(r.randint(15, 47)))
+        quote = given[-1] if given[-1] in "\"'" else ""
+        for said, value, true in ((r.choice((name, name.upper(), "my_" + name)), key, True), (r.choice(("colour", "revision", "file", "digest")), key, False), (name, r.choice(("none", "required", "changed", "optional", "disabled")), False)):
+            lead = text[: m.start()] + said + given
+            out.append((lead + value + quote + text[end:], rest + [(4, len(lead), len(lead) + len(value))] * true))
+    return out
+
+
 def learn(samples: list[tuple[str, int, int]], epochs: int = EPOCHS, rate: float = RATE) -> dict[str, float]:
     """Weights from (text, start, end) regions, in the order given."""
     cases = []
@@ -340,8 +380,12 @@ def learn(samples: list[tuple[str, int, int]], epochs: int = EPOCHS, rate: float
                 good = account(re.sub("[^0-9]", "", text[a:b]))
                 put(good, [(5, 0, len(good))])
                 put(f"{good[:2]}{(int(good[2:4]) + 1) % 100:02d}{good[4:]}")
+                for number, true in _numbers(text[a:b]):
+                    put(number, [(2, 0, len(number))] * true)
             elif kind == 1:
                 put(text[a:b] + "77")
+            elif kind == 4:
+                shown += _keys(text, end, gold, x)
         for t, want in shown:
             spans, found = _candidates(t, start, end + len(t) - len(text))
             marks = [[(kind, spans[i][0], spans[j][1]) in want for i, kind, _ in c] for j, c in enumerate(found)]
