@@ -10,7 +10,9 @@ fingerprints is the Jaccard likeness of their sets of hashes.
 A text of fewer than K tokens has its code points as tokens; one of fewer than K code points is one anchor, and so is
 one of which no run is chosen.
 Nulls count as empty texts; blank texts have no anchors and an empty fingerprint. Two empty
-fingerprints are alike by 1, an empty one and another by 0.
+fingerprints are alike by 1, an empty one and another by 0. Rows of one id follow each other in the order of a hash of their text; rows without an id
+have no next document. Repeated rows give repeated rows, an empty table gives none. Other columns play no part. A text is worked on whole, in one task; of one with more than
+4,194,303 tokens the anchors are all kept, but places beyond that count as that place, in which alone the alignment is coarser.
 """
 
 from __future__ import annotations

@@ -18,43 +18,53 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, that of its edited text, and how near it is to that and to the next document."""
     return fingerprints.compare_with_edit(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and licence texts in every document."""
     return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: the rules' spans, and those that the field adds."""
     return pii.find(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, packed into sequences."""
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text", "source")).drop("row_hash")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score; learnt from labels of rows that aren't held out."""
     return toxicity.classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near duplicates."""
     return jaccard.join(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's visible text."""
     return html.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"), keep=("url",))
 
 
 def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record in the archives written from all pages, read back and merged."""
     found = warc.archive(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded."""
     got = bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), decoded=True)
     return got.select("doc_id", "n_tokens", F.sha2(F.col("ids_text").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

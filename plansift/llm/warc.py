@@ -7,7 +7,7 @@ largest page_id; the others are revisit records that refer to it. read() takes t
 
 index() gives the captures in global order of URL key, timestamp and page: each archive yields a
 locally sorted run, all of which are written; their rows are counted and dealt to ranges of about RANGE rows; in each range a
-loser tree merges the runs' pieces, a few hundred rows of each run at a time as values.
+loser tree merges the runs' pieces, a few hundred rows of each run at a time as values. Nothing is sorted again: a piece ends where the order falls.
 
 Nulls: a null html is an empty payload, a null url an empty one; a null page_id is written as "null"
 and read back as null, and is below any other. Rows of equal page_id and payload are equally
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from plansift.llm.common import SENT, cut, map_rows, shared_dir, slices
+from plansift.llm.common import SENT, cut, discard, map_rows, shared_dir, slices
 
 REVISIT, RECORDS, BYTES, RANGE, SALTS, EPOCH = 1000, 1000, 64 << 20, 200_000, 32, 1_600_000_000
 END = "\r\n\r\n"
@@ -43,10 +43,10 @@ def _rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
     return rows.withColumns({"digest": F.sha1(F.col("payload").cast("binary")), "n_bytes": F.octet_length("payload").cast("long")})
 
 
-def _digests(rows: DataFrame) -> DataFrame:
+def _digests(rows: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """same, original, n, n_bytes of each digest that may be revisited, and of all other rows together (same is null). Ids alone meet here, no payloads."""
     same = F.when(F.col("n_bytes") >= REVISIT, F.col("digest")).alias("same")
-    return cut(rows.select(same, "page_id", "n_bytes").groupBy("same").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("n_bytes")))
+    return cut(rows.select(same, "page_id", "n_bytes").groupBy("same").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("n_bytes")), scratch)
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", digests: DataFrame | None = None) -> DataFrame:
@@ -102,7 +102,8 @@ def _member(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def write(pages: DataFrame, path: str, per_archive: int = RECORDS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Archives of the pages under path; each page's capture is dated EPOCH plus its page_id in seconds."""
-    digests = _digests(_rows(pages, id_col, url_col, html_col))
+    scratch: list[str] = []
+    digests = _digests(_rows(pages, id_col, url_col, html_col), scratch)
     n, size = digests.agg(F.sum("n"), F.sum("n_bytes")).first()
     if n:
         per_archive = max(1, min(per_archive, BYTES * n // max(1, size)))
@@ -111,6 +112,7 @@ def write(pages: DataFrame, path: str, per_archive: int = RECORDS, id_col: str =
     # a cast of bytes to a string keeps them as they are, and the sink writes a string's bytes
     members = rows.select(_member("value").cast("string").alias("value"))
     members.write.option("lineSep", EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", per_archive).text(path)
+    discard(pages.sparkSession, scratch)
 
 
 def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
@@ -249,17 +251,22 @@ def index(captures: DataFrame, rows_a_range: int = RANGE) -> DataFrame:
                 yield from zip(*(c.to_pylist() for c in b.slice(low, 256).columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[pa.RecordBatch]] = {}
-        schema = None
+        runs, schema, last = [], None, None
         for b in batches:
-            schema = b.schema
-            names, low = b.column(3).to_pylist(), 0
-            for high in range(1, b.num_rows + 1):
-                if high == b.num_rows or names[high] != names[low]:
-                    runs.setdefault(names[low], []).append(b.slice(low, high - low))
-                    low = high
+            schema, low = b.schema, 0
+            for at, key in enumerate(map(_order, rows_of([b]))):
+                if last is not None and key < last:
+                    if at > low:
+                        runs[-1].append(b.slice(low, at - low))
+                    runs.append([])
+                    low = at
+                elif last is None:
+                    runs.append([])
+                last = key
+            if b.num_rows > low:
+                runs[-1].append(b.slice(low))
         out: list[tuple] = []
-        for row in merge([rows_of(runs[name]) for name in sorted(runs)]):
+        for row in merge([rows_of(pieces) for pieces in runs]):
             out.append(row)
             if len(out) == 2000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
@@ -267,13 +274,18 @@ def index(captures: DataFrame, rows_a_range: int = RANGE) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    # within a range Spark puts each run's rows together and in order again, as they come from many map tasks
-    return captures.repartitionByRange(ranges, *keys).sortWithinPartitions("archive", *keys, "offset").mapInArrow(run, CAPTURE)
+    # a shuffle hands on what a map task wrote for a range in the order it was read, so a range gets sorted pieces one after another; where
+    # the order falls a new one begins, and whatever comes, pieces are sorted
+    return captures.repartitionByRange(ranges, *keys).mapInArrow(run, CAPTURE)
 
 
 def archive(pages: DataFrame, path: str | None = None, **columns) -> DataFrame:
-    """Writes the pages' archives, reads them back, and returns the merged index of their captures."""
+    """Writes the pages' archives, reads them back, and returns the merged index of their captures. Without a path the archives are deleted once they are read."""
     spark = pages.sparkSession
+    own = path is None
     path = path or shared_dir(spark)
     write(pages, path, **columns)
-    return index(cut(read(spark, path)))
+    captures = cut(read(spark, path))
+    if own:
+        discard(spark, [path])
+    return index(captures)
