@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plansift.llm import jaccard, packing, pii, toxicity
-from plansift.llm.common import cut, table
+from plansift.llm.common import cut, discard, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each stage's rows are written and read again, and deleted once the next one's are."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = cut(docs)
+            written: list[str] = []
+            docs = cut(docs, written)
+            discard(spark, before)  # what the stage has read isn't read again
+            before = written
     return docs
