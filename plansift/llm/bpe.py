@@ -91,9 +91,11 @@ class TreeEncoder:
             cuts.append(c)
         # leaves: words, and whether the first and the last touch the leaf's edge
         nodes = [((p := data[a:b]).split(), p[:1].strip() != b"", p[-1:].strip() != b"") for a, b in zip(cuts, cuts[1:])]
-        self._learn({w for n in nodes for w in n[0]})
+        # words that a cut goes through are learnt when they are whole again
+        through = [False, *(a[2] and b[1] for a, b in zip(nodes, nodes[1:])), False]
+        self._learn({w for k, (words, *_) in enumerate(nodes) for w in words[through[k] : len(words) - through[k + 1]]})
         while len(nodes) > 1:
-            cut = []
+            cut, halves = [], []
             for left, right in zip(nodes[::2], nodes[1::2]):
                 if not (left[2] and right[1]):
                     self.joins[0] += 1
@@ -102,7 +104,12 @@ class TreeEncoder:
                     cut.append(left[0][-1] + right[0][0])
                 else:
                     self.joins[2] += 1
+                    halves += [(words, k) for words, k in ((left[0], -1), (right[0], 0)) if isinstance(words[k], bytes)]
             self._learn(set(cut))
+            # the halves of a level's unsplit runs, all at once
+            texts = [words[k].decode() for words, k in halves]
+            for (words, k), text, tokens in zip(halves, texts, self._spans(texts, [0] * len(texts)) if texts else []):
+                words[k] = _Run(text, tokens)
             nodes = [self._concatenated(left, right) for left, right in zip(nodes[::2], nodes[1::2])]
         return nodes[0][0]
 
