@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plansift.functions.geo import haversine
+from plansift.operators.resolve import may_match, ratio
 
 KM_A_DEGREE = 111.19
 
@@ -47,23 +48,26 @@ def radius_join(anchors: DataFrame, points: DataFrame, km: float, k: int) -> Dat
 def drop_near_names(items: DataFrame, known: DataFrame, key: str, name: str, order: str, limit: float = 0.72) -> DataFrame:
     """items whose names aren't near a known name of their key, nor near one kept before them; items without a name go.
 
-    Each key's items must be few, as after a top-k; known: key and name. The known names of a key come as one array.
+    Each key's items must be few, as after a top-k: they are gone through together. known: key and name, as many as there are: an item meets those of its key as rows, most of
+    which their lengths and edits rule out before they are compared.
     """
     from difflib import SequenceMatcher
 
-    names = known.filter(F.col(name).isNotNull()).groupBy(key).agg(F.collect_set(F.lower(name)).alias("_known"))
-    joined = items.filter(F.col(name).isNotNull()).join(names, key, "left")
+    asked = items.filter(F.col(name).isNotNull()).withColumn("_low", F.lower(name))
+    held = known.filter(F.col(name).isNotNull()).select(key, F.lower(name).alias("_known")).distinct()
+    pairs = asked.select(key, "_low").distinct().join(held, key).filter(may_match(F.col("_low"), F.col("_known"), limit))
+    near = pairs.withColumn("_s", ratio("_low", "_known")).filter(F.col("_s") > limit).select(key, "_low").distinct()
+    rest = asked.join(near, [key, "_low"], "left_anti")
     schema = items.schema
 
     def greedy(pdf):
+        seen, keep = [], []
         pdf = pdf.sort_values(order)
-        seen = list(pdf["_known"].iloc[0]) if pdf["_known"].iloc[0] is not None else []
-        keep = []
-        for low in pdf[name].str.lower():
+        for low in pdf["_low"]:
             new = not any(SequenceMatcher(None, low, x).ratio() > limit for x in seen)
             keep.append(new)
             if new:
                 seen.append(low)
         return pdf.loc[keep, schema.names]
 
-    return joined.groupBy(key).applyInPandas(greedy, schema)
+    return rest.groupBy(key).applyInPandas(greedy, schema)
