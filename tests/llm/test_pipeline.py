@@ -104,7 +104,8 @@ def test_query(spark, name):
     assert got
     if name in queries.ORACLE_SQL:
         con = duckdb.connect()
-        con.execute(f"create view pages as select * from '{SF}/pages.parquet'")
+        for t in ("pages", "conversations"):
+            con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
         found = con.execute(queries.ORACLE_SQL[name])
         names = [c[0] for c in found.description]
         assert sorted(names) == sorted(df.columns)
