@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,23 +92,32 @@ def drop_near_names(items: DataFrame, known: DataFrame, key: str, name: str, ord
     Each key's items must be few, as after a top-k: they are gone through together. known: key and name, as many as there are: an item meets those of its key as rows, most of
     which their lengths and edits rule out before they are compared.
     """
-    from difflib import SequenceMatcher
-
     asked = items.filter(F.col(name).isNotNull()).withColumn("_low", F.lower(name))
     held = known.filter(F.col(name).isNotNull()).select(key, F.lower(name).alias("_known")).distinct()
     pairs = asked.select(key, "_low").distinct().join(held, key).filter(may_match(F.col("_low"), F.col("_known"), limit))
     near = pairs.withColumn("_s", ratio("_low", "_known")).filter(F.col("_s") > limit).select(key, "_low").distinct()
     rest = asked.join(near, [key, "_low"], "left_anti")
-    schema = items.schema
-
-    def greedy(pdf):
-        seen, keep = [], []
-        pdf = pdf.sort_values(order)
-        for low in pdf["_low"]:
-            new = not any(SequenceMatcher(None, low, x).ratio() > limit for x in seen)
-            keep.append(new)
-            if new:
-                seen.append(low)
-        return pdf.loc[keep, schema.names]
-
-    return rest.groupBy(key).applyInPandas(greedy, schema)
+
+    @F.pandas_udf("array<boolean>")
+    def greedy(lows: pd.Series, orders: pd.Series) -> pd.Series:
+        """Which of each key's names are kept; names come again under many keys, so likenesses are remembered."""
+        from difflib import SequenceMatcher
+        from functools import lru_cache
+
+        @lru_cache(1 << 16)
+        def alike(a: str, b: str) -> bool:
+            return SequenceMatcher(None, a, b).ratio() > limit
+
+        out = []
+        for names, order in zip(lows, orders):
+            seen, keep = [], [False] * len(names)
+            for i in sorted(range(len(names)), key=lambda i: (True, 0) if pd.isna(order[i]) else (False, order[i])):
+                keep[i] = not any(alike(names[i], x) for x in seen)
+                if keep[i]:
+                    seen.append(names[i])
+            out.append(keep)
+        return pd.Series(out, dtype="object")
+
+    lists = rest.groupBy(key).agg(F.collect_list(F.struct("_low", order, F.struct(*items.columns).alias("item"))).alias("x"))
+    kept = lists.withColumn("keep", greedy(F.col("x._low"), F.col(f"x.{order}")))
+    return kept.select(F.explode(F.filter(F.arrays_zip("x", "keep"), lambda z: z["keep"])).alias("z")).select("z.x.item.*")

@@ -32,3 +32,11 @@ def test_dense_points_are_found_within_a_fraction_of_the_radius(spark, monkeypat
     assert got == sorted((i, q, km, n + 1) for i, found in best.items() for n, (km, q) in enumerate(sorted(found)[:4]))
     # one place of 600 counts as four points, twenty anchors there as one; few are left for the whole radius
     assert asked[0][0] < 60 and asked[0][1:] == (63, 2505) and asked[-1][0] == 60 and asked[-1][1] <= 3
+
+
+def test_near_names_of_many_keys_are_gone_through_together(spark):
+    items = spark.range(3000).selectExpr("id div 3 as k", "element_at(array('Hotel Sun', 'Hotel Suns', 'Lake Palace'), cast(id % 3 + 1 as int)) as name", "cast(3 - id % 3 as int) as rank", "map('a', id) as note")
+    known = spark.createDataFrame([(1, "lake palaces")], "k long, name string")
+    got = geo_joins.drop_near_names(items, known, "k", "name", "rank")
+    assert got.columns == items.columns and "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+    assert sorted((r["k"], r["name"]) for r in got.collect()) == sorted([(k, "Hotel Suns") for k in range(1000)] + [(k, "Lake Palace") for k in range(1000) if k != 1])
