@@ -15,9 +15,9 @@ HOTEL = "hotel_id string, hotel_name string, hotel_type string, address string,
 _FILE = f"struct<temple_id: string, associated_temple: string, hotels: array<struct<{HOTEL.replace(' string', ': string').replace(' array', ': array').replace(' map', ': map').replace(' struct<platform: string, rating: string>', ': struct<platform: string, rating: string>')}>>>"
 
 
-def read_hotel_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_hotel_files(spark: SparkSession, path: str, bundled: bool = False) -> tuple[DataFrame, DataFrame]:
     """(one row a named hotel of the files under path, with the file's ids where the hotel has none of its own; the files that can't be read: source_file, reason)."""
-    files = json_files.read_json_files(spark, path)
+    files = json_files.read_json_files(spark, path, bundled=bundled)
     parsed = files.filter("status = 'OK'").select("source_file", F.from_json("text", _FILE).alias("f")).select("source_file", "f.*")
     return hotels(parsed), files.filter("status = 'ERROR'").select("source_file", "reason")
 
@@ -95,9 +95,9 @@ def restaurants(texts: DataFrame, text_col: str = "value") -> DataFrame:
     ).filter(F.col("name").isNotNull()).withColumns({"place_tokens": text.tokens(F.concat_ws(" ", "temple_name", "city", "address")), "name_tokens": text.tokens(F.col("name"))})
 
 
-def read_restaurant_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_restaurant_files(spark: SparkSession, path: str, bundled: bool = False) -> tuple[DataFrame, DataFrame]:
     """(one row a named restaurant of the files under path; the files that can't be read or name none: source_file, reason)."""
-    files = json_files.read_json_files(spark, path, required=("restaurantName",))
+    files = json_files.read_json_files(spark, path, required=("restaurantName",), bundled=bundled)
     return restaurants(files.filter("status = 'OK'").select("source_file", "text"), "text"), files.filter("status = 'ERROR'").select("source_file", "reason")
 
 

@@ -40,3 +40,20 @@ def test_near_names_of_many_keys_are_gone_through_together(spark):
     got = geo_joins.drop_near_names(items, known, "k", "name", "rank")
     assert got.columns == items.columns and "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
     assert sorted((r["k"], r["name"]) for r in got.collect()) == sorted([(k, "Hotel Suns") for k in range(1000)] + [(k, "Lake Palace") for k in range(1000) if k != 1])
+
+
+def test_bundled_documents_read_as_files_do(spark, tmp_path):
+    from plansift.sources import json_files, json_layouts
+
+    docs = {"a.json": '{"temple_id": "T1", "hotels": [{"hotel_name": "Sun"}]}', "b.json": "{", "c.json": "[1]", "d.json": " \n", "e.json": "", "f.txt": "{}"}
+    for name, value in docs.items():
+        (tmp_path / "files").mkdir(exist_ok=True)
+        (tmp_path / "files" / name).write_text(value)
+    path = str(tmp_path / "bundle")
+    json_files.write_json_bundles(spark.createDataFrame([*docs.items()] * 1, "name string, value string").coalesce(1), path, "name")
+    assert len([f for f in (tmp_path / "bundle").iterdir() if f.name.startswith("part-")]) == 1
+    seen = lambda df: sorted((r.source_file.rsplit("/", 1)[-1], r.file_bytes, r.status, r.reason, r.text) for r in df.collect())
+    for pattern in ("*", "*.json"):
+        assert seen(json_files.read_json_files(spark, path, pattern=pattern, largest=50, bundled=True)) == seen(json_files.read_json_files(spark, str(tmp_path / "files"), pattern=pattern, largest=50))
+    good, bad = json_layouts.read_hotel_files(spark, path, bundled=True)
+    assert [(r["name"], r["temple_id"]) for r in good.collect()] == [("Sun", "T1")] and rows(bad) == [("b.json", "invalid_json"), ("c.json", "not_an_object")]
