@@ -57,3 +57,37 @@ def test_bundled_documents_read_as_files_do(spark, tmp_path):
         assert seen(json_files.read_json_files(spark, path, pattern=pattern, largest=50, bundled=True)) == seen(json_files.read_json_files(spark, str(tmp_path / "files"), pattern=pattern, largest=50))
     good, bad = json_layouts.read_hotel_files(spark, path, bundled=True)
     assert [(r["name"], r["temple_id"]) for r in good.collect()] == [("Sun", "T1")] and rows(bad) == [("b.json", "invalid_json"), ("c.json", "not_an_object")]
+
+
+def test_names_of_many_entities_are_compared_once(spark, monkeypatch):
+    from plansift.operators import resolve
+
+    names = spark.range(400).selectExpr("element_at(array('golden temple', 'golden temples', 'lotus pond'), cast(id % 3 + 1 as int)) as alias", "id as key")
+    entities = spark.range(400).selectExpr("id as key", "if(id < 300, 'temple', 'place') as entity_type")
+    mentions = spark.range(60).selectExpr("id as m_id", "element_at(array('golden tample', 'lotus pond', 'golden templess'), cast(id % 3 + 1 as int)) as mention", "if(id % 2 = 0, 'place', null) as asked")
+    met, pairs = [], resolve.fuzzy_pairs
+
+    def seen(m, n, limit):
+        met.append((m.count(), n.count()))
+        return pairs(m, n, limit)
+
+    monkeypatch.setattr(resolve, "fuzzy_pairs", seen)
+    got = rows(resolve.fuzzy(mentions.filter("m_id < 3"), names, "key"))
+    assert [k for m, k, _ in got if m == 2] == list(range(1, 31, 3)) and [k for m, k, _ in got if m == 0] == list(range(0, 30, 3)) and [k for m, k, _ in got if m == 1] == list(range(2, 32, 3))
+    found = {r.m_id: (r.status, r.key, r.match_type) for r in resolve.resolve(mentions, names, entities).collect()}
+    assert len(found) == 60 and found[1] == found[4] == ("AMBIGUOUS", None, "exact_ambiguous") and found[0] == ("AMBIGUOUS", None, "fuzzy_ambiguous")
+    assert all(m <= 3 and n <= 3 for m, n in met)
+
+
+def test_exact_by_context_is_what_rows_of_all_candidates_give(spark):
+    from plansift.operators import resolve
+
+    e = spark.range(600).selectExpr("id as k", "concat('n', id % 4) as alias", "if(id % 11 = 0, null, id * 7 % 13) as city", "id * 5 % 17 as district")
+    m = spark.range(0, 600, 7).selectExpr("id as m_id", "concat('n', id % 5) as alias", "id % 15 as city", "id % 19 as district", "if(id % 2 = 0, id + 4 * (id % 3), null) as itself")
+    pairs = m.withColumnsRenamed({"city": "c", "district": "d"}).join(e, "alias")
+    score = resolve.context_score(F.col("itself") == F.col("k"), F.lit(False), F.col("c") == F.col("city"), F.col("d") == F.col("district"))
+    levels = [(65, ["city", "district"]), (40, ["city"]), (25, ["district"]), (0, [])]
+    want = resolve.decide_exact(pairs.select("m_id", "k", score.alias("context")), "k")
+    got = resolve.exact_by_context(m, e, "k", levels)
+    key = lambda df: sorted((r.m_id, r.status, r.k, r.match_type, r.context, r.n) for r in df.collect())
+    assert key(got) == key(want) and len({r[4] for r in key(got)}) > 3
