@@ -91,3 +91,27 @@ def test_exact_by_context_is_what_rows_of_all_candidates_give(spark):
     got = resolve.exact_by_context(m, e, "k", levels)
     key = lambda df: sorted((r.m_id, r.status, r.k, r.match_type, r.context, r.n) for r in df.collect())
     assert key(got) == key(want) and len({r[4] for r in key(got)}) > 3
+
+
+def test_records_are_dealt_before_their_mentions_are_read(spark):
+    from plansift.operators import registry
+
+    records = spark.createDataFrame([(i, '{"founders": ["A (Great B)", 7], "festivals": [], "faq": 3}' if i % 2 else "{}") for i in range(40)], "k long, j string").coalesce(1).select("k", F.try_parse_json("j").alias("record"))
+    found = registry.mentions(records, "k")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    generate = plan.index("Generate")
+    # the records are shuffled below the first reading, and nothing afterwards
+    assert "Exchange hashpartitioning(k" in plan[generate:] and "Exchange" not in plan[:generate]
+    assert sorted((r.target, r.mention) for r in found.collect()) == sorted((i, m) for i in range(1, 40, 2) for m in ("A", "A (Great B)", "Great B", "B"))
+
+
+def test_long_texts_are_chunked_and_embedded_in_slices(spark):
+    from plansift.operators import documents
+
+    texts = [None, "", "word " * 900, "é\nü"] * 200
+    docs = spark.createDataFrame(list(enumerate(texts)), "k long, t string").coalesce(1)
+    got = documents.chunks(docs, "k", "t")
+    assert "MapInArrow" in got._jdf.queryExecution().toString()
+    assert rows(got) == sorted((k, i, c) for k, t in enumerate(texts) if t for i, c in enumerate(documents.split_text(t)))
+    seen = documents.embed(docs, "t", lambda some: [[3.0 * len(t), 4.0 * len(t)] for t in some]).collect()
+    assert {r.k: r.v for r in seen} == {k: [0.6, 0.8] if t else [0.0, 0.0] for k, t in enumerate(texts)}
