@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +14,8 @@ from plansift.sources.json_layouts import first_said, is_object, stringify
 
 CHUNK, OVERLAP, SEPARATORS = 800, 120, ("\n\n", "\n", ". ", " ", "")
 CANDIDATES, KEPT, BLOCK, BLOCKS, PARTS = 20, 5, 256, 16, 64
+#: So many texts of a batch are turned into Python strings at a time.
+SLICE = 256
 
 # What a content type is worth by itself.
 PRIORITY = {
@@ -119,13 +121,22 @@ def _merge(pieces: list[str], size: int, overlap: int) -> list[str]:
 def chunks(docs: DataFrame, key: str, text_col: str) -> DataFrame:
     """key, chunk_index, chunk: every text's chunks in order; a null or blank text has none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = docs.schema[key].dataType.simpleString()
+    schema = f"key {kind}, chunk_index int, chunk string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, i, c) for k, t in zip(b.iloc[:, 0], b.iloc[:, 1]) if t for i, c in enumerate(split_text(t))]
-            yield pd.DataFrame(rows, columns=["key", "chunk_index", "chunk"])
+            for low in range(0, b.num_rows, SLICE):
+                some = b.slice(low, SLICE)
+                at, index, found = [], [], []
+                for n, t in enumerate(some.column(1).to_pylist()):
+                    for i, c in enumerate(split_text(t) if t else ()):
+                        at.append(n)
+                        index.append(i)
+                        found.append(c)
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(at, pa.int64())), pa.array(index, pa.int32()), pa.array(found, pa.string())], ["key", "chunk_index", "chunk"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text_col).mapInPandas(run, f"key {kind}, chunk_index int, chunk string").withColumnRenamed("key", key)
+    return docs.select(key, text_col).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def append_new(chunk_rows: DataFrame, kept: DataFrame, key: str) -> DataFrame:
@@ -145,15 +156,17 @@ def _norm(v: Column) -> Column:
 def embed(docs: DataFrame, text_col: str, model, batch: int = 32, column: str = "v") -> DataFrame:
     """docs with the unit vectors of their texts. model: a function of a list of `batch` texts at most that gives a vector each; it is sent to the tasks. A vector of zeros stays as it is; null texts count as empty."""
 
-    @F.pandas_udf("array<double>")
-    def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def vectors(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
             out: list = []
             for low in range(0, len(texts), batch):
-                for v in model(texts.iloc[low : low + batch].fillna("").tolist()):
+                some = []
+                for v in model([t or "" for t in texts.slice(low, batch).to_pylist()]):
                     norm = sum(x * x for x in v) ** 0.5
-                    out.append([x / norm for x in v] if norm else list(v))
-            yield pd.Series(out)
+                    some.append([x / norm for x in v] if norm else list(v))
+                out.append(pa.array(some, pa.list_(pa.float64())))
+            yield pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.float64()))
 
     return docs.withColumn(column, vectors(F.col(text_col).cast("string")))
 
