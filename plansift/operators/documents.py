@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plansift.functions.text import words
+from plansift.operators import blocks
 from plansift.sources import committed
 from plansift.sources.json_layouts import first_said, is_object, stringify
 
 CHUNK, OVERLAP, SEPARATORS = 800, 120, ("\n\n", "\n", ". ", " ", "")
-CANDIDATES, KEPT, BLOCK, BLOCKS, PARTS = 20, 5, 256, 16, 64
+CANDIDATES, KEPT, BLOCK, BLOCKS, PART = 20, 5, 256, 16, 4096
 #: So many texts of a batch are turned into Python strings at a time.
 SLICE = 256
 
@@ -174,26 +176,41 @@ def embed(docs: DataFrame, text_col: str, model, batch: int = 32, column: str =
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, group: str | None = None) -> DataFrame:
     """query_id, vec_id, score, rank: exact cosine search of a set of queries (query_id, q) over all vectors (vec_id, v).
 
-    Queries meet the vectors in blocks of BLOCK: up to BLOCKS blocks go to every task, in one pass over the vectors; more are
-    joined by block number and a part of the vectors, so that work spreads over blocks times PARTS. A vector scores a block at once, and only a block's k best of each
-    partition go on. group: a column of both tables; a query searches the vectors of its group alone.
+    Vectors are dealt to parts of about PART, queries to bundles of about BLOCKS blocks; a bundle meets a part in a task, which scores a block of BLOCK at once, as a matrix product,
+    and hands on each query's k best of the part. Vectors of another length than a query's aren't compared to it. group: a column of both tables; a query searches the vectors of its group alone.
     """
     v = vectors.withColumn("v", F.col("v").cast("array<double>")).filter(F.size("v") > 0).withColumn("n", _norm(F.col("v"))).filter("n > 0")
-    q = queries.withColumn("q", F.col("q").cast("array<double>")).withColumn("m", _norm(F.col("q"))).filter("m > 0")
+    q = queries.withColumn("q", F.col("q").cast("array<double>")).withColumn("m", _norm(F.col("q"))).filter("m > 0").withColumn("q", F.transform("q", lambda x: x / F.col("m")))
     of = [] if group is None else [group]
-    blocks = max(1, -(-q.count() // BLOCK))
-    held = q.groupBy(*of, F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", F.transform("q", lambda x: x / F.col("m")).alias("q"))).alias("qs"))
-    v = v.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    if blocks <= BLOCKS:
-        rows = v.join(F.broadcast(held), [*of, "block"])
-    else:
-        parts = F.sequence(F.lit(0), F.lit(PARTS - 1))
-        rows = v.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(PARTS)).cast("int")).join(held.withColumn("part", F.explode(parts)), [*of, "block", "part"])
-    dot = lambda x: F.aggregate(F.zip_with("v", x["q"], lambda a, b: a * b), F.lit(0.0), lambda a, y: a + y)
-    near = F.transform("qs", lambda x: F.struct(x["query_id"].alias("query_id"), (dot(x) / F.col("n")).alias("score")))
-    scored = rows.select("vec_id", F.inline(near))
+    if group is not None:
+        q = q.filter(F.col(group).isNotNull())
+    bundles, parts = max(1, -(-queries.count() // (BLOCK * BLOCKS))), max(1, -(-vectors.count() // PART))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    v = v.select(*of, "vec_id", "v", "n", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("part"), every(bundles).alias("bundle"))
+    q = q.select(*of, "query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(bundles)).alias("bundle"), every(parts).alias("part"))
+    block, by = BLOCK, [*of, "bundle", "part"]
+
+    def score(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out = [[], [], []]
+        if asked.num_rows and held.num_rows:
+            asked, held = asked.combine_chunks(), held.combine_chunks()
+            norm, order = held["n"].to_numpy(), blocks.order_of(held["vec_id"].combine_chunks())
+            of_length = {size: (at, y) for size, at, y in blocks.by_length(asked["q"].combine_chunks())}
+            for size, at, x in blocks.by_length(held["v"].combine_chunks()):
+                q_at, y = of_length.get(size, ((), ()))
+                for low in range(0, len(q_at), block):
+                    some, n = y[low : low + block], norm[at]
+                    with np.errstate(all="ignore"):
+                        rows, columns, s = blocks.k_best(some @ x.T / n, lambda i, j: (x[j] * some[i]).sum(axis=1) / n[j], order[at], k)  # noqa: B023
+                    for o, a in zip(out, (q_at[low + rows], at[columns], s)):
+                        o.append(a)
+        i, j, s = (np.concatenate(o or [np.zeros(0, int)]) for o in out)
+        return pa.table({"query_id": asked["query_id"].take(pa.array(i)), "vec_id": held["vec_id"].take(pa.array(j)), "score": pa.array(s, pa.float64())})
+
+    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((q, "query_id"), (v, "vec_id"))]
+    scored = q.groupBy(*by).cogroup(v.groupBy(*by)).applyInArrow(score, ", ".join([*kinds, "score double"]))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.select("query_id", "vec_id", "score").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def lexical(query: Column, content: Column, meta: Column) -> Column:

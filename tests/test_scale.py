@@ -115,3 +115,26 @@ def test_long_texts_are_chunked_and_embedded_in_slices(spark):
     assert rows(got) == sorted((k, i, c) for k, t in enumerate(texts) if t for i, c in enumerate(documents.split_text(t)))
     seen = documents.embed(docs, "t", lambda some: [[3.0 * len(t), 4.0 * len(t)] for t in some]).collect()
     assert {r.k: r.v for r in seen} == {k: [0.6, 0.8] if t else [0.0, 0.0] for k, t in enumerate(texts)}
+
+
+def test_vectors_meet_queries_in_blocks_not_in_pairs(spark):
+    import math
+
+    from plansift.operators import documents
+
+    x = [[float((i * 7 + j * 3) % 11 - 5) for j in range(5)] for i in range(400)]
+    odd = [(500, None), (501, []), (502, [0.0] * 5), (503, [1.0] * 3), (None, x[3]), (504, [2 * a for a in x[3]]), (505, [float("nan")] * 5)]
+    v = spark.createDataFrame([*enumerate(x), *odd], "vec_id long, v array<double>").repartition(3)
+    q = v.filter("vec_id % 50 = 3 or vec_id > 499").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    found = documents.vector_topk(v, q, 6)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    unit = {i: [a / math.sqrt(sum(b * b for b in y)) for a in y] for i, y in [*enumerate(x), (None, x[3]), (504, x[3])] if any(y)}
+    for i in range(3, 400, 50):
+        # what isn't a number is first, as in SQL; equal vectors have equal scores, of which the unnamed one is least
+        ranked = sorted(((-round(sum(a * b for a, b in zip(unit[i], y)), 9), -1 if k is None else k) for k, y in unit.items()))[:5]
+        assert [k for _, k, _ in sorted(got[i])] == [505] + [None if k == -1 else k for _, k in ranked]
+    assert [k for _, k, _ in sorted(got[503])] == [503] and not {500, 501, 502} & set(got)
