@@ -3,10 +3,11 @@
 Every vector belongs to its nearest reference (one of at most REFERENCES of the vectors, chosen by a hash) and, by its angle to it, to one of
 at most RINGS rings around it. Of a ring only the least and the greatest angle and a count are kept, REFERENCES * RINGS rows at most, which go to all tasks. The angle between
 a query and any vector of a ring is at least what the two angles to the reference differ by; so a query first visits its nearest rings until
-it has k vectors, and then only those rings that can hold anything nearer than the k-th of them. Within a ring the same bound holds for each vector.
+it has k vectors, and then only those rings that can hold anything as near as the k-th of them. Within a ring the same bound holds for each vector.
 
 The result is exact whatever the data; how much is skipped depends on them: vectors in clusters are skipped by whole rings, vectors of no structure in many dimensions hardly at all.
-Vectors that are null, empty or zero, or of another length than the references, take no part. Rings of over BLOCK vectors or queries are dealt to parts.
+Vectors that are null, empty or zero, or of another length than the references, take no part. Queries meet the vectors by shelves of neighbouring rings, a row a query and shelf, and are
+scored SOME at once; rings of over BLOCK vectors, and shelves of over BLOCK queries, are dealt to parts.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plansift.operators import blocks
 from plansift.sources.shared import cut, discard
 
-REFERENCES, RINGS, BLOCK, SLACK = 2048, 16, 4096, 1e-9
+REFERENCES, RINGS, BLOCK, SOME = 2048, 16, 4096, 256
 
 
 def _units(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -74,65 +76,105 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, references: int = REFER
     cuts = spark.createDataFrame([(r, c) for r, c in limits.items()], "ref int, cuts array<double>")
     placed = cut(placed.join(F.broadcast(cuts), "ref").withColumn("ring", F.size(F.filter("cuts", lambda c: c < F.col("angle")))).drop("cuts"), scratch)
     of_ring = sorted(tuple(r) for r in placed.groupBy("ref", "ring").agg(F.min("angle"), F.max("angle"), F.count(F.lit(1))).collect())
-    at, ring, low, high, count = (np.array(c) for c in zip(*of_ring))
+    at, _, low, high, count = (np.array(c) for c in zip(*of_ring))
+    # neighbouring rings lie on a shelf, BLOCK vectors at most; a larger ring has a shelf of several parts to itself
+    shelves, held = [], 0
+    for n in count.tolist():
+        new = not shelves or held + n > BLOCK
+        shelves.append(shelves[-1] + new if shelves else 0)
+        held = n if new else held + n
+    shelf = np.array(shelves)
+    laid = spark.createDataFrame([(*r[:2], place, int(shelf[place]), max(1, -(-r[4] // BLOCK))) for place, r in enumerate(of_ring)], "ref int, ring int, place int, shelf int, parts int")
+    placed = placed.join(F.broadcast(laid), ["ref", "ring"]).drop("ring").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
+
+    def reach(kth):
+        """Up to which angle a vector can be as near as the k-th of those found."""
+        return np.where(kth <= -1, np.pi, np.arccos(np.clip(kth, -1.0, 1.0)) + 1e-6)
 
     def visits(first: bool):
-        """Which rings a query visits first, and which then, when its k-th best score so far is known."""
+        """The shelves that a query visits: first for the nearest rings, as many as hold k vectors, and then, when its k-th best score so far is known, for all that can be as near."""
 
         def run(batches):
             for b in batches:
-                b = b[b["v"].str.len() == size]
-                out = []
-                if len(b):
-                    theta = _angles(_rows(b["v"]), ref)[:, at]
+                b, out = b[b["v"].str.len() == size], []
+                for begin in range(0, len(b), SOME):
+                    some = b.iloc[begin : begin + SOME]
+                    theta = _angles(_rows(some["v"]), ref)[:, at]
                     least = np.maximum(0.0, np.maximum(theta - high, low - theta))
-                    for i, (key, vec) in enumerate(zip(b["query_id"], b["v"])):
-                        order = np.lexsort((theta[i], least[i]))
-                        # as many rings as hold k vectors
-                        begun = order[: int(np.searchsorted(np.cumsum(count[order]), k)) + 1]
-                        kth = -2.0 if first else b["kth"].iloc[i]
-                        go = begun if first else np.setdiff1d(np.flatnonzero(np.cos(least[i]) >= kth - SLACK), begun)
-                        out += [(key, vec, int(at[j]), int(ring[j]), theta[i, j], kth) for j in go]
-                yield pd.DataFrame(out, columns=["query_id", "v", "ref", "ring", "theta", "kth"])
+                    far = None if first else reach(some["kth"].to_numpy())
+                    for i, (key, vec) in enumerate(zip(some["query_id"], some["v"])):
+                        if first:
+                            most = np.partition(least[i], k - 1)[k - 1] if len(at) > k else np.pi
+                            near = np.flatnonzero(least[i] <= most)
+                            near = near[np.lexsort((theta[i, near], least[i, near]))]
+                            near = near[: int(np.searchsorted(np.cumsum(count[near]), k)) + 1]
+                            out += [(key, vec, int(n), near[shelf[near] == n].tolist(), -2.0) for n in np.unique(shelf[near])]
+                        else:
+                            out += [(key, vec, int(n), None, some["kth"].iloc[i]) for n in np.unique(shelf[least[i] <= far[i]])]
+                yield pd.DataFrame(out, columns=["query_id", "v", "shelf", "places", "kth"])
 
         return run
 
-    asked = f"query_id {kinds['query_id']}, v binary, ref int, ring int, theta double, kth double"
+    asked = f"query_id {kinds['query_id']}, v binary, shelf int, places array<int>, kth double"
 
     def score(c: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        found = [pd.DataFrame({n: pd.Series([], dtype="object") for n in ("query_id", "vec_id", "score", "n_scored")})]
         if len(c) and len(a):
-            c = c.sort_values("angle")
-            x, angle, ids = _rows(c["v"]), c["angle"].to_numpy(), c["vec_id"].to_numpy()
-            for key, vec, theta, kth in zip(a["query_id"], a["v"], a["theta"], a["kth"]):
-                # a vector's own angle tells whether it can be near enough
-                reach = np.pi if kth <= -1 else np.arccos(min(1.0, kth)) + 1e-6
-                i, j = np.searchsorted(angle, theta - reach, "left"), np.searchsorted(angle, theta + reach, "right")
-                if i < j:
-                    s = (x[i:j] * np.frombuffer(vec)).sum(axis=1)
-                    best = np.lexsort((ids[i:j], -s))[:k]
-                    found.append(pd.DataFrame({"query_id": key, "vec_id": ids[i:j][best], "score": s[best], "n_scored": [j - i] + [0] * (len(best) - 1)}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "n_scored": []})
+            c = c.sort_values(["place", "angle"])
+            x, angle, ids, places, of = _rows(c["v"]), c["angle"].to_numpy(), c["vec_id"].to_numpy(), c["place"].to_numpy(), c["ref"].to_numpy()
+            order = np.unique(ids, return_inverse=True)[1]
+        for begin in range(0, len(a) if len(c) else 0, SOME):
+            some = a.iloc[begin : begin + SOME]
+            y, kth = _rows(some["v"]), some["kth"].to_numpy()
+            near, n_scored = np.full((len(some), len(c)), -np.inf), np.zeros(len(some), dtype=np.int64)
+
+            def compare(rows, i: int, j: int) -> None:
+                near[rows, i:j] = y[rows] @ x[i:j].T  # noqa: B023
+                n_scored[rows] += j - i  # noqa: B023
+
+            listed = some["places"].explode() if some["places"].iloc[0] is not None else None
+            if listed is not None:
+                ask, place = np.repeat(np.arange(len(some)), some["places"].str.len()), listed.to_numpy().astype(np.int64)
+                for p in np.unique(place):
+                    i, j = np.searchsorted(places, p, "left"), np.searchsorted(places, p, "right")
+                    compare(ask[place == p], i, j)
+            else:
+                far = reach(kth)
+                for r in np.unique(of):
+                    s, e = np.searchsorted(of, r, "left"), np.searchsorted(of, r, "right")
+                    # a vector's own angle tells whether it can be near enough
+                    theta = _angles(y, ref[r : r + 1])[:, 0]
+                    i, j = s + np.searchsorted(angle[s:e], theta - far, "left"), s + np.searchsorted(angle[s:e], theta + far, "right")
+                    go = np.flatnonzero(i < j)
+                    if len(go) and (j[go].max() - i[go].min()) * len(go) <= 1.2 * (j - i)[go].sum():
+                        compare(go, i[go].min(), j[go].max())
+                        continue
+                    for g in go:
+                        compare(np.array([g]), i[g], j[g])
+            rows, columns, s = blocks.k_best(near, lambda i, j: (x[j] * y[i]).sum(axis=1), order, k, kth)  # noqa: B023
+            keys = some["query_id"].to_numpy()
+            found.append(pd.DataFrame({"query_id": keys[rows], "vec_id": pd.Series(ids[columns], dtype="object"), "score": s, "n_scored": 0}))
+            found.append(pd.DataFrame({"query_id": keys, "vec_id": None, "score": None, "n_scored": n_scored}))
+        return pd.concat(found[1:] or found)
 
     def meet(asks: DataFrame) -> DataFrame:
-        place = ["ref", "ring"]
+        """The k best that a query finds on each shelf, and rows without a vector that tell how many it was compared to."""
         asks = cut(asks, scratch)
-        parts = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("long")
-        # a row a ring at most
-        sizes = F.broadcast(cut(placed.groupBy(*place).agg(parts(F.count(F.lit(1))).alias("parts")).join(asks.groupBy(*place).agg(parts(F.count(F.lit(1))).alias("shares")), place), scratch))
-        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        c = placed.join(sizes, place).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).withColumn("share", every("shares"))
-        a = asks.join(sizes, place).withColumn("share", F.pmod(F.xxhash64("query_id"), F.col("shares"))).withColumn("part", every("parts"))
-        by = [*place, "part", "share"]
-        return c.select(*by, "vec_id", "v", "angle").groupBy(*by).cogroup(a.select(*by, "query_id", "v", "theta", "kth").groupBy(*by)).applyInPandas(score, f"query_id {kinds['query_id']}, vec_id {kinds['vec_id']}, score double, n_scored long")
-
-    begun = cut(meet(q.mapInPandas(visits(True), asked)))
+        # a row a shelf at most
+        shares = asks.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("shares"))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        c = placed.join(F.broadcast(shares), "shelf").withColumn("share", every("shares"))
+        a = asks.join(F.broadcast(shares), "shelf").join(F.broadcast(laid.select("shelf", "parts").distinct()), "shelf").withColumn("share", F.pmod(F.xxhash64("query_id"), "shares").cast("int")).withColumn("part", every("parts"))
+        by = ["shelf", "part", "share"]
+        return c.select(*by, "vec_id", "v", "angle", "ref", "place").groupBy(*by).cogroup(a.select(*by, "query_id", "v", "places", "kth").groupBy(*by)).applyInPandas(score, f"query_id {kinds['query_id']}, vec_id {kinds['vec_id']}, score double, n_scored long")
+
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = begun.withColumn("r", F.row_number().over(w)).filter(F.col("r") == k).select("query_id", F.col("score").alias("kth"))
+    best = lambda met: met.filter("vec_id is not null").drop("n_scored").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    begun = cut(meet(q.mapInPandas(visits(True), asked)), scratch)
+    kth = best(begun).filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
     bounded = q.join(kth, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(-2.0)))
+    # nothing that is as near as the k-th of the first is left out, the first among them
     rest = cut(meet(bounded.mapInPandas(visits(False), asked)))
+    scored = cut(begun.unionByName(rest).groupBy("query_id").agg(F.sum("n_scored").alias("n_scored")))
     discard(spark, scratch)
-    both = begun.unionByName(rest)
-    scored = both.groupBy("query_id").agg(F.sum("n_scored").alias("n_scored"))
-    best = both.drop("n_scored").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return best.join(scored, "query_id")
+    return best(rest).join(scored, "query_id")

@@ -138,3 +138,27 @@ def test_vectors_meet_queries_in_blocks_not_in_pairs(spark):
         ranked = sorted(((-round(sum(a * b for a, b in zip(unit[i], y)), 9), -1 if k is None else k) for k, y in unit.items()))[:5]
         assert [k for _, k, _ in sorted(got[i])] == [505] + [None if k == -1 else k for _, k in ranked]
     assert [k for _, k, _ in sorted(got[503])] == [503] and not {500, 501, 502} & set(got)
+
+
+def test_pruned_search_asks_shelves_not_rings(spark, monkeypatch):
+    """Random vectors, where nothing can be skipped: a query makes a row a shelf of vectors, however many rings there are."""
+    import random
+
+    from plansift.operators import documents, pruned_search
+
+    r, asks, cut = random.Random(2), [], pruned_search.cut
+    v = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(16)]) for i in range(1200)], "vec_id long, v array<double>")
+    q = v.filter("vec_id % 40 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+
+    def seen(df, *scratch):
+        kept = cut(df, *scratch)
+        if "query_id" in df.columns and "score" not in df.columns and len(df.columns) > 2:
+            asks.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(pruned_search, "cut", seen)
+    monkeypatch.setattr(pruned_search, "BLOCK", 300)
+    got = pruned_search.topk(v, q, 4, per_reference=20).select("query_id", "vec_id", F.round("score", 9).alias("score"), "rank")
+    assert rows(got) == rows(documents.vector_topk(v, q, 4).select("query_id", "vec_id", F.round("score", 9).alias("score"), "rank"))
+    # 30 queries, 5 shelves
+    assert len(asks) == 2 and max(asks) <= 30 * 6
