@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,14 +29,13 @@ class _LastTurns(StatefulProcessor):
     """The last TURNS rows of a key. A turn or a touch renews the history for SESSION_TTL seconds, a delete drops it; a turn after that begins anew.
 
     What lies before the watermark is settled: the history as it was then, and when it was renewed. What is later is held row by row, by time and id, so that
-    a row that comes late, but within the watermark's delay, takes its place in the order before the history is told.
+    a row that comes late, but within the watermark's delay, takes its place in the order before the history is told. Of those only what can still matter stays.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.kept = handle.getListState("turns", "id long")
-        self.renewed = handle.getValueState("renewed", "at timestamp")
-        self.pending = handle.getMapState("pending", "at long, id long", "action string")
+        # one value a key, as each call of the store is a round trip
+        self.turns = handle.getValueState("turns", "history array<long>, at long, times array<long>, ids array<long>, actions array<string>")
 
     @staticmethod
     def _after(held: list[int], at: int | None, rows: list[tuple[int, int, str]]) -> tuple[list[int], int | None]:
@@ -50,52 +50,53 @@ class _LastTurns(StatefulProcessor):
                 at = t
         return held, at
 
-    def _settled(self) -> tuple[list[int], int | None]:
-        return [i for (i,) in self.kept.get()], _micros(self.renewed.get()[0]) if self.renewed.exists() else None
-
-    def _settle(self, held: list[int], at: int | None) -> None:
-        if at is None:
-            self.kept.clear()
-            self.renewed.clear()
-        else:
-            self.kept.put([(i,) for i in held])
-            self.renewed.update((pd.Timestamp(at * 1000).to_pydatetime(),))
-
-    def _timer(self, last: int | None, timerValues) -> None:
-        for old in self.handle.listTimers():
+    @staticmethod
+    def _needed(rows: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+        """Of rows in order those that can still matter, whatever comes late: none before the last delete, none before the TURNS-th last turn."""
+        turns = 0
+        for n in range(len(rows) - 1, -1, -1):
+            turns += rows[n][2] == "turn"
+            if rows[n][2] == "delete" or turns == TURNS:
+                return rows[n:]
+        return rows
+
+    def _keep(self, held: list[int], at: int | None, pending: list[tuple[int, int, str]]) -> None:
+        times, ids, actions = ([r[n] for r in pending] for n in range(3))
+        self.turns.update((held, at, times, ids, actions))
+
+    def _timer(self, last: int | None, timerValues, renew: bool) -> None:
+        for old in list(self.handle.listTimers()) if renew else ():
             self.handle.deleteTimer(old)
         if last is not None:
             self.handle.registerTimer(max(last // 1000 + (SESSION_TTL + 1) * 1000, timerValues.getCurrentWatermarkInMs() + 1))
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         held, at = list(initialState["history"].iloc[0])[-TURNS:], _micros(initialState["last"].iloc[0])
-        self._settle([int(i) for i in held], at)
-        self._timer(at, timerValues)
+        self._keep([int(i) for i in held], at, [])
+        self._timer(at, timerValues, True)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held, at = self._settled()
-        waiting = {(t, i): action for (t, i), (action,) in self.pending.iterator()}
-        new = {(_micros(t), int(i)): a for b in rows for t, i, a in zip(b["ts"], b["id"], b["action"])}
-        ordered = [(t, i, a) for (t, i), a in sorted((waiting | new).items())]
+        known = self.turns.get()
+        held, at, times, ids, actions = known or ([], None, [], [], [])
+        every = {(t, i): a for t, i, a in zip(times, ids, actions)}
+        for b in rows:
+            micros = np.maximum(b["ts"].to_numpy("datetime64[us]").astype(np.int64), _micros(pd.NaT)).tolist()
+            every.update({(t, int(i)): a for t, i, a in zip(micros, b["id"], b["action"])})
+        ordered = [(t, i, a) for (t, i), a in sorted(every.items())]
         mark = timerValues.getCurrentWatermarkInMs() * 1000
         due = [r for r in ordered if r[0] <= mark]
-        later = ordered[len(due) :]
-        held, at = self._after(held, at, due)
-        self._settle(held, at)
-        for t, i, _ in due:
-            if (t, i) in waiting:
-                self.pending.removeKey((t, i))
-        for (t, i), a in new.items():
-            if t > mark:
-                self.pending.updateValue((t, i), (a,))
-        held, at = self._after(held, at, later)
-        self._timer(max((x for x in (at, later[-1][0] if later else None) if x is not None), default=None), timerValues)
-        yield pd.DataFrame({"key": [key[0]], "history": [held], "last": [None if at is None else pd.Timestamp(at * 1000)]}).astype({"last": "datetime64[us]"})
+        later = self._needed(ordered[len(due) :])
+        held, at = self._after(list(held), at, due)
+        now, last = self._after(held, at, later)
+        if at is None and not later:
+            self.turns.clear()
+        else:
+            self._keep(held, at, later)
+        self._timer(max((x for x in (last, later[-1][0] if later else None) if x is not None), default=None), timerValues, known is not None)
+        yield pd.DataFrame({"key": [key[0]], "history": [now], "last": np.array(["NaT" if last is None else last], "datetime64[us]")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.kept.clear()
-        self.renewed.clear()
-        self.pending.clear()
+        self.turns.clear()
         return iter([])
 
     def close(self) -> None:

@@ -162,3 +162,20 @@ def test_pruned_search_asks_shelves_not_rings(spark, monkeypatch):
     assert rows(got) == rows(documents.vector_topk(v, q, 4).select("query_id", "vec_id", F.round("score", 9).alias("score"), "rank"))
     # 30 queries, 5 shelves
     assert len(asks) == 2 and max(asks) <= 30 * 6
+
+
+def test_only_turns_that_can_matter_are_held(spark, tmp_path):
+    import pandas as pd
+
+    from plansift.plans.state import _streaming
+    from plansift.streaming import sessions
+
+    moves = [(1, n, n, "turn") for n in range(40)] + [(2, n, n, "delete" if n == 30 else "turn") for n in range(33)] + [(3, n, n, "touch" if n % 2 else "turn") for n in range(40)]
+    df = spark.createDataFrame(pd.DataFrame([(k, pd.Timestamp(10**9 + t, unit="s"), i, a) for k, t, i, a in moves], columns=["k", "ts", "id", "action"]))
+    df.write.parquet(f"{tmp_path}/in")
+    stream = _streaming(spark).readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    got = sessions.drained(sessions.last_turns(stream, "k", "ts", "id", "action"), f"{tmp_path}/out", "update").collect()
+    assert {r.key: (list(r.history), r["last"].timestamp() % 1000) for r in got} == {1: ([*range(30, 40)], 39), 2: ([31, 32], 32), 3: ([*range(20, 40, 2)], 39)}
+    held = spark.read.format("statestore").option("stateVarName", "turns").load(f"{tmp_path}/out/checkpoint").collect()
+    # the ten last turns and what comes after the first of them; after a delete, what follows it
+    assert {r.key.key: len(r.value.ids) for r in held} == {1: 10, 2: 3, 3: 20}
