@@ -179,3 +179,15 @@ def test_only_turns_that_can_matter_are_held(spark, tmp_path):
     held = spark.read.format("statestore").option("stateVarName", "turns").load(f"{tmp_path}/out/checkpoint").collect()
     # the ten last turns and what comes after the first of them; after a delete, what follows it
     assert {r.key.key: len(r.value.ids) for r in held} == {1: 10, 2: 3, 3: 20}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_are_dealt_before_their_variants_are_made(spark):
+    from plansift.plans import QUERIES
+
+    plan = _plan(QUERIES["name_variants"](spark, "/root/testdata/sf0.001"))
+    generate = plan.index("Generate")
+    assert "Exchange" not in plan[:generate] and "Exchange hashpartitioning(p_partkey" in plan[generate:]
