@@ -191,3 +191,11 @@ def test_names_are_dealt_before_their_variants_are_made(spark):
     plan = _plan(QUERIES["name_variants"](spark, "/root/testdata/sf0.001"))
     generate = plan.index("Generate")
     assert "Exchange" not in plan[:generate] and "Exchange hashpartitioning(p_partkey" in plan[generate:]
+
+
+def test_costs_of_lines_are_told_without_a_second_grouping(spark):
+    from plansift.plans import QUERIES
+
+    plan = _plan(QUERIES["eta_cost"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("HashAggregate") <= 2 and "Generate" not in plan
+    assert plan.index("Exchange hashpartitioning(l_orderkey") > plan.rindex("HashAggregate")
