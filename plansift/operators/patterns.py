@@ -6,7 +6,8 @@ the patterns whose piece is there are then tried themselves, by Spark's own regu
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+import re
+from collections.abc import Iterable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,6 +38,30 @@ def required_text(pattern: str) -> str:
     return best
 
 
+def _by_letter(words: list[str]) -> str:
+    """A regular expression for any of the words, which share what they begin with."""
+    rests: dict[str, list[str]] = {}
+    for w in words:
+        rests.setdefault(w[:1], []).append(w[1:])
+    found = [re.escape(first) + _by_letter(some) if first else "" for first, some in sorted(rests.items(), reverse=True)]
+    return found[0] if len(found) == 1 else f"(?:{'|'.join(found)})"
+
+
+def any_of(patterns: Iterable[str]) -> str:
+    """A regular expression that occurs where any of the patterns does. Plain words and texts are tried by their letters, at places that begin with one of the first, not one after the other."""
+    words, texts, others = [], [], []
+    for p in dict.fromkeys(patterns):
+        if m := re.fullmatch(r"\\b([\w' -]*\w)\\b", p):
+            words.append(m[1])
+        elif re.fullmatch(r"[\w\u0c00-\u0c7f' -]+", p):
+            texts.append(p)
+        else:
+            others.append(p)
+    begin = lambda some: "(?=[" + "".join(re.escape(c) for c in sorted({w[0] for w in some})) + "])"
+    tried = [begin(words) + r"\b" + _by_letter(words) + r"\b"] if words else []
+    return "|".join([*tried, *([begin(texts) + _by_letter(texts)] if texts else []), *others])
+
+
 def _finder(pieces: list[str]):
     """A column function: the numbers of the pieces that a text contains, each once; blank pieces are left out."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plansift.functions.geo import coordinate_key
 from plansift.functions.text import cache_key
-from plansift.operators.patterns import hits
+from plansift.operators.patterns import any_of, hits
 from plansift.operators.spread import carry_forward
 
 TURNS, SESSION_TTL = 10, 86_400
@@ -44,7 +44,7 @@ EMERGENCY = (
 
 def is_urgent(message: Column, patterns: tuple[str, ...] = EMERGENCY) -> Column:
     """Whether any pattern occurs, in any case; false for a null."""
-    return F.coalesce(message.rlike("(?iu)" + "|".join(patterns)), F.lit(False))
+    return F.coalesce(message.rlike("(?iu)" + any_of(patterns)), F.lit(False))
 
 
 def urgent_hits(messages: DataFrame, message: str, patterns: tuple[str, ...] = EMERGENCY) -> DataFrame:

@@ -199,3 +199,20 @@ def test_costs_of_lines_are_told_without_a_second_grouping(spark):
     plan = _plan(QUERIES["eta_cost"](spark, "/root/testdata/sf0.001"))
     assert plan.count("HashAggregate") <= 2 and "Generate" not in plan
     assert plan.index("Exchange hashpartitioning(l_orderkey") > plan.rindex("HashAggregate")
+
+
+def test_urgent_words_are_tried_by_their_letters(spark):
+    import re
+
+    from plansift.operators import state
+    from plansift.operators.patterns import any_of
+
+    odd = (r"\bdangerous\b", r"x+y", "plain text")
+    said = [re.sub(r"\\b", "", p) for p in state.EMERGENCY]
+    texts = [t.format(p) for p in [*said, "dangerous", "xxy", "PLAIN TEXT", "ſtroke", "stroKe", "SUICIDE", "self_harm", "poison"] for t in ("{}", "a {}.", "a{}", "{}s", "é{}", "{}é")] + ["", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for patterns in (state.EMERGENCY, (*state.EMERGENCY, *odd), odd, (r"\bdanger\b", r"\bdanger\b")):
+        want = [bool(r.x) for r in df.select(F.col("t").rlike("(?iu)" + "|".join(patterns)).alias("x")).collect()]
+        assert [r.x for r in df.select(state.is_urgent(F.col("t"), patterns).alias("x")).collect()] == want and any(want)
+    # one try at a place where none of the words begins
+    assert any_of(state.EMERGENCY).count(r"\b") == 2
