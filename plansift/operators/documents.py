@@ -61,10 +61,9 @@ def sections(records: DataFrame, text_col: str = "value", fields: tuple[str, ...
     text, v = F.col(text_col), F.col("_v")
     other = [c for c in records.columns if c != text_col]
 
-    def of(field: str) -> Column:
+    def of(field: str, said: Column) -> Column:
         one = F.try_variant_get(v, f"$.{field}", "variant")
         listed = F.try_variant_get(v, f"$.{field}", "array<variant>")
-        said = F.get_json_object(text, f"$.{field}")
         each = F.from_json(said, "array<string>")  # what isn't a string, as its JSON text
         title = lambda x: F.when(is_object(x), first_said(x, "$.title", "$.name", "$.heading", "$.section"))
         # a variant would bring an object's keys into another order; of strings it has the quotes
@@ -74,9 +73,13 @@ def sections(records: DataFrame, text_col: str = "value", fields: tuple[str, ...
         alone = F.when(one.isNotNull(), F.array(row(F.lit(0), F.lit(field), json(one, said))))
         return F.coalesce(items, alone, F.array().cast("array<struct<content_type:string,pos:int,section:string,json:string>>"))
 
-    rows = records.withColumn("_v", F.try_parse_json(text))
+    # the text is gone through twice, however many fields there are; a record's rows come from one array, which no filter repeats
+    said = [f"_f{n}" for n in range(len(fields))]
+    rows = records.withColumn("_v", F.try_parse_json(text)).select(*other, "_v", F.json_tuple(text, *fields).alias(*said))
     known = {"temple_id": first_said(v, "$.temple_id"), "name": first_said(v, "$.name"), "last_verified": first_said(v, "$.last_verified")}
-    rows = rows.select(*other, *[c.alias(n) for n, c in known.items()], F.explode(F.flatten(F.array(*map(of, fields)))).alias("s")).filter("temple_id is not null and name is not null")
+    found = F.when(known["temple_id"].isNotNull() & known["name"].isNotNull(), F.flatten(F.array(*map(of, fields, map(F.col, said)))))
+    rows = rows.select(*other, *[c.alias(n) for n, c in known.items()], found.alias("_s"))
+    rows = rows.select(*other, *known, F.explode_outer("_s").alias("s")).filter("s is not null")
     shown = rows.select(*other, "temple_id", "name", "s.content_type", "s.pos", "s.section", stringify(F.col("s.json")).alias("content"), "last_verified")
     return shown.filter("content <> ''")
 

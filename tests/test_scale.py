@@ -216,3 +216,18 @@ def test_urgent_words_are_tried_by_their_letters(spark):
         assert [r.x for r in df.select(state.is_urgent(F.col("t"), patterns).alias("x")).collect()] == want and any(want)
     # one try at a place where none of the words begins
     assert any_of(state.EMERGENCY).count(r"\b") == 2
+
+
+def test_sections_go_through_a_text_once_for_all_fields(spark):
+    from plansift.operators import documents
+
+    texts = [
+        '{"temple_id": 7, "name": {"value": " N "}, "overview": {"b": 1.50, "a": [true, null, "x"]}, "history": ["one", {"title": "T", "k": 2}, null, 3], "faq": null, "rituals": "", "audio": 1e3}',
+        '{"temple_id": "", "name": "N", "overview": "lost"}', '{"temple_id": "1", "name": "N", "secret": "x"}', '{"temple_id": "1", "name": "N", "overview": "cut', "[1]", "", None,
+    ]
+    df = documents.sections(spark.createDataFrame(list(enumerate(texts)), "k int, value string"))
+    assert "get_json_object" not in _plan(df) and _plan(df).count("try_parse_json") + _plan(df).count("parse_json") <= 2
+    assert sorted((r.k, r.temple_id, r["name"], r.content_type, r.pos, r.section, r.content) for r in df.collect()) == [
+        (0, "7", "N", "audio", 0, "audio", "1000.0"), (0, "7", "N", "history", 0, "history[0]", "one"), (0, "7", "N", "history", 1, "T", "Title: T\nK: 2"),
+        (0, "7", "N", "history", 3, "history[3]", "3"), (0, "7", "N", "overview", 0, "overview", "B: 1.5\nA:\nTrue\nx"),
+    ]
