@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -174,8 +175,8 @@ def stringify(c: Column) -> Column:
     return _readable(c)
 
 
-@F.pandas_udf(StringType())
-def _readable(texts):
+@F.arrow_udf(StringType())
+def _readable(texts: pa.Array) -> pa.Array:
     import json
 
     def show(x):
@@ -192,7 +193,7 @@ def _readable(texts):
         except (ValueError, RecursionError):
             return None
 
-    return texts.map(one)
+    return text.by_slices(one, texts)
 
 
 def is_object(v: Column) -> Column:

@@ -231,3 +231,24 @@ def test_sections_go_through_a_text_once_for_all_fields(spark):
         (0, "7", "N", "audio", 0, "audio", "1000.0"), (0, "7", "N", "history", 0, "history[0]", "one"), (0, "7", "N", "history", 1, "T", "Title: T\nK: 2"),
         (0, "7", "N", "history", 3, "history[3]", "3"), (0, "7", "N", "overview", 0, "overview", "B: 1.5\nA:\nTrue\nx"),
     ]
+
+
+def test_nested_texts_are_cut_in_slices(spark):
+    import json
+
+    import pyarrow as pa
+
+    from plansift.functions import text
+
+    seen = []
+
+    class Column(list):
+        def slice(self, low, n):
+            seen.append(n)
+            return pa.array(self[low : low + n])
+
+    assert text.by_slices(lambda a, b: None if a is None else a + b, Column(["a", None] * 300), Column(["b"] * 600)).to_pylist() == ["ab", None] * 300
+    assert set(seen) == {text.SLICE} and len(seen) == 6 and text.by_slices(str, pa.array([], pa.string())).to_pylist() == []
+    values = [None, "{", '{"a": ["12345678", {"b": "é2345678", "c": 1}]}'] * 300
+    got = spark.createDataFrame(list(enumerate(values)), "k int, v string").coalesce(1).select("k", text.truncate_nested(F.col("v"), 4).alias("x")).collect()
+    assert [r.x and json.loads(r.x) for r in sorted(got)] == [None, None, {"a": ["1234 …", {"b": "é234 …", "c": 1}]}] * 300
