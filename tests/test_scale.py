@@ -252,3 +252,21 @@ def test_nested_texts_are_cut_in_slices(spark):
     values = [None, "{", '{"a": ["12345678", {"b": "é2345678", "c": 1}]}'] * 300
     got = spark.createDataFrame(list(enumerate(values)), "k int, v string").coalesce(1).select("k", text.truncate_nested(F.col("v"), 4).alias("x")).collect()
     assert [r.x and json.loads(r.x) for r in sorted(got)] == [None, None, {"a": ["1234 …", {"b": "é234 …", "c": 1}]}] * 300
+
+
+def test_related_mentions_are_paired_and_never_grouped(spark):
+    from plansift.operators import resolve
+
+    records = spark.createDataFrame([("a", k, r, t) for t in range(40) for k, r in (("topic", "faq"), ("festival", "faq"), ("person", None))] + [("b", "topic", "faq", 99)], "alias string, mention_type string, relation string, target int")
+    entities = spark.createDataFrame([(t, e) for t in range(20) for e in ("place", "landmark")], "target int, entity_type string")
+    asked = {1: None, 2: "event", 3: "person", 4: "landmark", 5: "temple"}
+    mentions = spark.createDataFrame([(i, "a", x) for i, x in asked.items()] + [(6, "b", None), (7, "ab", None)], "m_id int, mention string, asked string")
+    found = resolve.related_exact(mentions, records, entities)
+    plan = _plan(found)
+    # whatever is grouped is grouped below the join with the mentions
+    assert "Aggregate" not in plan[: plan.index("Join")] and "Aggregate" in plan
+    said = {1: {("faq", "festival"), (None, "person")}, 2: {("faq", "festival")}, 3: {("faq", "topic"), (None, "person")}, 4: {("faq", "festival"), (None, "person")}, 5: set()}
+    assert sorted((r.m_id, r.target, str(r.relation), r.alias, r.mention_type, r.score) for r in found.collect()) == sorted((i, t, str(r), "a", k, 1.0) for i, x in said.items() for t in range(20) for r, k in x)
+    assert {r.m_id: (r.status, r.key, r.match_type) for r in resolve.decide_related(resolve.related(mentions, records, entities)).collect()} == {i: ("AMBIGUOUS", None, "related_exact_ambiguous") for i in (1, 2, 3, 4)}
+    one = resolve.decide_related(resolve.related(mentions, records, entities.filter("target = 7"))).collect()
+    assert sorted(tuple(r) for r in one) == [(i, "RESOLVED", 7, "related_exact") for i in (1, 2, 3, 4)]
