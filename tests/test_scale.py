@@ -302,3 +302,17 @@ def test_few_pieces_go_to_the_names_and_without_mentions_none_is_read(spark, mon
     assert rows(few) == rows(resolve.fuzzy_pairs(mentions, names, 0.9)) and len(rows(few)) > 20
     none = resolve.fuzzy_pairs(mentions.filter("m_id > 3"), names, 0.9)
     assert none.collect() == [] and "Range" not in _plan(none)
+
+
+def test_a_mention_that_most_requests_have_is_dealt_to_several_tasks(spark, monkeypatch):
+    from plansift.operators import resolve
+
+    mentions = spark.range(900).selectExpr("id div 2 as k", "if(id % 2 = 0, 'all', concat('m', id % 7)) as m_id")
+    resolved = spark.createDataFrame([("all", "RESOLVED", "A"), ("m1", "AMBIGUOUS", None), ("m3", "RESOLVED", "C"), ("m5", "RESOLVED", "B")], "m_id string, status string, key string")
+    monkeypatch.setattr(resolve, "OFTEN", 100)
+    got = resolve.request_ids(mentions, resolved, ["k"])
+    want = [(k, ["A"] + {3: ["C"], 5: ["B"]}.get((2 * k + 1) % 7, [])) for k in range(450)]
+    assert rows(got) == want
+    # 450 mentions of one name are met by five rows of it
+    held = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_at" in held and "Generate" in held
