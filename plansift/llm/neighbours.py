@@ -14,11 +14,13 @@ difference of the coordinates), and of all combinations those of the least sum a
 
 of all vectors, so the work of a query grows like n to the power of 1 - FALL. With more vectors the nearest ones are nearer and are met by fewer
 probes. Candidates are ranked by their exact cosine in double precision. On random vectors of 64 numbers, the hardest case, the share of true
-neighbours met and of vectors compared was measured for 2,000 to 51,282 vectors (see the README); clustered vectors are met sooner.
+neighbours met and of vectors compared was measured for 2,000 to 615,384 vectors (see the README); clustered vectors are met sooner.
 
-Vectors travel as packed bytes, once a table: the 2 ** INNER buckets that differ in the last choices alone lie together, and a query comes
-to them once, with the list of those it looks into. Equal vectors are hashed once; each keeps its k + 1 least ids, which is as many as an answer can hold.
-Where over BLOCK vectors or queries lie together they are dealt to blocks, so that no task holds a
+The buckets a query looks into are never listed before it meets the vectors: what travels is the cost of the last of them in each table. A table's buckets lie in ranges
+of about HELD bytes of vectors; a query comes to each range once, and there its buckets are found, a rotation at a time, by leaving out what costs too much already.
+Vectors travel once a table, as a byte a number with a bound for how far that is off; of what a query meets in a range, all that may be among its k + 1 nearest by those bounds goes on, and
+the exact cosine of what is left of all ranges comes from the whole vectors. Equal vectors are hashed once; each keeps its k + 1 least ids, which is as many as an answer can hold.
+Where much more than that lies in a range, vectors or queries are dealt to blocks, so that no task holds a
 whole hot bucket. A query for which fewer than k others turn up is answered by an exact search in blocks.
 
 Vectors that are null, empty, zero, or hold a null or a number that isn't finite take no part, nor do rows
@@ -31,12 +33,16 @@ import functools
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plansift.llm.common import cut, discard, map_rows, small
+from plansift.llm.common import cut, discard, slices, small
 
-TABLES, FILL, SHARE, FALL, INNER, BLOCK, DENSE = 6, 1, 6.3, 0.35, 12, 8192, 512
+TABLES, FILL, SHARE, FALL, DENSE = 6, 1, 6.3, 0.35, 512
+#: Bytes of the vectors of a range of a table's buckets, how many ranges there are at least, and how many buckets and costs stand in memory at a time
+HELD, RANGES, CELLS, COSTS = 1 << 25, 4, 1 << 20, 1 << 16
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -106,134 +112,318 @@ def own_bucket(x: np.ndarray, table: int, sizes: list[int]) -> np.ndarray:
     return out
 
 
+def _behind(x: np.ndarray, table: int, sizes: list[int]) -> list[np.ndarray]:
+    """For each rotation of a table how far each row's axes lie behind the nearest one."""
+    return [(z.max(axis=1, keepdims=True) - z) ** 2 for z in _axes(x, table, sizes)]
+
+
+def limits(behind: list[np.ndarray], count: int) -> np.ndarray:
+    """For each row the cost of the bucket that is the count-th nearest, and a little more, as elsewhere a product's last digits may come out otherwise."""
+    count = min(count, math.prod(z.shape[1] for z in behind))
+    return np.array([_limit([np.sort(z) for z in row], count) for row in zip(*behind)]) * (1 + 1e-9)
+
+
+def _limit(lists: list[np.ndarray], count: int) -> float:
+    """The count-th least of all sums of a number from each sorted list; all lists begin with 0."""
+    *front, last = lists
+    best = front[0] if front else np.zeros(1)
+    for z in front[1:]:
+        # of two sorted lists the i-th and j-th, from 1, need not be summed up where i * j is over count
+        if len(best) * len(z) > 4 * count:
+            best = np.sort(best)
+            sums = np.concatenate([best[: count // (j + 1)] + z[j] for j in range(min(len(z), count))])
+        else:
+            sums = np.add.outer(best, z).ravel()
+        best = np.partition(sums, count - 1)[:count] if len(sums) > 4 * count else sums
+    many = count // 4 + 64
+    while True:
+        some = np.sort(np.partition(best, many - 1)[:many] if many < len(best) else best)
+        if len(some) * len(last) >= count:
+            limit = _nth(some, last, count)
+            if len(some) == len(best) or limit <= some[-1]:
+                return limit
+        many *= 2
+
+
+def _nth(a: np.ndarray, b: np.ndarray, count: int) -> float:
+    """The count-th least of all sums of a number from a and one from b, both sorted and not below 0."""
+    low, high = -1.0, float(a[-1] + b[-1]) * 1.001 + 1e-9
+    under, over = np.zeros(len(b), np.int64), np.full(len(b), len(a))
+    for _ in range(60):
+        if (over - under).sum() <= 256:
+            break
+        mid = (low + high) / 2
+        at = np.searchsorted(a, mid - b, "right")
+        if at.sum() >= count:
+            high, over = mid, at
+        else:
+            low, under = mid, at
+    between = np.concatenate([a[i:j] + x for i, j, x in zip(under.tolist(), over.tolist(), b) if i < j])
+    at = count - int(under.sum()) - 1
+    return float(np.partition(between, at)[at])
+
+
+def within(behind: list[np.ndarray], most: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, bucket, cost of all buckets from low to below high that cost a row no more than most has for it; by row, then bucket."""
+    rest = math.prod(z.shape[1] for z in behind)
+    row, name, cost = np.arange(len(most)), np.zeros(len(most), np.int64), np.zeros(len(most))
+    for z in behind:
+        size = z.shape[1]
+        rest //= size
+        first, last = low // rest, (high - 1) // rest
+        # where all that is left has one name, as before the first rotation, other axes need not be looked at
+        begin, end = (first, last + 1) if rest * size >= high else (0, size)
+        step = max(1, COSTS // (end - begin))
+        found = []
+        for i in range(0, len(row), step):
+            of = row[i : i + step]
+            c = cost[i : i + step, None] + z[of, begin:end]
+            at = np.flatnonzero(c <= most[of, None])
+            of, axis = np.divmod(at, end - begin)
+            names, c, of = name[i + of] * size + (begin + axis), c.ravel()[at], row[i + of]
+            if end - begin == size:
+                inside = (names >= first) & (names <= last)
+                of, names, c = of[inside], names[inside], c[inside]
+            found.append((of, names, c))
+        row, name, cost = map(np.concatenate, zip(*found)) if found else (row, name, cost)
+    return row, name, cost
+
+
 def near_buckets(x: np.ndarray, table: int, sizes: list[int], count: int) -> np.ndarray:
     """The buckets that each row comes nearest to, the nearest first."""
-    cost, names = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
-    for z in _axes(x, table, sizes):
-        behind = (z.max(axis=1, keepdims=True) - z) ** 2
-        few = np.argsort(behind, axis=1, kind="stable")[:, :count]
-        cost = (cost[:, :, None] + np.take_along_axis(behind, few, 1)[:, None, :]).reshape(len(x), -1)
-        names = (names[:, :, None] * z.shape[1] + few[:, None, :]).reshape(len(x), -1)
-        if cost.shape[1] > 4 * count:
-            part = np.argpartition(cost, count, axis=1)[:, :count]
-            cost, names = np.take_along_axis(cost, part, 1), np.take_along_axis(names, part, 1)
-        best = np.argsort(cost, axis=1, kind="stable")[:, :count]
-        cost, names = np.take_along_axis(cost, best, 1), np.take_along_axis(names, best, 1)
-    return names
-
-
-def _packed(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    behind = _behind(x, table, sizes)
+    row, bucket, cost = within(behind, limits(behind, count), 0, math.prod(sizes))
+    order = np.lexsort((bucket, cost, row))
+    begins = np.searchsorted(row[order], np.arange(len(x)))
+    return bucket[order[begins[:, None] + np.arange(count)]]
+
+
+def _packed(df: DataFrame, four: bool) -> DataFrame:
     """vec_id, v: the sound vectors' numbers as bytes, 4 each if they are floats, else 8; -0.0 as 0.0."""
-    kind = df.schema[vector_col].dataType.simpleString()
-    four = kind == "array<float>"
 
     def run(batches):
-        for rows in batches:
-            out = []
-            for k, v in rows:
-                if k is None or not v or None in v:
-                    continue
-                x = np.array(v, np.float32 if four else np.float64) + 0
-                if np.isfinite(x).all() and x.any():
-                    out.append((k, x.tobytes()))
-            yield out
+        for b in (part for batch in batches for part in slices(batch)):
+            b = b.filter(pc.and_(b.column(0).is_valid(), pc.fill_null(pc.greater(pc.list_value_length(b.column(1)), 0), False)))
+            if not b.num_rows:
+                continue
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32 if four else np.float64, copy=False) + 0  # a null becomes nan
+            ends = np.cumsum(pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64)
+            begins = np.append(0, ends[:-1])
+            sound = np.logical_and.reduceat(np.isfinite(x), begins) & np.logical_or.reduceat(x != 0, begins)
+            v = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((np.append(0, ends) * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+            yield pa.RecordBatch.from_arrays([b.column(0), v], ["vec_id", "v"]).filter(pa.array(sound))
+
+    return df.mapInArrow(run, "vec_id long, v binary")
+
+
+def _matrix_of(v: pa.Array, kind: str) -> np.ndarray:
+    """The rows of a column of bytes of one length."""
+    of = np.frombuffer(v.buffers()[1], np.int64 if pa.types.is_large_binary(v.type) else np.int32)
+    return np.frombuffer(v.buffers()[2], np.uint8)[of[v.offset] : of[v.offset + len(v)]].view(kind).reshape(len(v), -1)
+
+
+def _even(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, so that no square is too large or too small; this rounds nothing."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
-    numbers = F.col(vector_col) if four else F.col(vector_col).cast("array<double>")
-    return map_rows(df.select(F.col(id_col).cast("long").alias("vec_id"), numbers.alias("v")), run, "vec_id long, v binary")
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = _even(x)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
-def _hashed(df: DataFrame, tables: int, n: int, asks: bool, kind: str, ratio: float = SHARE) -> DataFrame:
-    """size, tab, bucket (without its INNER last bits), key, v, last: of each table the vector's own bucket, or of queries all that they look into; last are the last bits. n: how many vectors there are."""
-    width = np.dtype(kind).itemsize
+
+def _by_size(batches, kind: str):
+    """size, key, v, unit rows: few rows of an Arrow batch (key, v) at a time, of one length."""
+    for batch in batches:
+        for part in slices(batch) if batch.num_rows else ():
+            sizes = pc.binary_length(part.column(1)).to_numpy()
+            for size in np.unique(sizes):
+                some = part.filter(pa.array(sizes == size))
+                yield int(size), some.column(0), some.column(1), _unit(_matrix_of(some.column(1), kind).astype(float))
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+
+
+def _batch(schema: str, *columns) -> pa.RecordBatch:
+    """Columns of the schema's types, with its names."""
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [field.split()[0] for field in schema.split(", ")])
+
+
+def _coded(df: DataFrame, tables: int, n: int, kind: str, held: int) -> DataFrame:
+    """size, wide, key, codes, scale, off, buckets: the unit vector as bytes that times scale are off by no more than off in any direction, its bucket in each table, and how many of those make a range. n: how many vectors there are."""
+    width, schema = np.dtype(kind).itemsize, "size int, wide long, key long, codes binary, scale float, off float, buckets array<long>"
 
     def run(batches):
-        for rows in batches:
-            by_size: dict[int, list] = {}
-            for key, v in rows:
-                by_size.setdefault(len(v), []).append((key, v))
-            for size, got in by_size.items():
-                x = np.array([np.frombuffer(v, kind) for _, v in got], dtype=float)
-                x /= np.sqrt((x * x).sum(1, keepdims=True))
-                sizes = choices(n, size // width)
-                for t in range(tables):
-                    bs = near_buckets(x, t, sizes, probes(n, size // width, tables, ratio)) if asks else own_bucket(x, t, sizes)[:, None]
-                    bs = np.sort(bs, axis=1)
-                    out = []
-                    for (key, v), row in zip(got, bs):
-                        first = row >> INNER
-                        begins = np.flatnonzero(np.append(True, first[1:] != first[:-1])).tolist()
-                        last = (row & ((1 << INNER) - 1)).tolist()
-                        out += [(size, t, int(first[i]), key, v, last[i:j]) for i, j in zip(begins, [*begins[1:], len(row)])]
-                    yield out
-
-    return map_rows(df.select("key", "v"), run, "size int, tab int, bucket long, key long, v binary, last array<smallint>")
-
-
-def _blocks(n: Column) -> Column:
-    return F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("long")
-
-
-def _met(cands: DataFrame, asks: DataFrame, k: int, kind: str, scratch: list[str]) -> DataFrame:
-    """(ask, key, score): of each block of candidates, the k + 1 nearest of each query there, and all equal to the last."""
-    bucket = ["size", "tab", "bucket"]
-    # only buckets of several blocks need a row; a block is a whole one but for a bucket's last
-    held = cands.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("m"))
-    asked = asks.groupBy(*bucket).agg(F.lit(0).cast("long").alias("n"), F.count(F.lit(1)).alias("m"))
-    full = held.unionByName(asked).groupBy(*bucket).agg(_blocks(F.sum("n")).alias("blocks"), _blocks(F.sum("m")).alias("shares")).filter("blocks > 1 or shares > 1")
-    sizes = small(cut(full, scratch))
-    dealt = lambda df: df.join(sizes, bucket, "left").withColumns({"blocks": F.coalesce("blocks", F.lit(1)), "shares": F.coalesce("shares", F.lit(1))})
+        for size, key, _, x in _by_size(batches, kind):
+            sizes = choices(n, size // width)
+            scale = (np.abs(x).max(axis=1) / 127).astype(np.float32)
+            codes = np.rint(x / scale[:, None]).astype(np.int8)
+            # besides, what single precision rounds in a sum of so many products
+            off = np.sqrt(((x - codes * scale[:, None].astype(float)) ** 2).sum(1)) * 1.001 + 2e-7 * (x.shape[1] + 8)
+            flat = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, codes.size + 1, x.shape[1], dtype=np.int32)), pa.py_buffer(codes)])
+            yield _batch(schema, np.full(len(x), size, np.int32), np.full(len(x), _wide(sizes, n, size, held)), key, flat, scale, off.astype(np.float32), _lists(np.stack([own_bucket(x, t, sizes) for t in range(tables)], axis=1)))
+
+    return df.select("key", "v").mapInArrow(run, schema)
+
+
+def _limited(df: DataFrame, tables: int, n: int, kind: str, held: int, share: float) -> DataFrame:
+    """size, ranges, key, v, most: up to which cost a query looks into the buckets of each table, and in how many ranges those lie."""
+    width, schema = np.dtype(kind).itemsize, "size int, ranges int, key long, v binary, most array<double>"
+
+    def run(batches):
+        for size, key, v, x in _by_size(batches, kind):
+            sizes = choices(n, size // width)
+            count = probes(n, size // width, tables, share)
+            most = np.stack([limits(_behind(x, t, sizes), count) for t in range(tables)], axis=1)
+            yield _batch(schema, np.full(len(x), size, np.int32), np.full(len(x), _ranges(n, size, held), np.int32), key, v, _lists(most))
+
+    return df.select("key", "v").mapInArrow(run, schema)
+
+
+def _ranges(n: int, size: int, held: int) -> int:
+    """In how many ranges the buckets of a table lie, for n vectors of so many bytes."""
+    return max(RANGES, -(-n * size // held))
+
+
+def _wide(sizes: list[int], n: int, size: int, held: int) -> int:
+    """How many buckets make a range."""
+    return -(-math.prod(sizes) // _ranges(n, size, held))
+
+
+def _blocks(n: Column, held: int) -> Column:
+    """Where over twice as many bytes as planned lie together they are dealt to blocks."""
+    return F.greatest(F.lit(1), F.ceil(n * F.col("size") / (2 * held))).cast("long")
+
+
+def _met(cands: DataFrame, asks: DataFrame, groups: DataFrame, n: int, k: int, kind: str, held: int, scratch: list[str]) -> DataFrame:
+    """ask, key: what may be among the k + 1 nearest that each query meets, and all equal to the last. cands: size, tab, part, key, bucket, codes, scale, off; asks: size, tab, part, key, v, most."""
+    rows = cut(_bounded(cands, asks, n, k, kind, held, False, scratch), scratch)
+    # where a byte a number can't tell many vectors apart, the whole vectors of the range are sent to those who ask there
+    dense, pairs = rows.filter("key is null"), rows.filter("key is not null").select("ask", "key")
+    if dense.isEmpty():
+        return pairs
+    at = ["size", "tab", "part"]
+    asks = asks.join(dense.select(F.col("ask").alias("key"), *at), ["key", *at], "left_semi")
+    cands = cands.drop("codes").join(dense.select(*at).distinct(), at, "left_semi").join(groups.select("key", F.col("v").alias("codes")), "key")
+    return cut(pairs.unionByName(_bounded(cands, asks, n, k, kind, held, True, scratch).select("ask", "key")).distinct(), scratch)
+
+
+def _bounded(cands: DataFrame, asks: DataFrame, n: int, k: int, kind: str, held: int, exact: bool, scratch: list[str]) -> DataFrame:
+    """ask, key, and nulls; or ask, null, size, tab, part where too many may be among the nearest for codes to tell. exact: codes are the vectors' own bytes."""
+    width, at = np.dtype(kind).itemsize, ["size", "tab", "part"]
+    # only those of several blocks need a row; a block is a whole one but for the last
+    there = cands.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("m"))
+    asked = asks.groupBy(*at).agg(F.lit(0).cast("long").alias("n"), F.count(F.lit(1)).alias("m"))
+    full = there.unionByName(asked).groupBy(*at).agg(_blocks(F.sum("n"), held).alias("blocks"), _blocks(F.sum("m"), held).alias("shares")).filter("blocks > 1 or shares > 1")
+    full = small(cut(full, scratch))
+    dealt = lambda df: df.join(full, at, "left").withColumns({"blocks": F.coalesce("blocks", F.lit(1)), "shares": F.coalesce("shares", F.lit(1))})
     every = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name).cast("long") - 1))
     c = dealt(cands).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))).withColumn("share", every("shares"))
     a = dealt(asks).withColumn("share", F.pmod(F.xxhash64("key"), F.col("shares"))).withColumn("block", every("blocks"))
-    at = [*bucket, "block", "share"]
+    at = [*at, "block", "share"]
+    schema = "ask long, key long, low double, high double, size int, tab int, part int"
 
-    def near(c, a):
-        import pandas as pd
-
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    def meet(group, c, a):
+        size, tab, part = (x.as_py() for x in group[:3])
+        done, dense, given = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))], [], 0
         if len(c) and len(a):
-            c = c.assign(last=[v[0] for v in c["last"]]).sort_values(["last", "key"])
-            last, keys = c["last"].to_numpy(), c.key.to_numpy()
-            x, y = (np.stack([np.frombuffer(v, kind) for v in t.v]).astype(float) for t in (c, a))
-            xn, yn = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
-            unit = x / xn[:, None]
-            for i, (ask, looks) in enumerate(zip(a.key, a["last"])):
-                low, high = np.searchsorted(last, looks, "left"), np.searchsorted(last, looks, "right")
-                n = high - low
-                at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                if not len(at):
-                    continue
-                rough = unit[at] @ (y[i] / yn[i])
-                few = min(k, len(at) - 1)
-                at = at[rough >= np.partition(rough, len(at) - 1 - few)[len(at) - 1 - few] - 1e-12]
-                found.append((np.full(len(at), ask), keys[at], (x[at] * y[i]).sum(1) / (xn[at] * yn[i])))
-        ask, key, score = map(np.concatenate, zip(*found))
-        return pd.DataFrame({"ask": ask, "key": key, "score": score})
-
-    return c.select(*at, "key", "v", "last").groupBy(*at).cogroup(a.select(*at, "key", "v", "last").groupBy(*at)).applyInPandas(near, "ask long, key long, score double")
-
-
-def nearest(df: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, share: float = SHARE) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows of each row that query (a condition on vec_id) holds for. share: see SHARE; the more, the more neighbours are met."""
+            c, a = c.combine_chunks(), a.combine_chunks()
+            order = np.argsort(c["bucket"].to_numpy(), kind="stable")
+            bucket, key, scale, off = (c[x].to_numpy()[order] for x in ("bucket", "key", "scale", "off"))
+            codes = _matrix_of(c["codes"].chunk(0), kind if exact else "i1")[order]
+            if exact:
+                codes = codes if width == 4 else _even(codes)
+                scale, off = 1 / np.sqrt(np.einsum("ij,ij->i", codes, codes, dtype=float)), np.full(len(key), 1e-12)
+            sizes = choices(n, size // width)
+            low = part * _wide(sizes, n, size, held)
+            high = min(low + _wide(sizes, n, size, held), math.prod(sizes))
+            start = np.searchsorted(bucket, np.arange(low, high + 1))
+            y, ask, most = _matrix_of(a["v"].chunk(0), kind), a["key"].to_numpy(), a["most"].to_numpy()
+            real, rows, step = float if exact else np.float32, max(1, CELLS // codes.shape[1]), max(1, CELLS // probes(n, size // width))
+            for i in range(0, len(y), step):
+                few, found = _unit(y[i : i + step].astype(float)), []
+                asking = few.astype(real)
+                if tab >= 0:
+                    row, near, _ = within(_behind(few, tab, sizes), most[i : i + step], low, high)
+                    near -= low
+                    begins, many = start[near], start[near + 1] - start[near]
+                    of = np.searchsorted(row, np.arange(len(few) + 1))
+                for j in range(len(few)):
+                    if tab >= 0:
+                        m = many[of[j] : of[j + 1]]
+                        ends = np.cumsum(m)
+                        if not len(m) or not ends[-1]:
+                            continue
+                        some = np.repeat(begins[of[j] : of[j + 1]] - ends + m, m) + np.arange(ends[-1])
+                    else:
+                        some = np.arange(len(key))
+                    about = np.concatenate([codes.take(some[b : b + rows], axis=0).astype(real) @ asking[j] for b in range(0, len(some), rows)]) * scale[some]
+                    under, over, last = about - off[some], about + off[some], max(0, len(some) - 1 - k)
+                    best = np.flatnonzero(over >= np.partition(under, last)[last])
+                    if not exact and len(best) > 8 * (k + 1) and given + len(best) > 4 * (k + 1) * (i + j + 1) + 1000:
+                        dense.append(ask[i + j])
+                        best = np.argpartition(under, last)[last:]
+                    given += len(best)
+                    found.append((np.full(len(best), ask[i + j]), key[some[best]], under[best].astype(float), over[best].astype(float)))
+                if found:
+                    done.append(tuple(map(np.concatenate, zip(*found))))
+        columns, none = list(map(np.concatenate, zip(*done))), pa.nulls(sum(len(x[0]) for x in done), pa.int32())
+        pairs = _batch(schema, *columns, none, none, none)
+        far, here = np.full(len(dense), np.inf), (np.full(len(dense), x, np.int32) for x in (size, tab, part))
+        return pa.Table.from_batches([pairs, _batch(schema, np.array(dense, np.int64), pa.nulls(len(dense), pa.int64()), -far, far, *here)])
+
+    met = c.select(*at, "key", "bucket", "codes", "scale", "off").groupBy(*at).cogroup(a.select(*at, "key", "v", "most").groupBy(*at)).applyInArrow(meet, schema)
+    met = met.repartition("ask").groupBy("ask", "key", "size", "tab", "part").agg(F.max("low").alias("low"), F.min("high").alias("high"))
+    best = Window.partitionBy("ask")
+    met = met.withColumn("r", F.row_number().over(best.orderBy(F.desc("low")))).withColumn("least", F.max(F.when(F.col("r") == k + 1, F.col("low"))).over(best))
+    return met.filter("least is null or high >= least").select("ask", "key", "size", "tab", "part")
+
+
+def _scored(pairs: DataFrame, groups: DataFrame, asks: DataFrame, kind: str) -> DataFrame:
+    """ask, key, ids, score: the exact cosine."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch) if batch.num_rows else ():
+                sizes = pc.binary_length(part["v"]).to_numpy()
+                for size in np.unique(sizes):
+                    some = part.filter(pa.array(sizes == size))
+                    x, y = (_even(_matrix_of(some[c], kind).astype(float)) for c in ("v", "y"))
+                    score = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+                    yield pa.RecordBatch.from_arrays([some["ask"], some["key"], some["ids"], pa.array(score)], ["ask", "key", "ids", "score"])
+
+    rows = groups.join(small(pairs), "key").join(asks.select(F.col("key").alias("ask"), F.col("v").alias("y")), "ask")
+    return rows.select("ask", "key", "ids", "v", "y").mapInArrow(run, "ask long, key long, ids array<long>, score double")
+
+
+def nearest(df: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, share: float = SHARE, held: int = HELD) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest rows of each row that query (a condition on vec_id) holds for. share: see SHARE; the more, the more neighbours are met. held: see HELD; it changes no result."""
     scratch: list[str] = []
-    kind = "<f4" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
-    rows = _packed(df, id_col, vector_col)
+    four = df.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind = "<f4" if four else "<f8"
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), (F.col(vector_col) if four else F.col(vector_col).cast("array<double>")).alias("v"))
     few = Window.partitionBy("v").orderBy("vec_id")
-    own = rows.withColumn("r", F.dense_rank().over(few)).filter(F.col("r") <= k + 1)
-    groups = cut(own.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).withColumn("key", F.element_at("ids", 1)).withColumn("key", F.xxhash64("key", "v")), scratch)
+    own = _packed(rows, four).withColumn("r", F.dense_rank().over(few)).filter(F.col("r") <= k + 1)
+    groups = cut(own.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).withColumn("key", F.xxhash64("v")), scratch)
     n = groups.count()
-    asked = rows.filter(query).select("vec_id", "v").distinct().join(groups.select("v", "key"), "v")
-    askers = cut(asked.select("key", F.col("vec_id").alias("query_id")))
-    wanted = groups.join(askers.select("key").distinct(), "key", "left_semi")
-    found = _met(_hashed(groups, tables, n, False, kind), _hashed(wanted, tables, n, True, kind, share), k, kind, scratch)
-    ids = groups.select("key", "ids")
-    found = cut(_answers(found, ids, k))
+    asked = cut(_packed(rows.filter(query), four).distinct().select(F.xxhash64("v").alias("key"), F.col("vec_id").alias("query_id"), "v"), scratch)
+    askers = cut(asked.select("key", "query_id"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asks = cut(_limited(asked.dropDuplicates(["key"]).repartition(parts), tables, n, kind, held, share), scratch)
+    coded = cut(_coded(groups, tables, n, kind, held), scratch)
+    cands = coded.select("size", "wide", "key", F.posexplode("buckets").alias("tab", "bucket"), "codes", "scale", "off").withColumn("part", F.expr("cast(bucket div wide as int)"))
+    looks = asks.select("size", "ranges", "key", "v", F.posexplode("most").alias("tab", "most")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("ranges") - 1)))
+    found = cut(_answers(_scored(_met(cands, looks, groups, n, k, kind, held, scratch), groups, asks, kind), k))
     # queries that met too few vectors, unless there are no more
     short = askers.select("key").distinct().join(found.filter(F.size("near") > k).select(F.col("ask").alias("key")), "key", "left_anti")
     short = cut(short, scratch)
     if not short.isEmpty():
-        every = groups.select(F.octet_length("v").alias("size"), F.lit(-1).alias("tab"), F.lit(0).cast("long").alias("bucket"), "key", "v", F.array(F.lit(0).cast("smallint")).alias("last"))
-        rest = cut(_answers(_met(every, cut(every.join(short, "key", "left_semi"), scratch), k, kind, scratch), ids, k))
+        whole = {"tab": F.lit(-1), "part": F.lit(0)}
+        every = coded.withColumns(whole | {"bucket": F.lit(0).cast("long")})
+        rest = _met(every, asks.join(short, "key", "left_semi").withColumns(whole | {"most": F.lit(0.0)}), groups, n, k, kind, held, scratch)
+        rest = cut(_answers(_scored(rest, groups, asks, kind), k))
         found = found.join(small(cut(short.withColumnRenamed("key", "ask"))), "ask", "left_anti").unionByName(rest)
     discard(df.sparkSession, scratch)
     near = askers.join(found.withColumnRenamed("ask", "key"), "key")
@@ -242,12 +432,11 @@ def nearest(df: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id", ve
     return near.select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", "x.score")
 
 
-def _answers(found: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+def _answers(scored: DataFrame, k: int) -> DataFrame:
     """ask, near: the nearest rows, copies written out, as an array of (vec_id, score), k + 1 at most."""
-    best = Window.partitionBy("ask").orderBy(F.desc("score"), "key")
     # all rows of the k + 1 best scores: of vectors with one score those with the least ids count
-    kept = found.dropDuplicates(["ask", "key"]).withColumn("r", F.rank().over(best.orderBy(F.desc("score")))).filter(F.col("r") <= k + 1)
-    rows = kept.join(ids, "key").select("ask", F.explode("ids").alias("vec_id"), "score")
+    kept = scored.withColumn("r", F.rank().over(Window.partitionBy("ask").orderBy(F.desc("score")))).filter(F.col("r") <= k + 1)
+    rows = kept.select("ask", F.explode("ids").alias("vec_id"), "score")
     first = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
     rows = rows.dropDuplicates(["ask", "vec_id"]).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1)
     return rows.groupBy("ask").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))), lambda x: F.struct(x["vec_id"].alias("vec_id"), x["score"].alias("score"))).alias("near"))

@@ -7,6 +7,7 @@ import heapq
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -325,6 +326,70 @@ def test_probes_are_the_nearest_joint_buckets():
         assert (got[:, 0] == neighbours.own_bucket(x, 3, sizes)).all()
 
 
+def test_probing_needs_little_memory():
+    """64 queries among 615,384 vectors of 64 numbers: once all sums of 10,366 kept costs and 64 further ones stood in memory, for a batch of 512 queries 2.7 GB an array."""
+    x = np.random.RandomState(6).randn(64, 64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sizes, count = neighbours.choices(615_384, 64), neighbours.probes(615_384, 64)
+    tracemalloc.start()
+    got = neighbours.near_buckets(x, 1, sizes, count)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.shape == (64, 10_366) and (got[:, 0] == neighbours.own_bucket(x, 1, sizes)).all()
+    assert all(len(set(row)) == 10_366 for row in got.tolist())
+    assert peak < 100e6
+
+
+def test_limits_and_ranges_of_buckets():
+    """The buckets up to a limit are those that all sums of costs give, ties too, in whatever ranges they are asked for."""
+    rng = np.random.RandomState(7)
+    for sizes in ([8], [2, 2, 2], [8, 8, 2], [8, 8, 8, 8, 4]):
+        for x in (rng.randn(6, 4), rng.randint(-1, 2, (6, 4)) + [[2, 0, 0, 0]]):
+            behind = neighbours._behind(neighbours._unit(x.astype(float)), 2, sizes)
+            total, costs = math.prod(sizes), np.zeros((6, 1))
+            for z in behind:
+                costs = (costs[:, :, None] + z[:, None, :]).reshape(6, -1)
+            for count in {1, 2, 5, total // 3 + 1, total}:
+                most = neighbours.limits(behind, count)
+                assert np.allclose(most, np.sort(costs, axis=1)[:, count - 1], rtol=2e-9, atol=1e-15)
+                for wide in {1 + total // 7, 1 + total // 2, total}:
+                    found = [neighbours.within(behind, most, i, min(i + wide, total)) for i in range(0, total, wide)]
+                    assert sorted((r, b) for row, bucket, _ in found for r, b in zip(row.tolist(), bucket.tolist())) == sorted(zip(*(a.tolist() for a in np.nonzero(costs <= most[:, None]))))
+                    assert all(np.array_equal(costs[row, bucket], cost) for row, bucket, cost in found)
+
+
+def test_neighbours_are_the_best_of_all_that_is_met(spark):
+    """Few bytes to a task, so that there are ranges, blocks and shares, change nothing; the answers are the best by exact cosine of all vectors in the buckets that a query looks into."""
+    rng = np.random.RandomState(8)
+    x = rng.randn(1500, 16).astype(np.float32)
+    x[:500] = x[0] + rng.randn(500, 16) * 0.02  # a crowded bucket
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = sorted(map(tuple, neighbours.nearest(df, F.col("vec_id") % 10 == 0).collect()))
+    assert got == sorted(map(tuple, neighbours.nearest(df, F.col("vec_id") % 10 == 0, held=4096).collect()))
+    unit = x.astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    sizes, count, met = neighbours.choices(1500, 16), neighbours.probes(1500, 16), np.zeros((150, 1500), bool)
+    for t in range(neighbours.TABLES):
+        own = neighbours.own_bucket(unit, t, sizes)
+        met |= np.stack([np.isin(own, row) for row in neighbours.near_buckets(unit[::10], t, sizes, count)])
+    want = []
+    for q, row in zip(range(0, 1500, 10), met):
+        there = np.flatnonzero(row & (np.arange(1500) != q))
+        assert len(there) >= 5
+        score = unit[there] @ unit[q]
+        want += [(q, r + 1, int(there[i]), pytest.approx(score[i], abs=1e-12)) for r, i in enumerate(np.argsort(-score)[:5])]
+    assert got == want
+
+
+def test_neighbours_of_very_large_and_very_small_numbers(spark):
+    """Cosines don't depend on the lengths of vectors, though squares of these numbers are too large or too small."""
+    x = np.random.RandomState(9).randn(40, 8)
+    far = [1.0, 1e200, 1e-200, 1e300, 1e-300]
+    df = lambda f: spark.createDataFrame([(i, [float(v) for v in row * f(i)]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    ranks = lambda f: {(r.query_id, r.rank): (r.vec_id, round(r.score, 9)) for r in neighbours.nearest(df(f), F.col("vec_id") % 4 == 0).collect()}
+    assert ranks(lambda i: far[i % 5]) == ranks(lambda i: 1.0)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 100), st.one_of(st.none(), st.integers(0, 3)), st.one_of(st.none(), st.integers(0, 5))), max_size=60))
 def test_best_fit(items):
