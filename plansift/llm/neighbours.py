@@ -19,7 +19,7 @@ neighbours met and of vectors compared was measured for 2,000 to 615,384 vectors
 The buckets a query looks into are never listed before it meets the vectors: what travels is the cost of the last of them in each table. A table's buckets lie in ranges
 of about HELD bytes of vectors; a query comes to each range once, and there its buckets are found, a rotation at a time, by leaving out what costs too much already.
 Vectors travel once a table, as a byte a number with a bound for how far that is off; of what a query meets in a range, all that may be among its k + 1 nearest by those bounds goes on, and
-the exact cosine of what is left of all ranges comes from the whole vectors. Equal vectors are hashed once; each keeps its k + 1 least ids, which is as many as an answer can hold.
+the exact cosine of what is left of all ranges comes from the whole vectors. Where a byte a number can't tell a crowd of vectors apart, these are sent whole to those who ask there. Equal vectors are hashed once; each keeps its k + 1 least ids, which is as many as an answer can hold.
 Where much more than that lies in a range, vectors or queries are dealt to blocks, so that no task holds a
 whole hot bucket. A query for which fewer than k others turn up is answered by an exact search in blocks.
 
@@ -41,8 +41,9 @@ from pyspark.sql import functions as F
 from plansift.llm.common import cut, discard, slices, small
 
 TABLES, FILL, SHARE, FALL, DENSE = 6, 1, 6.3, 0.35, 512
-#: Bytes of the vectors of a range of a table's buckets, how many ranges there are at least, and how many buckets and costs stand in memory at a time
-HELD, RANGES, CELLS, COSTS = 1 << 25, 4, 1 << 20, 1 << 16
+#: Bytes of the vectors of a range of a table's buckets, how many ranges there are at least, how many buckets and costs stand in memory at a time, and of how many
+#: vectors of a range a query hears by their codes; where those can't tell more than that apart, whole vectors can
+HELD, RANGES, CELLS, COSTS, CROWD = 1 << 25, 4, 1 << 20, 1 << 16, 256
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -300,18 +301,19 @@ def _blocks(n: Column, held: int) -> Column:
 def _met(cands: DataFrame, asks: DataFrame, groups: DataFrame, n: int, k: int, kind: str, held: int, scratch: list[str]) -> DataFrame:
     """ask, key: what may be among the k + 1 nearest that each query meets, and all equal to the last. cands: size, tab, part, key, bucket, codes, scale, off; asks: size, tab, part, key, v, most."""
     rows = cut(_bounded(cands, asks, n, k, kind, held, False, scratch), scratch)
-    # where a byte a number can't tell many vectors apart, the whole vectors of the range are sent to those who ask there
-    dense, pairs = rows.filter("key is null"), rows.filter("key is not null").select("ask", "key")
-    if dense.isEmpty():
+    pairs, crowds, at = rows.filter("tab is null").select("ask", "key"), rows.filter("tab is not null"), ["size", "tab", "part"]
+    if crowds.isEmpty():
         return pairs
-    at = ["size", "tab", "part"]
-    asks = asks.join(dense.select(F.col("ask").alias("key"), *at), ["key", *at], "left_semi")
-    cands = cands.drop("codes").join(dense.select(*at).distinct(), at, "left_semi").join(groups.select("key", F.col("v").alias("codes")), "key")
+    # where a byte a number can't tell many vectors apart, those who ask there meet them whole
+    there = crowds.filter("key is not null").select(*at, "key")
+    asks = asks.join(small(crowds.filter("key is null").select(*at, F.col("ask").alias("key"))), [*at, "key"], "left_semi")
+    whole = groups.join(small(there.select("key").distinct()), "key", "left_semi").select("key", F.col("v").alias("codes"))
+    cands = cands.drop("codes").join(small(there), [*at, "key"], "left_semi").join(whole, "key")
     return cut(pairs.unionByName(_bounded(cands, asks, n, k, kind, held, True, scratch).select("ask", "key")).distinct(), scratch)
 
 
 def _bounded(cands: DataFrame, asks: DataFrame, n: int, k: int, kind: str, held: int, exact: bool, scratch: list[str]) -> DataFrame:
-    """ask, key, and nulls; or ask, null, size, tab, part where too many may be among the nearest for codes to tell. exact: codes are the vectors' own bytes."""
+    """ask, key, and nulls; where too many may be among the nearest for codes to tell, also ask, null, size, tab, part, and each of those too many as key, key, size, tab, part. exact: codes are the vectors' own bytes."""
     width, at = np.dtype(kind).itemsize, ["size", "tab", "part"]
     # only those of several blocks need a row; a block is a whole one but for the last
     there = cands.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("m"))
@@ -328,6 +330,7 @@ def _bounded(cands: DataFrame, asks: DataFrame, n: int, k: int, kind: str, held:
     def meet(group, c, a):
         size, tab, part = (x.as_py() for x in group[:3])
         done, dense, given = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))], [], 0
+        crowd = np.zeros(len(c), bool)
         if len(c) and len(a):
             c, a = c.combine_chunks(), a.combine_chunks()
             order = np.argsort(c["bucket"].to_numpy(), kind="stable")
@@ -362,17 +365,19 @@ def _bounded(cands: DataFrame, asks: DataFrame, n: int, k: int, kind: str, held:
                     about = np.concatenate([codes.take(some[b : b + rows], axis=0).astype(real) @ asking[j] for b in range(0, len(some), rows)]) * scale[some]
                     under, over, last = about - off[some], about + off[some], max(0, len(some) - 1 - k)
                     best = np.flatnonzero(over >= np.partition(under, last)[last])
-                    if not exact and len(best) > 8 * (k + 1) and given + len(best) > 4 * (k + 1) * (i + j + 1) + 1000:
+                    if not exact and (len(best) > CROWD or len(best) > 8 * (k + 1) and given + len(best) > 4 * (k + 1) * (i + j + 1) + 1000):
                         dense.append(ask[i + j])
+                        crowd[some[best]] = True
                         best = np.argpartition(under, last)[last:]
                     given += len(best)
                     found.append((np.full(len(best), ask[i + j]), key[some[best]], under[best].astype(float), over[best].astype(float)))
                 if found:
                     done.append(tuple(map(np.concatenate, zip(*found))))
         columns, none = list(map(np.concatenate, zip(*done))), pa.nulls(sum(len(x[0]) for x in done), pa.int32())
-        pairs = _batch(schema, *columns, none, none, none)
-        far, here = np.full(len(dense), np.inf), (np.full(len(dense), x, np.int32) for x in (size, tab, part))
-        return pa.Table.from_batches([pairs, _batch(schema, np.array(dense, np.int64), pa.nulls(len(dense), pa.int64()), -far, far, *here)])
+        many = key[crowd] if crowd.any() else np.zeros(0, np.int64)
+        told, of = np.concatenate([np.array(dense, np.int64), many]), pa.concat_arrays([pa.nulls(len(dense), pa.int64()), pa.array(many)])
+        far, here = np.full(len(told), np.inf), (np.full(len(told), x, np.int32) for x in (size, tab, part))
+        return pa.Table.from_batches([_batch(schema, *columns, none, none, none), _batch(schema, told, of, -far, far, *here)])
 
     met = c.select(*at, "key", "bucket", "codes", "scale", "off").groupBy(*at).cogroup(a.select(*at, "key", "v", "most").groupBy(*at)).applyInArrow(meet, schema)
     met = met.repartition("ask").groupBy("ask", "key", "size", "tab", "part").agg(F.max("low").alias("low"), F.min("high").alias("high"))
