@@ -415,7 +415,7 @@ def nearest(df: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id", ve
     n = groups.count()
     asked = cut(_packed(rows.filter(query), four).distinct().select(F.xxhash64("v").alias("key"), F.col("vec_id").alias("query_id"), "v"), scratch)
     askers = cut(asked.select("key", "query_id"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), asked.count() // 64))
     asks = cut(_limited(asked.dropDuplicates(["key"]).repartition(parts), tables, n, kind, held, share), scratch)
     coded = cut(_coded(groups, tables, n, kind, held), scratch)
     cands = coded.select("size", "wide", "key", F.posexplode("buckets").alias("tab", "bucket"), "codes", "scale", "off").withColumn("part", F.expr("cast(bucket div wide as int)"))
